@@ -16,16 +16,19 @@ SMALL = 100_000
 NARROW_BINS = 2048
 
 
-def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
-                    small: int = SMALL) -> dict[str, list[float] | None]:
+def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], small: int = SMALL,
+                    stats: dict | None = None) -> dict[str, list[float] | None]:
     """Linear-interpolated exact quantiles per column (``None`` for a column without values).
 
     Small columns use the built-in ``percentile``.  Larger ones are narrowed: a fixed-width histogram
     of the current interval tells which bin holds the wanted rank, the next pass looks only inside
     that bin, and when an interval holds few enough rows its values are ranked.  The driver sees bin
-    counts and bounds only.
+    counts and bounds only.  ``stats`` may bring n, min and max per column from an earlier scan.
     """
-    stats = {r["feature"]: r for r in moments(df, cols, fields=("n", "min", "max")).collect()}
+    if not cols:
+        return {}
+    if stats is None:
+        stats = {r["feature"]: r for r in moments(df, cols, fields=("n", "min", "max")).collect()}
     out: dict[str, list[float] | None] = {c: None for c in cols}
     filled = [c for c in cols if stats[c]["n"] > 0]
     unbounded = [c for c in filled if math.isinf(stats[c]["min"]) or math.isinf(stats[c]["max"])]

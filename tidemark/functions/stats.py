@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..schema import col, number, value
 
@@ -134,7 +134,6 @@ def co_moments(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """
     blocks = (df.select(*[number(df, c).alias(f"x{k}") for k, c in enumerate(cols)])
               .mapInArrow(_pair_blocks, CO_MOMENT_SCHEMA))
-    from pyspark.sql import Window
     pair = Window.partitionBy("i", "j")
     total = F.sum("n").over(pair)
     centred = blocks.select("*", (F.sum(F.col("n") * F.col("mx")).over(pair) / total).alias("gx"),
@@ -159,8 +158,9 @@ def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
             .select(F.element_at(names, F.col("i") + 1).alias("feature_a"),
                     F.element_at(names, F.col("j") + 1).alias("feature_b"), "i", "j",
                     F.col("n").cast("bigint").alias("n"),
-                    F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.try_divide(
-                        F.col("cxy"), spread("cxx", "mx") * spread("cyy", "my")))).alias("corr")))
+                    F.try_divide(F.col("cxy"), spread("cxx", "mx") * spread("cyy", "my")).alias("r"))
+            .select("feature_a", "feature_b", "i", "j", "n",
+                    F.when(F.col("r").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "r"))).alias("corr")))
 
 
 def uniform_bin(x: Column, lo: float, hi: float, bins: int) -> Column:
@@ -181,11 +181,13 @@ def histogram(df: DataFrame, edges: dict[str, tuple[float, float]], bins: int,
               counts: dict[str, Column]) -> DataFrame:
     """(feature, bin, <count columns>): rows per equal-width bin, only for bins that hold rows.
 
+    Present values outside the edges are counted under bin -1.
     ``edges`` maps a numeric column to its (low, high) bounds and ``counts`` names boolean columns
     to count; both are small driver values, so bins are plain expressions inside code generation.
     """
     binned = df.select(*[F.when(cond, 1).otherwise(0).alias(f"__{k}") for k, cond in counts.items()],
-                       *[uniform_bin(number(df, c), lo, hi, bins).alias(c) for c, (lo, hi) in edges.items()])
+                       *[F.coalesce(uniform_bin(number(df, c), lo, hi, bins), F.when(number(df, c).isNotNull(), -1))
+                         .alias(c) for c, (lo, hi) in edges.items()])
     long = binned.unpivot([F.col(f"__{k}") for k in counts], [col(c) for c in edges], "feature", "bin")
     return (long.filter("bin is not null").groupBy("feature", "bin")
             .agg(*[F.sum(f"__{k}").alias(k) for k in counts]))

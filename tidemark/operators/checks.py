@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import AuditConfig
 from ..functions.selection import exact_quantiles
 from ..functions.stats import cardinality, correlations, moments, unbiased_skew
-from ..schema import (ISSUE_COLUMNS, ISSUE_SCHEMA, banded, categorical_columns, col, flat_columns, local_frame,
-                      materialise, number, numeric_columns, text_columns, value)
+from ..schema import (banded, categorical_columns, col, flat_columns, local_frame, materialise, number,
+                      numeric_columns, run_together, text_columns, value)
 
 DEFAULT = AuditConfig()
 
@@ -213,8 +213,11 @@ def iqr_outliers(df: DataFrame, target: str | None = None, cols: Sequence[str] |
     schema = "feature string, q1 double, q3 double, lower double, upper double, outliers bigint"
     rows = complete_rows(df, cols)
     wanted = [c for c in cols if c != target]
+    if not wanted:
+        return local_frame(df.sparkSession, [], schema)
+    ends = {r["feature"]: r for r in moments(rows, wanted, fields=("n", "min", "max")).collect()}
     bounds = {}
-    for c, q in (exact_quantiles(rows, wanted, [0.25, 0.75]) if wanted else {}).items():
+    for c, q in exact_quantiles(rows, wanted, [0.25, 0.75], stats=ends).items():
         if q and q[1] > q[0]:
             span = factor * (q[1] - q[0])
             bounds[c] = (q[0], q[1], q[0] - span, q[1] + span)
@@ -222,7 +225,6 @@ def iqr_outliers(df: DataFrame, target: str | None = None, cols: Sequence[str] |
         return local_frame(df.sparkSession, [], schema)
     keep = list(bounds)
     # at most two distinct values <=> nothing strictly between the smallest and the largest
-    ends = {r["feature"]: r for r in moments(rows, keep, fields=("min", "max")).collect()}
     wide = rows.agg(*[x for k, c in enumerate(keep) for x in (
         F.count_if((col(c) < bounds[c][2]) | (col(c) > bounds[c][3])).alias(f"o{k}"),
         F.count_if((col(c) > ends[c]["min"]) & (col(c) < ends[c]["max"])).alias(f"i{k}"))])
@@ -248,70 +250,113 @@ def issues(df: DataFrame, kind: str, column: Column, severity: Column | str, des
                      description.alias("description"), metric.cast("double").alias("metric"))
 
 
-def issue_summary(df: DataFrame, target: str, task: str = "classification", exclude: Sequence[str] = (),
-                  multivariate: DataFrame | None = None, config: AuditConfig = DEFAULT) -> DataFrame:
-    """All column checks as one issue table (type, column, severity, description, metric).
+def strong_pairs(df: DataFrame, cols: Sequence[str], target: str | None, limit: float) -> DataFrame:
+    """(feature_a, feature_b, corr): absolute correlations of at least ``limit`` and all those of the target."""
+    if len(cols) < 2:
+        return local_frame(df.sparkSession, [], "feature_a string, feature_b string, corr double")
+    keep = F.col("corr") >= limit
+    if target is not None:
+        keep = keep | (F.col("feature_a") == target) | (F.col("feature_b") == target)
+    return (correlations(df, cols).select("feature_a", "feature_b", F.abs("corr").alias("corr"))
+            .filter(F.col("corr").isNotNull() & keep))
 
-    ``multivariate`` is the optional one-row result of the multivariate outlier check.
+
+def column_checks(df: DataFrame, target: str, task: str = "classification", exclude: Sequence[str] = (),
+                  config: AuditConfig = DEFAULT, more: Mapping[str, Callable[[], DataFrame]] | None = None
+                  ) -> dict[str, DataFrame]:
+    """Every column check of one table, each run once; results are a few rows per column.
+
+    One scan gives missing, constant and skewed columns, and one pass over column pairs gives both the
+    high correlations and the target leakage.  ``more`` adds checks to run alongside.
     """
-    cols = flat_columns(df, exclude)
-    numeric = numeric_columns(df, exclude)
-    spark = df.sparkSession
-    fmt = F.format_string
-    parts = []
-    profile = materialise(column_profile(df, cols))  # one row per column
-
-    pct = F.col("missing_pct")
-    parts.append(issues(missing_values(df, cols, profile), "missing_values", F.col("feature"),
-                        banded(pct, [(50, "critical"), (30, "high"), (10, "medium")], "low"),
-                        fmt("%.1f%% missing values detected.", pct), pct))
-    parts.append(issues(constant_features(df, cols, profile), "constant_feature", F.col("feature"), "high",
-                        F.lit("Feature contains only one unique value."), F.lit(1.0)))
-    share = F.col("top_share")
-    parts.append(issues(near_constant(df, cols, config.near_constant_share), "near_constant_feature",
-                        F.col("feature"), "medium",
-                        fmt("Highly imbalanced feature (%.1f%% dominant value).", share * 100), share))
-    unique = F.col("n_unique")
-    parts.append(issues(high_cardinality(df, categorical_columns(df, exclude), config.cardinality_limit),
-                        "high_cardinality", F.col("feature"), "high",
-                        fmt("Categorical feature with excessive cardinality (%d unique values).", unique), unique))
-    if numeric:
-        skew = F.col("skew")
-        parts.append(issues(skewness(df, target, numeric, config.skew_limit, profile), "high_skewness", F.col("feature"),
-                            "medium", fmt("High numerical skewness detected (Skew: %.2f).", skew), skew))
+    cols, numeric = flat_columns(df, exclude), numeric_columns(df, exclude)
+    profile = materialise(column_profile(df, cols))
+    fixed = {r["feature"] for r in profile.filter("constant").collect()}
+    varying = [c for c in numeric if c not in fixed]
+    y = target if target in varying else None
     from .rows import duplicates
-    dup = F.col("duplicate_percentage")
-    parts.append(issues(duplicates(df, cols).filter("has_duplicates"), "duplicate_rows", F.lit("dataset_wide"),
-                        banded(dup, [(5, "high")], "medium"),
-                        fmt("%d duplicate rows (%.1f%%).", F.col("total_duplicates"), dup), dup))
-    minority = F.col("minority_class_percentage")
-    parts.append(issues(class_imbalance(df, target, task, config.minority_pct).filter("is_imbalanced"),
-                        "class_imbalance", F.lit(target),
-                        F.when(minority < 5, "critical").when(minority < 10, "high").otherwise("medium"),
-                        fmt("Severe target imbalance (%.1f%%).", minority), minority))
-    if numeric:
-        corr = F.col("corr")
-        # the summary names no target here: a column called "target" is the only one left out
-        parts.append(issues(high_correlation(df, None, numeric, config.correlation_limit), "high_correlation",
-                            F.concat_ws(" ↔ ", "feature_a", "feature_b"), banded(corr, [(0.95, "high")], "medium"),
-                            fmt("Strong multicollinearity detected (%.3f).", corr), corr))
-        parts.append(issues(target_leakage(df, target, numeric, config.leakage_limit), "target_leakage",
-                            F.col("feature"), "critical",
-                            fmt("Potential target leakage detected (%.3f).", corr), corr))
-    if multivariate is not None:
-        p = F.col("percentage")
-        parts.append(issues(multivariate.filter("outlier_count > 0"), "multivariate_outliers",
-                            F.lit("dataset_wide"), banded(p, [(3, "high")], "medium"),
-                            fmt("Detected %d multivariate anomalies (%.1f%%).", F.col("outlier_count"), p), p))
-    if numeric:
-        total = df.agg(F.count(F.lit(1))).scalar()
-        worst = (iqr_outliers(df, target, numeric, config.iqr_factor)
-                 .orderBy(F.desc("outliers"), "feature").limit(5)
-                 .select("feature", "outliers", (F.col("outliers") / total * 100).alias("pct")))
-        p = F.col("pct")
-        parts.append(issues(worst, "outliers", F.col("feature"), banded(p, [(10, "high"), (5, "medium")], "low"),
-                            fmt("%d univariate outliers detected (%.1f%%).", F.col("outliers"), p), p))
-    out = spark.createDataFrame([], ISSUE_SCHEMA).select(*ISSUE_COLUMNS)
-    for part in parts:
+    tasks: dict[str, Callable[[], DataFrame]] = {
+        "outliers": lambda: iqr_outliers(df, target, numeric, config.iqr_factor),
+        "pairs": lambda: strong_pairs(df, varying, y, config.correlation_limit),
+        "duplicates": lambda: duplicates(df, cols),
+        "near_constant_features": lambda: near_constant(df, [c for c in cols if c not in fixed],
+                                                        config.near_constant_share),
+        "high_cardinality": lambda: high_cardinality(df, categorical_columns(df, exclude), config.cardinality_limit),
+        "class_imbalance": lambda: class_imbalance(df, target, task, config.minority_pct),
+        **(more or {}),
+    }
+    out = run_together(tasks)
+    pairs = out.pop("pairs")
+    named = local_frame(df.sparkSession, [(a, b, 1.0, "name_suffix") for a, b in name_suffix_pairs(varying)],
+                        "feature_a string, feature_b string, corr double, rule string")
+    every = named.unionByName(pairs.filter(F.col("corr") >= config.correlation_limit)
+                              .withColumn("rule", F.lit("pearson")))
+
+    def without(name: str | None) -> DataFrame:
+        return every if name is None else every.filter((F.col("feature_a") != name) & (F.col("feature_b") != name))
+
+    other = F.when(F.col("feature_a") == target, F.col("feature_b")).otherwise(F.col("feature_a"))
+    leaks = pairs.filter((F.col("feature_a") == target) | (F.col("feature_b") == target))
+    out.update({
+        "profile": profile,
+        "missing_values": missing_values(df, cols, profile),
+        "constant_features": constant_features(df, cols, profile),
+        "skewed_features": skewness(df, target, numeric, config.skew_limit, profile),
+        "high_correlation": without(target),
+        # the issue list names no target here: only a column called "target" is left out
+        "summary_correlation": without("target" if "target" in numeric else None),
+        "target_leakage": leaks.filter(F.col("corr") > config.leakage_limit).select(other.alias("feature"), "corr"),
+    })
+    return out
+
+
+def summarise(found: Mapping[str, DataFrame], target: str) -> DataFrame:
+    """The tables of ``column_checks`` as issues (type, column, severity, description, metric)."""
+    fmt = F.format_string
+    pct, share, unique, skew = F.col("missing_pct"), F.col("top_share"), F.col("n_unique"), F.col("skew")
+    dup, minority, corr, p = (F.col(c) for c in ("duplicate_percentage", "minority_class_percentage", "corr", "pct"))
+    feature, whole = F.col("feature"), F.lit("dataset_wide")
+    parts = [
+        issues(found["missing_values"], "missing_values", feature,
+               banded(pct, [(50, "critical"), (30, "high"), (10, "medium")], "low"),
+               fmt("%.1f%% missing values detected.", pct), pct),
+        issues(found["constant_features"], "constant_feature", feature, "high",
+               F.lit("Feature contains only one unique value."), F.lit(1.0)),
+        issues(found["near_constant_features"], "near_constant_feature", feature, "medium",
+               fmt("Highly imbalanced feature (%.1f%% dominant value).", share * 100), share),
+        issues(found["high_cardinality"], "high_cardinality", feature, "high",
+               fmt("Categorical feature with excessive cardinality (%d unique values).", unique), unique),
+        issues(found["skewed_features"], "high_skewness", feature, "medium",
+               fmt("High numerical skewness detected (Skew: %.2f).", skew), skew),
+        issues(found["duplicates"].filter("has_duplicates"), "duplicate_rows", whole,
+               banded(dup, [(5, "high")], "medium"),
+               fmt("%d duplicate rows (%.1f%%).", F.col("total_duplicates"), dup), dup),
+        issues(found["class_imbalance"].filter("is_imbalanced"), "class_imbalance", F.lit(target),
+               F.when(minority < 5, "critical").when(minority < 10, "high").otherwise("medium"),
+               fmt("Severe target imbalance (%.1f%%).", minority), minority),
+        issues(found["summary_correlation"], "high_correlation", F.concat_ws(" ↔ ", "feature_a", "feature_b"),
+               banded(corr, [(0.95, "high")], "medium"),
+               fmt("Strong multicollinearity detected (%.3f).", corr), corr),
+        issues(found["target_leakage"], "target_leakage", feature, "critical",
+               fmt("Potential target leakage detected (%.3f).", corr), corr),
+    ]
+    if "multivariate_outliers" in found:
+        m = F.col("percentage")
+        parts.append(issues(found["multivariate_outliers"].filter("outlier_count > 0"), "multivariate_outliers", whole,
+                            banded(m, [(3, "high")], "medium"),
+                            fmt("Detected %d multivariate anomalies (%.1f%%).", F.col("outlier_count"), m), m))
+    total = found["profile"].agg(F.max("total")).scalar()
+    worst = (found["outliers"].orderBy(F.desc("outliers"), "feature").limit(5)
+             .select("feature", "outliers", (F.col("outliers") / total * 100).alias("pct")))
+    parts.append(issues(worst, "outliers", feature, banded(p, [(10, "high"), (5, "medium")], "low"),
+                        fmt("%d univariate outliers detected (%.1f%%).", F.col("outliers"), p), p))
+    out = parts[0]
+    for part in parts[1:]:
         out = out.unionByName(part)
     return out
+
+
+def issue_summary(df: DataFrame, target: str, task: str = "classification", exclude: Sequence[str] = (),
+                  config: AuditConfig = DEFAULT) -> DataFrame:
+    """All column checks as one issue table."""
+    return summarise(column_checks(df, target, task, exclude, config), target)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..config import EPSILON, AuditConfig
 from ..functions.selection import median
 from ..functions.stats import co_moments, histogram, moments, widened
-from ..schema import banded, col, flat_columns, local_frame, number, numeric_columns, value
+from ..schema import banded, col, flat_columns, local_frame, materialise, number, numeric_columns, value
 
 DEFAULT = AuditConfig()
 # Up to this many columns the Gram matrix is a plain SQL aggregate; wider ones use numpy blocks per task.
@@ -30,11 +30,14 @@ def _ranges(df: DataFrame, cols: Sequence[str], split: str) -> dict[str, dict[st
     return {c: sides for c, sides in out.items() if len(sides) == 2}
 
 
-def _shares(df: DataFrame, edges: dict[str, tuple[float, float]], bins: int, split: str) -> DataFrame:
+def _counts(df: DataFrame, edges: dict[str, tuple[float, float]], bins: int, split: str) -> DataFrame:
+    """(feature, bin, train, test): rows per bin, -1 for values outside; a few rows per column."""
+    return materialise(histogram(df, {c: widened(lo, hi) for c, (lo, hi) in edges.items()}, bins, _sides(split)))
+
+
+def _shares(counts: DataFrame, features: Sequence[str], bins: int) -> DataFrame:
     """(feature, bin, p, q): smoothed train and test shares of every bin, empty bins included."""
-    edges = {c: widened(lo, hi) for c, (lo, hi) in edges.items()}
-    counts = histogram(df, edges, bins, _sides(split))
-    grid = (local_frame(df.sparkSession, [(c,) for c in edges], "feature string")
+    grid = (local_frame(counts.sparkSession, [(c,) for c in features], "feature string")
             .withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1)))))
     full = grid.join(counts, ["feature", "bin"], "left").na.fill(0, ["train", "test"])
     whole = Window.partitionBy("feature")
@@ -59,20 +62,14 @@ def psi(df: DataFrame, cols: Sequence[str] | None = None, split: str = "split",
     if not ranges:
         return empty
     edges = {c: side["train"][:2] for c, side in ranges.items()}
-    shares = _shares(df, edges, bins, split)
+    counts = _counts(df, edges, bins, split)
     p, q = F.col("p"), F.col("q")
     score = F.sum((p - q) * F.ln(p / q))
-    raw = shares.groupBy("feature").agg(
+    raw = _shares(counts, list(edges), bins).groupBy("feature").agg(
         F.when(F.isnan(score), F.lit(0.0)).when(score == float("inf"), F.lit(999.0)).otherwise(score).alias("psi"))
-    wide = {c: widened(*e) for c, e in edges.items()}
-    outside = df.filter(col(split) == "test").agg(*[
-        F.count_if((number(df, c) < lo) | (number(df, c) > hi)).alias(f"o{k}")
-        for k, (c, (lo, hi)) in enumerate(wide.items())])
-    long = outside.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"),
-                 (F.col(f"o{k}") / F.lit(float(ranges[c]["test"][2])) * 100).alias("out_of_range_pct"))
-        for k, c in enumerate(wide)])).alias("s")).select("s.*")
-    return raw.join(long, "feature").select("feature", "psi", "out_of_range_pct").unionByName(empty)
+    outside = counts.groupBy("feature").agg(
+        (F.sum(F.when(F.col("bin") < 0, F.col("test")).otherwise(0)) / F.sum("test") * 100).alias("out_of_range_pct"))
+    return raw.join(outside, "feature").select("feature", "psi", "out_of_range_pct").unionByName(empty)
 
 
 def psi_severity(score: Column) -> Column:
@@ -148,7 +145,7 @@ def feature_stability(df: DataFrame, cols: Sequence[str] | None = None, split: s
                            "feature string, kl_divergence double, stability_score double, rank bigint")
     p, q = F.col("p"), F.col("q")
     kl = (F.sum(p * F.ln(p / q)) + F.sum(q * F.ln(q / p))) / 2.0
-    scored = (_shares(df, edges, bins, split).groupBy("feature").agg(kl.alias("kl_divergence"))
+    scored = (_shares(_counts(df, edges, bins, split), list(edges), bins).groupBy("feature").agg(kl.alias("kl_divergence"))
               .withColumn("stability_score", F.exp(-F.col("kl_divergence"))))
     return scored.withColumn("rank", F.row_number().over(
         Window.orderBy(F.desc("stability_score"), "feature")).cast("bigint"))  # one row per column

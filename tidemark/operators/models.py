@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer
@@ -15,7 +17,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import AuditConfig
-from ..schema import col, local_frame, require_columns
+from ..schema import col, local_frame, materialise, require_columns
 from .metrics import classification_metrics, metrics_from_confusion, regression_metrics, roc_auc
 from .prep import FittedPrep, fit_prep
 from .split import fold_of
@@ -74,18 +76,23 @@ class TrainedModel:
             raise AttributeError("the estimator does not give class probabilities")
         return out
 
-    def evaluate(self, df: DataFrame) -> DataFrame:
+    def evaluate(self, df: DataFrame, auc: bool = True) -> DataFrame:
         """(metric, value) on labelled rows; ROC-AUC is added for two classes with probabilities."""
         scored = self.predict(df, [self.target])
         if self.task == "regression":
             return regression_metrics(scored, self.target, "prediction")
-        out = classification_metrics(scored, self.target, "prediction")
-        if len(self.labels) == 2 and "probability" in scored.columns:
-            pairs = scored.select((col(self.target).cast("string") == self.labels[1]).cast("int").alias("y"),
-                                  F.element_at("probability", 2).alias("p"))
-            auc = roc_auc(pairs, "y", "p").select(F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value"))
-            out = out.unionByName(auc)
-        return out
+        if not (auc and len(self.labels) == 2 and "probability" in scored.columns):
+            return classification_metrics(scored, self.target, "prediction")
+        # scored once, read by the counts and by the ranking
+        narrow = scored.select(col(self.target).cast("string").alias("y"), "prediction",
+                               F.element_at("probability", 2).alias("p")).persist()
+        try:
+            counts = classification_metrics(narrow, "y", "prediction")
+            ranked = roc_auc(narrow.withColumn("y", (F.col("y") == self.labels[1]).cast("int")), "y", "p")
+            return materialise(counts.unionByName(
+                ranked.select(F.lit("roc_auc").alias("metric"), F.col("roc_auc").alias("value"))))
+        finally:
+            narrow.unpersist()
 
 
 def _labelled(df: DataFrame, task: str, target: str) -> tuple[DataFrame, list[str] | None]:
@@ -118,21 +125,28 @@ def train(df: DataFrame, target: str, task: str, exclude: Sequence[str] = (), es
 
 def cross_validate(df: DataFrame, target: str, task: str, key: str, exclude: Sequence[str] = (),
                    folds: int = DEFAULT.cv_folds, estimator: Estimator | None = None,
-                   config: AuditConfig = DEFAULT, dev: bool = False) -> DataFrame:
+                   config: AuditConfig = DEFAULT, dev: bool = False, parallelism: int = 4) -> DataFrame:
     """(metric, cv_mean, cv_std, cv_folds): weighted F1 or RMSE over key-hash folds, population deviation.
 
-    Preparation is fitted again inside every fold, so no fold sees its own rows.
+    Preparation is fitted again inside every fold, so no fold sees its own rows.  Folds are independent
+    and run side by side, as in Spark's own cross-validator.
     """
     task = check_task(task)
-    tagged = df.withColumn("__fold", fold_of(key, folds))
     metric = "f1" if task == "classification" else "rmse"
-    scores = []
-    for k in range(folds):
-        fitted = train(tagged.filter(F.col("__fold") != k), target, task, [*exclude, key, "__fold"], estimator,
-                       config, dev)
+    used = [c for c in df.columns if c not in exclude]
+    tagged = df.select(*[col(c) for c in used]).withColumn("__fold", fold_of(key, folds)).persist()
+
+    def score(k: int) -> float:
+        fitted = train(tagged.filter(F.col("__fold") != k), target, task, [key, "__fold"],
+                       None if estimator is None else estimator.copy(), config, dev)
         held = tagged.filter(F.col("__fold") == k).filter(col(target).isNotNull())
-        found = {r["metric"]: r["value"] for r in fitted.evaluate(held).collect()}
-        scores.append(float(found[metric]))
+        return float(next(r["value"] for r in fitted.evaluate(held, auc=False).collect() if r["metric"] == metric))
+
+    try:
+        with ThreadPool(min(parallelism, folds)) as pool:
+            scores = pool.map(inheritable_thread_target(score), range(folds))
+    finally:
+        tagged.unpersist()
     name = "f1_weighted" if task == "classification" else "root_mean_squared_error"
     return local_frame(df.sparkSession, [(name, float(np.mean(scores)), float(np.std(scores)), folds)],
                        "metric string, cv_mean double, cv_std double, cv_folds int")

@@ -80,23 +80,40 @@ def robust_scale(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None =
     return df.select(*[_scaled(number(df, c), q[c]).alias(c) if c in q else col(c) for c in df.columns])
 
 
-def categories(fit: DataFrame, cols: Sequence[str], min_share: float = 0.0, max_width: int = 2000
-               ) -> dict[str, tuple[list[str], list[str]]]:
-    """Per column the frequent train categories and the ones pooled as infrequent, both sorted.
+def categories(fit: DataFrame, cols: Sequence[str], min_share: float = 0.0, fill: bool = False,
+               max_width: int = 2000) -> tuple[dict[str, list[str]], dict[str, bool], dict[str, str | None]]:
+    """Per column: its own categories (sorted), whether rarer ones are pooled, and its mode.
 
-    Only categories at or above ``min_share`` get a column of their own.  Their number is limited by
-    1 / min_share; without a share it is checked against ``max_width``, as dense one-hot columns of an
-    identifier are no features.
+    Only categories at or above ``min_share`` of the rows get a column of their own, so their number is
+    limited by 1 / min_share; without a share it is checked against ``max_width``, as dense one-hot
+    columns of an identifier are no features.  With ``fill`` missing cells count towards the mode.
     """
-    counts = value_counts(fit, cols).filter("value is not null")
-    rows = fit.agg(F.count(F.lit(1))).first()[0]
-    own = counts.filter(F.col("cnt") >= F.lit(min_share * rows)).limit(max_width * len(cols) + 1).collect()
-    if len(own) > max_width * len(cols):
-        raise ValueError("too many categories for one-hot columns; raise min_share or use sparse_features")
-    rare = {r["feature"] for r in counts.filter(F.col("cnt") < F.lit(min_share * rows))
-            .select("feature").distinct().collect()} if min_share > 0 else set()
-    return {c: (sorted(r["value"] for r in own if r["feature"] == c), ["infrequent"] if c in rare else [])
-            for c in cols}
+    if not cols:
+        return {}, {}, {}
+    least = F.lit(min_share * fit.agg(F.count(F.lit(1))).first()[0]) if min_share > 0 else F.lit(0.0)
+    counts = value_counts(fit, cols)
+    limit = max_width * len(cols) + 1
+    found = counts.filter(F.col("value").isNull() | (F.col("cnt") >= least)).limit(limit).collect()
+    if len(found) >= limit:
+        raise ValueError("too many categories for one-hot columns; raise min_share or drop the column")
+    own = {c: {r["value"]: r["cnt"] for r in found if r["feature"] == c and r["value"] is not None} for c in cols}
+    gaps = {c: sum(r["cnt"] for r in found if r["feature"] == c and r["value"] is None) for c in cols}
+    mode = {c: min(own[c], key=lambda v: (-own[c][v], v)) if own[c] else None for c in cols}
+    if min_share > 0:
+        total = fit.count()
+        bare = [c for c in cols if mode[c] is None and gaps[c] < total]
+        mode.update(modes(fit, bare))
+        pooled = {c: sum(own[c].values()) + gaps[c] < total for c in cols}
+        for c in bare:  # filling the gaps can lift the mode over the share
+            if fill and gaps[c] and mode[c] is not None and gaps[c] >= min_share * total:
+                own[c][mode[c]] = gaps[c]
+    else:
+        pooled = {c: False for c in cols}
+    if fill:
+        for c in cols:
+            if mode[c] is None:
+                own[c]["missing"] = gaps[c]
+    return {c: sorted(own[c]) for c in cols}, pooled, mode
 
 
 def one_hot(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None, min_share: float = 0.0) -> DataFrame:
@@ -105,18 +122,13 @@ def one_hot(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None,
     With ``min_share`` the rare train categories share the column ``<x>_infrequent_sklearn``.
     """
     fit = df if fit_on is None else fit_on
-    known = categories(fit, cols, min_share)
-    made = []
-    rare_values = {}
-    for c, (own, rare) in known.items():
-        made += [F.coalesce((col(c).cast("string") == v).cast("int"), F.lit(0)).alias(f"{c}_{v}") for v in own]
-        if rare:
-            rare_values[c] = own
-    base = df
-    if rare_values:
-        # membership in the rare train set: one row per rare category, joined by value
-        for c, own in rare_values.items():
-            rare = (value_counts(fit, [c]).filter("value is not null").filter(~F.col("value").isin(own))
+    known, pooled, _ = categories(fit, cols, min_share)
+    base, made = df, []
+    for c in cols:
+        made += [F.coalesce((col(c).cast("string") == v).cast("int"), F.lit(0)).alias(f"{c}_{v}") for v in known[c]]
+        if pooled[c]:
+            # membership in the rare train values: one row per value, joined by value
+            rare = (value_counts(fit, [c]).filter(F.col("value").isNotNull() & ~F.col("value").isin(known[c]))
                     .select(F.col("value").alias(f"__v_{c}"), F.lit(1).alias(f"__r_{c}")))
             base = base.join(rare, base[f"`{c}`"].cast("string") == rare[f"`__v_{c}`"], "left").drop(f"__v_{c}")
             made.append(F.coalesce(col(f"__r_{c}"), F.lit(0)).alias(f"{c}_infrequent_sklearn"))
@@ -133,23 +145,22 @@ class FittedPrep:
     quartiles: dict[str, list[float] | None]
     indicators: list[str]
     modes: dict[str, str | None]
-    categories: dict[str, tuple[list[str], list[str]]]
+    categories: dict[str, list[str]]
     rare: dict[str, list[str]] = field(default_factory=dict)
 
     @property
     def feature_names(self) -> list[str]:
         names = list(self.numeric) + [f"{c}__missing_indicator" for c in self.indicators]
         for c in self.categorical:
-            own, rare = self.categories[c]
-            names += [f"{c}_{v}" for v in own] + ([f"{c}_infrequent_sklearn"] if rare else [])
+            names += [f"{c}_{v}" for v in self.categories[c]]
+            names += [f"{c}_infrequent_sklearn"] if c in self.rare else []
         return names
 
     def origin(self) -> list[str]:
         """The input column of each feature, in feature order."""
         out = list(self.numeric) + list(self.indicators)
         for c in self.categorical:
-            own, rare = self.categories[c]
-            out += [c] * (len(own) + len(rare))
+            out += [c] * (len(self.categories[c]) + (c in self.rare))
         return out
 
     def columns(self, df: DataFrame) -> list[Column]:
@@ -159,11 +170,10 @@ class FittedPrep:
             made.append(_scaled(filled, self.quartiles[c]).alias(c))
         made += [number(df, c).isNull().cast("double").alias(f"{c}__missing_indicator") for c in self.indicators]
         for c in self.categorical:
-            own, rare = self.categories[c]
             fill = self.modes[c] if self.modes[c] is not None else "missing"
             x = F.coalesce(col(c).cast("string"), F.lit(fill))
-            made += [(x == v).cast("double").alias(f"{c}_{v}") for v in own]
-            if rare:
+            made += [(x == v).cast("double").alias(f"{c}_{v}") for v in self.categories[c]]
+            if c in self.rare:
                 made.append(x.isin(self.rare[c]).cast("double").alias(f"{c}_infrequent_sklearn"))
         return made
 
@@ -187,24 +197,27 @@ def fit_prep(fit: DataFrame, exclude: Sequence[str] = (), indicators: bool = Tru
     """
     numeric = sorted(numeric_columns(fit, exclude))
     cats = sorted(model_categorical_columns(fit, exclude))
-    med = medians(fit, numeric)
-    filled = fit.select(*[F.coalesce(number(fit, c), F.lit(med[c])).alias(c) for c in numeric if med[c] is not None])
-    quart = exact_quantiles(filled, filled.columns, [0.25, 0.5, 0.75]) if filled.columns else {}
-    mode = modes(fit, cats)
-    full = fit.select(*[F.coalesce(col(c).cast("string"), F.lit(mode[c] if mode[c] is not None else "missing"))
-                        .alias(c) for c in cats]) if cats else fit
-    known = categories(full, cats, min_share) if cats else {}
+    stats = {r["feature"]: r for r in moments(fit, numeric, fields=("n", "nulls", "min", "max")).collect()} \
+        if numeric else {}
+    raw = exact_quantiles(fit, numeric, [0.25, 0.5, 0.75], stats=stats)
+    med = {c: (q[1] if q else None) for c, q in raw.items()}
+    gaps = [c for c in numeric if stats[c]["nulls"] > 0]
+    refit = [c for c in gaps if med[c] is not None]
+    filled = fit.select(*[F.coalesce(number(fit, c), F.lit(med[c])).alias(c) for c in refit])
+    again = exact_quantiles(filled, refit, [0.25, 0.5, 0.75], stats={
+        c: {"n": stats[c]["n"] + stats[c]["nulls"], "min": stats[c]["min"], "max": stats[c]["max"]} for c in refit})
+    known, pooled, mode = categories(fit, cats, min_share, fill=True)
     rare: dict[str, list[str]] = {}
-    for c, (own, pooled) in known.items():
-        if pooled:
+    for c in cats:
+        if pooled[c]:
             # the pooled set is a lookup inside one expression, so its size is checked
-            rows = (value_counts(full, [c]).filter(~F.col("value").isin(own)).select("value")
-                    .limit(max_categories + 1).collect())
+            rows = (value_counts(fit, [c]).filter(F.col("value").isNotNull() & ~F.col("value").isin(known[c]))
+                    .select("value").limit(max_categories + 1).collect())
             if len(rows) > max_categories:
                 raise ValueError(f"column {c!r} has more than {max_categories} rare categories; exclude it")
-            rare[c] = sorted(r["value"] for r in rows)
-    return FittedPrep(numeric, cats, med, {c: quart.get(c) for c in numeric},
-                      gap_columns(fit, numeric) if indicators else [], mode, known, rare)
+            if rows:
+                rare[c] = sorted(r["value"] for r in rows)
+    return FittedPrep(numeric, cats, med, {**raw, **again}, gaps if indicators else [], mode, known, rare)
 
 
 def preprocess(df: DataFrame, target: str, key: str, split: str = "split", min_share: float = DEFAULT.min_category_share

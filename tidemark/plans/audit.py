@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 from typing import Any
@@ -15,9 +15,10 @@ from ..config import AuditConfig
 from ..operators import checks, drift, models, observe, profile, recommend, rows
 from ..operators.outliers import multivariate_outliers
 from ..operators.split import dev_sample, split_hash, split_stratified, stratify_rule
-from ..schema import col, flat_columns, materialise, numeric_columns, require_columns
+from ..schema import col, flat_columns, materialise, numeric_columns, require_columns, run_together
 from ..sources.csv import load_csv, require_rows
 from ..sources.report import to_plain, write_report
+from ..sources.scratch import checkpointed
 
 
 @dataclass
@@ -71,29 +72,22 @@ def run_all_checks(df: DataFrame, target: str, task: str = "classification", key
     ``key`` names the row identity; with it the multivariate outliers are looked for too.
     """
     skip = [*exclude, *([key] if key else [])]
-    cols, numeric = flat_columns(df, skip), numeric_columns(df, skip)
-    column_profile = materialise(checks.column_profile(df, cols))
-    multivariate = multivariate_outliers(df, key, numeric, config.seed) if key and numeric else None
-    out = {
-        "missing_values": checks.missing_values(df, cols, column_profile),
-        "constant_features": checks.constant_features(df, cols, column_profile),
-        "near_constant_features": checks.near_constant(df, cols, config.near_constant_share),
-        "high_cardinality": checks.high_cardinality(df, checks.categorical_columns(df, skip),
-                                                    config.cardinality_limit),
-        "skewed_features": checks.skewness(df, target, numeric, config.skew_limit, column_profile),
-        "duplicates": rows.duplicates(df, cols),
-        "class_imbalance": checks.class_imbalance(df, target, task, config.minority_pct),
-        "high_correlation": checks.high_correlation(df, target, numeric, config.correlation_limit),
-        "target_leakage": checks.target_leakage(df, target, numeric, config.leakage_limit),
-        "outliers": checks.iqr_outliers(df, target, numeric, config.iqr_factor),
-        "data_types": profile.data_types(df),
-        "issues": checks.issue_summary(df, target, task, skip, multivariate, config),
-    }
-    if multivariate is not None:
-        out["multivariate_outliers"] = multivariate
+    out = _checks(df, target, task, skip, key, config)
+    out["issues"] = checks.summarise(out, target)
+    out["data_types"] = profile.data_types(df)
+    out.pop("summary_correlation")
     return out
 
 
+def _checks(df: DataFrame, target: str, task: str, skip: Sequence[str], key: str | None, config: AuditConfig,
+            more: dict[str, Callable[[], DataFrame]] | None = None) -> dict[str, DataFrame]:
+    numeric = numeric_columns(df, skip)
+    tasks = dict(more or {})
+    if key and numeric:
+        tasks["multivariate_outliers"] = lambda: multivariate_outliers(df, key, numeric, config.seed)
+    return checks.column_checks(df, target, task, skip, config, tasks)
+
+
 def split_for(df: DataFrame, key: str, target: str, task: str, config: AuditConfig) -> DataFrame:
     """Stratified for a classification target with few classes, by key hash otherwise."""
     if task == "classification" and stratify_rule(df, target, config.stratify_below_classes).first()["n_classes"] \
@@ -129,24 +123,25 @@ def audit(df: DataFrame, target: str, task: str, key: str, exclude: Sequence[str
     features = [c for c in cols if c != target]
     numeric = [c for c in numeric_columns(df, skip) if c != target]
     with _timed(telemetry, "integrity_checks"):
-        overlap = materialise(rows.row_overlap(tagged, features))
-        psi = materialise(drift.psi_table(drift.psi(tagged, numeric)))
-        ratios = materialise(drift.variance_ratio(tagged, numeric))
-        first = overlap.first()
+        found = run_together({
+            "overlap": lambda: rows.row_overlap(tagged, features),
+            "psi_table": lambda: drift.psi_table(drift.psi(tagged, numeric)),
+            "variance_ratio": lambda: drift.variance_ratio(tagged, numeric)})
+        first = found["overlap"].first()
         result.dataset.update(rows=info["num_rows"], columns=info["num_columns"], overlap_pct=first["overlap_pct"],
                               overlap_count=first["overlap_count"])
-        result.tables.update(psi_table=psi, variance_ratio=ratios)
+        result.tables.update(psi_table=found["psi_table"], variance_ratio=found["variance_ratio"])
     with _timed(telemetry, "diagnostics"):
-        train_numeric = numeric_columns(train, skip)
-        outliers = multivariate_outliers(train, key, train_numeric, config.seed) if train_numeric else None
-        found = checks.issue_summary(train, target, task, skip, outliers, config)
-        missingness = drift.informative_missingness(train, target, cols)
-        vifs = drift.vif(train, numeric) if numeric else None
-        extra = drift.integrity_issues(overlap, psi, vifs, ratios, missingness)
-        issues = materialise(found.unionByName(extra))
+        more = {"missingness": lambda: drift.informative_missingness(train, target, cols)}
+        if numeric:
+            more["vif"] = lambda: drift.vif(train, numeric)
+        done = _checks(train, target, task, skip, key, config, more)
+        extra = drift.integrity_issues(found["overlap"], found["psi_table"], done.get("vif"), found["variance_ratio"],
+                                       done["missingness"])
+        issues = materialise(checks.summarise(done, target).unionByName(extra))
         result.tables["issues"] = issues
-        if vifs is not None:
-            result.tables["vif_table"] = materialise(drift.vif_table(vifs))
+        if "vif" in done:
+            result.tables["vif_table"] = materialise(drift.vif_table(done["vif"]))
     with _timed(telemetry, "recommendations"):
         normal = recommend.issue_normalize(issues)
         recs = recommend.with_issues(recommend.recommendations(normal), normal).orderBy("rank")
@@ -186,12 +181,21 @@ def _model_stages(result: AuditResult, train: DataFrame, test: DataFrame, target
         result.tables["feature_importance"] = models.feature_importance(fitted, train, key).orderBy("rank")
 
 
-def run_audit(spark: SparkSession, source: DataFrame | str, target: str, task: str, key: str,
+def with_row_key(df: DataFrame, name: str = "row_id") -> DataFrame:
+    """Adds a row key to a table without one; written to the shared folder once, so that it stays the same
+    when a task runs again."""
+    return checkpointed(df.withColumn(name, F.monotonically_increasing_id()))
+
+
+def run_audit(spark: SparkSession, source: DataFrame | str, target: str, task: str, key: str | None = None,
               report_path: str | None = None, **options: Any) -> dict[str, Any]:
     """Audit of a CSV path or a table as one report; any error becomes a failure report."""
     telemetry: dict[str, float] = {}
     try:
         df = load_csv(spark, source, target) if isinstance(source, str) else source
+        if key is None:
+            key = "row_id"
+            df = with_row_key(df, key)
         result = audit(df, target, task, key, **options)
         telemetry = result.telemetry
         report = result.report()

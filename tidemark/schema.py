@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 ISSUE_SCHEMA = T.StructType([
@@ -87,6 +89,18 @@ def materialise(small: DataFrame) -> DataFrame:
     return small.sparkSession.createDataFrame(small.collect(), small.schema).coalesce(1)
 
 
+def run_together(tasks: Mapping[str, Callable[[], DataFrame]], threads: int = 4) -> dict[str, DataFrame]:
+    """Materialises independent small results; their jobs are submitted side by side to fill the cluster."""
+    def run(make: Callable[[], DataFrame]) -> DataFrame:
+        return materialise(make())
+
+    if not tasks:
+        return {}
+    with ThreadPool(min(threads, len(tasks))) as pool:
+        done = {name: pool.apply_async(inheritable_thread_target(run), (make,)) for name, make in tasks.items()}
+        return {name: result.get() for name, result in done.items()}
+
+
 def banded(metric: Column, bands: Sequence[tuple[float, str]], otherwise: str | None) -> Column:
     """The first label whose strict lower bound the metric exceeds."""
     out = None
