@@ -144,7 +144,7 @@ def cross_validate(df: DataFrame, target: str, task: str, key: str, exclude: Seq
 
     try:
         with ThreadPool(min(parallelism, folds)) as pool:
-            scores = pool.map(inheritable_thread_target(score), range(folds))
+            scores = pool.map(inheritable_thread_target(df.sparkSession)(score), range(folds))
     finally:
         tagged.unpersist()
     name = "f1_weighted" if task == "classification" else "root_mean_squared_error"

@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from multiprocessing.pool import ThreadPool
 
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 ISSUE_SCHEMA = T.StructType([
     T.StructField("type", T.StringType()),
@@ -80,13 +82,17 @@ def require_columns(df: DataFrame, names: Sequence[str]) -> None:
 
 
 def local_frame(spark: SparkSession, rows: Sequence[tuple], schema: str) -> DataFrame:
-    """A small driver-made table (one row per column of an audited table) in one partition."""
-    return spark.createDataFrame(list(rows), schema).coalesce(1)
+    """A small driver-made table (one row per column of an audited table); it becomes a local relation."""
+    struct = T._parse_datatype_string(schema)
+    arrow = to_arrow_schema(struct)
+    columns = [pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(arrow)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, schema=arrow), struct)
 
 
 def materialise(small: DataFrame) -> DataFrame:
     """Runs a result of a few rows (one per column, band or bin) once, so that later uses do not rescan."""
-    return small.sparkSession.createDataFrame(small.collect(), small.schema).coalesce(1)
+    nullable = T.StructType([T.StructField(f.name, f.dataType, True) for f in small.schema])
+    return small.sparkSession.createDataFrame(small.toArrow(), nullable)
 
 
 def run_together(tasks: Mapping[str, Callable[[], DataFrame]], threads: int = 4) -> dict[str, DataFrame]:
@@ -96,8 +102,9 @@ def run_together(tasks: Mapping[str, Callable[[], DataFrame]], threads: int = 4)
 
     if not tasks:
         return {}
+    bound = inheritable_thread_target(SparkSession.active())
     with ThreadPool(min(threads, len(tasks))) as pool:
-        done = {name: pool.apply_async(inheritable_thread_target(run), (make,)) for name, make in tasks.items()}
+        done = {name: pool.apply_async(bound(run), (make,)) for name, make in tasks.items()}
         return {name: result.get() for name, result in done.items()}
 
 
