@@ -8,8 +8,8 @@ from collections.abc import Sequence
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..schema import col, number
-from .stats import moments, uniform_bin
+from ..schema import col, local_frame, number
+from .stats import long_numbers, moments, uniform_bin
 
 # Up to this many values one task may hold and sort them; above, intervals are narrowed first.
 SMALL = 100_000
@@ -35,9 +35,8 @@ def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float],
     quick = [c for c in filled if stats[c]["n"] <= small or c in unbounded]
     if quick:
         wide = F.array(*[F.lit(float(p)) for p in probs])
-        row = df.agg(*[F.percentile(number(df, c), wide).alias(f"q{k}") for k, c in enumerate(quick)]).first()
-        for k, c in enumerate(quick):
-            out[c] = list(row[f"q{k}"])
+        for r in long_numbers(df, quick).groupBy("feature").agg(F.percentile("x", wide).alias("q")).collect():
+            out[r["feature"]] = list(r["q"])
     big = [c for c in filled if c not in quick]
     if big:
         wanted = {}
@@ -76,15 +75,13 @@ def select_ranks(df: DataFrame, targets: Sequence[tuple[str, int]],
         if not wide:
             break
         spans = sorted(wide)
-        bins = [uniform_bin(number(df, c), lo, hi, NARROW_BINS) for c, lo, hi, _, _ in spans]
-        wide_df = df.select(*[b.alias(f"b{k}") for k, b in enumerate(bins)],
-                            *[number(df, s[0]).alias(f"v{k}") for k, s in enumerate(spans)])
-        long = wide_df.select(F.explode(F.array(*[
-            F.struct(F.lit(k).alias("span"), F.col(f"b{k}").alias("bin"), F.col(f"v{k}").alias("v"))
-            for k in range(len(spans))])).alias("s")).select("s.*").filter("bin is not null")
+        table = local_frame(df.sparkSession, [(k, c, lo, hi) for k, (c, lo, hi, _, _) in enumerate(spans)],
+                            "span int, feature string, lo double, hi double")
+        inside = (long_numbers(df, sorted({s[0] for s in spans})).filter("x is not null")
+                  .join(F.broadcast(table), "feature").filter(F.col("x").between(F.col("lo"), F.col("hi"))))
         # at most NARROW_BINS rows per span come back
-        rows = long.groupBy("span", "bin").agg(F.count(F.lit(1)).alias("cnt"), F.min("v").alias("lo"),
-                                               F.max("v").alias("hi")).collect()
+        rows = inside.groupBy("span", uniform_bin(F.col("x"), F.col("lo"), F.col("hi"), NARROW_BINS).alias("bin")).agg(
+            F.count(F.lit(1)).alias("cnt"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()
         per_span: dict[int, list] = {}
         for r in rows:
             per_span.setdefault(r["span"], []).append(r)
@@ -100,15 +97,15 @@ def select_ranks(df: DataFrame, targets: Sequence[tuple[str, int]],
     rest = [t for t in targets if t not in found]
     if rest:
         # what is left holds at most `small` rows per target
-        long = df.select(F.explode(F.array(*[
-            F.struct(F.lit(k).alias("t"),
-                     F.when(number(df, c).between(state[(c, r)][0], state[(c, r)][1]), number(df, c)).alias("v"))
-            for k, (c, r) in enumerate(rest)])).alias("s")).select("s.*").filter("v is not null")
-        counted = long.groupBy("t", "v").agg(F.count(F.lit(1)).alias("cnt"))
-        upto = F.sum("cnt").over(Window.partitionBy("t").orderBy("v"))
-        need = F.element_at(F.array(*[F.lit(r - state[(c, r)][2]) for c, r in rest]), F.col("t") + 1)
-        rows = (counted.withColumn("upto", upto).filter(F.col("upto") > need)
-                .groupBy("t").agg(F.min("v").alias("v")).collect())
+        table = local_frame(df.sparkSession, [
+            (k, c, *state[(c, r)][:2], r - state[(c, r)][2]) for k, (c, r) in enumerate(rest)],
+            "t int, feature string, lo double, hi double, need bigint")
+        inside = (long_numbers(df, sorted({c for c, _ in rest})).filter("x is not null")
+                  .join(F.broadcast(table), "feature").filter(F.col("x").between(F.col("lo"), F.col("hi"))))
+        counted = inside.groupBy("t", "x").agg(F.count(F.lit(1)).alias("cnt"), F.first("need").alias("need"))
+        upto = F.sum("cnt").over(Window.partitionBy("t").orderBy("x"))
+        rows = (counted.withColumn("upto", upto).filter(F.col("upto") > F.col("need"))
+                .groupBy("t").agg(F.min("x").alias("v")).collect())
         for r in rows:
             found[rest[r["t"]]] = r["v"]
     return found

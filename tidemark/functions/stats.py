@@ -1,6 +1,6 @@
 """The four aggregates most checks are projections of.
 
-* ``moments``       one ungrouped (or split-wise) aggregate over all numeric columns, no shuffle of rows;
+* ``moments``       counts, means, spread and range of all numeric columns, no shuffle of rows;
 * ``value_counts``  rows per distinct (feature, value), combined map-side before the shuffle;
 * ``co_moments``    means and centred co-moments of every column pair in one vectorised pass;
 * ``histogram``     rows per (feature, split, bin) for given edges, again combined map-side.
@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..schema import col, number, value
+from ..schema import col, local_frame, number, value
 
 MOMENT_FIELDS = ("n", "nulls", "mean", "var_pop", "var_samp", "skew", "min", "max")
 
@@ -25,24 +25,39 @@ def unbiased_skew(g1: Column, n: Column) -> Column:
     return F.when(n >= 3, g1 * F.sqrt(n * (n - 1)) / (n - 2))
 
 
+# A wide aggregate runs well while its generated code stays small; beyond this many aggregates the
+# columns are turned into rows first and one short aggregate is grouped by column name.
+WIDE_AGGREGATES = 24
+CENTRAL = {"var_pop", "var_samp", "skew"}
+
+
+def long_numbers(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
+    """([keep], feature, x): one row per cell of the numeric columns, missing cells included."""
+    narrow = df.select(*[col(k) for k in keep], *[number(df, c).alias(c) for c in cols])
+    return narrow.unpivot([col(k) for k in keep], [col(c) for c in cols], "feature", "x")
+
+
 def moments(df: DataFrame, cols: Sequence[str], by: str | None = None,
             fields: Sequence[str] = MOMENT_FIELDS) -> DataFrame:
-    """Long table (feature, [by], n, nulls, mean, ...) from one wide aggregate."""
-    def parts(name: str) -> dict[str, Column]:
-        x = number(df, name)
+    """Long table (feature, [by], n, nulls, mean, ...): no row is shuffled, only partial aggregates."""
+    def parts(x: Column) -> dict[str, Column]:
         return {
             "n": F.count(x), "nulls": F.count(F.lit(1)) - F.count(x), "mean": F.avg(x),
             "var_pop": F.var_pop(x), "var_samp": F.var_samp(x), "skew": F.skewness(x),
             "min": F.min(x), "max": F.max(x),
         }
 
+    keys = [col(by)] if by else []
+    if len(cols) * len(fields) > WIDE_AGGREGATES or CENTRAL & set(fields):
+        made = parts(F.col("x"))
+        return (long_numbers(df, cols, [by] if by else []).groupBy(*keys, "feature")
+                .agg(*[made[f].alias(f) for f in fields]))
     aggs, structs = [], []
     for i, name in enumerate(cols):
-        made = parts(name)
+        made = parts(number(df, name))
         aggs += [made[f].alias(f"m{i}_{f}") for f in fields]
         structs.append(F.struct(F.lit(name).alias("feature"), *[F.col(f"m{i}_{f}").alias(f) for f in fields]))
-    grouped = df.groupBy(col(by)).agg(*aggs) if by else df.agg(*aggs)
-    keys = [col(by)] if by else []
+    grouped = df.groupBy(*keys).agg(*aggs) if by else df.agg(*aggs)
     return grouped.select(*keys, F.explode(F.array(*structs)).alias("m")).select(*keys, "m.*")
 
 
@@ -163,34 +178,32 @@ def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                     F.when(F.col("r").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "r"))).alias("corr")))
 
 
-def uniform_bin(x: Column, lo: float, hi: float, bins: int) -> Column:
-    """Index of the equal-width bin of ``x``; the last bin is closed, outside values get null.
+def uniform_bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
+    """Index of the equal-width bin of ``x``; the last bin is closed, -1 outside, null for null.
 
     The quotient is corrected against the true edges ``lo + i * step``, as integer-valued columns
     often sit exactly on one.
     """
-    step = (hi - lo) / bins
-    raw = F.least(F.greatest(F.floor((x - F.lit(lo)) / F.lit(step)), F.lit(0)), F.lit(bins - 1)).cast("int")
-    down = (raw > 0) & (x < F.lit(lo) + raw * F.lit(step))
-    up = (raw < bins - 1) & (x >= F.lit(lo) + (raw + 1) * F.lit(step))
-    return F.when((x >= F.lit(lo)) & (x <= F.lit(hi)),
-                  raw - F.when(down, 1).otherwise(0) + F.when(up, 1).otherwise(0)).cast("int")
+    step = (hi - lo) / F.lit(float(bins))
+    raw = F.least(F.greatest(F.floor((x - lo) / step), F.lit(0)), F.lit(bins - 1)).cast("int")
+    down = (raw > 0) & (x < lo + raw * step)
+    up = (raw < bins - 1) & (x >= lo + (raw + 1) * step)
+    return F.when((x < lo) | (x > hi), F.lit(-1)).otherwise(
+        raw - F.when(down, 1).otherwise(0) + F.when(up, 1).otherwise(0)).cast("int")
 
 
-def histogram(df: DataFrame, edges: dict[str, tuple[float, float]], bins: int,
-              counts: dict[str, Column]) -> DataFrame:
-    """(feature, bin, <count columns>): rows per equal-width bin, only for bins that hold rows.
+def histogram(df: DataFrame, edges: dict[str, tuple[float, float]], bins: int, split: str) -> DataFrame:
+    """(feature, bin, train, test): rows per equal-width bin and side, only for bins that hold rows.
 
-    Present values outside the edges are counted under bin -1.
-    ``edges`` maps a numeric column to its (low, high) bounds and ``counts`` names boolean columns
-    to count; both are small driver values, so bins are plain expressions inside code generation.
+    ``edges`` maps a numeric column to its (low, high) bounds, one row per column in the broadcast table.
+    Present values outside the bounds are counted under bin -1.
     """
-    binned = df.select(*[F.when(cond, 1).otherwise(0).alias(f"__{k}") for k, cond in counts.items()],
-                       *[F.coalesce(uniform_bin(number(df, c), lo, hi, bins), F.when(number(df, c).isNotNull(), -1))
-                         .alias(c) for c, (lo, hi) in edges.items()])
-    long = binned.unpivot([F.col(f"__{k}") for k in counts], [col(c) for c in edges], "feature", "bin")
-    return (long.filter("bin is not null").groupBy("feature", "bin")
-            .agg(*[F.sum(f"__{k}").alias(k) for k in counts]))
+    table = F.broadcast(local_frame(df.sparkSession, [(c, lo, hi) for c, (lo, hi) in edges.items()],
+                                    "feature string, lo double, hi double"))
+    long = long_numbers(df, list(edges), [split]).filter("x is not null").join(table, "feature")
+    side = col(split)
+    return (long.groupBy("feature", uniform_bin(F.col("x"), F.col("lo"), F.col("hi"), bins).alias("bin"))
+            .agg(F.count_if(side == "train").alias("train"), F.count_if(side == "test").alias("test")))
 
 
 def widened(lo: float, hi: float) -> tuple[float, float]:

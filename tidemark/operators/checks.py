@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import AuditConfig
 from ..functions.selection import exact_quantiles
-from ..functions.stats import cardinality, correlations, moments, unbiased_skew
+from ..functions.stats import cardinality, correlations, long_numbers, moments, unbiased_skew
 from ..schema import (banded, categorical_columns, col, flat_columns, local_frame, materialise, number,
                       numeric_columns, run_together, text_columns, value)
 
@@ -21,50 +21,36 @@ def _explode_columns(wide: DataFrame, cols: Sequence[str], made: dict[str, Seque
         F.struct(F.lit(c).alias("feature"), *made[c]) for c in cols])).alias("m")).select("m.*")
 
 
-PROFILE_FIELDS = ("total", "present", "all_missing", "constant", "mean", "var_samp", "skew")
+def column_profile(df: DataFrame, cols: Sequence[str] | None = None, skew: bool = True) -> DataFrame:
+    """(feature, total, present, all_missing, constant, skew): one row per column, no shuffle of rows.
 
-
-def column_profile(df: DataFrame, cols: Sequence[str] | None = None,
-                   fields: Sequence[str] = PROFILE_FIELDS) -> DataFrame:
-    """(feature, <fields>): one scan, one wide aggregate, one row per column.
-
-    Missing, constant and skewed columns are all read off this table, so an audit scans once for them.
-    Constant means smallest equals largest, which needs no distinct count and no shuffle.
+    Missing, constant and skewed columns are all read off this table.  Constant means smallest equals
+    largest, which needs no distinct count.  Numbers and text are read by separate scans of their own
+    columns, as text ranges would take the whole aggregate off the code-generated path.
     """
     cols = list(cols or flat_columns(df))
-    numeric = set(numeric_columns(df))
-    moment = {"mean": F.avg, "var_samp": F.var_samp, "skew": F.skewness}
-    aggs, made = [F.count(F.lit(1)).alias("total")], {}
-    for k, c in enumerate(cols):
-        v, struct = value(df, c), []
-        if {"present", "skew"} & set(fields):
-            aggs.append(F.count(v).alias(f"present{k}"))
-        if {"constant", "all_missing"} & set(fields):
-            aggs += [F.min(v).alias(f"min{k}"), F.max(v).alias(f"max{k}")]
-        for f in fields:
-            if f == "total":
-                struct.append(F.col("total"))
-            elif f == "present":
-                struct.append(F.col(f"present{k}").alias(f))
-            elif f == "all_missing":
-                struct.append(F.col(f"min{k}").isNull().alias(f))
-            elif f == "constant":
-                struct.append((F.col(f"min{k}").isNull() | (F.col(f"min{k}") == F.col(f"max{k}"))).alias(f))
-            else:
-                name = f"{f}{k}"
-                if c in numeric:
-                    aggs.append(moment[f](number(df, c)).alias(name))
-                    x = F.col(name)
-                    struct.append((unbiased_skew(x, F.col(f"present{k}")) if f == "skew" else x).alias(f))
-                else:
-                    struct.append(F.lit(None).cast("double").alias(f))
-        made[c] = struct
-    return _explode_columns(df.agg(*aggs), cols, made)
+    numeric = [c for c in cols if c in set(numeric_columns(df))]
+    other = [c for c in cols if c not in numeric]
+    parts = []
+    if numeric:
+        g1 = unbiased_skew(F.col("skew"), F.col("n")) if skew else F.lit(None).cast("double")
+        parts.append(moments(df, numeric, fields=("n", "nulls", "min", "max", *(["skew"] if skew else []))).select(
+            "feature", (F.col("n") + F.col("nulls")).alias("total"), F.col("n").alias("present"),
+            F.col("min").isNull().alias("all_missing"),
+            (F.col("min").isNull() | (F.col("min") == F.col("max"))).alias("constant"), g1.alias("skew")))
+    if other:
+        wide = df.agg(F.count(F.lit(1)).alias("total"), *[
+            f(value(df, c)).alias(f"{f.__name__}{k}") for k, c in enumerate(other) for f in (F.count, F.min, F.max)])
+        made = {c: [F.col("total"), F.col(f"count{k}").alias("present"), F.col(f"min{k}").isNull().alias("all_missing"),
+                    (F.col(f"min{k}").isNull() | (F.col(f"min{k}") == F.col(f"max{k}"))).alias("constant"),
+                    F.lit(None).cast("double").alias("skew")] for k, c in enumerate(other)}
+        parts.append(_explode_columns(wide, other, made))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 
 def missing_values(df: DataFrame, cols: Sequence[str] | None = None, profile: DataFrame | None = None) -> DataFrame:
     """(feature, missing_pct) for columns with at least one missing cell."""
-    profile = column_profile(df, cols, ("total", "present")) if profile is None else profile
+    profile = column_profile(df, cols, skew=False) if profile is None else profile
     pct = (F.col("total") - F.col("present")) / F.col("total") * 100
     return (profile.filter("total > 0").select("feature", pct.alias("missing_pct")).filter("missing_pct > 0"))
 
@@ -72,7 +58,7 @@ def missing_values(df: DataFrame, cols: Sequence[str] | None = None, profile: Da
 def constant_features(df: DataFrame, cols: Sequence[str] | None = None, profile: DataFrame | None = None
                       ) -> DataFrame:
     """(feature, all_missing) for columns with at most one distinct value."""
-    profile = column_profile(df, cols, ("all_missing", "constant")) if profile is None else profile
+    profile = column_profile(df, cols, skew=False) if profile is None else profile
     return profile.filter("constant").select("feature", "all_missing")
 
 
@@ -94,11 +80,9 @@ def near_constant(df: DataFrame, cols: Sequence[str] | None = None, share: float
     present = [(k, c) for k, c in enumerate(cols) if top[f"c{k}"] is not None]
     if not present:
         return local_frame(df.sparkSession, [], "feature string, top_share double")
-    wide = df.agg(*[x for k, c in present for x in (
-        F.count(value(df, c)).alias(f"n{k}"),
-        F.count_if(value(df, c) == F.lit(top[f"c{k}"])).alias(f"t{k}"))])
-    made = {c: [(F.col(f"t{k}") / F.col(f"n{k}")).alias("top_share")] for k, c in present}
-    return (_explode_columns(wide, [c for _, c in present], made)
+    hits = df.select(*[(value(df, c) == F.lit(top[f"c{k}"])).cast("int").alias(c) for k, c in present])
+    return (hits.unpivot([], [col(c) for _, c in present], "feature", "hit").groupBy("feature")
+            .agg((F.sum("hit") / F.count("hit")).alias("top_share"))
             .filter((F.col("top_share") > share) & (F.col("top_share") < 1)))
 
 
@@ -125,7 +109,7 @@ def skewness(df: DataFrame, target: str | None = None, cols: Sequence[str] | Non
              limit: float = DEFAULT.skew_limit, profile: DataFrame | None = None) -> DataFrame:
     """(feature, skew): bias-corrected skewness beyond ``limit`` on either side."""
     if profile is None:
-        profile = column_profile(df, cols or numeric_columns(df), ("skew",))
+        profile = column_profile(df, cols or numeric_columns(df))
     if target is not None:
         profile = profile.filter(F.col("feature") != target)
     return profile.select("feature", "skew").filter(F.abs("skew") > limit)
@@ -225,12 +209,15 @@ def iqr_outliers(df: DataFrame, target: str | None = None, cols: Sequence[str] |
         return local_frame(df.sparkSession, [], schema)
     keep = list(bounds)
     # at most two distinct values <=> nothing strictly between the smallest and the largest
-    wide = rows.agg(*[x for k, c in enumerate(keep) for x in (
-        F.count_if((col(c) < bounds[c][2]) | (col(c) > bounds[c][3])).alias(f"o{k}"),
-        F.count_if((col(c) > ends[c]["min"]) & (col(c) < ends[c]["max"])).alias(f"i{k}"))])
-    made = {c: [*[F.lit(v).alias(n) for n, v in zip(("q1", "q3", "lower", "upper"), bounds[c])],
-                F.col(f"o{k}").alias("outliers"), F.col(f"i{k}").alias("inner")] for k, c in enumerate(keep)}
-    return _explode_columns(wide, keep, made).filter("outliers > 0 and inner > 0").drop("inner")
+    limits = F.broadcast(local_frame(df.sparkSession, [
+        (c, *bounds[c], ends[c]["min"], ends[c]["max"]) for c in keep],
+        "feature string, q1 double, q3 double, lower double, upper double, lo double, hi double"))
+    x = F.col("x")
+    counted = (long_numbers(rows, keep).join(limits, "feature")
+               .groupBy("feature", "q1", "q3", "lower", "upper")
+               .agg(F.count_if((x < F.col("lower")) | (x > F.col("upper"))).alias("outliers"),
+                    F.count_if((x > F.col("lo")) & (x < F.col("hi"))).alias("inner")))
+    return counted.filter("outliers > 0 and inner > 0").drop("inner")
 
 
 def outlier_contamination(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -17,10 +17,6 @@ DEFAULT = AuditConfig()
 GRAM_SQL_COLUMNS = 12
 
 
-def _sides(split: str) -> dict[str, Column]:
-    return {"train": col(split) == "train", "test": col(split) == "test"}
-
-
 def _ranges(df: DataFrame, cols: Sequence[str], split: str) -> dict[str, dict[str, tuple[float, float, int]]]:
     """(min, max, count) per side for the columns that hold values on both sides: one scan, a few numbers."""
     out: dict[str, dict[str, tuple[float, float, int]]] = {c: {} for c in cols}
@@ -32,7 +28,7 @@ def _ranges(df: DataFrame, cols: Sequence[str], split: str) -> dict[str, dict[st
 
 def _counts(df: DataFrame, edges: dict[str, tuple[float, float]], bins: int, split: str) -> DataFrame:
     """(feature, bin, train, test): rows per bin, -1 for values outside; a few rows per column."""
-    return materialise(histogram(df, {c: widened(lo, hi) for c, (lo, hi) in edges.items()}, bins, _sides(split)))
+    return materialise(histogram(df, {c: widened(lo, hi) for c, (lo, hi) in edges.items()}, bins, split))
 
 
 def _shares(counts: DataFrame, features: Sequence[str], bins: int) -> DataFrame:
@@ -123,12 +119,12 @@ def drift_impact(scores: DataFrame) -> DataFrame:
 def variance_ratio(df: DataFrame, cols: Sequence[str] | None = None, split: str = "split") -> DataFrame:
     """(feature, train_var, test_var, ratio, severity); severity is missing for a stable column."""
     cols = list(cols or numeric_columns(df))
-    sides = _sides(split)
-    wide = df.agg(*[F.var_pop(F.when(cond, number(df, c))).alias(f"{side}{k}")
-                    for k, c in enumerate(cols) for side, cond in sides.items()])
-    long = wide.select(F.explode(F.array(*[F.struct(
-        F.lit(c).alias("feature"), F.col(f"train{k}").alias("train_var"), F.col(f"test{k}").alias("test_var"))
-        for k, c in enumerate(cols)])).alias("s")).select("s.*").na.drop()
+    per = moments(df, cols, by=split, fields=("var_pop",))
+
+    def side(name: str) -> Column:
+        return F.max(F.when(col(split) == name, F.col("var_pop"))).alias(f"{name}_var")
+
+    long = per.groupBy("feature").agg(side("train"), side("test")).na.drop()
     ratio = F.greatest("train_var", "test_var") / (F.least("train_var", "test_var") + F.lit(EPSILON))
     return long.withColumn("ratio", ratio).withColumn(
         "severity", banded(F.col("ratio"), [(10, "critical"), (DEFAULT.variance_ratio_limit, "high")], None))
@@ -161,13 +157,10 @@ def informative_missingness(df: DataFrame, target: str, cols: Sequence[str] | No
     schema = "feature string, delta double, severity string"
     if target not in numeric_columns(df):
         return local_frame(df.sparkSession, [], schema)
-    y = number(df, target)
-    wide = df.agg(*[x for k, c in enumerate(cols) for x in (
-        F.avg(F.when(value(df, c).isNull(), y)).alias(f"a{k}"),
-        F.avg(F.when(value(df, c).isNotNull(), y)).alias(f"b{k}"))])
-    long = wide.select(F.explode(F.array(*[F.struct(
-        F.lit(c).alias("feature"), F.abs(F.col(f"a{k}") - F.col(f"b{k}")).alias("delta"))
-        for k, c in enumerate(cols)])).alias("s")).select("s.*")
+    gaps = df.select(number(df, target).alias("__y"), *[value(df, c).isNull().alias(c) for c in cols]).unpivot(
+        ["__y"], [col(c) for c in cols], "feature", "gap")
+    long = gaps.groupBy("feature").agg(F.abs(F.avg(F.when(F.col("gap"), F.col("__y")))
+                                             - F.avg(F.when(~F.col("gap"), F.col("__y")))).alias("delta"))
     return long.filter(F.col("delta") > DEFAULT.missingness_delta).withColumn(
         "severity", banded(F.col("delta"), [(0.30, "high")], "medium"))
 

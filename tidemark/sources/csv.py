@@ -55,19 +55,20 @@ def infer_types(df: DataFrame, cols: Sequence[str] | None = None) -> dict[str, s
     cols = list(text_columns(df) if cols is None else cols)
     if not cols:
         return {}
-    row = df.agg(F.count(F.lit(1)).alias("n"), *[x for k, c in enumerate(cols) for x in (
-        F.count(col(c)).alias(f"p{k}"), F.count_if(col(c).rlike(INTEGER)).alias(f"i{k}"),
-        F.count_if(col(c).rlike(REAL)).alias(f"r{k}"), F.count_if(col(c).isin(*BOOLEAN)).alias(f"b{k}"))]).first()
-    out = {}
-    for k, c in enumerate(cols):
-        present = row[f"p{k}"]
-        if present == row[f"i{k}"]:
-            out[c] = "bigint" if present == row["n"] and present else "double"
-        elif present == row[f"r{k}"]:
-            out[c] = "double"
+    v = F.col("v")
+    rows = (df.select(*[col(c) for c in cols]).unpivot([], [col(c) for c in cols], "feature", "v").groupBy("feature")
+            .agg(F.count(F.lit(1)).alias("n"), F.count(v).alias("present"), F.count_if(v.rlike(INTEGER)).alias("whole"),
+                 F.count_if(v.rlike(REAL)).alias("real"), F.count_if(v.isin(*BOOLEAN)).alias("flag"))).collect()
+    found = {}
+    for r in rows:
+        present = r["present"]
+        if present == r["whole"]:
+            found[r["feature"]] = "bigint" if present == r["n"] and present else "double"
+        elif present == r["real"]:
+            found[r["feature"]] = "double"
         else:
-            out[c] = "boolean" if present == row[f"b{k}"] else "string"
-    return out
+            found[r["feature"]] = "boolean" if present == r["flag"] else "string"
+    return {c: found[c] for c in cols}
 
 
 def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
