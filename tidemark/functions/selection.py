@@ -14,6 +14,8 @@ from .stats import long_numbers, moments, uniform_bin
 # Up to this many values one task may hold and sort them; above, intervals are narrowed first.
 SMALL = 100_000
 NARROW_BINS = 2048
+# Most buckets an ordered column is cut into; a broadcast offset table has one row per bucket.
+MAX_BUCKETS = 10_000
 
 
 def exact_quantiles(df: DataFrame, cols: Sequence[str], probs: Sequence[float], small: int = SMALL,
@@ -121,14 +123,14 @@ def _bucketed(df: DataFrame, order: str, edges: Sequence[float]) -> DataFrame:
         df.withColumn("__o", col(order).cast("double"))).drop("__o")
 
 
-def _edges(df: DataFrame, order: str, rows: int) -> tuple[int, list[float]]:
-    """Row count and, for a large table, approximate cut points that give buckets of about ``rows``."""
-    n, cuts = df.agg(F.count(F.lit(1)), F.percentile_approx(
-        col(order).cast("double"), [k / 1024 for k in range(1, 1024)], 10_000)).first()
-    if n <= rows or not cuts:
-        return n, []
-    step = max(1, 1024 // min(1024, math.ceil(n / rows)))
-    return n, cuts[::step]
+def _edges(df: DataFrame, order: str, rows: int) -> list[float]:
+    """No cut points for a table of at most ``rows``; else approximate ones for buckets of about that size."""
+    n = df.count()
+    buckets = min(MAX_BUCKETS, math.ceil(n / rows))
+    if buckets < 2:
+        return []
+    shares = [k / buckets for k in range(1, buckets)]
+    return df.agg(F.percentile_approx(col(order).cast("double"), shares, 10 * MAX_BUCKETS)).first()[0] or []
 
 
 def prefix_sums(distinct: DataFrame, order: str, totals: Sequence[str], small: int = SMALL) -> DataFrame:
@@ -136,9 +138,9 @@ def prefix_sums(distinct: DataFrame, order: str, totals: Sequence[str], small: i
 
     ``distinct`` has one row per order value (group first, so hot values are one row).  Above
     ``small`` rows the order values are cut into buckets; sums run inside a bucket and a bucket
-    table of at most 1024 rows carries the offsets.
+    table of at most ``MAX_BUCKETS`` rows carries the offsets.
     """
-    _, edges = _edges(distinct, order, small)
+    edges = _edges(distinct, order, small)
     if not edges:
         w = Window.orderBy(col(order)).rowsBetween(Window.unboundedPreceding, -1)
         return distinct.select("*", *[F.coalesce(F.sum(x).over(w), F.lit(0)).alias(f"before_{x}") for x in totals])
@@ -149,7 +151,7 @@ def prefix_sums(distinct: DataFrame, order: str, totals: Sequence[str], small: i
                                        for x in totals])
     inside = Window.partitionBy("__bucket").orderBy(col(order)).rowsBetween(Window.unboundedPreceding, -1)
     return (cut.select("*", *[F.coalesce(F.sum(x).over(inside), F.lit(0)).alias(f"__b_{x}") for x in totals])
-            .join(F.broadcast(offsets), "__bucket")  # at most 1024 rows
+            .join(F.broadcast(offsets), "__bucket")  # at most MAX_BUCKETS rows
             .select(*[col(c) for c in distinct.columns],
                     *[(F.col(f"__b_{x}") + F.col(f"__o_{x}")).alias(f"before_{x}") for x in totals]))
 
@@ -160,7 +162,7 @@ def group_numbers(df: DataFrame, group: str, order: str, out: str, small: int =
     A group may hold most of the table, so above ``small`` rows the order values are cut into
     buckets, numbered inside (group, bucket), and shifted by the counts of the buckets before.
     """
-    _, edges = _edges(df, order, small)
+    edges = _edges(df, order, small)
     if not edges:
         return df.withColumn(out, F.row_number().over(Window.partitionBy(col(group)).orderBy(col(order))).cast("bigint"))
     cut = _bucketed(df, order, edges)

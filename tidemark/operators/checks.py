@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -73,7 +75,7 @@ def near_constant(df: DataFrame, cols: Sequence[str] | None = None, share: float
         raise ValueError("share must be at least 0.5 and below 1")
     cols = list(cols or flat_columns(df))
     picks = df.select(*[value(df, c).alias(f"v{k}") for k, c in enumerate(cols)]).agg(*[
-        F.call_function("approx_top_k", F.col(f"v{k}"), F.lit(1), F.lit(1000)).alias(f"t{k}")
+        F.expr(f"approx_top_k(v{k}, 1, 1000) FILTER (WHERE v{k} IS NOT NULL)").alias(f"t{k}")
         for k in range(len(cols))])
     top = picks.select(*[F.try_element_at(F.col(f"t{k}"), F.lit(1)).getField("item").alias(f"c{k}")
                          for k in range(len(cols))]).first()
@@ -184,7 +186,8 @@ def correlations_with(df: DataFrame, target: str, cols: Sequence[str]) -> DataFr
 
 def complete_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows where every given numeric column is present, as doubles."""
-    return df.select(*[number(df, c).alias(c) for c in cols]).na.drop(subset=[f"`{c}`" for c in cols])
+    rows = df.select(*[number(df, c).alias(c) for c in cols])
+    return rows.filter(reduce(and_, [col(c).isNotNull() for c in cols], F.lit(True)))
 
 
 def iqr_outliers(df: DataFrame, target: str | None = None, cols: Sequence[str] | None = None,

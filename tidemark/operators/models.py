@@ -96,11 +96,11 @@ class TrainedModel:
 
 
 def _labelled(df: DataFrame, task: str, target: str) -> tuple[DataFrame, list[str] | None]:
-    """The table with a numeric ``label`` and, for classes, their names in sorted order."""
+    """The table with a numeric ``__label`` and, for classes, their names in sorted order."""
     present = df.filter(col(target).isNotNull())
     if task == "regression":
-        return present.withColumn("label", col(target).cast("double")), None
-    indexer = StringIndexer(inputCol="__target", outputCol="label", stringOrderType="alphabetAsc",
+        return present.withColumn("__label", col(target).cast("double")), None
+    indexer = StringIndexer(inputCol="__target", outputCol="__label", stringOrderType="alphabetAsc",
                             handleInvalid="error")
     text = present.withColumn("__target", col(target).cast("string"))
     fitted = indexer.fit(text)
@@ -119,7 +119,8 @@ def train(df: DataFrame, target: str, task: str, exclude: Sequence[str] = (), es
         raise ValueError("the training table is empty")
     prep = fit_prep(df, [*exclude, target], indicators=False, min_share=0.0)
     rows, labels = _labelled(df, task, target)
-    model = (estimator or default_estimator(task, config, dev)).fit(prep.vectors(rows, ["label"]))
+    model = (estimator or default_estimator(task, config, dev)).fit(
+        prep.vectors(rows, ["__label"]).withColumnRenamed("__label", "label"))
     return TrainedModel(task, target, prep, model, labels)
 
 

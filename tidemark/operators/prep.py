@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..config import AuditConfig
 from ..functions.selection import exact_quantiles
 from ..functions.stats import moments, value_counts
-from ..schema import categorical_columns, col, model_categorical_columns, number, numeric_columns, value
+from ..schema import categorical_columns, col, model_categorical_columns, number, numeric_columns, quoted, value
 
 DEFAULT = AuditConfig()
 
@@ -130,7 +130,7 @@ def one_hot(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None = None,
             # membership in the rare train values: one row per value, joined by value
             rare = (value_counts(fit, [c]).filter(F.col("value").isNotNull() & ~F.col("value").isin(known[c]))
                     .select(F.col("value").alias(f"__v_{c}"), F.lit(1).alias(f"__r_{c}")))
-            base = base.join(rare, base[f"`{c}`"].cast("string") == rare[f"`__v_{c}`"], "left").drop(f"__v_{c}")
+            base = base.join(rare, base[quoted(c)].cast("string") == rare[quoted(f"__v_{c}")], "left").drop(f"__v_{c}")
             made.append(F.coalesce(col(f"__r_{c}"), F.lit(0)).alias(f"{c}_infrequent_sklearn"))
     return base.select(*[col(c) for c in df.columns if c not in cols], *made)
 

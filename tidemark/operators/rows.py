@@ -30,8 +30,8 @@ def duplicates(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     rows = _clean(df, cols)
     if len(cols) > WIDE_ROW:
         rows = _same_hash_rows(rows, cols, F.count(F.lit(1)) > 1)
-    repeated = (rows.groupBy(*[col(c) for c in cols]).agg(F.count(F.lit(1)).alias("cnt"))
-                .agg(F.coalesce(F.sum(F.col("cnt") - 1), F.lit(0)).cast("bigint").alias("dup"),
+    repeated = (rows.groupBy(*[col(c) for c in cols]).agg(F.count(F.lit(1)).alias("__cnt"))
+                .agg(F.coalesce(F.sum(F.col("__cnt") - 1), F.lit(0)).cast("bigint").alias("dup"),
                      F.lit(0).cast("bigint").alias("n")))
     size = df.agg(F.lit(0).cast("bigint").alias("dup"), F.count(F.lit(1)).alias("n"))
     n, dup = F.sum("n"), F.sum("dup")
@@ -53,8 +53,8 @@ def row_overlap(df: DataFrame, cols: Sequence[str], split: str = "split") -> Dat
     narrow = rows
     if len(cols) > WIDE_ROW:
         narrow = _same_hash_rows(rows, cols, (F.max("__train") > 0) & (F.max("__test") > 0))
-    shared = (narrow.groupBy(*[col(c) for c in cols]).agg(F.sum("__train").alias("a"), F.sum("__test").alias("b"))
-              .agg(F.coalesce(F.sum(F.when(F.col("a") > 0, F.col("b"))), F.lit(0)).cast("bigint").alias("hit"),
+    shared = (narrow.groupBy(*[col(c) for c in cols]).agg(F.sum("__train").alias("__a"), F.sum("__test").alias("__b"))
+              .agg(F.coalesce(F.sum(F.when(F.col("__a") > 0, F.col("__b"))), F.lit(0)).cast("bigint").alias("hit"),
                    F.lit(0).cast("bigint").alias("n")))
     size = rows.agg(F.lit(0).cast("bigint").alias("hit"),
                     F.coalesce(F.sum("__test"), F.lit(0)).cast("bigint").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..config import AuditConfig
 from ..functions.selection import hash_key
-from ..schema import col, value
+from ..schema import col, quoted, value
 
 DEFAULT = AuditConfig()
 
@@ -63,7 +63,7 @@ def split_stratified(df: DataFrame, key: str, target: str, test_fraction: float
     tagged = df.withColumn("__y", y).withColumn("__h", _md5(key))
     joined = tagged.join(cut_table, tagged["__y"].eqNullSafe(cut_table["__cy"]), "left")
     is_test = (F.col("__h") < F.col("__ch")) | ((F.col("__h") == F.col("__ch")) & (col(key) <= F.col("__ck")))
-    return joined.select(*[tagged[f"`{c}`"] for c in df.columns],
+    return joined.select(*[tagged[quoted(c)] for c in df.columns],
                          F.when(is_test, F.lit("test")).otherwise(F.lit("train")).alias("split"))
 
 

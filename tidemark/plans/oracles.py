@@ -188,6 +188,12 @@ ORACLES["feature_audit"] = sql("""
 ORACLES["preview"] = sql(f"SELECT {', '.join(DIRTY_COLUMNS).replace('leak', r6('leak') + ' AS leak')} "
                          "FROM orders_dirty ORDER BY o_orderkey LIMIT 5", "orders_dirty")
 
+_KINDS = {"BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string"}
+ORACLES["data_types"] = sql(union([f"""
+    SELECT '{c}' AS feature, CASE any_value(typeof({c})) {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in _KINDS.items())} END AS dtype,
+      '{'categorical' if c in DIRTY_TEXT else 'numeric'}' AS kind, count({c}) AS present FROM orders_dirty"""
+    for c in DIRTY_COLUMNS]), "orders_dirty")
+
 # --- checks ----------------------------------------------------------------------------------------
 
 ORACLES["missing_values"] = sql(f"SELECT feature, {r6('missing_pct')} AS missing_pct FROM m WHERE missing_pct > 0",
@@ -467,6 +473,31 @@ ORACLES["one_hot_min_freq"] = sql(f"""SELECT o_orderkey, split, {_flags('segment
     {_flags('status', ['F', 'O', 'P'])}, (status IN ('rare_a', 'rare_b'))::INT AS status_infrequent_sklearn
     FROM one_hot_rows""", "one_hot_rows")
 
+_PREP_NUMERIC = ["heavy", "price", "price_info"]
+_PREP_TEXT = ["o_orderstatus", "segment"]
+ORACLES["feature_names"] = sql("""
+    SELECT row_number() OVER (ORDER BY part, origin, feature) AS position, feature, origin FROM n""", "orders_split",
+    n=union([f"SELECT 1 AS part, '{c}' AS feature, '{c}' AS origin" for c in _PREP_NUMERIC]
+            + [f"SELECT 2, '{c}__missing_indicator', '{c}' FROM orders_split WHERE {_TRAIN} HAVING count({c}) < count(*)"
+               for c in _PREP_NUMERIC]
+            + [f"""SELECT 3, '{c}_' || v, '{c}' FROM (SELECT coalesce({c}, {_mode(c, 'orders_split', _TRAIN)}) AS v
+                FROM orders_split WHERE {_TRAIN}) GROUP BY v
+                HAVING count(*) >= 0.01 * (SELECT count(*) FROM orders_split WHERE {_TRAIN})""" for c in _PREP_TEXT]))
+ORACLES["preprocess"] = sql(f"""
+    SELECT o_orderkey, split, y_rare,
+      {', '.join(r6(f'(coalesce({c}, {c}_m) - {c}_c) / CASE WHEN {c}_h = {c}_l THEN 1 ELSE {c}_h - {c}_l END') + f' AS {c}'
+                 for c in _PREP_NUMERIC)},
+      {', '.join(f'({c} IS NULL)::INT::DOUBLE AS {c}__missing_indicator' for c in ('price', 'price_info'))},
+      {', '.join(f"(o_orderstatus = '{v}')::INT::DOUBLE AS o_orderstatus_{v}" for v in 'FOP')},
+      {', '.join(f"(coalesce(segment, {_mode('segment', 'orders_split', _TRAIN)}) = '{v}')::INT::DOUBLE AS segment_{v}"
+                 for v in _SEGMENTS)}
+    FROM orders_split CROSS JOIN med CROSS JOIN q""", "orders_split",
+    med="SELECT " + ", ".join(f"median({c}) AS {c}_m" for c in _PREP_NUMERIC) + f" FROM orders_split WHERE {_TRAIN}",
+    q="SELECT " + ", ".join(
+        f"quantile_cont(coalesce({c}, {c}_m), 0.25) AS {c}_l, quantile_cont(coalesce({c}, {c}_m), 0.5) AS {c}_c, "
+        f"quantile_cont(coalesce({c}, {c}_m), 0.75) AS {c}_h" for c in _PREP_NUMERIC)
+    + f" FROM orders_split CROSS JOIN med WHERE {_TRAIN}")
+
 # --- metrics ---------------------------------------------------------------------------------------
 
 

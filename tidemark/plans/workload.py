@@ -115,7 +115,9 @@ def preview(spark, d):
 
 @query("data_types")
 def data_types(spark, d):
-    return profile.data_types(v.orders_dirty(spark, d))
+    dirty = v.orders_dirty(spark, d)
+    present = checks.column_profile(dirty, skew=False).select("feature", "present")
+    return profile.data_types(dirty).join(present, "feature")
 
 
 # --- checks ----------------------------------------------------------------------------------------
@@ -359,8 +361,8 @@ def one_hot_min_freq(spark, d):
 def feature_names(spark, d):
     rows_ = v.orders_split(spark, d).select(*MODEL_COLUMNS)
     fitted = prep.fit_prep(_train(rows_), [v.KEY, "split", "y_rare"])
-    return local_frame(spark, [(i, n, o) for i, (n, o) in enumerate(zip(fitted.feature_names, fitted.origin()))],
-                       "position int, feature string, origin string")
+    return local_frame(spark, [(i + 1, n, o) for i, (n, o) in enumerate(zip(fitted.feature_names, fitted.origin()))],
+                       "position bigint, feature string, origin string")
 
 
 @query("preprocess")

@@ -20,9 +20,13 @@ ISSUE_SCHEMA = T.StructType([
 ISSUE_COLUMNS = [f.name for f in ISSUE_SCHEMA]
 
 
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
 def col(name: str) -> Column:
     """A column by its exact name, also when the name holds dots, spaces or backticks."""
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
 
 
 def _fields(df: DataFrame, exclude: Iterable[str]) -> list[T.StructField]:

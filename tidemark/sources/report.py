@@ -8,6 +8,8 @@ from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 
+from ..schema import col
+
 
 def to_plain(value: Any) -> Any:
     """Rows and arrays as plain JSON values; anything else unknown as text."""
@@ -48,7 +50,7 @@ def report_rows(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(section, row): all result rows as JSON text, for one appendable report table."""
     out = None
     for name, df in tables.items():
-        part = df.select(F.lit(name).alias("section"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+        part = df.select(F.lit(name).alias("section"), F.to_json(F.struct(*[col(c) for c in df.columns]))
                          .alias("row"))
         out = part if out is None else out.unionByName(part)
     if out is None:
