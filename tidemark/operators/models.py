@@ -24,6 +24,8 @@ from .split import fold_of
 
 DEFAULT = AuditConfig()
 TASKS = ("classification", "regression")
+# A table this small often sits in one file, hence one task; training spreads it over all cores.
+SPREAD_BELOW = 2_000_000
 
 
 def check_task(task: str) -> str:
@@ -37,6 +39,7 @@ def default_estimator(task: str, config: AuditConfig = DEFAULT, dev: bool = Fals
     """A seeded random forest; MLlib bounds the tree depth, so quality is comparable, not identical."""
     kind = RandomForestClassifier if check_task(task) == "classification" else RandomForestRegressor
     return kind(featuresCol="features", labelCol="label", seed=config.seed,
+                maxMemoryInMB=1024,  # more nodes per pass over the data
                 numTrees=config.dev_num_trees if dev else config.num_trees,
                 maxDepth=config.dev_max_depth if dev else config.max_depth)
 
@@ -119,14 +122,16 @@ def train(df: DataFrame, target: str, task: str, exclude: Sequence[str] = (), es
         raise ValueError("the training table is empty")
     prep = fit_prep(df, [*exclude, target], indicators=False, min_share=0.0)
     rows, labels = _labelled(df, task, target)
-    model = (estimator or default_estimator(task, config, dev)).fit(
-        prep.vectors(rows, ["__label"]).withColumnRenamed("__label", "label"))
+    vectors = prep.vectors(rows, ["__label"]).withColumnRenamed("__label", "label")
+    if 0 < prep.rows < SPREAD_BELOW:
+        vectors = vectors.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    model = (estimator or default_estimator(task, config, dev)).fit(vectors)
     return TrainedModel(task, target, prep, model, labels)
 
 
 def cross_validate(df: DataFrame, target: str, task: str, key: str, exclude: Sequence[str] = (),
                    folds: int = DEFAULT.cv_folds, estimator: Estimator | None = None,
-                   config: AuditConfig = DEFAULT, dev: bool = False, parallelism: int = 4) -> DataFrame:
+                   config: AuditConfig = DEFAULT, dev: bool = False, parallelism: int = 5) -> DataFrame:
     """(metric, cv_mean, cv_std, cv_folds): weighted F1 or RMSE over key-hash folds, population deviation.
 
     Preparation is fitted again inside every fold, so no fold sees its own rows.  Folds are independent

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.selection import exact_quantiles
 from ..schema import col, local_frame, number, numeric_columns
@@ -20,6 +20,7 @@ from ..sources.scratch import checkpointed
 TREES = 100
 SAMPLE = 256
 MIN_ROWS = 50
+FIT_TASKS = 32
 NODE_SCHEMA = "tree int, node int, feature int, cut double, size int"
 
 
@@ -68,12 +69,14 @@ def fit_forest(rows: DataFrame, key: str, cols: Sequence[str], n: int, trees: in
     h = F.abs(F.shiftright(F.xxhash64(col(key), F.lit(seed)), 1))
     pool = rows if pool_size >= n else rows.filter(h < F.lit(int(span * min(1.0, 1.1 * pool_size / n))))
     share = min(1.0, 1.5 * sample / max(pool_size, 1) + 20 / max(pool_size, 1))
-    picks = F.filter(F.transform(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.struct(
-        t.alias("tree"), F.abs(F.shiftright(F.xxhash64(col(key), t, F.lit(seed + 1)), 1)).alias("h"))),
-        lambda s: s["h"] < F.lit(int(span * share)))
-    values = F.array(*[col(c) for c in cols])
-    chosen = (pool.select(col(key).alias("k"), values.alias("x"), F.explode(picks).alias("s"))
-              .select(F.col("s.tree").alias("tree"), F.col("s.h").alias("h"), "k", "x")
+
+    def draw(tree) -> Column:
+        return F.abs(F.shiftright(F.xxhash64(F.col("k"), tree, F.lit(seed + 1)), 1))
+
+    drawn = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < F.lit(int(span * share)))
+    chosen = (pool.select(col(key).alias("k"), F.array(*[col(c) for c in cols]).alias("x"))
+              .select("k", "x", F.explode(drawn).alias("tree")).withColumn("h", draw(F.col("tree")))
+              .repartition(FIT_TASKS, "tree")  # a handful of small trees per task, not all in one
               .withColumn("r", F.row_number().over(Window.partitionBy("tree").orderBy("h", "k")))
               .filter(F.col("r") <= sample))
 

@@ -147,6 +147,7 @@ class FittedPrep:
     modes: dict[str, str | None]
     categories: dict[str, list[str]]
     rare: dict[str, list[str]] = field(default_factory=dict)
+    rows: int = 0  # train rows, where a numeric column told it
 
     @property
     def feature_names(self) -> list[str]:
@@ -217,7 +218,8 @@ def fit_prep(fit: DataFrame, exclude: Sequence[str] = (), indicators: bool = Tru
                 raise ValueError(f"column {c!r} has more than {max_categories} rare categories; exclude it")
             if rows:
                 rare[c] = sorted(r["value"] for r in rows)
-    return FittedPrep(numeric, cats, med, {**raw, **again}, gaps if indicators else [], mode, known, rare)
+    return FittedPrep(numeric, cats, med, {**raw, **again}, gaps if indicators else [], mode, known, rare,
+                       max((r["n"] + r["nulls"] for r in stats.values()), default=0))
 
 
 def preprocess(df: DataFrame, target: str, key: str, split: str = "split", min_share: float = DEFAULT.min_category_share
