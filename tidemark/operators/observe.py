@@ -187,16 +187,18 @@ def deployability_score(issues: DataFrame, flags: DataFrame, metrics: DataFrame)
     marks = {"overfit": one(flag.contains("overfit")), "fold": one(flag.contains("fold")),
              "decay": one(flag.contains("decay"))}
     none = {n: F.lit(0) for n in [*counters, *marks]}
-    no_metric = [F.lit(None).cast("string").alias("metric"), F.lit(None).cast("double").alias("value")]
+    no_metric = [F.lit(None).cast("int").alias("error_style"), F.lit(None).cast("double").alias("value")]
+    # one row per run, so that the counters below stay numbers in a hash aggregate
+    chosen = primary_metric(metrics)
 
     def rows(df: DataFrame, made: dict[str, Column], extra: list[Column]) -> DataFrame:
         return df.select("run_id", *[(made.get(n) if n in made else z).alias(n) for n, z in none.items()], *extra)
 
     stacked = (rows(issues, counters, no_metric).unionByName(rows(flags, marks, no_metric))
-               .unionByName(rows(metrics, {}, [F.col("metric"), F.col("value").cast("double").alias("value")])))
-    best = F.min_by(F.struct("metric", "value"),
-                    F.when(F.col("metric").isNotNull(), F.struct(_metric_priority(F.col("metric")), F.col("metric"))))
-    per = stacked.groupBy("run_id").agg(*[F.sum(n).alias(n) for n in none], best.alias("best"))
+               .unionByName(rows(chosen, {}, [F.col("metric").isin(*ERROR_METRICS).cast("int").alias("error_style"),
+                                              F.col("value").cast("double").alias("value")])))
+    per = stacked.groupBy("run_id").agg(*[F.sum(n).alias(n) for n in none],
+                                        F.max("error_style").alias("error_style"), F.max("value").alias("value"))
 
     def minus(*rules: tuple[Column, int]) -> Column:
         out = F.lit(100)
@@ -205,9 +207,8 @@ def deployability_score(issues: DataFrame, flags: DataFrame, metrics: DataFrame)
         return F.greatest(out, F.lit(0)).cast("double")
 
     c = F.col
-    v = F.coalesce(c("best.value"), F.lit(0.0))
-    error_style = F.coalesce(c("best.metric").isin(*ERROR_METRICS), F.lit(False))
-    perf = F.when(error_style, F.when(v > 1.0, 50.0).when(v > 0.5, 75.0).otherwise(95.0)).otherwise(
+    v = F.coalesce(c("value"), F.lit(0.0))
+    perf = F.when(c("error_style") == 1, F.when(v > 1.0, 50.0).when(v > 0.5, 75.0).otherwise(95.0)).otherwise(
         F.when(v < 0.65, 50.0).when(v < 0.75, 75.0).otherwise(95.0))
     parts = per.select(
         "run_id",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
 from ..config import MISSING_TOKENS, PANDAS_MISSING_TOKENS
 from ..schema import col, require_columns, text_columns
@@ -13,6 +13,7 @@ SUPPORTED = (".csv",)
 # Text that pandas reads as a whole or a real number, and as a boolean.
 INTEGER = r"^[+-]?[0-9]{1,18}$"
 REAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?([iI]nf(inity)?)$"
+REPLACED = "\ufffd"  # what a byte that is no UTF-8 decodes to
 BOOLEAN = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 
@@ -47,20 +48,22 @@ def normalize_strings(df: DataFrame, cols: Sequence[str] | None = None,
     return df.select(*[_clean_text(col(c), tokens).alias(c) if c in cols else col(c) for c in df.columns])
 
 
-def infer_types(df: DataFrame, cols: Sequence[str] | None = None) -> dict[str, str]:
-    """Type per text column from one aggregate: bigint, double, boolean or string.
+def scan_text(df: DataFrame, cols: Sequence[str]) -> list[Row]:
+    """One pass over text columns: per column, how many cells read as which type or hold broken text."""
+    v = F.col("v")
+    return (df.select(*[col(c) for c in cols]).unpivot([], [col(c) for c in cols], "feature", "v").groupBy("feature")
+            .agg(F.count(F.lit(1)).alias("n"), F.count(v).alias("present"), F.count_if(v.rlike(INTEGER)).alias("whole"),
+                 F.count_if(v.rlike(REAL)).alias("real"), F.count_if(v.isin(*BOOLEAN)).alias("flag"),
+                 F.count_if(v.contains(REPLACED)).alias("broken"))).collect()
+
+
+def types_from(scan: Sequence[Row]) -> dict[str, str]:
+    """Type per column: bigint, double, boolean or string.
 
     Whole numbers with gaps become double, and so does a column without any value.
     """
-    cols = list(text_columns(df) if cols is None else cols)
-    if not cols:
-        return {}
-    v = F.col("v")
-    rows = (df.select(*[col(c) for c in cols]).unpivot([], [col(c) for c in cols], "feature", "v").groupBy("feature")
-            .agg(F.count(F.lit(1)).alias("n"), F.count(v).alias("present"), F.count_if(v.rlike(INTEGER)).alias("whole"),
-                 F.count_if(v.rlike(REAL)).alias("real"), F.count_if(v.isin(*BOOLEAN)).alias("flag"))).collect()
     found = {}
-    for r in rows:
+    for r in scan:
         present = r["present"]
         if present == r["whole"]:
             found[r["feature"]] = "bigint" if present == r["n"] and present else "double"
@@ -68,7 +71,14 @@ def infer_types(df: DataFrame, cols: Sequence[str] | None = None) -> dict[str, s
             found[r["feature"]] = "double"
         else:
             found[r["feature"]] = "boolean" if present == r["flag"] else "string"
-    return {c: found[c] for c in cols}
+    return found
+
+
+def infer_types(df: DataFrame, cols: Sequence[str] | None = None) -> dict[str, str]:
+    """Type per text column from one pass over the data."""
+    cols = list(text_columns(df) if cols is None else cols)
+    found = types_from(scan_text(df, cols)) if cols else {}
+    return {c: found[c] for c in cols if c in found}
 
 
 def apply_types(df: DataFrame, types: dict[str, str]) -> DataFrame:
@@ -104,21 +114,30 @@ def _raw(spark: SparkSession, path: str, encoding: str) -> DataFrame:
     return spark.read.options(**{**options, "header": "true", "enforceSchema": "true"}).schema(schema).csv(path)
 
 
+def _clean(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    tokens = tuple(dict.fromkeys(MISSING_TOKENS + PANDAS_MISSING_TOKENS))
+    return normalize_strings(_raw(spark, path, encoding), tokens=tokens)
+
+
 def load_csv(spark: SparkSession, path: str, target: str | None = None) -> DataFrame:
     """A typed table from a CSV file, folder or glob.
 
-    Read as UTF-8; when a line is not valid UTF-8 the file is read as ISO-8859-1.  Types come from one
-    pass over the text, as tokens such as ``?`` would turn Spark's own inference to text.
+    Types come from one pass over the text, as tokens such as ``?`` would turn Spark's own inference to
+    text.  The same pass sees cells whose bytes are no UTF-8; only then are the lines checked, and files
+    that are really not UTF-8 are read as ISO-8859-1.
     """
     check_file(spark, path)
-    invalid = (spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count() > 0)
-    raw = _raw(spark, path, "ISO-8859-1" if invalid else "UTF-8")
-    tokens = tuple(dict.fromkeys(MISSING_TOKENS + PANDAS_MISSING_TOKENS))
-    clean = normalize_strings(raw, tokens=tokens)
+    clean = _clean(spark, path, "UTF-8")
+    scan = scan_text(clean, clean.columns)
+    if any(r["broken"] for r in scan) or any(REPLACED in c for c in clean.columns):
+        if spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count() > 0:
+            clean = _clean(spark, path, "ISO-8859-1")
+            scan = scan_text(clean, clean.columns)
     if target is not None:
         require_columns(clean, [target])
-    require_rows(clean)
-    return apply_types(clean, infer_types(clean))
+    if not scan:
+        raise ValueError("the dataset has no rows")
+    return apply_types(clean, types_from(scan))
 
 
 def require_rows(df: DataFrame) -> None:
