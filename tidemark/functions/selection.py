@@ -12,8 +12,10 @@ from ..schema import col, local_frame, number
 from .stats import long_numbers, moments, uniform_bin
 
 # Up to this many values one task may hold and sort them; above, intervals are narrowed first.
-SMALL = 100_000
+SMALL = 200_000
 NARROW_BINS = 2048
+# Up to this many rows one task may sort for a running total or a numbering.
+SORT_ROWS = 1_000_000
 # Most buckets an ordered column is cut into; a broadcast offset table has one row per bucket.
 MAX_BUCKETS = 10_000
 
@@ -133,7 +135,7 @@ def _edges(df: DataFrame, order: str, rows: int) -> list[float]:
     return df.agg(F.percentile_approx(col(order).cast("double"), shares, 10 * MAX_BUCKETS)).first()[0] or []
 
 
-def prefix_sums(distinct: DataFrame, order: str, totals: Sequence[str], small: int = SMALL) -> DataFrame:
+def prefix_sums(distinct: DataFrame, order: str, totals: Sequence[str], small: int = SORT_ROWS) -> DataFrame:
     """Adds ``before_<x>``: the sum of ``x`` over all rows with a smaller ``order`` value.
 
     ``distinct`` has one row per order value (group first, so hot values are one row).  Above
@@ -156,7 +158,7 @@ def prefix_sums(distinct: DataFrame, order: str, totals: Sequence[str], small: i
                     *[(F.col(f"__b_{x}") + F.col(f"__o_{x}")).alias(f"before_{x}") for x in totals]))
 
 
-def group_numbers(df: DataFrame, group: str, order: str, out: str, small: int = SMALL) -> DataFrame:
+def group_numbers(df: DataFrame, group: str, order: str, out: str, small: int = SORT_ROWS) -> DataFrame:
     """Numbers the rows of each group from 1 by a unique numeric ``order`` column.
 
     A group may hold most of the table, so above ``small`` rows the order values are cut into

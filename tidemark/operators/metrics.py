@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..config import EPSILON
-from ..functions.selection import SMALL, prefix_sums
+from ..functions.selection import SORT_ROWS, prefix_sums
 from ..schema import col
 
 
@@ -43,7 +43,7 @@ def classification_metrics(df: DataFrame, actual: str, predicted: str) -> DataFr
     return metrics_from_confusion(confusion_matrix(df, actual, predicted))
 
 
-def roc_auc(df: DataFrame, label: str, score: str, small: int = SMALL) -> DataFrame:
+def roc_auc(df: DataFrame, label: str, score: str, small: int = SORT_ROWS) -> DataFrame:
     """(positives, negatives, roc_auc): chance that a positive outranks a negative, ties count half.
 
     Rows are grouped by distinct score first; running totals over scores are taken bucket by bucket.

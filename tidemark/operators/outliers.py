@@ -21,6 +21,8 @@ TREES = 100
 SAMPLE = 256
 MIN_ROWS = 50
 FIT_TASKS = 32
+# A table this small often sits in one file, hence one task; scoring spreads it over all cores.
+SPREAD_BELOW = 2_000_000
 NODE_SCHEMA = "tree int, node int, feature int, cut double, size int"
 
 
@@ -165,5 +167,7 @@ def scored_rows(df: DataFrame, key: str, cols: Sequence[str], seed: int = 42
         return None, n, None
     contamination = min(0.05, max(0.01, 100.0 / n))
     nodes = fit_forest(rows, key, names, n, seed=seed)
+    if n < SPREAD_BELOW:
+        rows = rows.repartition(df.sparkSession.sparkContext.defaultParallelism)
     # the scores are read twice (cut, then flags): written once to the shared folder
     return checkpointed(anomaly_scores(rows, key, names, nodes)), n, contamination

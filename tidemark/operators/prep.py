@@ -90,7 +90,8 @@ def categories(fit: DataFrame, cols: Sequence[str], min_share: float = 0.0, fill
     """
     if not cols:
         return {}, {}, {}
-    least = F.lit(min_share * fit.agg(F.count(F.lit(1))).first()[0]) if min_share > 0 else F.lit(0.0)
+    total = fit.count() if min_share > 0 else 0
+    least = F.lit(min_share * total)
     counts = value_counts(fit, cols)
     limit = max_width * len(cols) + 1
     found = counts.filter(F.col("value").isNull() | (F.col("cnt") >= least)).limit(limit).collect()
@@ -100,7 +101,6 @@ def categories(fit: DataFrame, cols: Sequence[str], min_share: float = 0.0, fill
     gaps = {c: sum(r["cnt"] for r in found if r["feature"] == c and r["value"] is None) for c in cols}
     mode = {c: min(own[c], key=lambda v: (-own[c][v], v)) if own[c] else None for c in cols}
     if min_share > 0:
-        total = fit.count()
         bare = [c for c in cols if mode[c] is None and gaps[c] < total]
         mode.update(modes(fit, bare))
         pooled = {c: sum(own[c].values()) + gaps[c] < total for c in cols}

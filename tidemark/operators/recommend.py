@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import (CRITICAL_PREFIX, RECOMMENDATION_FALLBACK, RECOMMENDATION_TEXT, SEVERITY_ALIASES,
                       SEVERITY_PRIORITY)
-from ..functions.selection import SMALL, group_numbers
+from ..functions.selection import SORT_ROWS, group_numbers
 from ..schema import col
 
 BLANKS = " \t\n\r\f\v"
@@ -103,6 +103,6 @@ def severity_filter(rows: DataFrame, wanted: str) -> DataFrame:
     return rows.filter(severity_normalize(F.col("severity"), danger=False) == wanted.lower())
 
 
-def issues_by_type(issues: DataFrame, key: str, small: int = SMALL) -> DataFrame:
+def issues_by_type(issues: DataFrame, key: str, small: int = SORT_ROWS) -> DataFrame:
     """Adds ``number``: the position of an issue inside its type, by a unique numeric key."""
     return group_numbers(issues, "type", key, "number", small)

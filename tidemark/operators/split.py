@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..config import AuditConfig
 from ..functions.selection import hash_key
-from ..schema import col, quoted, value
+from ..schema import col, materialise, quoted, value
 
 DEFAULT = AuditConfig()
 
@@ -56,10 +56,10 @@ def split_stratified(df: DataFrame, key: str, target: str, test_fraction: float
             .withColumn("r", F.row_number().over(Window.partitionBy("__y").orderBy("__h", "__k")))
             .filter("r = need").select(F.col("__y").alias("__cy"), F.col("__h").alias("__ch"),
                                        F.col("__k").alias("__ck")))
-    last = edge.limit(max_classes + 1).collect()  # one row per class
-    if len(last) > max_classes:
+    last = materialise(edge.limit(max_classes + 1))  # one row per class
+    if last.count() > max_classes:
         raise ValueError(f"target {target!r} has more than {max_classes} classes; use split_hash")
-    cut_table = F.broadcast(df.sparkSession.createDataFrame(last, edge.schema))
+    cut_table = F.broadcast(last)
     tagged = df.withColumn("__y", y).withColumn("__h", _md5(key))
     joined = tagged.join(cut_table, tagged["__y"].eqNullSafe(cut_table["__cy"]), "left")
     is_test = (F.col("__h") < F.col("__ch")) | ((F.col("__h") == F.col("__ch")) & (col(key) <= F.col("__ck")))
