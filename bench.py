@@ -1,7 +1,7 @@
 """Times the headline queries and prints one JSON line.
 
-BENCH_SF_DIR names the data folder, BENCH_CPUS the local cores.  Each query runs once to warm up and is
-then timed; the result is consumed by the no-op sink, so every row is produced.
+BENCH_SF_DIR names the data folder, BENCH_CPUS the local cores.  Each query runs once to warm up (but
+the whole audit, which comes last) and is then timed; the result is consumed by the no-op sink, so every row is produced.
 """
 
 import json
@@ -21,8 +21,10 @@ HEADLINE = [
     "row_overlap", "psi_table", "variance_ratio", "feature_stability", "informative_missingness", "vif", "impute",
     "robust_scale", "one_hot", "preprocess", "classification_metrics", "roc_auc", "calibration_curve",
     "deployment_readiness", "deployability_score", "recommendations", "issues_by_type", "correlation_matrix",
-    "rf_classify", "csv_scan",
+    "rf_classify", "csv_scan", "audit_report",
 ]
+# By its turn the engine is warm, and it runs most of the others again.
+ONCE = {"audit_report"}
 
 
 def main() -> None:
@@ -37,7 +39,7 @@ def main() -> None:
     wanted = sys.argv[1:] or HEADLINE
     times = {}
     for name in wanted:
-        for _ in range(2):
+        for _ in range(1 if name in ONCE else 2):
             start = time.perf_counter()
             QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
             times[name] = round(time.perf_counter() - start, 3)

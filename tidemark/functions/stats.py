@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..schema import col, local_frame, number, value
+from ..schema import col, comparable, local_frame, number
 
 MOMENT_FIELDS = ("n", "nulls", "mean", "var_pop", "var_samp", "skew", "min", "max")
 
@@ -82,7 +82,7 @@ def value_counts(df: DataFrame, cols: Sequence[str], by: Sequence[str] = ()) ->
     """
     out = None
     for kind, names in _families(df, cols):
-        narrow = df.select(*[col(b) for b in by], *[value(df, n).cast(kind).alias(n) for n in names])
+        narrow = df.select(*[col(b) for b in by], *[comparable(df, n).cast(kind).alias(n) for n in names])
         part = (narrow.unpivot([col(b) for b in by], [col(n) for n in names], "feature", "value")
                 .groupBy(*[col(b) for b in by], "feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
                 .withColumn("value", F.col("value").cast("string")))

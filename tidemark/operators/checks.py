@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..config import AuditConfig
 from ..functions.selection import exact_quantiles
 from ..functions.stats import cardinality, correlations, long_numbers, moments, unbiased_skew
-from ..schema import (banded, categorical_columns, col, flat_columns, local_frame, materialise, number,
+from ..schema import (banded, categorical_columns, col, comparable, flat_columns, local_frame, materialise, number,
                       numeric_columns, run_together, text_columns, value)
 
 DEFAULT = AuditConfig()
@@ -74,7 +74,7 @@ def near_constant(df: DataFrame, cols: Sequence[str] | None = None, share: float
     if not 0.5 <= share < 1:
         raise ValueError("share must be at least 0.5 and below 1")
     cols = list(cols or flat_columns(df))
-    picks = df.select(*[value(df, c).alias(f"v{k}") for k, c in enumerate(cols)]).agg(*[
+    picks = df.select(*[comparable(df, c).alias(f"v{k}") for k, c in enumerate(cols)]).agg(*[
         F.expr(f"approx_top_k(v{k}, 1, 1000) FILTER (WHERE v{k} IS NOT NULL)").alias(f"t{k}")
         for k in range(len(cols))])
     top = picks.select(*[F.try_element_at(F.col(f"t{k}"), F.lit(1)).getField("item").alias(f"c{k}")
@@ -82,7 +82,7 @@ def near_constant(df: DataFrame, cols: Sequence[str] | None = None, share: float
     present = [(k, c) for k, c in enumerate(cols) if top[f"c{k}"] is not None]
     if not present:
         return local_frame(df.sparkSession, [], "feature string, top_share double")
-    hits = df.select(*[(value(df, c) == F.lit(top[f"c{k}"])).cast("int").alias(c) for k, c in present])
+    hits = df.select(*[(comparable(df, c) == F.lit(top[f"c{k}"])).cast("int").alias(c) for k, c in present])
     return (hits.unpivot([], [col(c) for _, c in present], "feature", "hit").groupBy("feature")
             .agg((F.sum("hit") / F.count("hit")).alias("top_share"))
             .filter((F.col("top_share") > share) & (F.col("top_share") < 1)))

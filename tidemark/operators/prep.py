@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..config import AuditConfig
 from ..functions.selection import exact_quantiles
@@ -46,8 +46,10 @@ def impute(df: DataFrame, fit_on: DataFrame | None = None, exclude: Sequence[str
             out.append(number(df, name).alias(name))
         elif name in other:
             kind = df.schema[name].dataType
-            fill = mode[name] if mode[name] is not None else "missing"
-            out.append(F.coalesce(value(df, name), F.lit(fill).try_cast(kind)).alias(name))
+            fill = F.lit(mode[name] if mode[name] is not None else "missing")
+            if isinstance(kind, T.BinaryType):  # bytes are counted as hex text
+                fill = F.unhex(fill) if mode[name] is not None else F.encode(fill, "UTF-8")
+            out.append(F.coalesce(value(df, name), fill.try_cast(kind)).alias(name))
         else:
             out.append(col(name))
     return df.select(*out)

@@ -74,6 +74,12 @@ def value(df: DataFrame, name: str) -> Column:
     return col(name)
 
 
+def comparable(df: DataFrame, name: str) -> Column:
+    """As ``value``, with bytes as hex text, for counting and naming values."""
+    x = value(df, name)
+    return F.hex(x) if isinstance(df.schema[name].dataType, T.BinaryType) else x
+
+
 def number(df: DataFrame, name: str) -> Column:
     """The column as a double with NaN read as missing."""
     return value(df, name).cast("double")
