@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import documents, table
 from .decontaminate import contamination
+from .packing import pack_documents
+from .toxicity import fit_toxicity, labelled, score_toxicity
 from .url_filter import SiteRule, judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,3 +77,30 @@ SELECT page_id, host, path, best.n AS rule, coalesce(best.v, CASE WHEN coalesce(
     OR regexp_matches(low, '[?&]utm_source=ads([&#]|$)'), false) THEN 'block' ELSE 'allow' END) AS verdict
 FROM f
 """
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op9_packing(spark, d):
+    return pack_documents(documents(spark, d), tokenizer_path())
+
+
+def held_out(modulus: int, remainder: int, id_col: str = "doc_id"):
+    return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(modulus)) == remainder
+
+
+def toxicity_model(spark: SparkSession, d: str):
+    """Fitted on labelled rows outside the held-out fifth."""
+    train = labelled(documents(spark, d), table(spark, d, "labels"), "toxic", held_out(5, 0))
+    return fit_toxicity(train)
+
+
+@query
+def op10_toxicity(spark, d):
+    scored = score_toxicity(documents(spark, d).select("doc_id", "text"), toxicity_model(spark, d))
+    return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
