@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import documents, table
 from .decontaminate import contamination
+from .fingerprint import edited, likeness, neighbours, print_text, with_prints
+from .line_dedup import dedup_lines
 from .packing import pack_documents
 from .toxicity import fit_toxicity, labelled, score_toxicity
 from .url_filter import SiteRule, judge_urls
@@ -104,3 +106,36 @@ def toxicity_model(spark: SparkSession, d: str):
 def op10_toxicity(spark, d):
     scored = score_toxicity(documents(spark, d).select("doc_id", "text"), toxicity_model(spark, d))
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op1_line_dedup(spark, d):
+    found = dedup_lines(documents(spark, d).select("doc_id", "text"))
+    return found.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"),
+                        F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("kept_sha256"))
+
+
+ORACLES["op1_line_dedup"] = """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) line,
+                  generate_subscripts(string_split(text, chr(10)), 1) - 1 i FROM documents),
+h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT h FROM l),
+r AS (SELECT doc_id, line, i, (((coalesce(lag(h, 2) OVER w, 0) * 961 + coalesce(lag(h) OVER w, 0) * 31 + h) % 2147483647) % 4 = 0)::INT ends
+      FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
+n AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) c FROM r),
+k AS (SELECT doc_id, c, min(i) start, count(*) n, string_agg(line, chr(10) ORDER BY i) body FROM n GROUP BY doc_id, c),
+f AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY body, n >= 2 ORDER BY doc_id, start) > 1 gone FROM k)
+SELECT doc_id, sum(n)::BIGINT n_lines, coalesce(sum(n) FILTER (gone), 0)::BIGINT n_removed,
+       length(coalesce(string_agg(body, chr(10) ORDER BY start) FILTER (NOT gone), '')) n_chars,
+       sha256(coalesce(string_agg(body, chr(10) ORDER BY start) FILTER (NOT gone), '')) kept_sha256
+FROM f GROUP BY doc_id
+"""
+
+
+@query
+def op8_fingerprints(spark, d):
+    pairs = neighbours(documents(spark, d))
+    pairs = with_prints(pairs.withColumn("edited", edited(F.col("text"), F.col("next_text"))), {"edited_prints": "edited"})
+    return pairs.select(
+        F.col("id").alias("doc_id"), F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        print_text("prints").alias("fingerprint"), print_text("edited_prints").alias("edited_fingerprint"),
+        likeness("prints", "edited_prints").alias("near_edited"), likeness("prints", "next_prints").alias("near_next"))
