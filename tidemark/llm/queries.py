@@ -11,6 +11,7 @@ from .decontaminate import contamination
 from .fingerprint import edited, likeness, neighbours, print_text, with_prints
 from .line_dedup import dedup_lines
 from .packing import pack_documents
+from .quality import fit_quality, score_quality
 from .toxicity import fit_toxicity, labelled, score_toxicity
 from .url_filter import SiteRule, judge_urls
 
@@ -139,3 +140,11 @@ def op8_fingerprints(spark, d):
         F.col("id").alias("doc_id"), F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
         print_text("prints").alias("fingerprint"), print_text("edited_prints").alias("edited_fingerprint"),
         likeness("prints", "edited_prints").alias("near_edited"), likeness("prints", "next_prints").alias("near_next"))
+
+
+@query
+def op6_quality(spark, d):
+    docs = documents(spark, d)
+    model = fit_quality(docs, table(spark, d, "labels"), "quality", held_out(3, 1))
+    scored = score_quality(docs.select("doc_id", "text"), model)
+    return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
