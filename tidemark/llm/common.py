@@ -127,18 +127,15 @@ def rolled(words: np.ndarray, n: int) -> np.ndarray:
     size = len(words) - n + 1
     if size <= 0:
         return np.empty(0, np.uint64)
-    out, done = words, 1
-    # Doubling: the hash of a run of 2k is made of two runs of k.
-    power = {1: out}
-    step = {1: STEP}
+    # Doubling: the hash of a run of 2k words is made of those of two runs of k.
+    runs, steps, done = {1: words}, {1: int(STEP)}, 1
     while done * 2 <= n:
-        power[done * 2] = power[done][: len(words) - 2 * done + 1] * step[done] + power[done][done:]
-        step[done * 2] = step[done] * step[done]
+        runs[done * 2] = runs[done][:len(words) - 2 * done + 1] * np.uint64(steps[done]) + runs[done][done:]
+        steps[done * 2] = steps[done] ** 2 % 2 ** 64
         done *= 2
-    total, at, left = np.zeros(size, np.uint64), 0, n
-    while left:
-        part = 1 << (left.bit_length() - 1)
-        total = total * step[part] + power[part][at: at + size]
+    total, at = np.zeros(size, np.uint64), 0
+    while at < n:
+        part = 1 << ((n - at).bit_length() - 1)
+        total = total * np.uint64(steps[part]) + runs[part][at:at + size]
         at += part
-        left -= part
     return _mixed(total)

@@ -10,6 +10,7 @@ from .common import documents, table
 from .decontaminate import contamination
 from .fingerprint import edited, likeness, neighbours, print_text, with_prints
 from .line_dedup import dedup_lines
+from .ngram_join import similar_groups
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
 from .toxicity import fit_toxicity, labelled, score_toxicity
@@ -148,3 +149,9 @@ def op6_quality(spark, d):
     model = fit_quality(docs, table(spark, d, "labels"), "quality", held_out(3, 1))
     scored = score_quality(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op3_ngram_join(spark, d):
+    groups = similar_groups(documents(spark, d))
+    return groups.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
