@@ -13,6 +13,7 @@ from .line_dedup import dedup_lines
 from .ngram_join import similar_groups
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
+from .substring_dedup import without_repeats
 from .toxicity import fit_toxicity, labelled, score_toxicity
 from .url_filter import SiteRule, judge_urls
 
@@ -155,3 +156,9 @@ def op6_quality(spark, d):
 def op3_ngram_join(spark, d):
     groups = similar_groups(documents(spark, d))
     return groups.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+@query
+def op5_substring_dedup(spark, d):
+    kept = without_repeats(documents(spark, d))
+    return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
