@@ -13,6 +13,7 @@ from .line_dedup import dedup_lines
 from .ngram_join import similar_groups
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
+from .secrets import scan_secrets
 from .substring_dedup import without_repeats
 from .toxicity import fit_toxicity, labelled, score_toxicity
 from .url_filter import SiteRule, judge_urls
@@ -162,3 +163,10 @@ def op3_ngram_join(spark, d):
 def op5_substring_dedup(spark, d):
     kept = without_repeats(documents(spark, d))
     return kept.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op7_secrets(spark, d):
+    found = scan_secrets(documents(spark, d).select("doc_id", "text"))
+    return found.select(F.col("id").alias("doc_id"), "place", F.length("candidate").alias("length"),
+                        F.sha2("candidate", 256).alias("candidate_sha256"), F.round("score", 6).alias("score"), "secret")
