@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from ..schema import col, quoted
-from ..sources.scratch import checkpointed
+from ..sources.scratch import checkpointed, scratch_path
 from ..sources.tables import table
 
 __all__ = ["appended", "ascii_lower", "byte_table", "checkpointed", "col", "documents", "hashed_words", "quoted",
-           "replaced", "row_chunks", "rolled", "table", "texts", "unused"]
+           "replaced", "row_chunks", "rolled", "scratch_path", "table", "texts", "unused"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Bytes of text handled at once inside a task: bounds the arrays a task holds, whatever the size of an Arrow batch.
