@@ -50,10 +50,20 @@ def test_one_hot_unseen_and_infrequent(spark):
     assert sorted(rows(pooled)) == [(0, 0, 0), (0, 0, 0), (0, 0, 1), (1, 0, 0)]
 
 
-def test_too_many_categories_is_an_error(spark):
-    df = spark.range(3000).select(F.col("id").cast("string").alias("s"))
-    with pytest.raises(ValueError, match="too many categories"):
-        prep.one_hot(df, ["s"])
+def test_many_categories_are_encoded_sparsely(spark):
+    df = spark.range(3000).select("id", F.col("id").cast("string").alias("s"), F.lit("x").alias("t"))
+    fitted = prep.fit_prep(df, ["id"], min_share=0.0)
+    assert len(fitted.feature_names) == 3001
+    unseen = spark.createDataFrame([(1, "17", "x"), (2, "never", None)], "id bigint, s string, t string")
+    got = {r["id"]: [fitted.feature_names[i] for i in r["features"].indices] for r in fitted.vectors(unseen, ["id"]).collect()}
+    assert got == {1: ["s_17", "t_x"], 2: ["t_x"]}
+
+
+def test_the_bound_of_categories_is_per_column(spark):
+    df = spark.range(30).select(F.col("id").cast("string").alias("s"), F.lit("x").alias("t"))
+    with pytest.raises(ValueError, match="more than 20 categories"):
+        prep.categories(df, ["s", "t"], max_categories=20)
+    assert len(prep.categories(df, ["s", "t"], max_categories=30)[0]["s"]) == 30
 
 
 def test_full_preparation(people):

@@ -28,7 +28,6 @@ class AuditConfig:
     stability_bins: int = 30
     variance_ratio_limit: float = 3.0
     missingness_delta: float = 0.15
-    vif_max_features: int = 100
     # models
     num_trees: int = 100
     max_depth: int = 10

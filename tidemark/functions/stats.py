@@ -25,10 +25,9 @@ def unbiased_skew(g1: Column, n: Column) -> Column:
     return F.when(n >= 3, g1 * F.sqrt(n * (n - 1)) / (n - 2))
 
 
-# A wide aggregate runs well while its generated code stays small; beyond this many aggregates the
-# columns are turned into rows first and one short aggregate is grouped by column name.
-WIDE_AGGREGATES = 24
-CENTRAL = {"var_pop", "var_samp", "skew"}
+def finite(x: Column) -> Column:
+    """Infinite numbers and NaN as missing: neither can be compared with a threshold."""
+    return F.when(F.abs(x) < float("inf"), x)
 
 
 def long_numbers(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -39,26 +38,21 @@ def long_numbers(df: DataFrame, cols: Sequence[str], keep: Sequence[str] = ()) -
 
 def moments(df: DataFrame, cols: Sequence[str], by: str | None = None,
             fields: Sequence[str] = MOMENT_FIELDS) -> DataFrame:
-    """Long table (feature, [by], n, nulls, mean, ...): no row is shuffled, only partial aggregates."""
-    def parts(x: Column) -> dict[str, Column]:
-        return {
-            "n": F.count(x), "nulls": F.count(F.lit(1)) - F.count(x), "mean": F.avg(x),
-            "var_pop": F.var_pop(x), "var_samp": F.var_samp(x), "skew": F.skewness(x),
-            "min": F.min(x), "max": F.max(x),
-        }
-
-    keys = [col(by)] if by else []
-    if len(cols) * len(fields) > WIDE_AGGREGATES or CENTRAL & set(fields):
-        made = parts(F.col("x"))
-        return (long_numbers(df, cols, [by] if by else []).groupBy(*keys, "feature")
-                .agg(*[made[f].alias(f) for f in fields]))
-    aggs, structs = [], []
-    for i, name in enumerate(cols):
-        made = parts(number(df, name))
-        aggs += [made[f].alias(f"m{i}_{f}") for f in fields]
-        structs.append(F.struct(F.lit(name).alias("feature"), *[F.col(f"m{i}_{f}").alias(f) for f in fields]))
-    grouped = df.groupBy(*keys).agg(*aggs) if by else df.agg(*aggs)
-    return grouped.select(*keys, F.explode(F.array(*structs)).alias("m")).select(*keys, "m.*")
+    """Long table (feature, [by], n, nulls, mean, ...): no row is shuffled, only partial aggregates.
+
+    Columns become rows and one short aggregate is grouped by column name.  Without ``by`` every column has its row,
+    also on an empty table, where the counts are 0.  Statistics that are no numbers (of infinite values) are missing.
+    """
+    x = F.col("x")
+    made = {"n": F.count(x), "nulls": F.count(F.lit(1)) - F.count(x), "mean": finite(F.avg(x)),
+            "var_pop": finite(F.var_pop(x)), "var_samp": finite(F.var_samp(x)), "skew": finite(F.skewness(x)),
+            "min": F.min(x), "max": F.max(x)}
+    found = (long_numbers(df, cols, [by] if by else []).groupBy(*([col(by)] if by else []), "feature")
+             .agg(*[made[f].alias(f) for f in fields]))
+    if by:
+        return found
+    every = local_frame(df.sparkSession, [(c,) for c in cols], "feature string")
+    return every.join(F.broadcast(found), "feature", "left").na.fill(0, [f for f in ("n", "nulls") if f in fields])
 
 
 def _families(df: DataFrame, cols: Sequence[str]) -> list[tuple[str, list[str]]]:
@@ -175,7 +169,7 @@ def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                     F.col("n").cast("bigint").alias("n"),
                     F.try_divide(F.col("cxy"), spread("cxx", "mx") * spread("cyy", "my")).alias("r"))
             .select("feature_a", "feature_b", "i", "j", "n",
-                    F.when(F.col("r").isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "r"))).alias("corr")))
+                    F.when(finite(F.col("r")).isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "r"))).alias("corr")))
 
 
 def uniform_bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import AuditConfig
 from ..functions.selection import exact_quantiles
-from ..functions.stats import cardinality, correlations, long_numbers, moments, unbiased_skew
+from ..functions.stats import cardinality, correlations, finite, long_numbers, moments, unbiased_skew
 from ..schema import (banded, categorical_columns, col, comparable, flat_columns, local_frame, materialise, number,
                       numeric_columns, run_together, text_columns, value)
 
@@ -180,8 +180,8 @@ def correlations_with(df: DataFrame, target: str, cols: Sequence[str]) -> DataFr
     y = number(df, target)
     long = (df.select(y.alias("__y"), *[number(df, c).alias(c) for c in cols])
             .unpivot(["__y"], [col(c) for c in cols], "feature", "x").filter("x is not null and __y is not null"))
-    return long.groupBy("feature").agg(F.abs(F.try_divide(
-        F.covar_pop("x", "__y"), F.stddev_pop("x") * F.stddev_pop("__y"))).alias("corr"))
+    return long.groupBy("feature").agg(finite(F.abs(F.try_divide(
+        F.covar_pop("x", "__y"), F.stddev_pop("x") * F.stddev_pop("__y")))).alias("corr"))
 
 
 def complete_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -18,10 +19,10 @@ GRAM_SQL_COLUMNS = 12
 
 
 def _ranges(df: DataFrame, cols: Sequence[str], split: str) -> dict[str, dict[str, tuple[float, float, int]]]:
-    """(min, max, count) per side for the columns that hold values on both sides: one scan, a few numbers."""
+    """(min, max, count) per side for the columns with values, all finite, on both sides: one scan, a few numbers."""
     out: dict[str, dict[str, tuple[float, float, int]]] = {c: {} for c in cols}
     for r in moments(df, cols, by=split, fields=("n", "min", "max")).collect():
-        if r["n"] and r[split] in ("train", "test"):
+        if r["n"] and r[split] in ("train", "test") and math.isfinite(r["min"]) and math.isfinite(r["max"]):
             out[r["feature"]][r[split]] = (float(r["min"]), float(r["max"]), r["n"])
     return {c: sides for c, sides in out.items() if len(sides) == 2}
 
@@ -49,7 +50,7 @@ def psi(df: DataFrame, cols: Sequence[str] | None = None, split: str = "split",
     """(feature, psi, out_of_range_pct): population stability of test against train.
 
     Bins are equal-width over the train range.  Test values outside it do not enter the score, so
-    their share is reported next to it.  A column empty on one side scores 0.
+    their share is reported next to it.  A column that is empty or holds infinite values on one side scores 0.
     """
     cols = list(cols or numeric_columns(df))
     ranges = _ranges(df, cols, split)
@@ -175,22 +176,22 @@ def _gram(filled: DataFrame, cols: Sequence[str]) -> np.ndarray:
         for i, j in pairs:
             out[i, j] = out[j, i] = row[f"g{i}_{j}"]
     else:
-        for r in co_moments(filled, cols).collect():  # d x d / 2 rows, d <= 100
+        for r in co_moments(filled, cols).collect():  # d x d / 2 rows
             out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["cxy"] + r["n"] * r["mx"] * r["my"]
     return out
 
 
-def vif(df: DataFrame, cols: Sequence[str] | None = None, max_features: int = DEFAULT.vif_max_features) -> DataFrame:
+def vif(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """(feature, vif): variance inflation without an intercept, from one Gram matrix.
 
     Infinite values are missing, missing values take the median, columns without values or without
     spread are dropped.  The data are read for the medians and for the sums of products only; the
-    inverse is of a matrix of at most ``max_features`` columns.  A singular matrix gives 999.
+    inverse is of a matrix with one row per column.  A singular matrix gives 999.
     """
     cols = list(cols or numeric_columns(df))
     finite = df.select(*[F.when(F.abs(number(df, c)) < float("inf"), number(df, c)).alias(c) for c in cols])
     stats = {r["feature"]: r for r in moments(finite, cols, fields=("n", "nulls", "min", "max")).collect()}
-    cols = [c for c in cols if stats[c]["n"] > 0][:max_features]
+    cols = [c for c in cols if stats[c]["n"] > 0]
     gaps = [c for c in cols if stats[c]["nulls"] > 0]
     # a column with gaps keeps its spread when filled with its own median, unless it had none
     cols = [c for c in cols if stats[c]["min"] != stats[c]["max"]]

@@ -24,8 +24,8 @@ from .split import fold_of
 
 DEFAULT = AuditConfig()
 TASKS = ("classification", "regression")
-# A table this small often sits in one file, hence one task; training spreads it over all cores.
-SPREAD_BELOW = 2_000_000
+# Training rows are dealt to so many tasks by their content, so that a forest does not depend on the files' layout.
+TRAIN_PARTITIONS = 32
 
 
 def check_task(task: str) -> str:
@@ -111,9 +111,11 @@ def _labelled(df: DataFrame, task: str, target: str) -> tuple[DataFrame, list[st
 
 
 def train(df: DataFrame, target: str, task: str, exclude: Sequence[str] = (), estimator: Estimator | None = None,
-          config: AuditConfig = DEFAULT, dev: bool = False) -> TrainedModel:
+          config: AuditConfig = DEFAULT, dev: bool = False, partitions: int = TRAIN_PARTITIONS) -> TrainedModel:
     """Fits preparation and estimator on the given (train) rows.
 
+    Rows are dealt to ``partitions`` tasks by the hash of their values; a large table wants more of them.
+
     ``estimator`` may be any ``pyspark.ml`` estimator with ``features`` and ``label`` inputs.
     """
     task = check_task(task)
@@ -123,9 +125,13 @@ def train(df: DataFrame, target: str, task: str, exclude: Sequence[str] = (), es
     prep = fit_prep(df, [*exclude, target], indicators=False, min_share=0.0)
     rows, labels = _labelled(df, task, target)
     vectors = prep.vectors(rows, ["__label"]).withColumnRenamed("__label", "label")
-    if 0 < prep.rows < SPREAD_BELOW:
-        vectors = vectors.repartition(df.sparkSession.sparkContext.defaultParallelism)
-    model = (estimator or default_estimator(task, config, dev)).fit(vectors)
+    # The same rows in the same order on any layout; written down once, as the estimator reads them many times.
+    order = F.xxhash64("label", "features")
+    dealt = vectors.withColumn("__order", order).repartition(partitions, "__order").sortWithinPartitions("__order").drop("__order").persist()
+    try:
+        model = (estimator or default_estimator(task, config, dev)).fit(dealt)
+    finally:
+        dealt.unpersist()
     return TrainedModel(task, target, prep, model, labels)
 
 

@@ -11,8 +11,11 @@ from ..config import AuditConfig
 from ..functions.selection import exact_quantiles
 from ..functions.stats import moments, value_counts
 from ..schema import categorical_columns, col, model_categorical_columns, number, numeric_columns, quoted, value
+from ..sources.scratch import checkpointed
 
 DEFAULT = AuditConfig()
+# Categories of one column that are held as a lookup table: some hundred megabytes of text at most.
+MAX_CATEGORIES = 1_000_000
 
 
 def modes(df: DataFrame, cols: Sequence[str]) -> dict[str, str | None]:
@@ -83,22 +86,25 @@ def robust_scale(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None =
 
 
 def categories(fit: DataFrame, cols: Sequence[str], min_share: float = 0.0, fill: bool = False,
-               max_width: int = 2000) -> tuple[dict[str, list[str]], dict[str, bool], dict[str, str | None]]:
+               max_categories: int = MAX_CATEGORIES) -> tuple[dict[str, list[str]], dict[str, bool], dict[str, str | None]]:
     """Per column: its own categories (sorted), whether rarer ones are pooled, and its mode.
 
     Only categories at or above ``min_share`` of the rows get a column of their own, so their number is
-    limited by 1 / min_share; without a share it is checked against ``max_width``, as dense one-hot
-    columns of an identifier are no features.  With ``fill`` missing cells count towards the mode.
+    limited by 1 / min_share; without a share each column may have ``max_categories``, the bound of what the driver
+    and every task hold.  With ``fill`` missing cells count towards the mode.
     """
     if not cols:
         return {}, {}, {}
     total = fit.count() if min_share > 0 else 0
     least = F.lit(min_share * total)
     counts = value_counts(fit, cols)
-    limit = max_width * len(cols) + 1
-    found = counts.filter(F.col("value").isNull() | (F.col("cnt") >= least)).limit(limit).collect()
-    if len(found) >= limit:
-        raise ValueError("too many categories for one-hot columns; raise min_share or drop the column")
+    chosen = counts.filter(F.col("value").isNull() | (F.col("cnt") >= least))
+    if min_share <= 0:
+        chosen = checkpointed(chosen)
+        wide = [r["feature"] for r in chosen.groupBy("feature").count().filter(F.col("count") > max_categories + 1).collect()]
+        if wide:
+            raise ValueError(f"more than {max_categories} categories in {wide}; raise min_share, raise the bound or exclude the column")
+    found = chosen.collect()
     own = {c: {r["value"]: r["cnt"] for r in found if r["feature"] == c and r["value"] is not None} for c in cols}
     gaps = {c: sum(r["cnt"] for r in found if r["feature"] == c and r["value"] is None) for c in cols}
     mode = {c: min(own[c], key=lambda v: (-own[c][v], v)) if own[c] else None for c in cols}
@@ -166,15 +172,21 @@ class FittedPrep:
             out += [c] * (len(self.categories[c]) + (c in self.rare))
         return out
 
-    def columns(self, df: DataFrame) -> list[Column]:
+    def filled(self, name: str) -> Column:
+        fill = self.modes[name] if self.modes[name] is not None else "missing"
+        return F.coalesce(col(name).cast("string"), F.lit(fill))
+
+    def numeric_features(self, df: DataFrame) -> list[Column]:
         made = []
         for c in self.numeric:
             filled = F.coalesce(number(df, c), F.lit(self.medians[c] if self.medians[c] is not None else 0.0))
             made.append(_scaled(filled, self.quartiles[c]).alias(c))
-        made += [number(df, c).isNull().cast("double").alias(f"{c}__missing_indicator") for c in self.indicators]
+        return made + [number(df, c).isNull().cast("double").alias(f"{c}__missing_indicator") for c in self.indicators]
+
+    def columns(self, df: DataFrame) -> list[Column]:
+        made = self.numeric_features(df)
         for c in self.categorical:
-            fill = self.modes[c] if self.modes[c] is not None else "missing"
-            x = F.coalesce(col(c).cast("string"), F.lit(fill))
+            x = self.filled(c)
             made += [(x == v).cast("double").alias(f"{c}_{v}") for v in self.categories[c]]
             if c in self.rare:
                 made.append(x.isin(self.rare[c]).cast("double").alias(f"{c}_infrequent_sklearn"))
@@ -184,15 +196,32 @@ class FittedPrep:
         return df.select(*[col(k) for k in keep], *self.columns(df))
 
     def vectors(self, df: DataFrame, keep: Sequence[str] = (), out: str = "features") -> DataFrame:
-        """The features as one ML vector column (sparse where that is smaller)."""
-        from pyspark.ml.feature import VectorAssembler
-        plain = df.select(*[col(k) for k in keep], *[c.alias(f"__f{i}") for i, c in enumerate(self.columns(df))])
-        names = [f"__f{i}" for i in range(len(self.feature_names))]
-        return VectorAssembler(inputCols=names, outputCol=out).transform(plain).drop(*names)
+        """The features as one ML vector column, sparse: a category is found in a lookup table, not by an expression each.
+
+        Unseen categories are all zeros.
+        """
+        from pyspark.ml.feature import OneHotEncoder, StringIndexerModel, VectorAssembler
+        numbers = self.numeric_features(df)
+        plain = df.select(*[col(k) for k in keep], *[c.alias(f"__n{i}") for i, c in enumerate(numbers)],
+                          *[self.filled(c).alias(f"__c{i}") for i, c in enumerate(self.categorical)])
+        inputs, used = [f"__n{i}" for i in range(len(numbers))], []
+        for i, c in enumerate(self.categorical):
+            if self.categories[c]:
+                indexer = StringIndexerModel.from_labels(self.categories[c], f"__c{i}", f"__i{i}", handleInvalid="keep")
+                # The index of unseen values comes last and is the one that the encoder leaves out.
+                encoder = OneHotEncoder(inputCol=f"__i{i}", outputCol=f"__v{i}", dropLast=True)
+                plain = indexer.transform(plain)
+                plain = encoder.fit(plain).transform(plain)
+                inputs.append(f"__v{i}")
+            if c in self.rare:
+                plain = plain.withColumn(f"__r{i}", F.col(f"__c{i}").isin(self.rare[c]).cast("double"))
+                inputs.append(f"__r{i}")
+            used += [f"__c{i}", f"__i{i}"]
+        return VectorAssembler(inputCols=inputs, outputCol=out).transform(plain).drop(*inputs, *used)
 
 
 def fit_prep(fit: DataFrame, exclude: Sequence[str] = (), indicators: bool = True,
-             min_share: float = DEFAULT.min_category_share, max_categories: int = 100_000) -> FittedPrep:
+             min_share: float = DEFAULT.min_category_share, max_categories: int = MAX_CATEGORIES) -> FittedPrep:
     """Fits the full preparation on train rows: medians, quartiles, gaps, modes, categories.
 
     A gap of a train column moves its quartiles, as in the row-wise pipeline: scaling is fitted on the
@@ -209,7 +238,7 @@ def fit_prep(fit: DataFrame, exclude: Sequence[str] = (), indicators: bool = Tru
     filled = fit.select(*[F.coalesce(number(fit, c), F.lit(med[c])).alias(c) for c in refit])
     again = exact_quantiles(filled, refit, [0.25, 0.5, 0.75], stats={
         c: {"n": stats[c]["n"] + stats[c]["nulls"], "min": stats[c]["min"], "max": stats[c]["max"]} for c in refit})
-    known, pooled, mode = categories(fit, cats, min_share, fill=True)
+    known, pooled, mode = categories(fit, cats, min_share, True, max_categories)
     rare: dict[str, list[str]] = {}
     for c in cats:
         if pooled[c]:

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..config import AuditConfig
 from ..functions.selection import hash_key
-from ..schema import col, materialise, quoted, value
+from ..schema import col, quoted, value
+from ..sources.scratch import checkpointed
 
 DEFAULT = AuditConfig()
 
@@ -35,7 +36,7 @@ def _md5(key: str) -> Column:
 
 
 def split_stratified(df: DataFrame, key: str, target: str, test_fraction: float = DEFAULT.test_fraction,
-                     max_classes: int = 1000) -> DataFrame:
+                     broadcast_classes: int = 10_000) -> DataFrame:
     """Adds ``split`` so that every class gives exactly the first ceil(fraction x size) rows by key hash.
 
     A class may be most of the table, so it is never sorted: counts per hash prefix find the prefix in
@@ -56,10 +57,10 @@ def split_stratified(df: DataFrame, key: str, target: str, test_fraction: float
             .withColumn("r", F.row_number().over(Window.partitionBy("__y").orderBy("__h", "__k")))
             .filter("r = need").select(F.col("__y").alias("__cy"), F.col("__h").alias("__ch"),
                                        F.col("__k").alias("__ck")))
-    last = materialise(edge.limit(max_classes + 1))  # one row per class
-    if last.count() > max_classes:
-        raise ValueError(f"target {target!r} has more than {max_classes} classes; use split_hash")
-    cut_table = F.broadcast(last)
+    last = checkpointed(edge)  # one row per class
+    # A checked number of classes is broadcast, so that a class with most of the rows is never moved.
+    few = last.limit(broadcast_classes + 1).count() <= broadcast_classes
+    cut_table = F.broadcast(last) if few else last
     tagged = df.withColumn("__y", y).withColumn("__h", _md5(key))
     joined = tagged.join(cut_table, tagged["__y"].eqNullSafe(cut_table["__cy"]), "left")
     is_test = (F.col("__h") < F.col("__ch")) | ((F.col("__h") == F.col("__ch")) & (col(key) <= F.col("__ck")))

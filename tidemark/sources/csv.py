@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession, functions as F, types as T
 
@@ -11,7 +12,7 @@ from ..schema import col, require_columns, text_columns
 
 SUPPORTED = (".csv",)
 # Text that pandas reads as a whole or a real number, and as a boolean.
-INTEGER = r"^[+-]?[0-9]{1,18}$"
+INTEGER = r"^[+-]?[0-9]+$"
 REAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$|^[+-]?([iI]nf(inity)?)$"
 REPLACED = "\ufffd"  # what a byte that is no UTF-8 decodes to
 BOOLEAN = ("True", "TRUE", "true", "False", "FALSE", "false")
@@ -52,7 +53,7 @@ def scan_text(df: DataFrame, cols: Sequence[str]) -> list[Row]:
     """One pass over text columns: per column, how many cells read as which type or hold broken text."""
     v = F.col("v")
     return (df.select(*[col(c) for c in cols]).unpivot([], [col(c) for c in cols], "feature", "v").groupBy("feature")
-            .agg(F.count(F.lit(1)).alias("n"), F.count(v).alias("present"), F.count_if(v.rlike(INTEGER)).alias("whole"),
+            .agg(F.count(F.lit(1)).alias("n"), F.count(v).alias("present"), F.count_if(v.rlike(INTEGER) & v.try_cast("bigint").isNotNull()).alias("whole"),
                  F.count_if(v.rlike(REAL)).alias("real"), F.count_if(v.isin(*BOOLEAN)).alias("flag"),
                  F.count_if(v.contains(REPLACED)).alias("broken"))).collect()
 
@@ -103,36 +104,67 @@ def check_file(spark: SparkSession, path: str) -> None:
         raise ValueError(f"unsupported file type {last!r}; supported: {list(SUPPORTED)}")
 
 
-def _raw(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    options = {"header": "false", "encoding": encoding, "nullValue": "\u0000", "emptyValue": "",
-               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "multiLine": "false"}
-    first = spark.read.options(**options).csv(path).first()
-    if first is None:
+# A column behind the header's: what a row with too many fields leaves there.
+SURPLUS = "__surplus_fields"
+
+
+def _headers(spark: SparkSession, path: str, options: dict[str, str]) -> dict[tuple[str, ...], list[str]]:
+    """The files under a path by their header line; only the beginning of each file is read."""
+    files = sorted(spark.read.options(**options).csv(path).inputFiles()) or [path]
+    with ThreadPool(min(16, len(files))) as pool:
+        first = pool.map(lambda f: spark.read.options(**options).csv(f).first(), files)
+    found: dict[tuple[str, ...], list[str]] = {}
+    for file, row in zip(files, first):
+        if row is not None:
+            found.setdefault(tuple(normalize_header(["" if v is None else v for v in row])), []).append(file)
+    return found
+
+
+def _raw(spark: SparkSession, path: str, encoding: str, multiline: bool) -> DataFrame:
+    """Cells as text.  Files whose columns stand in another order are matched by name."""
+    options = {"header": "false", "encoding": encoding, "nullValue": "\u0000", "emptyValue": "", "quote": '"', "escape": '"',
+               "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "multiLine": str(multiline).lower()}
+    groups = _headers(spark, path, options)
+    if not groups:
         raise ValueError("the dataset has no rows or columns")
-    names = normalize_header(["" if v is None else v for v in first])
-    schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-    return spark.read.options(**{**options, "header": "true", "enforceSchema": "true"}).schema(schema).csv(path)
+    names = next(iter(groups))
+    out = None
+    for header, files in groups.items():
+        if sorted(header) != sorted(names):
+            raise ValueError(f"{files[0]} has other columns than the first file: {sorted(set(header) ^ set(names))}")
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in (*header, SURPLUS)])
+        part = spark.read.options(**{**options, "header": "true", "enforceSchema": "true"}).schema(schema).csv(files)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-def _clean(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+def _clean(spark: SparkSession, path: str, encoding: str, multiline: bool) -> DataFrame:
     tokens = tuple(dict.fromkeys(MISSING_TOKENS + PANDAS_MISSING_TOKENS))
-    return normalize_strings(_raw(spark, path, encoding), tokens=tokens)
+    raw = _raw(spark, path, encoding, multiline)
+    return normalize_strings(raw, [c for c in raw.columns if c != SURPLUS], tokens)
 
 
-def load_csv(spark: SparkSession, path: str, target: str | None = None) -> DataFrame:
+def load_csv(spark: SparkSession, path: str, target: str | None = None, multiline: bool = True) -> DataFrame:
     """A typed table from a CSV file, folder or glob.
 
+    Quoted cells may hold separators, doubled quotes and line ends.  Files with line ends in cells cannot be split, so
+    each is one task's work; ``multiline=False`` splits large files whose rows are lines.  A row with fewer fields ends
+    in missing cells, one with more is an error, as are files with different column names.
+
     Types come from one pass over the text, as tokens such as ``?`` would turn Spark's own inference to
     text.  The same pass sees cells whose bytes are no UTF-8; only then are the lines checked, and files
     that are really not UTF-8 are read as ISO-8859-1.
     """
     check_file(spark, path)
-    clean = _clean(spark, path, "UTF-8")
+    clean = _clean(spark, path, "UTF-8", multiline)
     scan = scan_text(clean, clean.columns)
     if any(r["broken"] for r in scan) or any(REPLACED in c for c in clean.columns):
         if spark.read.text(path).filter(~F.is_valid_utf8("value")).limit(1).count() > 0:
-            clean = _clean(spark, path, "ISO-8859-1")
+            clean = _clean(spark, path, "ISO-8859-1", multiline)
             scan = scan_text(clean, clean.columns)
+    if any(r["feature"] == SURPLUS and r["present"] for r in scan):
+        raise ValueError(f"malformed rows: some hold more fields than the header's {len(clean.columns) - 1}")
+    clean, scan = clean.drop(SURPLUS), [r for r in scan if r["feature"] != SURPLUS]
     if target is not None:
         require_columns(clean, [target])
     if not scan:
