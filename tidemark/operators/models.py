@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
@@ -20,12 +20,14 @@ from ..config import AuditConfig
 from ..schema import col, local_frame, materialise, require_columns
 from .metrics import classification_metrics, metrics_from_confusion, regression_metrics, roc_auc
 from .prep import FittedPrep, fit_prep
-from .split import fold_of
+from .split import fold_of, stratified_folds
 
 DEFAULT = AuditConfig()
 TASKS = ("classification", "regression")
 # Training rows are dealt to so many tasks by their content, so that a forest does not depend on the files' layout.
 TRAIN_PARTITIONS = 32
+# Rows among which permutation importance shuffles a feature.
+PERMUTED_ROWS = 2_000
 
 
 def check_task(task: str) -> str:
@@ -138,7 +140,7 @@ def train(df: DataFrame, target: str, task: str, exclude: Sequence[str] = (), es
 def cross_validate(df: DataFrame, target: str, task: str, key: str, exclude: Sequence[str] = (),
                    folds: int = DEFAULT.cv_folds, estimator: Estimator | None = None,
                    config: AuditConfig = DEFAULT, dev: bool = False, parallelism: int = 5) -> DataFrame:
-    """(metric, cv_mean, cv_std, cv_folds): weighted F1 or RMSE over key-hash folds, population deviation.
+    """(metric, cv_mean, cv_std, cv_folds): weighted F1 over stratified folds or RMSE over hashed ones, population deviation.
 
     Preparation is fitted again inside every fold, so no fold sees its own rows.  Folds are independent
     and run side by side, as in Spark's own cross-validator.
@@ -146,7 +148,10 @@ def cross_validate(df: DataFrame, target: str, task: str, key: str, exclude: Seq
     task = check_task(task)
     metric = "f1" if task == "classification" else "rmse"
     used = [c for c in df.columns if c not in exclude]
-    tagged = df.select(*[col(c) for c in used]).withColumn("__fold", fold_of(key, folds)).persist()
+    narrow = df.select(*[col(c) for c in used])
+    # Classes are shared out evenly; numbers have no classes.
+    tagged = (stratified_folds(narrow, key, target, folds).withColumnRenamed("fold", "__fold") if task == "classification"
+              else narrow.withColumn("__fold", fold_of(key, folds))).persist()
 
     def score(k: int) -> float:
         fitted = train(tagged.filter(F.col("__fold") != k), target, task, [key, "__fold"],
@@ -170,6 +175,12 @@ def cv_fold_sizes(df: DataFrame, key: str, target: str, folds: int = DEFAULT.cv_
             .groupBy("fold", "class").agg(F.count(F.lit(1)).alias("n")))
 
 
+def cv_stratified_sizes(df: DataFrame, key: str, target: str, folds: int = DEFAULT.cv_folds) -> DataFrame:
+    """(fold, class, n): how the stratified folds share out the classes."""
+    return (stratified_folds(df.select(col(key), col(target)), key, target, folds)
+            .groupBy("fold", col(target).cast("string").alias("class")).agg(F.count(F.lit(1)).alias("n")))
+
+
 def _raw_importance(trained: TrainedModel) -> np.ndarray | None:
     model = trained.model
     if hasattr(model, "featureImportances"):
@@ -215,9 +226,9 @@ def permutation_importance(trained: TrainedModel, df: DataFrame, key: str,
                            repeats: int = DEFAULT.permutation_repeats, seed: int = DEFAULT.seed) -> DataFrame:
     """(position, feature, importance, importance_std): score lost when one feature is shuffled.
 
-    Rows are put in random order by a seeded hash of their key; every Arrow batch of that order is then
-    a random sample, and a feature is shuffled inside the batch.  One job scores all copies and a
-    grouped count per (feature, repeat) gives the metrics, so no row leaves its task.
+    Rows fall into random blocks of about ``PERMUTED_ROWS`` by a seeded hash of their key, and a feature is shuffled
+    inside each block; a table of one block is shuffled as a whole.  Blocks and their order come from the keys alone,
+    so the result does not depend on files, batches or tasks.  A grouped count per (feature, repeat) gives the metrics.
     """
     names = trained.prep.feature_names
     width = len(names)
@@ -225,21 +236,24 @@ def permutation_importance(trained: TrainedModel, df: DataFrame, key: str,
             .select(col(key).alias("k"), col(trained.target).cast("string").alias("y"),
                     vector_to_array("features").alias("x"))
             .withColumn("r", F.xxhash64(F.col("k"), F.lit(seed))))
-    mixed = rows.repartition("r").sortWithinPartitions("r", "k").select("r", "y", "x")
-
-    def copies(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            x = np.stack(pdf["x"].to_numpy()) if len(pdf) else np.zeros((0, width))
-            y = pdf["y"].to_numpy()
-            rng = np.random.default_rng([seed, abs(int(pdf["r"].iloc[0])) if len(pdf) else 0])
-            yield pd.DataFrame({"f": -1, "t": 0, "y": y, "x": list(x)})
-            for f in range(width):
-                for t in range(repeats):
-                    z = x.copy()
-                    z[:, f] = rng.permutation(z[:, f])
-                    yield pd.DataFrame({"f": f, "t": t, "y": y, "x": list(z)})
-
-    made = (mixed.mapInPandas(copies, "f int, t int, y string, x array<double>")
+    blocks = max(1, rows.count() // PERMUTED_ROWS)
+    # One group per block and feature: what a task holds is a block times the repeats.
+    grouped = rows.withColumn("b", F.pmod("r", F.lit(blocks))).withColumn("f", F.explode(F.sequence(F.lit(-1), F.lit(width - 1))))
+
+    def copies(block: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        f = int(block[1])
+        ordered = pdf.sort_values(["r", "k"])
+        x, y = np.stack(ordered["x"].to_numpy()), ordered["y"].to_numpy()
+        rng = np.random.default_rng([seed, int(block[0]), f + 1])
+        made = []
+        for t in range(repeats if f >= 0 else 1):
+            z = x.copy()
+            if f >= 0:
+                z[:, f] = rng.permutation(z[:, f])
+            made.append(pd.DataFrame({"f": f, "t": t, "y": y, "x": list(z)}))
+        return pd.concat(made)
+
+    made = (grouped.groupBy("b", "f").applyInPandas(copies, "f int, t int, y string, x array<double>")
             .select("f", "t", "y", array_to_vector("x").alias("features")))
     scored = trained.score(made, ["f", "t", "y"])
     if trained.task == "classification":

@@ -80,3 +80,19 @@ def dev_sample(df: DataFrame, key: str, rows: int = DEFAULT.dev_rows, seed: int
 def fold_of(key: str, folds: int = DEFAULT.cv_folds) -> Column:
     """Cross-validation fold of a row from its key, independent of the hash digits the split uses."""
     return F.conv(F.substring(_md5(key), 9, 8), 16, 10).cast("bigint") % folds
+
+
+def stratified_folds(df: DataFrame, key: str, target: str, folds: int = DEFAULT.cv_folds) -> DataFrame:
+    """Adds ``fold``: every class is dealt out in turn by the hash of its keys, so fold sizes differ by one per class.
+
+    A class is ranked within hash prefixes, whose counts give the rank before; none of its tasks grows with the class
+    alone.  Missing target values are a class of their own.
+    """
+    spread = df.withColumns({"__y": value(df, target).cast("string"), "__h": F.md5(F.concat(col(key).cast("string"), F.lit(":fold")))})
+    spread = spread.withColumn("__p", F.substring("__h", 1, 3))
+    counts = spread.groupBy("__y", "__p").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("__y").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select(F.col("__y").alias("y2"), F.col("__p").alias("p2"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__first"))
+    ranked = spread.withColumn("__r", F.row_number().over(Window.partitionBy("__y", "__p").orderBy("__h", col(key))) - 1)
+    dealt = ranked.join(first, F.col("__y").eqNullSafe(F.col("y2")) & (F.col("__p") == F.col("p2")))
+    return dealt.select(*map(col, df.columns), F.pmod(F.col("__first") + F.col("__r"), F.lit(folds)).alias("fold"))

@@ -542,6 +542,9 @@ ORACLES["regression_metrics"] = sql(f"""
 ORACLES["cv_folds"] = sql(f"""
     SELECT {HASH.format(k='o_orderkey', p=9)} % 5 AS fold, y_rare::VARCHAR AS class, count(*) AS n FROM orders_dirty
     GROUP BY 1, 2""", "orders_dirty")
+ORACLES["cv_folds_stratified"] = sql("""
+    SELECT fold, class, count(*) AS n FROM (SELECT y_rare::VARCHAR AS class, (row_number() OVER (
+        PARTITION BY y_rare ORDER BY md5(o_orderkey::VARCHAR || ':fold'), o_orderkey) - 1) % 5 AS fold FROM orders_dirty) GROUP BY 1, 2""", "orders_dirty")
 _CURVE = """SELECT bin, coalesce(n, 0) AS n, coalesce(sp, 0) / (coalesce(n, 0) + 1e-8::DOUBLE) AS predicted,
     coalesce(sy, 0) / (coalesce(n, 0) + 1e-8::DOUBLE) AS actual FROM (SELECT unnest(range(10)) AS bin) LEFT JOIN (
       SELECT least(floor(p * 10), 9)::BIGINT AS bin, count(*) AS n, sum(p) AS sp, sum(y)::DOUBLE AS sy

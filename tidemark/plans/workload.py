@@ -10,7 +10,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..config import AuditConfig
 from ..operators import charts, checks, drift, metrics, models, observe, prep, profile, recommend, rows, split
 from ..operators.outliers import multivariate_outliers
 from ..schema import col, local_frame
@@ -24,8 +23,6 @@ from .audit import audit, run_all_checks
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 MODEL_COLUMNS = [v.KEY, "o_orderstatus", "segment", "price", "price_info", "heavy", "split", "y_rare"]
-# A smaller forest keeps the registered model queries quick; the operators default to 100 trees.
-SMALL_FOREST = AuditConfig(num_trees=20, max_depth=5, cv_folds=5)
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -376,7 +373,7 @@ def _model(spark, d, task="classification", target="y_rare"):
     rows_ = v.orders_split(spark, d)
     keep = [c for c in MODEL_COLUMNS if c not in ("y_rare", "price_info")] + [target]
     rows_ = rows_.select(*keep)
-    return rows_, models.train(_train(rows_), target, task, [v.KEY, "split"], config=SMALL_FOREST)
+    return rows_, models.train(_train(rows_), target, task, [v.KEY, "split"])
 
 
 @query("rf_classify")
@@ -428,10 +425,15 @@ def cv_folds(spark, d):
     return models.cv_fold_sizes(v.orders_dirty(spark, d), v.KEY, "y_rare")
 
 
+@query("cv_folds_stratified")
+def cv_folds_stratified(spark, d):
+    return models.cv_stratified_sizes(v.orders_dirty(spark, d), v.KEY, "y_rare")
+
+
 @query("cross_validate")
 def cross_validate(spark, d):
     rows_ = v.orders_dirty(spark, d).select(v.KEY, "segment", "price", "heavy", "y_rare")
-    return models.cross_validate(rows_, "y_rare", "classification", v.KEY, config=SMALL_FOREST, dev=True)
+    return models.cross_validate(rows_, "y_rare", "classification", v.KEY)
 
 
 @query("feature_importance")
@@ -564,5 +566,4 @@ def missing_top10(spark, d):
 
 @query("audit_report")
 def audit_report(spark, d):
-    rows_ = v.orders_dirty(spark, d).drop("c_name", "leak", "const_col")
-    return report_rows(audit(rows_, "y_rare", "classification", v.KEY, dev=False, config=SMALL_FOREST).tables)
+    return report_rows(audit(v.orders_dirty(spark, d), "y_rare", "classification", v.KEY).tables)
