@@ -170,3 +170,29 @@ def op7_secrets(spark, d):
     found = scan_secrets(documents(spark, d).select("doc_id", "text"))
     return found.select(F.col("id").alias("doc_id"), "place", F.length("candidate").alias("length"),
                         F.sha2("candidate", 256).alias("candidate_sha256"), F.round("score", 6).alias("score"), "secret")
+
+
+ORACLES["op3_ngram_join"] = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {A_TO_Z}), '[^\x20\x09-\x0D]+') w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') k FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) i
+      FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id x, b.doc_id y, count(*) c FROM s a JOIN s b ON a.k = b.k AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS MATERIALIZED (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 75 * (a.n + b.n - c)),
+e AS MATERIALIZED (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(doc_id, c) AS (SELECT doc_id, doc_id FROM n UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.doc_id WHERE r.c < e.y)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT n_shingles, coalesce(m.c, w.doc_id) component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(c) c FROM r GROUP BY doc_id) m USING (doc_id)
+"""
+
+ORACLES["op5_substring_dedup"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') w FROM documents),
+k AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) i FROM w WHERE len(w) >= 50)),
+f AS (SELECT h, min(doc_id) first FROM k GROUP BY h),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) p FROM k JOIN f USING (h) WHERE first < doc_id),
+o AS (SELECT doc_id, generate_subscripts(w, 1) p, unnest(w) word FROM w),
+t AS (SELECT doc_id, string_agg(word, ' ' ORDER BY p) kept FROM o ANTI JOIN g USING (doc_id, p) GROUP BY doc_id),
+c AS (SELECT doc_id, count(*) n FROM g GROUP BY doc_id)
+SELECT w.doc_id, len(w)::BIGINT n_words, coalesce(c.n, 0)::BIGINT n_removed, sha256(coalesce(t.kept, '')) kept_sha256
+FROM w LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
