@@ -74,6 +74,7 @@ RECOMMENDATION_TEXT = {
     "high_cardinality": "High-cardinality categorical features detected. Review encoding strategy and memory "
                         "impact.",
 }
+# The texts around the recommendations.
 RECOMMENDATION_FALLBACK = ("Review detected issues and validate data quality, preprocessing stability, and "
                            "model robustness.")
 CRITICAL_PREFIX = "Immediate attention recommended. "

@@ -18,7 +18,7 @@ from ..operators.split import dev_sample, split_hash, split_stratified, stratify
 from ..schema import col, flat_columns, materialise, numeric_columns, require_columns, run_together
 from ..sources.csv import load_csv, require_rows
 from ..sources.report import to_plain, write_report
-from ..sources.scratch import checkpointed
+from ..sources.scratch import checkpointed, stored
 
 
 @dataclass
@@ -39,6 +39,7 @@ class AuditResult:
         for r in listed("metrics"):
             sections[r["split"]][r["metric"]] = r["value"] if r["value"] is not None else 0.0
         issues = listed("issues")
+        # The names of the report's sections.
         return {
             "pipeline_status": "success", "dataset": self.dataset, "feature_audit": listed("feature_audit"),
             "psi_table": listed("psi_table"), "vif_table": listed("vif_table"), "telemetry": self.telemetry,
@@ -51,6 +52,7 @@ class AuditResult:
 
 def failure_report(error: str, telemetry: dict[str, float]) -> dict[str, Any]:
     """The same sections, empty, with the error."""
+    # The names of the report's sections.
     return {"pipeline_status": "failure", "error": error, "dataset": {}, "feature_audit": [], "telemetry": telemetry,
             "issues": [], "recommendations": [], "metrics": {}, "psi_table": [], "vif_table": [],
             "feature_importance": {}, "critical_issues": 0}
@@ -101,8 +103,9 @@ def audit(df: DataFrame, target: str, task: str, key: str, exclude: Sequence[str
           with_model: bool = True) -> AuditResult:
     """Audits a table before and after model training.
 
-    The table is only ever scanned, column-pruned, by aggregates; what is kept between stages are result
-    tables of a few rows per column.  Scaling, imputation, checks and multicollinearity see train rows only.
+    The source is read once and kept as Parquet in the shared folder, then once more with a folder per split; all
+    stages scan that, column-pruned, by aggregates.  What else is kept between stages are result tables of a few rows
+    per column.  Scaling, imputation, checks and multicollinearity see train rows only.
     """
     task = models.check_task(task)
     telemetry: dict[str, float] = {}
@@ -111,14 +114,15 @@ def audit(df: DataFrame, target: str, task: str, key: str, exclude: Sequence[str
     skip = [key, *exclude]
     with _timed(telemetry, "data_loading"):
         require_columns(df, [target, key])
-        require_rows(df)
         if dev:
-            df = dev_sample(df, key, config.dev_rows, config.seed).persist()
+            df = dev_sample(df, key, config.dev_rows, config.seed)
+        df = stored(df, "audit-source")
+        require_rows(df)
         cols = flat_columns(df, skip)
         info = {r["metric"]: r["value"] for r in profile.basic_info(df, cols).collect()}
         result.tables["feature_audit"] = materialise(profile.feature_audit(df, cols))
     with _timed(telemetry, "split"):
-        tagged = split_for(df, key, target, task, config)
+        tagged = stored(split_for(df, key, target, task, config), "audit-split", "split")
         train, test = (tagged.filter(col("split") == s).drop("split") for s in ("train", "test"))
     features = [c for c in cols if c != target]
     numeric = [c for c in numeric_columns(df, skip) if c != target]
