@@ -68,9 +68,11 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = lambda chunks: F.aggregate(chunks, F.lit(0).cast("bigint"), lambda n, c: n + c["lines"])
     text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(kept, lambda c: c["body"]), "\n"))
     gone = F.filter("_chunks", lambda c: F.array_contains("_gone", c["start"]))
-    return whole.select(*[(text if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns],
-                        F.coalesce(lines("_chunks"), F.lit(0)).alias("_lines"),
-                        F.when(F.col("_gone").isNull(), 0).otherwise(lines(gone)).cast("bigint").alias("_removed"))
+    made = F.struct(*[(text if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns],
+                    F.coalesce(lines("_chunks"), F.lit(0)).alias("_lines"),
+                    F.when(F.col("_gone").isNull(), 0).otherwise(lines(gone)).cast("bigint").alias("_removed"))
+    # As a generated row: a filter on plain columns would be pushed below the chunks and cut them again for every line.
+    return whole.select(F.inline_outer(F.array(made)))
 
 
 def keep_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
