@@ -7,6 +7,7 @@ the whole audit, which comes last) and is then timed; the result is consumed by
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -34,6 +35,7 @@ def main() -> None:
              .config("spark.sql.shuffle.partitions", str(max(int(cpus) if cpus.isdigit() else 8, 4)))
              .config("spark.sql.adaptive.enabled", "true").config("spark.ui.enabled", "false")
              .config("spark.ui.showConsoleProgress", "false").config("spark.driver.memory", "12g")
+             .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     wanted = sys.argv[1:] or HEADLINE

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark import load_csv
-from tidemark.operators import checks, drift, models
+from tidemark.operators import checks, drift, models, rows as checks_rows
 from tidemark.operators.split import stratified_folds
 from tidemark.sources import scratch
 
@@ -85,6 +85,17 @@ def test_stratified_folds_share_out_rare_classes(spark):
         assert sum(per) == total and max(per) - min(per) <= 1
 
 
+def test_rows_are_combined_before_they_are_shuffled(spark):
+    hot = spark.range(3000).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("a"), F.lit(None).cast("int").alias("b"),
+                                   F.when(F.col("id") % 3 == 0, "test").otherwise("train").alias("split"))
+    swapped = hot.select(F.col("b").alias("a"), F.col("a").cast("int").alias("b"), "split")
+    both = hot.select(F.col("a").cast("int").alias("a"), "b", "split").union(swapped)
+    assert checks_rows.duplicates(both, ["a", "b"]).first()["total_duplicates"] == 2 * 1499
+    assert checks_rows.row_overlap(both, ["a", "b"]).first()["overlap_count"] == 2 * 500
+    plan = checks_rows.duplicates(hot, ["a", "b"])._jdf.queryExecution().sparkPlan().toString()
+    assert "partial_count" in plan and "Join" not in plan
+
+
 # --- files ------------------------------------------------------------------------------------------
 
 def written(folder, **files):

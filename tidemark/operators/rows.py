@@ -8,16 +8,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..schema import col, value
 
-# Rows with more columns than this are first matched on a 64-bit hash, so that the shuffle of the
-# whole table carries eight bytes per row and only rows with an equal hash move in full.
-WIDE_ROW = 4
 
+def _digests(df: DataFrame, cols: Sequence[str]) -> list[Column]:
+    """128 bits for a row's values: what stands for the row in a shuffle, whatever its width.
 
-def _same_hash_rows(df: DataFrame, cols: Sequence[str], keep: Column) -> DataFrame:
-    """Rows whose hash group satisfies ``keep``; a superset of the rows wanted, checked in full later."""
-    hashed = df.withColumn("__h", F.xxhash64(*[col(c) for c in cols]))
-    groups = hashed.groupBy("__h").agg(keep.alias("__keep")).filter("__keep").select("__h")
-    return hashed.join(groups, "__h", "left_semi").drop("__h")
+    The hashes skip missing values, so which ones are missing is hashed too.
+    """
+    gaps = F.concat(*[F.when(col(c).isNull(), "1").otherwise("0") for c in cols])
+    return [F.xxhash64(F.lit(k), gaps, *map(col, cols)).alias(f"__h{k}") for k in (1, 2)]
 
 
 def _clean(df: DataFrame, cols: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
@@ -25,17 +23,14 @@ def _clean(df: DataFrame, cols: Sequence[str], extra: Sequence[Column] = ()) ->
 
 
 def duplicates(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """(total_duplicates, duplicate_percentage, has_duplicates): rows equal to an earlier row."""
+    """(total_duplicates, duplicate_percentage, has_duplicates): rows equal to an earlier row.
+
+    One scan; equal rows, compared by their digests, are counted by each task before the shuffle.  Missing equals missing.
+    """
     cols = list(cols or df.columns)
     rows = _clean(df, cols)
-    if len(cols) > WIDE_ROW:
-        rows = _same_hash_rows(rows, cols, F.count(F.lit(1)) > 1)
-    repeated = (rows.groupBy(*[col(c) for c in cols]).agg(F.count(F.lit(1)).alias("__cnt"))
-                .agg(F.coalesce(F.sum(F.col("__cnt") - 1), F.lit(0)).cast("bigint").alias("dup"),
-                     F.lit(0).cast("bigint").alias("n")))
-    size = df.agg(F.lit(0).cast("bigint").alias("dup"), F.count(F.lit(1)).alias("n"))
-    n, dup = F.sum("n"), F.sum("dup")
-    return repeated.unionByName(size).agg(
+    n, dup = F.coalesce(F.sum("__cnt"), F.lit(0)).cast("bigint"), F.coalesce(F.sum(F.col("__cnt") - 1), F.lit(0)).cast("bigint")
+    return rows.groupBy(*_digests(rows, cols)).agg(F.count(F.lit(1)).alias("__cnt")).agg(
         dup.alias("total_duplicates"),
         (dup / F.greatest(n, F.lit(1)) * 100).alias("duplicate_percentage"),
         (dup > 0).alias("has_duplicates"))
@@ -44,22 +39,15 @@ def duplicates(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 def row_overlap(df: DataFrame, cols: Sequence[str], split: str = "split") -> DataFrame:
     """(overlap_count, test_rows, overlap_pct): test rows whose feature values also occur in train.
 
-    One grouping on the feature values counts both splits, so a value held by a third of the rows is
+    One grouping on the digests of the feature values counts both splits, so a value held by a third of the rows is
     combined before the shuffle and there is no join of the two splits.  Missing equals missing.
     """
     flags = [F.when(col(split) == "train", 1).otherwise(0).alias("__train"),
              F.when(col(split) == "test", 1).otherwise(0).alias("__test")]
     rows = _clean(df, cols, flags)
-    narrow = rows
-    if len(cols) > WIDE_ROW:
-        narrow = _same_hash_rows(rows, cols, (F.max("__train") > 0) & (F.max("__test") > 0))
-    shared = (narrow.groupBy(*[col(c) for c in cols]).agg(F.sum("__train").alias("__a"), F.sum("__test").alias("__b"))
-              .agg(F.coalesce(F.sum(F.when(F.col("__a") > 0, F.col("__b"))), F.lit(0)).cast("bigint").alias("hit"),
-                   F.lit(0).cast("bigint").alias("n")))
-    size = rows.agg(F.lit(0).cast("bigint").alias("hit"),
-                    F.coalesce(F.sum("__test"), F.lit(0)).cast("bigint").alias("n"))
-    hit, n = F.sum("hit"), F.sum("n")
-    return shared.unionByName(size).agg(
+    hit = F.coalesce(F.sum(F.when(F.col("__a") > 0, F.col("__b"))), F.lit(0)).cast("bigint")
+    n = F.coalesce(F.sum("__b"), F.lit(0)).cast("bigint")
+    return rows.groupBy(*_digests(rows, cols)).agg(F.sum("__train").alias("__a"), F.sum("__test").alias("__b")).agg(
         hit.alias("overlap_count"), n.alias("test_rows"),
         (hit / F.greatest(n, F.lit(1)) * 100).alias("overlap_pct"))
 
