@@ -180,15 +180,17 @@ ORACLES["basic_info"] = sql(f"""
     UNION ALL SELECT 'num_columns', 6 UNION ALL SELECT 'duplicate_rows', total_duplicates FROM dup
     UNION ALL SELECT 'missing_cells', ({' + '.join(f'(count(*) - count({c}))' for c in ORDER_COLUMNS)})::BIGINT
     FROM orders_dup""", "orders_dup", dup=_duplicates(ORDER_COLUMNS, "orders_dup"))
+_KINDS = {"BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string"}
 ORACLES["feature_audit"] = sql("""
     SELECT *, row_number() OVER (ORDER BY missing_pct DESC, feature) AS position FROM rows_""", "orders_dirty",
     rows_=union([f"""SELECT '{c}' AS feature, round((count(*) - count({c})) * 100.0::DOUBLE / count(*), 2) AS missing_pct,
         count(DISTINCT {c}) AS unique_values, {str(c not in DIRTY_TEXT).lower()} AS is_numeric,
-        {str(c in DIRTY_TEXT).lower()} AS is_categorical FROM orders_dirty""" for c in DIRTY_COLUMNS]))
+        {str(c in DIRTY_TEXT).lower()} AS is_categorical,
+        CASE any_value(typeof({c})) {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in _KINDS.items())} END AS dtype
+        FROM orders_dirty""" for c in DIRTY_COLUMNS]))
 ORACLES["preview"] = sql(f"SELECT {', '.join(DIRTY_COLUMNS).replace('leak', r6('leak') + ' AS leak')} "
                          "FROM orders_dirty ORDER BY o_orderkey LIMIT 5", "orders_dirty")
 
-_KINDS = {"BIGINT": "bigint", "DOUBLE": "double", "VARCHAR": "string"}
 ORACLES["data_types"] = sql(union([f"""
     SELECT '{c}' AS feature, CASE any_value(typeof({c})) {' '.join(f"WHEN '{a}' THEN '{b}'" for a, b in _KINDS.items())} END AS dtype,
       '{'categorical' if c in DIRTY_TEXT else 'numeric'}' AS kind, count({c}) AS present FROM orders_dirty"""
@@ -283,6 +285,10 @@ def _iqr(cols: list[str], view: str) -> str:
 _COMPLETE = f"SELECT * FROM orders_dirty WHERE {' AND '.join(f'{c} IS NOT NULL' for c in NUMERIC)}"
 _IQR_OUT = (f"SELECT feature, {r6('q1')} AS q1, {r6('q3')} AS q3, {r6('lower')} AS lower, {r6('upper')} AS upper, outliers "
             "FROM i WHERE outliers > 0")
+ORACLES["iqr_outliers_wide"] = """
+    WITH complete AS (SELECT * FROM orders WHERE o_orderkey % 12 NOT IN (0, 1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11))
+    SELECT 'c0' AS feature, q1, q3, q1 - 1.5 * (q3 - q1) AS lower, q3 + 1.5 * (q3 - q1) AS upper, outliers FROM (
+      SELECT quantile_cont(o_totalprice, 0.25) AS q1, quantile_cont(o_totalprice, 0.75) AS q3, count(*) AS outliers FROM complete) WHERE outliers > 0"""
 ORACLES["iqr_outliers"] = sql(_IQR_OUT, "orders_dirty", complete=_COMPLETE,
                               i=_iqr([c for c in NUMERIC if c != "y"], "complete"))
 ORACLES["iqr_outliers_lineitem"] = sql(

@@ -102,7 +102,7 @@ def basic_info(spark, d):
 
 @query("feature_audit")
 def feature_audit(spark, d):
-    return profile.feature_audit(v.orders_dirty(spark, d)).drop("dtype")
+    return profile.feature_audit(v.orders_dirty(spark, d))
 
 
 @query("preview")
@@ -176,6 +176,13 @@ def target_leakage(spark, d):
     return checks.target_leakage(v.orders_dirty(spark, d), "y", v.NUMERIC)
 
 
+@query("iqr_outliers_wide")
+def iqr_outliers_wide(spark, d):
+    """Twelve columns, of which every row misses one."""
+    price, at = F.col("o_totalprice"), F.col("o_orderkey") % 12
+    return checks.iqr_outliers(table(spark, d, "orders").select(*[F.when(at != i, price).alias(f"c{i}") for i in range(12)]))
+
+
 @query("iqr_outliers")
 def iqr_outliers(spark, d):
     return checks.iqr_outliers(v.orders_dirty(spark, d), "y", v.NUMERIC)
