@@ -28,6 +28,8 @@ MATCH = (75, 100)
 SLOTS = 1 << 20
 # Nodes of one token that are all compared with each other; of more, LEADERS are compared with the others.
 SMALL, LEADERS = 12, 4
+# Ids of candidates that are broadcast: 16 bytes each.
+BROADCAST_NODES = 1_000_000
 ORDERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -53,6 +55,11 @@ def under(order: int, tokens: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _node(data: bytes) -> int:
+    """The first 64 bits of a set's digest."""
+    return int.from_bytes(hashlib.blake2b(data, digest_size=16).digest()[:8], "little", signed=True)
+
+
 def set_sizes(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """(id, n, d1, d2): size and 128-bit digest of each document's set; empty sets have digest 0."""
     def size(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,7 +85,7 @@ def frequency_classes(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
         for batch in batches:
             found = np.zeros(SLOTS, np.int64)
             items = list(dict.fromkeys(texts(batch, text_col)))
-            for part in row_chunks(items, 32 << 20):
+            for part in row_chunks(items, 12 << 20):
                 every = np.sort(np.concatenate([np.zeros(0, np.uint64), *token_sets(items[part], n)]))
                 edge = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1], [True]]))
                 times = np.diff(edge)
@@ -102,7 +109,7 @@ def _prefixes(docs: DataFrame, text_col: str, n: int, classes) -> DataFrame:
             for s in token_sets(texts(batch, text_col), n):
                 if not len(s):
                     continue
-                node = hashlib.blake2b(s.tobytes(), digest_size=16).digest()[:8]
+                node = _node(s.tobytes())
                 if node in seen:
                     continue
                 seen.add(node)
@@ -110,7 +117,7 @@ def _prefixes(docs: DataFrame, text_col: str, n: int, classes) -> DataFrame:
                 # Stable: tokens with equal keys keep the order of their hashes, the same in every set.
                 first = np.argsort(level | (under(0, s) >> np.uint64(8)), kind="stable")[:prefix_size(len(s))]
                 tokens.append(s[first])
-                nodes.append(np.full(len(first), np.frombuffer(node, "<i8")[0]))
+                nodes.append(np.full(len(first), node))
                 sizes.append(np.full(len(first), len(s), np.int32))
                 places.append(np.arange(len(first), dtype=np.int32))
             if tokens:
@@ -195,43 +202,80 @@ class _Buckets:
             yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), long, long, short, short], names=self.NAMES)
 
 
-def _shares_prefixes(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets share a prefix token under each further order."""
-    for order in range(1, len(ORDERS)):
-        keys = [np.partition(k, p - 1)[:p] for k, p in ((under(order, s), prefix_size(len(s))) for s in (a, b))]
-        if not len(np.intersect1d(*keys)):
-            return False
-    return True
+def _packed(tokens: np.ndarray) -> bytes:
+    """Tokens by their upper 40 bits, five bytes each: what the comparison of two sets moves and reads."""
+    return np.ascontiguousarray((tokens >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
+def _prefix(order: int, tokens: np.ndarray) -> np.ndarray:
+    """The prefix of a set under one of the further orders."""
+    size = prefix_size(len(tokens))
+    return tokens[np.argpartition(under(order, tokens), size - 1)[:size]]
+
+
+def _packed_prefix(data: bytes) -> bytes:
+    """The prefix of a packed set under the second order, packed."""
+    tokens = _unpacked(data)
+    return _packed(_prefix(1, tokens) << np.uint64(24)) if len(tokens) else b""
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _meet(x: bytes, y: bytes) -> bool:
+    """Whether two prefixes of the second order share a token."""
+    return len(np.intersect1d(_unpacked(x), _unpacked(y))) > 0
+
+
+def _similar(x: bytes, y: bytes) -> bool:
+    """Whether two sets share a prefix token under the third order and enough tokens in all."""
     part, whole = MATCH
-    for batch in batches:
-        keep = []
-        for i, (x, y) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())):
-            a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            if _shares_prefixes(a, b):
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if whole * both >= part * (len(a) + len(b) - both):
-                    keep.append(i)
-        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep, pa.int64())), batch.column(1).take(pa.array(keep, pa.int64()))], names=["x", "y"])
+    a, b = _unpacked(x), _unpacked(y)
+    if not len(np.intersect1d(_prefix(2, a), _prefix(2, b))):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return whole * both >= part * (len(a) + len(b) - both)
+
+
+def _where(pairs: DataFrame, sets: DataFrame, data: str, keep) -> DataFrame:
+    """The pairs (x, y, rx, ry) whose sets' ``data`` fit; each side's data are fetched by a join."""
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fits = [keep(x, y) for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+            yield batch.select(["x", "y", "rx", "ry"]).filter(pa.array(fits, pa.bool_()))
+
+    left = sets.select(F.col("node").alias("x"), F.col("rep").alias("rx"), F.col(data).alias("tx"))
+    right = sets.select(F.col("node").alias("y"), F.col("rep").alias("ry"), F.col(data).alias("ty"))
+    joined = pairs.join(left, "x").join(right, "y").select("x", "y", "rx", "ry", "tx", "ty")
+    return joined.mapInArrow(test, "x bigint, y bigint, rx bigint, ry bigint")
 
 
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
     """Links (x, y) between representatives, of candidate pairs of nodes; each set is built once from its text."""
     nodes = pairs.select(F.col("x").alias("d1")).union(pairs.select("y")).distinct()
-    wanted = classes.join(nodes, "d1").select(F.col("rep").alias("id"), F.col("d1").alias("node"))
-    plain = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).cast("string").alias("text")).dropDuplicates(["id"])
+    wanted = checkpointed(classes.join(nodes, "d1").select(F.col("rep").alias("id"), F.col("d1").alias("node")))
+    plain = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).cast("string").alias("text"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [s.tobytes() for s in token_sets(texts(batch, "text"), n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["rep", "node", "tokens"])
-
-    sets = plain.join(wanted, "id").select("id", "node", "text").mapInArrow(build, "rep bigint, node bigint, tokens binary")
-    left = sets.select(F.col("node").alias("x"), F.col("rep").alias("rx"), F.col("tokens").alias("tx"))
-    right = sets.select(F.col("node").alias("y"), F.col("rep").alias("ry"), F.col("tokens").alias("ty"))
-    return pairs.join(left, "x").join(right, "y").select("rx", "ry", "tx", "ty").mapInArrow(_linked, "x bigint, y bigint")
+            sets = list(token_sets(texts(batch, "text"), n))
+            # Another text under the same id is no part of the node.
+            same = [_node(s.tobytes()) == k for s, k in zip(sets, batch.column(1).to_pylist())]
+            tokens = [_packed(s) for s in sets]
+            second = [_packed_prefix(t) for t in tokens]
+            whole = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(second, pa.binary()), pa.array(tokens, pa.binary())],
+                                               names=["rep", "node", "second", "tokens"])
+            yield whole.filter(pa.array(same, pa.bool_()))
+
+    # A checked number of ids goes to the texts; more are shuffled with them.
+    few = wanted.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
+    chosen = plain.join(F.broadcast(wanted) if few else wanted, "id").select("id", "node", "text")
+    sets = checkpointed(chosen.mapInArrow(build, "rep bigint, node bigint, second binary, tokens binary"))
+    close = _where(pairs, sets, "second", _meet).select("x", "y").distinct()
+    return _where(close, sets, "tokens", _similar).select(F.col("rx").alias("x"), F.col("ry").alias("y"))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = WORDS) -> DataFrame:
@@ -240,7 +284,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Words are split at blanks, A-Z lower-cased; sets hold distinct ``n``-word shingles, or the whole text where it has
     fewer words.  Documents without words have an empty set, no links and themselves as group; so have null ids, which
-    stay null.  Equal rows share a group.  Sets are compared by 64-bit hashes of their shingles, nodes by 64 of the 128
+    stay null.  Equal rows share a group.  Sets are compared by 40 bits of their shingles' hashes, nodes by 64 of the 128
     bits of their digest.  Ids are whole numbers and name one text each.
     """
     sizes = checkpointed(set_sizes(docs, id_col, text_col, n))
