@@ -18,7 +18,7 @@ __all__ = ["appended", "ascii_lower", "byte_table", "checkpointed", "col", "docu
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Bytes of text handled at once inside a task: bounds the arrays a task holds, whatever the size of an Arrow batch.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:

@@ -26,6 +26,8 @@ WORDS = 5
 MATCH = (75, 100)
 # Frequency classes are kept for token hashes modulo this number: one byte each, whatever the size of the corpus.
 SLOTS = 1 << 20
+# Bytes of text whose tokens a task counts at once.
+COUNTED_BYTES = 32 << 20
 # Nodes of one token that are all compared with each other; of more, LEADERS are compared with the others.
 SMALL, LEADERS = 12, 4
 # Ids of candidates that are broadcast: 16 bytes each.
@@ -81,18 +83,25 @@ def frequency_classes(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
 
     A task counts tokens that two of its different sets hold.  The classes only order tokens, so they need not be exact.
     """
+    def counted(items: list[bytes | None]) -> pa.RecordBatch:
+        every = np.sort(np.concatenate([np.zeros(0, np.uint64), *token_sets(list(dict.fromkeys(items)), n)]))
+        edge = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1], [True]]))
+        times = np.diff(edge)
+        again = times > 1
+        slots = (every[edge[:-1][again]] % np.uint64(SLOTS)).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(slots), pa.array(times[again])], names=["slot", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            found = np.zeros(SLOTS, np.int64)
-            items = list(dict.fromkeys(texts(batch, text_col)))
-            for part in row_chunks(items, 12 << 20):
-                every = np.sort(np.concatenate([np.zeros(0, np.uint64), *token_sets(items[part], n)]))
-                edge = np.flatnonzero(np.concatenate([[True], every[1:] != every[:-1], [True]]))
-                times = np.diff(edge)
-                again = times > 1
-                np.add.at(found, (every[edge[:-1][again]] % np.uint64(SLOTS)).astype(np.int64), times[again])
-            at = np.flatnonzero(found)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["slot", "n"])
+            for text in texts(batch, text_col):
+                held.append(text)
+                size += len(text or b"")
+                if size >= COUNTED_BYTES:
+                    yield counted(held)
+                    held, size = [], 0
+        if held:
+            yield counted(held)
 
     rows = docs.select(col(text_col).cast("string").alias(text_col)).mapInArrow(count, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(SLOTS, np.uint8)
@@ -103,9 +112,12 @@ def frequency_classes(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
 def _prefixes(docs: DataFrame, text_col: str, n: int, classes) -> DataFrame:
     """(token, node, n, place) rows of the first order's prefixes; a task gives equal sets once."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = classes.value
+        levels, seen = classes.value, set()
         for batch in batches:
-            tokens, nodes, sizes, places, seen = [], [], [], [], set()
+            tokens, nodes, sizes, places = [], [], [], []
+            # Only spares repeated rows, so it may forget.
+            if len(seen) > 500_000:
+                seen.clear()
             for s in token_sets(texts(batch, text_col), n):
                 if not len(s):
                     continue
