@@ -44,7 +44,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     null with 0 lines; an empty text is one empty line.  A text that loses all of its chunks becomes empty.
     """
     # The row's identity for the decisions; its own columns may have any names.
-    plain = docs.select(F.struct(*map(col, docs.columns)).alias("_row"), col(id_col).alias("_id"),
+    plain = docs.select(F.struct(*[col(c) for c in docs.columns if c != text_col]).alias("_row"), col(id_col).alias("_id"),
                         col(text_col).cast("string").alias("_text")).withColumn("_mark", F.xxhash64("_text"))
     place = F.struct("_id", "_mark", "_start")
     cut = _cut(plain.select("_id", "_mark", "_text"), F.col("_text"), divisor)
