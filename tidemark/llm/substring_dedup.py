@@ -179,12 +179,14 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = filed.groupBy("gram").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("gram")
     wanted = filed.join(shared, "gram").groupBy("id").agg(F.collect_set("gram").alias("grams"))
     segments = checkpointed(_segments(plain.join(wanted, "id").select("id", "text", "grams"), window, prefix))
-    distinct = segments.groupBy("gram", "k1", "k2").agg(F.min("id").alias("low"), F.max("n").alias("n"), F.max("words").alias("words"))
-    sizes = distinct.groupBy("gram").agg(F.sum("n").alias("suffixes"))
-    large = sizes.filter(F.col("suffixes") > group_suffixes).select("gram")
+    distinct = segments.groupBy("gram", "k1", "k2").agg(F.min("id").alias("low"), F.max("words").alias("words"))
+    sizes = segments.select("gram", "k1", "k2", "n").distinct().groupBy("gram").agg(F.sum("n").alias("suffixes"))
+    large = checkpointed(sizes.filter(F.col("suffixes") > group_suffixes).select("gram"))
     columns = ["gram", "k1", "k2", "low", "words"]
-    grouped = distinct.join(large, "gram", "left_anti").select(columns).repartition("gram").sortWithinPartitions("gram")
-    lows = _subtrees(grouped, window).union(_whole_windows(distinct.join(large, "gram", "left_semi").select(columns), window))
+    fitting = distinct if large.isEmpty() else distinct.join(large, "gram", "left_anti")
+    lows = _subtrees(fitting.select(columns).repartition("gram").sortWithinPartitions("gram"), window)
+    if not large.isEmpty():
+        lows = lows.union(_whole_windows(distinct.join(large, "gram", "left_semi").select(columns), window))
     older = F.filter(F.transform("lows", lambda low, i: F.when(low < F.col("id"), F.col("start") + i)), lambda s: s.isNotNull())
     hits = segments.select("id", "start", "k1", "k2").join(lows, ["k1", "k2"]).select("id", older.alias("starts")).filter(F.size("starts") > 0)
     return hits.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
