@@ -10,7 +10,9 @@ the number of classes, never on the number of documents.
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,35 +29,73 @@ CACHE_WORDS = 400_000
 MAX_COLUMNS = 4000
 
 
+# Words whose tokens follow from the model alone: Latin letters (all in composed form) are one piece for the tokenizer, the
+# signs behind them another.
+PLAIN = re.compile(r"([a-z\u00DF-\u00F6\u00F8-\u024F]+)([.,!?;:]*)")
+ASCII = re.compile(rb"([a-z]+)([.,!?;:]*)")
+
+
+def _byte_letters() -> dict[int, str]:
+    """The printable letter that stands for each byte outside ASCII in a byte-level vocabulary.
+
+    Fixed rule of such vocabularies: printable Latin-1 bytes stand for themselves, the others for 256 and upwards.
+    """
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
 class WordIds:
     """Token ids of blank-separated words.  The tokenizer never joins text across blanks, so words can be remembered."""
 
     def __init__(self, path: str):
+        self.path = path
+        self.tokenizer = None
+
+    def __reduce__(self):
+        # As a broadcast variable the tokenizer is loaded once in each Python worker.
+        return WordIds, (self.path,)
+
+    def load(self) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = Tokenizer.from_file(self.path)
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.known: dict[bytes, bytes] = {}
 
     def encode(self, text: bytes) -> bytes:
-        words = text.split()
+        if self.tokenizer is None:
+            self.load()
+        words = text.lower().split()
         found = list(map(self.known.get, words))
         if None in found:
-            self.learn({w for w, f in zip(words, found) if f is None})
-            found = list(map(self.known.__getitem__, words))
+            for i, known in enumerate(found):
+                if known is None:
+                    found[i] = self.learn(words[i])
         if len(self.known) > CACHE_WORDS:
             self.known.clear()
         return b"".join(found)
 
-    def learn(self, words: set[bytes]) -> None:
-        plain = [w for w in words if b"<|" not in w]
-        new = self.tokenizer.encode([w.decode("utf-8", "replace") for w in plain], is_pretokenized=True, add_special_tokens=False)
-        ids, owner = np.array(new.ids, "<u4"), np.array([-1 if w is None else w for w in new.word_ids], np.int64)
-        at = np.searchsorted(owner, np.arange(len(plain) + 1))
-        self.known.update((w, ids[at[i]:at[i + 1]].tobytes()) for i, w in enumerate(plain))
-        # Marks of special tokens are found in running text only.
-        for w in words.difference(plain):
-            self.known[w] = np.array(self.tokenizer.encode(w.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+    def learn(self, word: bytes) -> bytes:
+        plain = ASCII.fullmatch(word)
+        if plain:
+            letters, signs = plain[1].decode(), plain[2]
+        else:
+            text = word.decode("utf-8", "replace")
+            match = PLAIN.fullmatch(text.lower())
+            if not match:
+                out = self.known[word] = array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+                return out
+            letters, signs = match[1].encode().decode("latin-1").translate(self.letters), match[2].encode()
+        if signs:
+            base = word[:-len(signs)]
+            out = (self.known.get(base) or self.learn(base)) + (self.known.get(signs) or self.learn(signs))
+        else:
+            out = array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+        self.known[word] = out
+        return out
 
 
 def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
@@ -65,8 +105,10 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     A document is the ids of its text and the end token; a null or empty text is the end token alone.  Long documents
     are cut every ``capacity`` tokens.  Repeated rows give their pieces again; no rows give none.
     """
+    shared = docs.sparkSession.sparkContext.broadcast(WordIds(tokenizer))
+
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordIds(tokenizer)
+        words = shared.value
         mark = np.array([end], "<u4").tobytes()
         for batch in batches:
             at, rows = [], []
@@ -80,6 +122,8 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
             columns = zip(*rows) if rows else [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array(c, pa.int64()) for c in columns)],
                                              names=[id_col, "start", "length", "ids_crc32", "doc_tokens"])
+        # The words go with the task: an idle worker keeps no more than the tokenizer.
+        words.known.clear()
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(col(id_col), col(text_col).cast("string").alias(text_col)).mapInArrow(
