@@ -257,6 +257,20 @@ def test_fingerprints_of_few_rows(spark):
         ("1000000000000", "n"), ("7", ""), ("7", "a"), ("None", "a")]
 
 
+def test_fingerprints_of_texts_without_blanks(spark):
+    rng = random.Random(6)
+    draw = lambda n: "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(n))
+    text, part = draw(4000), "".join(rng.choice("abcdefgh0123😀\u2028") for _ in range(fingerprint.LONG + 1))
+    rows = [(text, draw(1) + text), (text, draw(2) + text), (draw(50) + part + draw(91), draw(33) + part), ("a b " + part, draw(7) + part + " c d"), (text, draw(4000))]
+    df = fingerprint.with_prints(spark.createDataFrame(rows, "a string, b string"), {"x": "a", "y": "b"})
+    near = [r[0] for r in df.select(fingerprint.likeness("x", "y")).collect()]
+    assert near[0] > 0.99 and near[1] > 0.99 and 0 < near[2] < 1 and 0 < near[3] < 1 and near[4] < 0.01
+    # A piece from every code point: the winnowed minimum over all of a short run.
+    tokens = [part[i:i + 4] for i in range(len(part) - 3)]
+    joined = fingerprint.with_prints(spark.createDataFrame([(part, " ".join(tokens))], "a string, b string"), {"x": "a", "y": "b"})
+    assert joined.filter("x = y and size(x) > 0").count() == 1
+
+
 def test_successors_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "SORTED_RANGES", 5)
     keys = sorted({x * x % 9973 for x in range(120)})

@@ -1,8 +1,10 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text (A-Z lower-cased) is read as pieces of up to four characters that begin anew after blanks.  Rolling hashes of
+A text (A-Z lower-cased) is read as pieces of up to four characters that begin anew after blanks; in a run of more than
+``LONG`` characters without blanks a piece begins at every character, so that no place of a run decides.  Rolling hashes of
 ``GRAM`` pieces are winnowed: of each window of ``WINDOW`` hashes the smallest is kept, the rightmost of equal ones, with
-its position.  Two texts that share a run of GRAM + WINDOW - 1 pieces share a kept hash.
+its position.  Two texts that share a run of GRAM + WINDOW - 1 pieces share a kept hash: any passage with LONG + 1
+characters in a row without blanks, and any other with so many pieces between its first and last blank.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .common import ascii_lower, checkpointed, col
 
 GRAM, WINDOW = 4, 8
+LONG = 16
 PRIME = 2_147_483_647
 STEP = 1_000_003
 # Documents per range of ids; neighbours within a range meet in one task.
@@ -33,7 +36,11 @@ def with_prints(df: DataFrame, sources: dict[str, str]) -> DataFrame:
     """
     names = list(sources)
     counts = {f"{n}_n": F.greatest(F.size(n), F.lit(0)) for n in names}
-    df = df.withColumns({n: F.regexp_extract_all(ascii_lower(F.coalesce(col(t), F.lit(""))), F.lit(r"(\S{1,4})")) for n, t in sources.items()})
+    # A long run comes whole, and then a piece from each of its characters but the last three.
+    pieces = F.lit(rf"(\S{{{LONG + 1},}}|\S{{1,4}})")
+    df = df.withColumns({n: F.regexp_extract_all(ascii_lower(F.coalesce(col(t), F.lit(""))), pieces) for n, t in sources.items()})
+    each = lambda p: F.when(F.length(p) > 4, F.regexp_extract_all(p, F.lit("(?s)(?=(.{4}))."))).otherwise(F.array(p))
+    df = df.withColumns({n: F.when(F.exists(n, lambda p: F.length(p) > 4), F.flatten(F.transform(n, each))).otherwise(F.col(n)) for n in names})
     df = df.withColumns(counts)
     df = df.withColumns({n: F.transform(n, lambda p: F.pmod(F.xxhash64(p), F.lit(PRIME))) for n in names})
     for by, step in ((1, STEP), (2, STEP * STEP % PRIME)):
