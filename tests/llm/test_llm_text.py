@@ -271,6 +271,18 @@ def test_fingerprints_of_texts_without_blanks(spark):
     assert joined.filter("x = y and size(x) > 0").count() == 1
 
 
+def test_ranges_of_unevenly_spread_ids(spark):
+    ids = [*range(3_000), *range(10 ** 15, 10 ** 15 + 2_000), 2 ** 62] + [10 ** 9 * 2 ** k for k in range(30)]
+    docs = spark.createDataFrame([(i, f"t{i}") for i in ids] + [(None, "none")], "doc_id bigint, text string")
+    dealt, ranges = fingerprint._ranged(docs.select(F.col("doc_id").alias("offset")), 20)
+    sizes = dealt.groupBy("range").agg(F.count("*").alias("n"), F.min("offset").alias("a"), F.max("offset").alias("b")).orderBy("range").collect()
+    assert max(r["n"] for r in sizes) <= 80 and {r["range"] for r in sizes} == {r["key"] for r in ranges.collect()}
+    assert all(x["b"] < y["a"] for x, y in zip(sizes[1:], sizes[2:])) and sizes[0]["a"] is None
+    order = sorted(set(ids))
+    got = {r["text"]: r["next_text"] for r in fingerprint.neighbours(docs, rows=20).collect()}
+    assert got == {**{f"t{a}": f"t{b}" for a, b in zip(order, order[1:])}, f"t{order[-1]}": "none", "none": "t0"}
+
+
 def test_successors_over_many_ranges(spark, monkeypatch):
     monkeypatch.setattr(fingerprint, "SORTED_RANGES", 5)
     keys = sorted({x * x % 9973 for x in range(120)})

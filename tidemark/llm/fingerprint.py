@@ -85,19 +85,43 @@ def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "prints") -
     return with_prints(docs, {out: text_col})
 
 
+def _ranged(plain: DataFrame, rows: int) -> tuple[DataFrame, DataFrame]:
+    """The rows of ``plain`` (offset, ...) with their ``range``, and the ranges (key); a range's key is its least offset.
+
+    Ranges are equal slices of the offsets, and a slice with more than four times ``rows`` is sliced again between its
+    own least and largest offset, until none is left; rows with equal offsets stay together and null ones come first.
+    Only slices that are cut again are broadcast, at most one for each ``4 * rows`` rows.
+    """
+    def counted(df: DataFrame) -> DataFrame:
+        return checkpointed(df.groupBy("range").agg(F.count("*").alias("n"), F.min("offset").alias("base"), F.max("offset").alias("top")))
+
+    least, top, n = plain.agg(F.min("offset"), F.max("offset"), F.count("*")).first()
+    span = (top or 0) - (least or 0) + 1
+    width = max(1, min(span, span * rows // max(n, 1)))
+    # Whole-number division: quotients of doubles would misplace large ids.
+    out = plain.withColumn("range", F.coalesce(F.expr(f"(offset div {width}) * {width}"), F.lit(-1)))
+    while True:
+        counts = counted(out.select("range", "offset"))
+        full = (counts.filter((F.col("n") > 4 * rows) & (F.col("base") < F.col("top")))
+                .select("range", "base", F.greatest(F.lit(1), F.floor((F.col("top") - F.col("base") + 1) / F.col("n") * rows)).cast("bigint").alias("width")))
+        if full.isEmpty():
+            return out, counts.select(F.col("range").alias("key"))
+        inner = F.expr("base + ((offset - base) div width) * width")
+        out = out.join(F.broadcast(full), "range", "left").withColumn("range", F.coalesce(inner, "range")).drop("base", "width")
+
+
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = RANGE_ROWS) -> DataFrame:
     """(id, text, prints, next_text, next_prints): each document with the next by ascending id, the last with the first.
 
     Null texts read as empty, null ids come first, rows with equal ids are ordered by text.  Ids are whole numbers; they
-    are dealt out in equal ranges of values, whose number follows the number of rows, and the texts are moved once.
+    are dealt out in ranges of values that hold a bounded number of rows wherever the ids lie, and the texts are moved once.
     """
     ids = col(id_col).cast("bigint")
-    low, high, n = docs.agg(F.min(ids), F.max(ids), F.count("*")).first()
-    low, high = (0, 0) if low is None else (low, high)
-    width = max(1, (high - low + 1) * rows // max(n, 1))
+    low = docs.agg(F.min(ids)).first()[0] or 0
     plain = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col).cast("string"), F.lit("")).alias("text"),
-                        F.coalesce(F.expr(f"(cast(`{id_col}` as bigint) - {low}) div {width}"), F.lit(-1)).alias("range"))
-    ranges = checkpointed(plain.select(F.col("range").alias("key")).distinct())
+                        (ids - F.lit(low)).alias("offset"))
+    plain, ranges = _ranged(plain, rows)
+    plain = plain.drop("offset")
     start = ranges.agg(F.min("key").alias("key")).first()["key"]
     after = _successors(ranges, rows).select(F.col("key").alias("range"), F.coalesce("next", F.lit(start)).alias("after"))
     dealt = with_prints(plain.repartition("range"), {"prints": "text"})
