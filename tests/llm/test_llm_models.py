@@ -61,6 +61,29 @@ def test_secrets_of_the_tables(spark):
     assert found.count() and set(found.columns) >= {"doc_id", "candidate_sha256", "score", "secret"}
 
 
+def test_every_secret_of_a_word(spark):
+    rng = random.Random(4)
+    draw = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    a, b, c, d = (draw() for _ in range(4))
+    texts = ['{"id":"550e8400e29b41d4a716","token":"%s","x":"%s"}' % (a, b), '{"aws_secret_access_key":"%s"}' % c, "?u=1&api_key:%s&%s" % (d, d),
+             ",".join(f"{i:020d}" for i in range(3_000))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    found = secrets.candidates(docs)
+    got = {(r["id"], r["run"]): r for r in found.filter("id < 3").collect()}
+    assert {k: r["candidate"] for k, r in got.items()} == {
+        (0, 0): "550e8400e29b41d4a716", (0, 1): a, (0, 2): b, (1, 1): c, (2, 0): d, (2, 1): d}
+    assert [got[k]["before"] for k in ((0, 1), (0, 2), (1, 1))] == ["token", "x", "aws_secret_access_key"]
+    labels = {(r["id"], r["run"]): r["secret"] for r in secrets.rule_labels(found).collect()}
+    assert [labels[k] for k in ((0, 0), (0, 1), (0, 2), (2, 0))] == [0, 1, 0, 1]
+    assert found.filter("id = 3").count() == 3_000 and found.filter("id = 3").agg(F.max(F.length("word"))).first()[0] < 100
+    clean = secrets.redact_secrets(docs, found.withColumn("secret", F.lit(True)))
+    assert {r["doc_id"]: r["text"] for r in clean.filter("doc_id < 3").collect()} == {
+        0: '{"id":"[secret]","token":"[secret]","x":"[secret]"}', 1: '{"aws_secret_access_key":"[secret]"}', 2: "?u=1&api_key:[secret]&[secret]"}
+    nested = spark.createDataFrame([(9, "0123456789abcdef0123456789abcdefXY 0123456789abcdef0123456789abcdef")], "doc_id bigint, text string")
+    part = secrets.candidates(nested).withColumn("secret", F.lit(True))
+    assert secrets.redact_secrets(nested, part).first()["text"] == "[secret] [secret]"
+
+
 # --- quality and toxicity ---------------------------------------------------------------------------
 
 @pytest.mark.parametrize("name, label", [("op6_quality", "quality"), ("op10_toxicity", "toxic")])

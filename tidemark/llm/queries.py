@@ -168,7 +168,7 @@ def op5_substring_dedup(spark, d):
 @query
 def op7_secrets(spark, d):
     found = scan_secrets(documents(spark, d).select("doc_id", "text"))
-    return found.select(F.col("id").alias("doc_id"), "place", F.length("candidate").alias("length"),
+    return found.select(F.col("id").alias("doc_id"), "place", "run", F.length("candidate").alias("length"),
                         F.sha2("candidate", 256).alias("candidate_sha256"), F.round("score", 6).alias("score"), "secret")
 
 

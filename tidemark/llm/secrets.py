@@ -1,6 +1,6 @@
 """Secret scans: long mixed tokens judged by a random forest, in DataFrame functions and JVM models only.
 
-Candidates are words that hold a run of sixteen or more key characters with a digit.  The forest sees their length,
+Candidates are runs of sixteen or more key characters with a digit, every such run of a word.  The forest sees their length,
 their transitions between character classes and between letters, how much of them a dictionary of the corpus covers,
 whether they stand in a path, and the words around them.  It is trained from labelled findings and removes false
 alarms such as card numbers, identifiers and addresses.
@@ -27,19 +27,30 @@ NUMBERS = ["length", "entropy", "digits", "upper", "changes", "digit_changes", "
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, place, candidate, word, before, before2, after): every candidate with the words around it.
+    """(id, place, run, candidate, word, before, before2, after): every candidate with the words around it.
 
-    Words stand between blanks; ``place`` counts them from 0.  Null and empty texts have no candidates.  Of a word with
-    several runs the first counts.  Repeated rows give their candidates again.
+    Words stand between blanks; ``place`` counts them from 0, ``run`` the runs of key characters in a word.  ``word`` is
+    the run with what stands between it and the run before, and with that run where no name stands between; the last run
+    has the rest of the word too.  For later runs ``before`` is the name before them in the same word.  Null and empty
+    texts have no candidates.  Repeated rows give their candidates again.
     """
     plain = docs.select(col(id_col).alias("id"), F.split(F.coalesce(col(text_col).cast("string"), F.lit("")), r"\s+").alias("w"))
     long = plain.withColumn("at", F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.length(F.get("w", i)) >= LEAST))
     # The outer form: a plain explode would have its emptiness tested below the split, once for every word.
     rows = long.select("id", "w", F.explode_outer("at").alias("place")).filter("place is not null")
     near = lambda k: F.coalesce(F.get("w", F.col("place") + k), F.lit(""))
-    found = rows.select("id", "place", near(0).alias("word"), near(-1).alias("before"), near(-2).alias("before2"), near(1).alias("after"))
-    return (found.withColumn("candidate", F.regexp_extract("word", KEY, 0)).filter(F.col("candidate").rlike("[0-9]"))
-            .select("id", "place", "candidate", "word", "before", "before2", "after"))
+    found = rows.select("id", "place", near(0).alias("whole"), near(-1).alias("before"), near(-2).alias("before2"), near(1).alias("after"))
+    found = found.withColumns({"runs": _parts(F.col("whole"), KEY), "gaps": F.split("whole", KEY)})
+    # A run has its own surroundings only, so that a text without blanks is not copied for each of its runs.
+    gap, first, last = lambda i: F.get("gaps", i), lambda i: i == 0, lambda i: i == F.size("runs") - 1
+    lead = lambda i: F.when(first(i) | gap(i).rlike("[A-Za-z0-9]"), gap(i)).otherwise(F.concat(F.get("runs", i - 1), gap(i)))
+    name = lambda i: F.regexp_extract(F.substring(lead(i), -64, 64), r"([A-Za-z0-9_]+)[^A-Za-z0-9_]*$", 1)
+    each = F.transform("runs", lambda c, i: F.struct(
+        i.alias("run"), c.alias("candidate"), F.concat(lead(i), c, F.when(last(i), gap(i + 1)).otherwise("")).alias("word"),
+        F.when(first(i), F.col("before")).otherwise(name(i)).alias("before"), F.when(first(i), F.col("before2")).otherwise("").alias("before2"),
+        F.when(last(i), F.col("after")).otherwise("").alias("after")))
+    out = found.select("id", "place", F.explode_outer(F.filter(each, lambda c: c["candidate"].rlike("[0-9]"))).alias("c")).filter("c is not null")
+    return out.select("id", "place", "c.run", "c.candidate", "c.word", "c.before", "c.before2", "c.after")
 
 
 def dictionary(docs: DataFrame, text_col: str = "text", size: int = DICTIONARY_WORDS) -> DataFrame:
@@ -92,14 +103,14 @@ def forest(trees: int = 40, depth: int = 6) -> Pipeline:
 
 def fit_forest(findings: DataFrame, limit: int = MAX_FINDINGS) -> PipelineModel:
     """Fits the forest on at most ``limit`` described findings with a 0/1 column ``secret``, chosen by their hash."""
-    chosen = findings.orderBy(F.xxhash64("id", "place", "candidate"), "id", "place").limit(limit)
+    chosen = findings.orderBy(F.xxhash64("id", "place", "candidate"), "id", "place", "run").limit(limit)
     return forest().fit(chosen.withColumn("secret", F.col("secret").cast("double")))
 
 
 def judged(found: DataFrame, model: PipelineModel) -> DataFrame:
-    """(id, place, candidate, score): the share of trees that call the candidate a secret."""
+    """(id, place, run, candidate, score): the share of trees that call the candidate a secret."""
     scored = model.transform(found)
-    return scored.select("id", "place", "candidate", vector_to_array("probability")[1].alias("score"))
+    return scored.select("id", "place", "run", "candidate", vector_to_array("probability")[1].alias("score"))
 
 
 def rule_labels(found: DataFrame) -> DataFrame:
@@ -115,7 +126,7 @@ def rule_labels(found: DataFrame) -> DataFrame:
 
 def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text",
                  threshold: float = 0.5) -> DataFrame:
-    """(id, place, candidate, score, secret) for every candidate of every document.
+    """(id, place, run, candidate, score, secret) for every candidate of every document.
 
     ``findings`` are labelled candidates (columns of ``candidates`` and ``secret``); without them the documents' own are
     labelled by ``rule_labels``.  Where all labels agree, that label is every score.  Documents without candidates do
@@ -123,10 +134,10 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, id_col: str
     """
     found = checkpointed(described(candidates(docs, id_col, text_col), dictionary(docs, text_col)))
     known = rule_labels(found) if findings is None else described(findings, dictionary(docs, text_col)).join(
-        findings.select("id", "place", "candidate", "secret"), ["id", "place", "candidate"])
+        findings.select("id", "place", "run", "candidate", "secret"), ["id", "place", "run", "candidate"])
     counts = [r["secret"] for r in known.select("secret").distinct().collect()]
     if len(counts) < 2:
-        out = found.select("id", "place", "candidate", F.lit(float(counts[0]) if counts else 0.0).alias("score"))
+        out = found.select("id", "place", "run", "candidate", F.lit(float(counts[0]) if counts else 0.0).alias("score"))
     else:
         out = judged(found, fit_forest(known))
     return out.withColumn("secret", F.col("score") >= threshold)
@@ -135,6 +146,8 @@ def scan_secrets(docs: DataFrame, findings: DataFrame | None = None, id_col: str
 def redact_secrets(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[secret]") -> DataFrame:
     """The documents with the found secrets replaced by ``mark``; other columns and texts stay."""
     hits = scanned.filter("secret").groupBy(F.col("id").alias("_id")).agg(F.collect_set("candidate").alias("_secrets"))
-    text = F.aggregate("_secrets", col(text_col), lambda t, s: F.replace(t, s, F.lit(mark)))
+    # Longer ones first: one secret may be a part of another.
+    longest = F.transform(F.sort_array(F.transform("_secrets", lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))), asc=False), lambda x: x["s"])
+    text = F.aggregate(longest, col(text_col), lambda t, s: F.replace(t, s, F.lit(mark)))
     joined = docs.join(hits, col(id_col) == F.col("_id"), "left")
     return joined.select(*[F.when(F.col("_secrets").isNull(), col(c)).otherwise(text).alias(c) if c == text_col else col(c) for c in docs.columns])
