@@ -151,7 +151,12 @@ def audit(df: DataFrame, target: str, task: str, key: str, exclude: Sequence[str
         recs = recommend.with_issues(recommend.recommendations(normal), normal).orderBy("rank")
         result.tables["recommendations"] = materialise(recs)
     if with_model:
-        _model_stages(result, train, test, target, task, key, exclude, config, dev, estimator)
+        try:
+            _model_stages(result, train, test, target, task, key, exclude, config, dev, estimator)
+        except Exception as error:
+            # What is finished goes with the error, for a report that still holds the checks.
+            error.finished = result
+            raise
     telemetry["total_pipeline_seconds"] = time.perf_counter() - begin
     return result
 
@@ -193,7 +198,10 @@ def with_row_key(df: DataFrame, name: str = "row_id") -> DataFrame:
 
 def run_audit(spark: SparkSession, source: DataFrame | str, target: str, task: str, key: str | None = None,
               report_path: str | None = None, **options: Any) -> dict[str, Any]:
-    """Audit of a CSV path or a table as one report; any error becomes a failure report."""
+    """Audit of a CSV path or a table as one report; any error becomes a failure report.
+
+    Where only the model stages fail, the failure report holds the finished checks.
+    """
     telemetry: dict[str, float] = {}
     try:
         df = load_csv(spark, source, target) if isinstance(source, str) else source
@@ -207,4 +215,7 @@ def run_audit(spark: SparkSession, source: DataFrame | str, target: str, task: s
             write_report(spark, report, report_path)
         return report
     except Exception as error:  # the job boundary: callers read pipeline_status
-        return failure_report(str(error), telemetry)
+        finished = getattr(error, "finished", None)
+        if finished is None:
+            return failure_report(str(error), telemetry)
+        return {**finished.report(), "pipeline_status": "failure", "error": str(error)}
