@@ -1,5 +1,7 @@
 """URL rules, secrets, quality, toxicity, packing and the pipeline."""
 
+import functools
+import pickle
 import random
 import zlib
 
@@ -187,6 +189,52 @@ def test_patterns_hold_every_piece():
     assert packing.plan_patterns(np.zeros(8, np.int64)) == []
 
 
+def fewest_sequences(counts):
+    """Brute force over all fillings of a small capacity."""
+    units = len(counts)
+
+    @functools.cache
+    def fewest(left):
+        if not any(left):
+            return 0
+        first = max(i for i, n in enumerate(left) if n)
+        best = sum(left)
+
+        def fill(room, c, rest):
+            nonlocal best
+            best = min(best, 1 + fewest(tuple(rest)))
+            for k in range(c, -1, -1):
+                if rest[k] and k + 1 <= room:
+                    fill(room - k - 1, k, [n - (i == k) for i, n in enumerate(rest)])
+
+        fill(units - first - 1, first, [n - (i == first) for i, n in enumerate(left)])
+        return best
+
+    return fewest(tuple(counts))
+
+
+def test_plans_are_near_the_fewest_sequences():
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        counts = rng.integers(0, 3, 7)
+        used = sum(n for _, n in packing.plan_patterns(counts))
+        # rounding down costs less than one sequence a class
+        assert fewest_sequences(counts.tolist()) <= used <= fewest_sequences(counts.tolist()) + np.count_nonzero(counts)
+    counts = rng.integers(0, 40_000, 64)
+    used = sum(n for _, n in packing.plan_patterns(counts))
+    assert used <= 1.001 * np.ceil((counts * np.arange(1, 65)).sum() / 64) + 64
+
+
+def test_partitions_without_rows_in_fresh_workers(spark):
+    # the workers of an earlier session hold nothing of this broadcast
+    docs = spark.createDataFrame([(1, "one text")], "doc_id bigint, text string").repartition(4)
+    pieces = packing.pack_documents(docs, queries.tokenizer_path()).collect()
+    assert [(r["doc_id"], r["start"], r["offset"]) for r in pieces] == [(1, 0, 0)]
+    words = pickle.loads(pickle.dumps(packing.WordIds(queries.tokenizer_path())))
+    words.known.clear()
+    assert len(words.encode(b"one text")) % 4 == 0
+
+
 # --- pipeline ---------------------------------------------------------------------------------------
 
 def test_pipeline(spark):

@@ -26,7 +26,10 @@ GRAIN = 8
 END = 2
 # Words whose ids a task remembers; a full table is emptied and filled again.
 CACHE_WORDS = 400_000
-MAX_COLUMNS = 4000
+# The linear program ends when its value is proven to be this near to the optimum.
+GAP = 5e-4
+# Columns taken from one table of the pricing program.
+BATCH_COLUMNS = 12
 
 
 # Words whose tokens follow from the model alone: Latin letters (all in composed form) are one piece for the tokenizer, the
@@ -51,6 +54,7 @@ class WordIds:
     def __init__(self, path: str):
         self.path = path
         self.tokenizer = None
+        self.known: dict[bytes, bytes] = {}
 
     def __reduce__(self):
         # As a broadcast variable the tokenizer is loaded once in each Python worker.
@@ -63,7 +67,6 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(self.path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.known: dict[bytes, bytes] = {}
 
     def encode(self, text: bytes) -> bytes:
         if self.tokenizer is None:
@@ -130,8 +133,12 @@ def token_pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
         cut, f"`{id_col}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
 
 
-def _priced(value: np.ndarray) -> tuple[float, np.ndarray]:
-    """The most valuable filling of a sequence: ``value[c]`` is that of a piece of c + 1 units; capacity len(value)."""
+def _priced(value: np.ndarray) -> tuple[float, list[np.ndarray]]:
+    """The value of the best filling of a sequence, and good fillings, best first.
+
+    ``value[c]`` is that of a piece of c + 1 units; the capacity is len(value).  One table of the knapsack program gives
+    for each piece the best filling that holds it.
+    """
     units = len(value)
     best, last = np.zeros(units + 1), np.full(units + 1, -1)
     for w in range(1, units + 1):
@@ -141,21 +148,29 @@ def _priced(value: np.ndarray) -> tuple[float, np.ndarray]:
             best[w], last[w] = gain[c], c
         else:
             best[w], last[w] = best[w - 1], -1
-    pattern, w = np.zeros(units, np.int64), units
-    while w > 0:
-        if last[w] < 0:
-            w -= 1
-        else:
-            pattern[last[w]] += 1
-            w -= int(last[w]) + 1
-    return float(best[units]), pattern
-
-
-def plan_patterns(counts: np.ndarray, max_columns: int = MAX_COLUMNS) -> list[tuple[np.ndarray, int]]:
+    holding = value + best[units - 1::-1]
+    patterns: dict[bytes, np.ndarray] = {}
+    for first in np.argsort(-holding, kind="stable")[:4 * BATCH_COLUMNS].tolist():
+        if holding[first] <= 1 + 1e-7 or len(patterns) == BATCH_COLUMNS:
+            break
+        pattern, w = np.zeros(units, np.int64), units - first - 1
+        pattern[first] = 1
+        while w > 0:
+            if last[w] < 0:
+                w -= 1
+            else:
+                pattern[last[w]] += 1
+                w -= int(last[w]) + 1
+        patterns.setdefault(pattern.tobytes(), pattern)
+    return float(best[units]), list(patterns.values())
+
+
+def plan_patterns(counts: np.ndarray, gap: float = GAP) -> list[tuple[np.ndarray, int]]:
     """Filling patterns and how often each is used, for ``counts[c]`` pieces of c + 1 units and capacity len(counts).
 
-    Column generation solves the linear program; its basis is rounded down, and what is left is filled with the largest
-    piece that still fits.  Every piece has a place.
+    Column generation solves the linear program until the dual bound (its value over that of the best filling) proves
+    it within ``gap`` of the optimum, or the same number of whole sequences.  Its basis is rounded down, and what is
+    left is filled with the largest piece that still fits.  Every piece has a place.
     """
     units = len(counts)
     used = np.flatnonzero(counts)
@@ -166,22 +181,27 @@ def plan_patterns(counts: np.ndarray, max_columns: int = MAX_COLUMNS) -> list[tu
     columns[used, np.arange(len(used))] = units // (used + 1)
     inverse = np.diag(1.0 / columns[used, np.arange(len(used))])
     x = inverse @ demand
-    for _ in range(max_columns):
+    while True:
         dual = np.full(units, -1.0)
         dual[used] = inverse.sum(axis=0)
-        value, pattern = _priced(dual)
-        if value <= 1 + 1e-7:
+        value, patterns = _priced(dual)
+        total = x.sum()
+        if value <= 1 + 1e-7 or total - total / value <= gap * total or np.ceil(total / value - 1e-6) >= np.ceil(total - 1e-6):
             break
-        direction = inverse @ pattern[used]
-        rows = np.flatnonzero(direction > 1e-9)
-        leave = rows[np.argmin(x[rows] / direction[rows])]
-        step = x[leave] / direction[leave]
-        x -= step * direction
-        x[leave] = step
-        inverse[leave] /= direction[leave]
-        others = np.arange(len(used)) != leave
-        inverse[others] -= np.outer(direction[others], inverse[leave])
-        columns[:, leave] = pattern
+        for pattern in patterns:
+            # Earlier columns of the batch have moved the prices.
+            if inverse.sum(axis=0) @ pattern[used] <= 1 + 1e-7:
+                continue
+            direction = inverse @ pattern[used]
+            rows = np.flatnonzero(direction > 1e-9)
+            leave = rows[np.argmin(x[rows] / direction[rows])]
+            step = x[leave] / direction[leave]
+            x -= step * direction
+            x[leave] = step
+            inverse[leave] /= direction[leave]
+            others = np.flatnonzero((np.abs(direction) > 1e-12) & (np.arange(len(used)) != leave))
+            inverse[others] -= np.outer(direction[others], inverse[leave])
+            columns[:, leave] = pattern
     times = np.floor(np.maximum(x, 0) + 1e-7).astype(np.int64)
     plan = [(columns[:, i], int(t)) for i, t in enumerate(times) if t > 0]
     rest = np.maximum(counts - columns @ times, 0)
