@@ -220,7 +220,7 @@ def test_plans_are_near_the_fewest_sequences():
         used = sum(n for _, n in packing.plan_patterns(counts))
         # rounding down costs less than one sequence a class
         assert fewest_sequences(counts.tolist()) <= used <= fewest_sequences(counts.tolist()) + np.count_nonzero(counts)
-    counts = rng.integers(0, 40_000, 64)
+    counts = rng.integers(0, 40_000, 64) * (np.arange(64) < 24)
     used = sum(n for _, n in packing.plan_patterns(counts))
     assert used <= 1.001 * np.ceil((counts * np.arange(1, 65)).sum() / 64) + 64
 

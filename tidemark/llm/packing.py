@@ -9,6 +9,7 @@ the number of classes, never on the number of documents.
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 import zlib
@@ -30,6 +31,8 @@ CACHE_WORDS = 400_000
 GAP = 5e-4
 # Columns taken from one table of the pricing program.
 BATCH_COLUMNS = 12
+# Pricings between two fresh inversions of the basis.
+REFRESH = 16
 
 
 # Words whose tokens follow from the model alone: Latin letters (all in composed form) are one piece for the tokenizer, the
@@ -168,8 +171,8 @@ def _priced(value: np.ndarray) -> tuple[float, list[np.ndarray]]:
 def plan_patterns(counts: np.ndarray, gap: float = GAP) -> list[tuple[np.ndarray, int]]:
     """Filling patterns and how often each is used, for ``counts[c]`` pieces of c + 1 units and capacity len(counts).
 
-    Column generation solves the linear program until the dual bound (its value over that of the best filling) proves
-    it within ``gap`` of the optimum, or the same number of whole sequences.  Its basis is rounded down, and what is
+    Column generation solves the linear program until the dual bound (prices scaled down by the best filling's value)
+    proves it within ``gap`` of the optimum, or the same number of whole sequences.  Its basis is rounded down, and what is
     left is filled with the largest piece that still fits.  Every piece has a place.
     """
     units = len(counts)
@@ -181,20 +184,34 @@ def plan_patterns(counts: np.ndarray, gap: float = GAP) -> list[tuple[np.ndarray
     columns[used, np.arange(len(used))] = units // (used + 1)
     inverse = np.diag(1.0 / columns[used, np.arange(len(used))])
     x = inverse @ demand
-    while True:
-        dual = np.full(units, -1.0)
-        dual[used] = inverse.sum(axis=0)
-        value, patterns = _priced(dual)
-        total = x.sum()
-        if value <= 1 + 1e-7 or total - total / value <= gap * total or np.ceil(total / value - 1e-6) >= np.ceil(total - 1e-6):
+    bound, centre, dual = 0.0, None, np.full(units, -1.0)
+    for priced in itertools.count(1):
+        if priced % REFRESH == 0:  # rounding errors of many exchanges
+            inverse = np.linalg.inv(columns[used].astype(float))
+            x = np.maximum(inverse @ demand, 0)
+        total, prices = x.sum(), inverse.sum(axis=0)
+        # Prices jump between degenerate bases, so they are held near those of the best bound.
+        near = prices if centre is None else 0.7 * centre + 0.3 * prices
+        for dual[used] in (near, prices):
+            value, patterns = _priced(dual)
+            feasible = dual[used] / max(value, 1.0)
+            if demand @ feasible > bound:
+                bound, centre = demand @ feasible, feasible
+            if any(prices @ p[used] > 1 + 1e-7 for p in patterns):
+                break
+        else:
+            break
+        if total - bound <= gap * total or np.ceil(bound - 1e-6) >= np.ceil(total - 1e-6):
             break
         for pattern in patterns:
             # Earlier columns of the batch have moved the prices.
             if inverse.sum(axis=0) @ pattern[used] <= 1 + 1e-7:
                 continue
             direction = inverse @ pattern[used]
-            rows = np.flatnonzero(direction > 1e-9)
-            leave = rows[np.argmin(x[rows] / direction[rows])]
+            rows = np.flatnonzero(direction > 1e-7)
+            ratio = x[rows] / direction[rows]
+            tied = rows[ratio <= ratio.min() + 1e-9]
+            leave = tied[np.argmax(direction[tied])]
             step = x[leave] / direction[leave]
             x -= step * direction
             x[leave] = step
