@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import documents, table
 from .decontaminate import contamination
 from .fingerprint import edited, likeness, neighbours, print_text, with_prints
+from .lexical import ranked_search
 from .line_dedup import dedup_lines
 from .ngram_join import similar_groups
 from .packing import pack_documents
@@ -196,3 +197,26 @@ c AS (SELECT doc_id, count(*) n FROM g GROUP BY doc_id)
 SELECT w.doc_id, len(w)::BIGINT n_words, coalesce(c.n, 0)::BIGINT n_removed, sha256(coalesce(t.kept, '')) kept_sha256
 FROM w LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)
 """
+
+
+@query
+def op13_lexical_search(spark, d):
+    found = ranked_search(documents(spark, d), table(spark, d, "benchmark"))
+    return found.select("item_id", "rank", "doc_id", "score")
+
+
+ORACLES["op13_lexical_search"] = rf"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), {A_TO_Z}),
+                  '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) t FROM documents),
+l AS (SELECT doc_id, count(*) n FROM w GROUP BY doc_id),
+s AS (SELECT count(*) nn, sum(n)::BIGINT ll FROM l),
+q AS (SELECT item_id, t, count(*) qtf FROM (SELECT item_id, unnest(regexp_extract_all(translate(text, {A_TO_Z}),
+             '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) t FROM benchmark) GROUP BY ALL),
+p AS MATERIALIZED (SELECT doc_id, t, count(*) tf FROM w SEMI JOIN q USING (t) GROUP BY ALL),
+f AS (SELECT t, floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT wt FROM p, s GROUP BY t, nn),
+g AS MATERIALIZED (SELECT doc_id, t, wt * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll))) v
+      FROM p JOIN f USING (t) JOIN l USING (doc_id), s),
+r AS (SELECT item_id, doc_id, sum(qtf * v)::BIGINT score FROM q JOIN g USING (t) GROUP BY ALL HAVING sum(qtf * v) > 0)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM r QUALIFY rank <= 20
+"""
