@@ -15,7 +15,9 @@ from .ngram_join import similar_groups
 from .packing import pack_documents
 from .quality import fit_quality, score_quality
 from .secrets import scan_secrets
+from .spelling import spelling_variants
 from .substring_dedup import without_repeats
+from .topk import exact_top_k
 from .toxicity import fit_toxicity, labelled, score_toxicity
 from .url_filter import SiteRule, judge_urls
 
@@ -220,3 +222,47 @@ r AS (SELECT item_id, doc_id, sum(qtf * v)::BIGINT score FROM q JOIN g USING (t)
 SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
 FROM r QUALIFY rank <= 20
 """
+
+
+@query
+def op12_spelling_variants(spark, d):
+    found = spelling_variants(documents(spark, d))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
+# The checksum of ``<id>:<run>`` bit by bit over its UTF-8 bytes, lowest bit first.
+ORACLES["op12_spelling_variants"] = rf"""
+WITH RECURSIVE o AS (SELECT doc_id, w, count(*) n FROM (SELECT doc_id, unnest(regexp_extract_all(translate(text, {A_TO_Z}),
+              '[A-Za-z\x{{C0}}-\x{{FF}}]+')) w FROM documents) WHERE length(w) >= 7 GROUP BY ALL),
+b AS (SELECT *, hex(encode(doc_id::VARCHAR || ':' || w)) x FROM o),
+y AS (SELECT doc_id, w, n, list_transform(range(0, length(x) // 2), lambda i: ('0x' || substr(x, 2 * i + 1, 2))::BIGINT) l FROM b),
+c AS (SELECT doc_id, w, n, xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(range(0, 8 * len(l)),
+             lambda i: (l[i // 8 + 1] >> (i % 8)) & 1), lambda h, e: xor(h >> 1, 3988292384 * (xor(h, e) & 1)))) h FROM y),
+v AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END word, n FROM c),
+t AS MATERIALIZED (SELECT word, sum(n)::BIGINT n FROM v WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+d AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) k FROM (SELECT word, n, unnest(range(1, length(word) + 1)) i FROM t)),
+p AS (SELECT d.word a, t.word b FROM d JOIN t ON d.k = t.word),
+e AS MATERIALIZED (SELECT DISTINCT a, b FROM (SELECT a, b FROM p UNION ALL SELECT b, a FROM p UNION ALL
+      SELECT x.word, z.word FROM d x JOIN d z ON x.k = z.k AND x.i = z.i AND x.word <> z.word)),
+g AS (SELECT a word, count(*) n_near, min({{'n': -t.n, 'w': t.word}}) best FROM e JOIN t ON t.word = e.b GROUP BY a),
+f AS MATERIALIZED (SELECT t.word, t.n, coalesce(n_near, 0) n_near, CASE WHEN -best.n >= 10 * t.n THEN best.w END form,
+      CASE WHEN -best.n >= 10 * t.n THEN -best.n END form_n FROM t LEFT JOIN g USING (word)),
+r(word, root) AS (SELECT word, word FROM f WHERE form IS NULL UNION ALL SELECT f.word, r.root FROM f JOIN r ON f.form = r.word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN r USING (word)
+"""
+
+
+@query
+def op11_top_k(spark, d):
+    return exact_top_k(table(spark, d, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+ORACLES["op11_top_k"] = """
+WITH v AS (SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) e FROM embeddings
+           WHERE embedding IS NOT NULL AND list_count(embedding) = len(embedding)
+                 AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM s QUALIFY rank <= 20
+"""
