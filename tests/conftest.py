@@ -23,25 +23,26 @@ def spark():
 
 
 @pytest.fixture(scope="session")
-def problem_pdf():
-    """One hundred rows with 20 % gaps, a constant, a copy, a leak, a repeated row and a planted outlier."""
-    rng = np.random.default_rng(42)
-    a, b = rng.normal(size=100), rng.normal(size=100)
-    a[0], b[0] = 15.0, -15.0
-    target = np.array([0, 1] * 50)
+def orchard_pdf():
+    """Trees of an orchard, 240 rows: every eighth height is unknown, one site, weights in two units, a grade that follows from
+    the blight, one tree with a storm-like yield, and the last three rows entered twice."""
+    rng = np.random.default_rng(2024)
+    n = 237
+    age = rng.integers(2, 40, n)
+    weight = 20 + rng.gamma(3.0, 4.0, n)
+    blight = (rng.random(n) < 0.35).astype(int)
+    crop = rng.gamma(2.0, 4.0, n)
+    crop[50] = 900.0
     pdf = pd.DataFrame({
-        "missing_col": np.where(np.arange(100) % 5 == 0, np.nan, rng.normal(size=100)), "constant_col": 1,
-        "feature_a": a, "feature_b": b, "feature_a_correlated": 2 * a + rng.normal(scale=0.01, size=100),
-        "leaking_feature": 10 * target + rng.normal(scale=0.01, size=100), "target": target})
-    pdf.loc[99] = pdf.loc[98]
-    pdf["target"] = pdf["target"].astype(int)
-    pdf["constant_col"] = 1
-    return pdf
+        "height": np.where(np.arange(n) % 8 == 0, np.nan, 1.2 + age * 0.08 + rng.normal(scale=0.9, size=n)), "site": 7, "age": age,
+        "weight": weight, "weight_correlated": weight * 2.2046 + rng.uniform(-0.05, 0.05, n), "crop": crop,
+        "grade": 4 - 3 * blight + rng.uniform(-0.1, 0.1, n), "blight": blight})
+    return pd.concat([pdf, pdf.tail(3)], ignore_index=True)
 
 
 @pytest.fixture(scope="session")
-def problem_df(spark, problem_pdf):
-    return spark.createDataFrame(problem_pdf)
+def orchard_df(spark, orchard_pdf):
+    return spark.createDataFrame(orchard_pdf)
 
 
 def rows(df, *names):

@@ -6,10 +6,10 @@ from conftest import by, rows
 from tidemark.operators import charts, checks, profile, rows as whole_rows
 
 
-def test_missing_and_constant(problem_df):
-    assert by(checks.missing_values(problem_df))["missing_col"]["missing_pct"] == pytest.approx(20.0)
-    assert rows(checks.constant_features(problem_df), "feature") == [("constant_col",)]
-    nothing = problem_df.select(F.lit(None).cast("string").alias("void"), F.lit(float("nan")).alias("nan"))
+def test_missing_and_constant(orchard_df):
+    assert by(checks.missing_values(orchard_df))["height"]["missing_pct"] == pytest.approx(12.5)
+    assert rows(checks.constant_features(orchard_df), "feature") == [("site",)]
+    nothing = orchard_df.select(F.lit(None).cast("string").alias("void"), F.lit(float("nan")).alias("nan"))
     assert by(checks.constant_features(nothing)) == {
         c: {"feature": c, "all_missing": True} for c in ("void", "nan")}
 
@@ -24,44 +24,45 @@ def test_near_constant_counts_present_cells_only(spark):
     assert got["mostly"]["top_share"] == pytest.approx(0.999) and got["flag"]["top_share"] == pytest.approx(0.995)
 
 
-def test_skew_matches_pandas(problem_pdf, problem_df):
-    want = {c: problem_pdf[c].skew() for c in problem_pdf if abs(problem_pdf[c].skew()) > 2 and c != "target"}
-    got = by(checks.skewness(problem_df, "target"))
+def test_skew_matches_pandas(orchard_pdf, orchard_df):
+    want = {c: orchard_pdf[c].skew() for c in orchard_pdf if abs(orchard_pdf[c].skew()) > 2 and c != "blight"}
+    got = by(checks.skewness(orchard_df, "blight"))
     assert set(got) == set(want) and all(got[c]["skew"] == pytest.approx(want[c]) for c in want)
 
 
-def test_duplicates_narrow_and_wide(spark, problem_df):
-    assert whole_rows.duplicates(problem_df).first()["total_duplicates"] == 1
+def test_duplicates_narrow_and_wide(spark, orchard_df):
+    assert whole_rows.duplicates(orchard_df).first()["total_duplicates"] == 3
     narrow = spark.createDataFrame([(1, None), (1, None), (1, None), (2, "a")], "a int, b string")
     assert rows(whole_rows.duplicates(narrow)) == [(2, 50.0, True)]
     assert rows(whole_rows.duplicates(narrow.limit(0))) == [(0, 0.0, False)]
 
 
-def test_imbalance(spark, problem_df):
+def test_imbalance(spark, orchard_df):
     df = spark.range(100).select((F.col("id") < 10).cast("int").alias("target"))
     assert rows(checks.class_imbalance(df, "target")) == [(10.0, True, 2)]
     assert checks.class_imbalance(df, "target", "regression").count() == 0
     assert checks.class_imbalance(df, "absent").count() == 0
 
 
-def test_correlation_name_rule_and_leak(problem_pdf, problem_df):
-    got = rows(checks.high_correlation(problem_df, "target"), "feature_a", "feature_b", "rule")
-    assert sorted(got) == [("feature_a", "feature_a_correlated", "name_suffix"),
-                           ("feature_a", "feature_a_correlated", "pearson")]
-    assert rows(checks.target_leakage(problem_df, "target"), "feature") == [("leaking_feature",)]
+def test_correlation_name_rule_and_leak(orchard_pdf, orchard_df):
+    got = rows(checks.high_correlation(orchard_df, "blight"), "feature_a", "feature_b", "rule")
+    assert sorted(got) == [("weight", "weight_correlated", "name_suffix"),
+                           ("weight", "weight_correlated", "pearson")]
+    assert rows(checks.target_leakage(orchard_df, "blight"), "feature") == [("grade",)]
     # without a target a column of that name is left out
-    assert "target" not in {x for r in checks.high_correlation(problem_df).collect() for x in r[:2]}
+    named = orchard_df.withColumn("target", F.col("age") * 2)
+    assert "target" not in {x for r in checks.high_correlation(named).collect() for x in r[:2]}
 
 
-def test_iqr_outliers_match_numpy(problem_pdf, problem_df):
-    clean = problem_pdf.dropna()
+def test_iqr_outliers_match_numpy(orchard_pdf, orchard_df):
+    clean = orchard_pdf.dropna()
     want = {}
-    for c in clean.columns.drop("target"):
+    for c in clean.columns.drop("blight"):
         q1, q3 = np.quantile(clean[c], [0.25, 0.75])
         n = int(((clean[c] < q1 - 1.5 * (q3 - q1)) | (clean[c] > q3 + 1.5 * (q3 - q1))).sum())
         if clean[c].nunique() > 2 and q3 > q1 and n:
             want[c] = n
-    assert {f: r["outliers"] for f, r in by(checks.iqr_outliers(problem_df, "target")).items()} == want
+    assert {f: r["outliers"] for f, r in by(checks.iqr_outliers(orchard_df, "blight")).items()} == want
 
 
 def test_contamination_bounds(spark):
@@ -70,14 +71,14 @@ def test_contamination_bounds(spark):
     assert share(49) == [] and share(1000) == [(0.05,)] and share(4000) == [(0.025,)] and share(20000) == [(0.01,)]
 
 
-def test_summary_equals_single_checks(problem_df):
-    got = {(r["type"], r["column"]): r for r in checks.issue_summary(problem_df, "target").collect()}
-    assert got[("missing_values", "missing_col")]["severity"] == "medium"
-    assert got[("missing_values", "missing_col")]["description"] == "20.0% missing values detected."
-    assert got[("constant_feature", "constant_col")]["severity"] == "high"
-    assert got[("target_leakage", "leaking_feature")]["severity"] == "critical"
+def test_summary_equals_single_checks(orchard_df):
+    got = {(r["type"], r["column"]): r for r in checks.issue_summary(orchard_df, "blight").collect()}
+    assert got[("missing_values", "height")]["severity"] == "medium"
+    assert got[("missing_values", "height")]["description"] == "12.5% missing values detected."
+    assert got[("constant_feature", "site")]["severity"] == "high"
+    assert got[("target_leakage", "grade")]["severity"] == "critical"
     assert got[("duplicate_rows", "dataset_wide")]["severity"] == "medium"
-    assert ("high_correlation", "feature_a ↔ feature_a_correlated") in got
+    assert ("high_correlation", "weight ↔ weight_correlated") in got
     assert len([1 for t, _ in got if t == "outliers"]) <= 5
 
 
@@ -95,12 +96,12 @@ def test_text_only_table(spark):
     assert ("high_cardinality", "s") in got and ("constant_feature", "y") in got
 
 
-def test_profile_tables(problem_df):
-    audit = by(profile.feature_audit(problem_df))
-    assert audit["missing_col"]["position"] == 1 and audit["missing_col"]["missing_pct"] == 20.0
-    assert audit["target"]["unique_values"] == 2
-    info = {r["metric"]: r["value"] for r in profile.basic_info(problem_df).collect()}
-    assert info == {"num_rows": 100, "num_columns": 7, "missing_cells": 20, "duplicate_rows": 1}
+def test_profile_tables(orchard_df):
+    audit = by(profile.feature_audit(orchard_df))
+    assert audit["height"]["position"] == 1 and audit["height"]["missing_pct"] == 12.5
+    assert audit["blight"]["unique_values"] == 2
+    info = {r["metric"]: r["value"] for r in profile.basic_info(orchard_df).collect()}
+    assert info == {"num_rows": 240, "num_columns": 8, "missing_cells": 30, "duplicate_rows": 3}
 
 
 def test_nested_columns_are_unsupported(spark):

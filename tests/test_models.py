@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import by
 from tidemark.config import AuditConfig
-from tidemark.operators import metrics, models
+from tidemark.operators import forest, metrics, models
 
 SMALL = AuditConfig(num_trees=8, max_depth=4)
 
@@ -50,6 +52,88 @@ def test_regressor_and_custom_estimator(labelled):
         linear.predict_probability(rows)
 
 
+def test_forest_is_as_good_as_that_of_dense_vectors(spark):
+    rng = np.random.default_rng(12)
+    n = 6000
+    x, s = rng.normal(size=(n, 3)), rng.choice(list("abcdef"), n)
+    y = (x[:, 0] + (s == "b") * 1.5 - (s == "e") + 0.5 * x[:, 1] ** 2 + 0.4 * rng.normal(size=n) > 0.7)
+    pdf = pd.DataFrame({"id": range(n), "x0": x[:, 0], "x1": x[:, 1], "x2": x[:, 2], "s": s, "y": np.where(y, "yes", "no"), "z": x[:, 0] + (s == "b")})
+    df = spark.createDataFrame(pdf)
+    config = AuditConfig(num_trees=20, max_depth=6)
+    for target, task, metric, slack in (("y", "classification", "f1", 0.01), ("z", "regression", "r2", 0.05)):
+        rows = df.drop("z" if target == "y" else "y")
+        fit, held = rows.filter("id % 4 > 0"), rows.filter("id % 4 = 0")
+        score = []
+        for estimator in (None, models.default_estimator(task, config)):
+            fitted = models.train(fit, target, task, ["id"], estimator, config)
+            score.append(next(r["value"] for r in fitted.evaluate(held, auc=False).collect() if r["metric"] == metric))
+        assert score[0] > score[1] - slack
+
+
+def test_forest_does_not_depend_on_layout_and_takes_any_number_of_categories(spark):
+    df = spark.range(4000).select("id", F.concat(F.lit("name"), F.col("id")).alias("s"), (F.col("id") % 7).alias("x"),
+                                  F.when(F.col("id") % 7 < 3, "a").otherwise("b").alias("y"))
+    a = models.train(df, "y", "classification", ["id"], config=SMALL)
+    b = models.train(df.repartition(7, "x"), "y", "classification", ["id"], config=SMALL)
+    assert [g.__dict__ for g in a.model.trees] == [g.__dict__ for g in b.model.trees]
+    assert a.prep.features == 4001 and a.predict(df, ["id"]).count() == 4000
+    names = models.feature_importance(a)
+    assert names.count() == 4001 and names.agg(F.sum("importance")).first()[0] == pytest.approx(1.0)
+
+
+def test_splits_are_those_of_brute_force(spark):
+    """One tree that draws every row once and every feature: each split has the largest fall in Gini impurity."""
+    rng = np.random.default_rng(6)
+    n = 200
+    bins, cats = rng.integers(0, 6, (n, 2)), rng.integers(0, 4, (n, 1)) + 100
+    y = (bins[:, 0] > 2) ^ (cats[:, 0] == 101) ^ (rng.random(n) < 0.1)
+    edges = [np.arange(5) + 0.5] * 2
+    rows = spark.createDataFrame([(i, float(b), [float(v) for v in x], [int(v) for v in c]) for i, (b, x, c) in enumerate(zip(y, bins, cats))],
+                                 "h bigint, y double, x array<double>, c array<bigint>")
+    grown = forest.grow(rows, edges, 1, 1, 2, trees=1, max_depth=3, seed=1).trees[0]
+    weight = forest.bootstrap(np.arange(n), 0, 1)
+    gini = lambda m: 1 - sum((weight[m & (y == k)].sum() / weight[m].sum()) ** 2 for k in (True, False))
+    members = {0: weight > 0}
+    for i in range(len(grown.left)):
+        own = members[i]
+        if grown.left[i] < 0:
+            continue
+        best = 0.0
+        for right in [bins[:, j] > b for j in range(2) for b in range(5)] + [cats[:, 0] == v for v in range(100, 104)]:
+            r, l = own & right, own & ~right
+            if weight[r].sum() and weight[l].sum():
+                best = max(best, gini(own) - (weight[r].sum() * gini(r) + weight[l].sum() * gini(l)) / weight[own].sum())
+        right = bins[:, grown.feature[i]] > grown.cut[i] if grown.kind[i] < 0 else cats[:, 0] == grown.feature[i]
+        members[grown.left[i]], members[grown.left[i] + 1] = own & ~right, own & right
+        assert grown.gain[i] == pytest.approx(best)
+    assert sum(l >= 0 for l in grown.left) > 3
+
+
+def test_permutation_is_that_of_brute_force(spark):
+    rng = np.random.default_rng(3)
+    n = 3000
+    pdf = pd.DataFrame({"id": np.arange(n) * 3, "x1": rng.normal(size=n), "s": rng.choice(["p", "q", None], n), "x2": rng.normal(size=n)})
+    pdf["y"] = np.where(pdf.x1 + (pdf.s == "p") > 0.3, "yes", "no")
+    df = spark.createDataFrame(pdf)
+    digest = lambda k, t: hashlib.md5((f"{k}|{t}" if t else str(k)).encode()).hexdigest()
+    first = sorted(pdf.id, key=lambda k: digest(k, 0))
+    partner = {t: dict(zip(first, sorted(pdf.id, key=lambda k, t=t: digest(k, t)))) for t in (1, 2)}
+    pairs = {(r["key"], r["repeat"]): r["donor"] for r in models.permutation_pairs(df, "id", 2).collect()}
+    assert pairs == {(k, t): d for t in (1, 2) for k, d in partner[t].items()}
+    for estimator in (None, LogisticRegression()):
+        fitted = models.train(df, "y", "classification", ["id"], estimator, SMALL)
+        got = by(models.permutation_importance(fitted, df, "id", 2))
+        base = (fitted.predict(df, ["id", "y"]).toPandas().eval("prediction == y")).mean()
+        for c in ("x1", "s", "x2"):
+            drops = []
+            for t in (1, 2):
+                value = pdf.set_index("id")[c]
+                swapped = pdf.assign(**{c: [value[partner[t][k]] for k in pdf.id]})
+                scored = fitted.predict(spark.createDataFrame(swapped, df.schema), ["y"]).toPandas()
+                drops.append(base - (scored.prediction == scored.y).mean())
+            assert got[c]["importance"] == pytest.approx(np.mean(drops)) and got[c]["importance_std"] == pytest.approx(np.std(drops))
+
+
 def test_permutation_importance_is_seeded_and_finds_the_driver(labelled):
     rows = labelled.drop("z", "label")
     fitted = models.train(rows, "y", "classification", ["id"], LogisticRegression())
@@ -64,7 +148,7 @@ def test_importance_without_model_importances_permutes(labelled):
     fitted = models.train(rows, "y", "classification", ["id"], NaiveBayes(modelType="gaussian"))
     with pytest.raises(ValueError, match="importances"):
         models.feature_importance(fitted)
-    assert models.feature_importance(fitted, rows, "id").count() == 3
+    assert models.feature_importance(fitted, rows, "id").count() == 2  # input columns
 
 
 def test_cross_validation(labelled):

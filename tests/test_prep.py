@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
+from tidemark.functions.selection import range_numbers
 from tidemark.operators import prep
 
 
@@ -59,11 +60,26 @@ def test_many_categories_are_encoded_sparsely(spark):
     assert got == {1: ["s_17", "t_x"], 2: ["t_x"]}
 
 
-def test_the_bound_of_categories_is_per_column(spark):
-    df = spark.range(30).select(F.col("id").cast("string").alias("s"), F.lit("x").alias("t"))
-    with pytest.raises(ValueError, match="more than 20 categories"):
-        prep.categories(df, ["s", "t"], max_categories=20)
-    assert len(prep.categories(df, ["s", "t"], max_categories=30)[0]["s"]) == 30
+def test_categories_are_joined_from_a_table(spark):
+    values = ["hot"] * 400 + [f"v{i}" for i in range(300)] + [None] * 20
+    train = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, s string")
+    new = spark.createDataFrame([(1, "hot"), (2, "v17"), (3, "never"), (4, None), (5, "v17")], "id int, s string")
+    order = sorted(set(values) - {None})
+    long = {(r["key"], r["feature"], r["index"]) for r in prep.one_hot_long(new, "id", ["s"], train).collect()}
+    assert long == {(1, "s_hot", order.index("hot")), (2, "s_v17", order.index("v17")), (5, "s_v17", order.index("v17"))}
+    fitted = prep.fit_prep(train, ["id"], min_share=0.0)
+    assert fitted.feature_names == [f"s_{v}" for v in order] and fitted.origin() == ["s"] * 301
+    got = {r["id"]: [order[i] for i in r["features"].indices] for r in fitted.vectors(new, ["id"]).collect()}
+    assert got == {1: ["hot"], 2: ["v17"], 3: [], 4: ["hot"], 5: ["v17"]}
+    names = {r["feature"]: r["f"] for r in prep.fit_sparse(train, ["id"], 32).category_names().collect()}
+    cells = {r["id"]: list(r["c"]) for r in prep.fit_sparse(train, ["id"], 32).cells(new, ["id"]).collect()}
+    assert cells[2] == cells[5] == [names["s_v17"]] and cells[4] == [names["s_hot"]] and len(names) == 301
+
+
+def test_ranges_number_all_rows(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"), F.lit("a").alias("s"))
+    got = rows(range_numbers(df, ["s", "x"], "n"), "x", "n")
+    assert len(got) == 1000 and all(x == n for x, n in got)
 
 
 def test_full_preparation(people):
@@ -80,7 +96,7 @@ def test_full_preparation(people):
 def test_fill_lifts_mode_over_the_share(spark):
     df = spark.createDataFrame([(None,)] * 150 + [(f"v{i:03d}",) for i in range(150)], "s string")
     fitted = prep.fit_prep(df, min_share=0.01)
-    assert fitted.categories["s"] == ["v000"] and len(fitted.rare["s"]) == 149
+    assert fitted.categories["s"] == ["v000"] and fitted.rare["s"].count() == 149
     assert fitted.feature_names == ["s_v000", "s_infrequent_sklearn"]
 
 

@@ -9,6 +9,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..schema import col, local_frame, number
+from ..sources.scratch import checkpointed
 from .stats import long_numbers, moments, uniform_bin
 
 # Up to this many values one task may hold and sort them; above, intervals are narrowed first.
@@ -183,3 +184,16 @@ def hash_key(key: str | Column) -> Column:
     """A portable 32-bit number from a key: the first eight hex digits of its md5."""
     k = col(key) if isinstance(key, str) else key
     return F.conv(F.substring(F.md5(k.cast("string")), 1, 8), 16, 10).cast("bigint")
+
+
+def range_numbers(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """Numbers all rows from 0 in the order of ``order``: rows go to ranges once, are numbered inside and shifted by the
+    counts of the ranges before.  The table is written to the shared folder, so that the ranges stay as they are."""
+    keys = [col(c) for c in order]
+    cut = checkpointed(df.repartitionByRange(*keys).withColumn("__range", F.spark_partition_id()))
+    counts = cut.groupBy("__range").count()  # one row a range
+    before = F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = F.broadcast(counts.select("__range", F.coalesce(before, F.lit(0)).alias("__offset")))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*keys))
+    return (cut.withColumn("__inside", inside).join(offsets, "__range")
+            .select(*[col(c) for c in df.columns], (F.col("__inside") - 1 + F.col("__offset")).alias(out)))

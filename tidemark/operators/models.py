@@ -2,32 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..config import AuditConfig
 from ..schema import col, local_frame, materialise, require_columns
+from ..sources.scratch import stored
+from .forest import BINS, Forest, grow
 from .metrics import classification_metrics, metrics_from_confusion, regression_metrics, roc_auc
-from .prep import FittedPrep, fit_prep
+from .prep import FittedPrep, SparsePrep, fit_prep, fit_sparse
 from .split import fold_of, stratified_folds
 
 DEFAULT = AuditConfig()
 TASKS = ("classification", "regression")
-# Training rows are dealt to so many tasks by their content, so that a forest does not depend on the files' layout.
+# Training rows are dealt to tasks by their content, so that a model does not depend on the files' layout: to so many tasks
+# for an estimator that reads vectors, and so many rows to each task that counts for a forest.
 TRAIN_PARTITIONS = 32
-# Rows among which permutation importance shuffles a feature.
-PERMUTED_ROWS = 2_000
+FOREST_ROWS = 16_384
+IMPORTANCE = "feature string, importance double, rank int"
 
 
 def check_task(task: str) -> str:
@@ -52,15 +56,24 @@ class TrainedModel:
 
     task: str
     target: str
-    prep: FittedPrep
-    model: Model
+    prep: FittedPrep | SparsePrep
+    model: Model | Forest
     labels: list[str] | None
 
     def inputs(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-        return self.prep.vectors(df, keep)
+        return self.prep.cells(df, keep) if isinstance(self.prep, SparsePrep) else self.prep.vectors(df, keep)
 
     def score(self, inputs: DataFrame, keep: Sequence[str]) -> DataFrame:
-        """Prediction columns for rows that already carry the feature vector."""
+        """Prediction columns for rows that already carry the features."""
+        if isinstance(self.model, Forest):
+            raw = self.model.score(inputs, keep)
+            kept = [col(k) for k in keep]
+            if self.task == "regression":
+                return raw.select(*kept, F.element_at("raw", 1).alias("prediction"))
+            names = F.array(*[F.lit(x) for x in self.labels])
+            # The first of equally likely classes.
+            return raw.select(*kept, F.element_at(names, F.array_position("raw", F.array_max("raw")).cast("int")).alias("prediction"),
+                              F.col("raw").alias("probability"))
         out = self.model.transform(inputs)
         cols = [col(k) for k in keep]
         if self.task == "regression":
@@ -124,6 +137,8 @@ def train(df: DataFrame, target: str, task: str, exclude: Sequence[str] = (), es
     require_columns(df, [target])
     if df.isEmpty():
         raise ValueError("the training table is empty")
+    if estimator is None:
+        return _train_forest(df, target, task, exclude, config, dev)
     prep = fit_prep(df, [*exclude, target], indicators=False, min_share=0.0)
     rows, labels = _labelled(df, task, target)
     vectors = prep.vectors(rows, ["__label"]).withColumnRenamed("__label", "label")
@@ -131,12 +146,29 @@ def train(df: DataFrame, target: str, task: str, exclude: Sequence[str] = (), es
     order = F.xxhash64("label", "features")
     dealt = vectors.withColumn("__order", order).repartition(partitions, "__order").sortWithinPartitions("__order").drop("__order").persist()
     try:
-        model = (estimator or default_estimator(task, config, dev)).fit(dealt)
+        model = estimator.fit(dealt)
     finally:
         dealt.unpersist()
     return TrainedModel(task, target, prep, model, labels)
 
 
+def _train_forest(df: DataFrame, target: str, task: str, exclude: Sequence[str], config: AuditConfig, dev: bool) -> TrainedModel:
+    """The default: a forest over sparse cells, whatever the number of categories."""
+    prep = fit_sparse(df, [*exclude, target], BINS)
+    rows, labels = _labelled(df, task, target)
+    # Whole rows, their key included, decide which trees draw them.
+    partitions = -(-rows.count() // FOREST_ROWS) or 1
+    told = rows.withColumn("__h", F.xxhash64(*[col(c) for c in df.columns]))
+    dealt = (prep.cells(told, ["__h", "__label"]).select(F.col("__h").alias("h"), F.col("__label").alias("y"), "x", "c")
+             .repartition(partitions, "h").sortWithinPartitions("h").persist())
+    try:
+        forest = grow(dealt, prep.edges, len(prep.categorical), prep.features, len(labels) if labels is not None else 0,
+                      config.dev_num_trees if dev else config.num_trees, config.dev_max_depth if dev else config.max_depth, config.seed)
+    finally:
+        dealt.unpersist()
+    return TrainedModel(task, target, prep, forest, labels)
+
+
 def cross_validate(df: DataFrame, target: str, task: str, key: str, exclude: Sequence[str] = (),
                    folds: int = DEFAULT.cv_folds, estimator: Estimator | None = None,
                    config: AuditConfig = DEFAULT, dev: bool = False, parallelism: int = 5) -> DataFrame:
@@ -196,25 +228,52 @@ def feature_importance(trained: TrainedModel, df: DataFrame | None = None, key:
                        by_column: bool = False) -> DataFrame:
     """(feature, importance, rank), summing to 1 where the total is positive.
 
-    Taken from the model, else from its coefficients, else by permutation on ``df``.  ``by_column``
-    adds one-hot parts back to their input column.
+    Taken from the model, else from its coefficients, else by permutation on ``df`` (then per input column).
+    ``by_column`` adds one-hot parts back to their input column.  Categories that no split of a forest uses share the
+    rank behind the last one.
     """
-    raw = _raw_importance(trained)
-    names = trained.prep.origin() if by_column else trained.prep.feature_names
     spark = (df.sparkSession if df is not None else None) or _active()
+    if isinstance(trained.model, Forest):
+        return _forest_importance(trained, spark, by_column)
+    raw = _raw_importance(trained)
     if raw is None:
         if df is None or key is None:
             raise ValueError("this model has no importances of its own; pass rows and their key")
-        drops = {r["position"]: r["importance"] for r in permutation_importance(trained, df, key).collect()}
-        raw = np.array([drops.get(i, 0.0) for i in range(len(names))])
+        drops = permutation_importance(trained, df, key).collect()  # one row per input column
+        names, raw = [r["feature"] for r in drops], np.array([r["importance"] for r in drops])
+    else:
+        names = trained.prep.origin() if by_column else trained.prep.feature_names
     total = float(raw.sum())
     scaled = raw / total if total > 0 else raw
     merged: dict[str, float] = {}
     for name, v in zip(names, scaled):
         merged[name] = merged.get(name, 0.0) + float(v)
-    ordered = sorted(merged.items(), key=lambda x: (-x[1], x[0]))
-    return local_frame(spark, [(n, v, i + 1) for i, (n, v) in enumerate(ordered)],
-                       "feature string, importance double, rank int")
+    return _ranked(spark, merged)
+
+
+def _ranked(spark, importance: dict[str, float]) -> DataFrame:
+    ordered = sorted(importance.items(), key=lambda x: (-x[1], x[0]))
+    return local_frame(spark, [(n, v, i + 1) for i, (n, v) in enumerate(ordered)], IMPORTANCE)
+
+
+def _forest_importance(trained: TrainedModel, spark, by_column: bool) -> DataFrame:
+    prep, found = trained.prep, trained.model.importances()
+    numeric = {c: found.get((-1, j), 0.0) for j, c in enumerate(prep.numeric)}
+    if by_column:
+        text = dict.fromkeys(prep.categorical, 0.0)
+        for (kind, _), v in found.items():
+            if kind >= 0:
+                text[prep.categorical[kind]] += v
+        return _ranked(spark, numeric | text)
+    if not prep.categorical:
+        return _ranked(spark, numeric)
+    # At most one row per split of the forest.
+    used = F.broadcast(local_frame(spark, [(k, f, v) for (k, f), v in found.items() if k >= 0], "kind int, f bigint, importance double"))
+    names = prep.category_names()
+    named = {r["feature"]: r["importance"] for r in names.join(used, ["kind", "f"]).collect()}
+    rest = names.join(used, ["kind", "f"], "left_anti").select(
+        "feature", F.lit(0.0).alias("importance"), F.lit(len(numeric) + len(named) + 1).cast("int").alias("rank"))
+    return _ranked(spark, numeric | named).unionByName(rest)
 
 
 def _active():
@@ -222,56 +281,98 @@ def _active():
     return SparkSession.active()
 
 
+def permutation_pairs(keys: DataFrame, key: str, repeats: int = DEFAULT.permutation_repeats) -> DataFrame:
+    """(key, repeat, donor): every row's partner in each of ``repeats`` shuffles of the whole table.
+
+    Rows are numbered by the digest of their key, and once more for each repeat by that of key and repeat; equal numbers
+    meet.  Numbers come from counts per digest prefix and ranks within a prefix, so no task sorts the table.  Repeated
+    keys count as one row.
+    """
+    rows = keys.select(col(key).alias("key")).distinct()
+    text = F.col("key").cast("string")
+    own = rows.select("key", F.explode(F.sequence(F.lit(0), F.lit(repeats))).alias("repeat")).select(
+        "key", "repeat", F.md5(F.when(F.col("repeat") == 0, text).otherwise(F.concat_ws("|", text, F.col("repeat").cast("string")))).alias("digest"))
+    own = own.withColumn("prefix", F.substring("digest", 1, 3))
+    counts = own.groupBy("repeat", "prefix").count()  # at most 4096 rows a repeat
+    before = F.sum("count").over(Window.partitionBy("repeat").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = F.broadcast(counts.select("repeat", "prefix", F.coalesce(before, F.lit(0)).alias("offset")))
+    inside = F.row_number().over(Window.partitionBy("repeat", "prefix").orderBy("digest", "key"))
+    numbered = own.withColumn("inside", inside).join(offsets, ["repeat", "prefix"]).select(
+        "key", "repeat", (F.col("inside") + F.col("offset")).alias("number"))
+    first = numbered.filter("repeat = 0").select("key", "number")
+    return first.join(numbered.filter("repeat > 0").select(F.col("key").alias("donor"), "repeat", "number"), "number").select("key", "repeat", "donor")
+
+
+def _shuffled_scores(trained: TrainedModel, met: DataFrame, used: list[str]) -> DataFrame:
+    """(f, t, y, p, n, e2, y1, y2): rows as scored with column ``f`` taken from their donors (-1: none), counted by class
+    label and prediction, or summed up for regression.  A forest walks only the trees again that use the column."""
+    named = {c: f"__d{j}" for j, c in enumerate(used)}
+    classify = trained.task == "classification"
+    if not isinstance(trained.model, Forest):
+        # One copy per input column: a model of any kind scores rows of the table's own shape.
+        copies = met.withColumn("__f", F.explode(F.sequence(F.lit(-1), F.lit(len(used) - 1)))).filter("__f >= 0 or __t = 1")
+        swapped = copies.select("__f", "__t", "__y", *[F.when(F.col("__f") == j, col(named[c])).otherwise(col(c)).alias(c) for j, c in enumerate(used)])
+        scored = trained.predict(swapped, ["__f", "__t", "__y"]).select(
+            F.col("__f").alias("f"), F.col("__t").alias("t"), F.col("__y").alias("y"), F.col("prediction").alias("p"))
+        if classify:
+            return scored.groupBy("f", "t", "y", "p").agg(F.count(F.lit(1)).alias("n"), *[F.lit(0.0).alias(n) for n in ("e2", "y1", "y2")])
+        y, e = F.col("y").cast("double"), F.col("y").cast("double") - F.col("p")
+        return scored.groupBy("f", "t").agg(F.count(F.lit(1)).alias("n"), F.sum(e * e).alias("e2"), F.sum(y).alias("y1"), F.sum(y * y).alias("y2"))
+    (x, c), (dx, dc) = trained.prep.arrays(met), trained.prep.arrays(met, named)
+    shared = met.sparkSession.sparkContext.broadcast((trained.model, trained.labels))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest, labels = shared.value
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            t, y = batch.column(0).to_numpy(), batch.column(1).to_pandas()
+            parts = []
+            for f, raw in forest.shuffled(*batch.columns[2:]):
+                pdf = pd.DataFrame({"f": f, "t": t, "y": y, "n": 1, "e2": 0.0, "y1": 0.0, "y2": 0.0})
+                if labels is not None:
+                    pdf["p"] = np.array(labels, object)[raw.argmax(axis=1)]
+                else:
+                    value = y.astype(float)
+                    pdf["e2"], pdf["y1"], pdf["y2"], pdf["y"], pdf["p"] = (value - raw[:, 0]) ** 2, value, value ** 2, "", ""
+                parts.append((pdf if f >= 0 else pdf[t == 1]).groupby(["f", "t", "y", "p"], as_index=False).sum())
+            yield pa.RecordBatch.from_pandas(pd.concat(parts)[["f", "t", "y", "p", "n", "e2", "y1", "y2"]], preserve_index=False)
+
+    scored = met.select("__t", "__y", x.alias("x"), c.alias("c"), dx.alias("dx"), dc.alias("dc")).mapInArrow(
+        score, "f bigint, t bigint, y string, p string, n bigint, e2 double, y1 double, y2 double")
+    return scored.groupBy("f", "t", "y", "p").agg(*[F.sum(n).alias(n) for n in ("n", "e2", "y1", "y2")])
+
+
 def permutation_importance(trained: TrainedModel, df: DataFrame, key: str,
-                           repeats: int = DEFAULT.permutation_repeats, seed: int = DEFAULT.seed) -> DataFrame:
-    """(position, feature, importance, importance_std): score lost when one feature is shuffled.
+                           repeats: int = DEFAULT.permutation_repeats) -> DataFrame:
+    """(position, feature, importance, importance_std): score lost when one input column is shuffled over the whole table.
 
-    Rows fall into random blocks of about ``PERMUTED_ROWS`` by a seeded hash of their key, and a feature is shuffled
-    inside each block; a table of one block is shuffled as a whole.  Blocks and their order come from the keys alone,
-    so the result does not depend on files, batches or tasks.  A grouped count per (feature, repeat) gives the metrics.
+    The partners of ``permutation_pairs`` lend their values; rows of a repeated or missing key take no part.  Accuracy for
+    classes, R2 for numbers.
     """
-    names = trained.prep.feature_names
-    width = len(names)
-    rows = (trained.inputs(df.filter(col(trained.target).isNotNull()), [key, trained.target])
-            .select(col(key).alias("k"), col(trained.target).cast("string").alias("y"),
-                    vector_to_array("features").alias("x"))
-            .withColumn("r", F.xxhash64(F.col("k"), F.lit(seed))))
-    blocks = max(1, rows.count() // PERMUTED_ROWS)
-    # One group per block and feature: what a task holds is a block times the repeats.
-    grouped = rows.withColumn("b", F.pmod("r", F.lit(blocks))).withColumn("f", F.explode(F.sequence(F.lit(-1), F.lit(width - 1))))
-
-    def copies(block: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        f = int(block[1])
-        ordered = pdf.sort_values(["r", "k"])
-        x, y = np.stack(ordered["x"].to_numpy()), ordered["y"].to_numpy()
-        rng = np.random.default_rng([seed, int(block[0]), f + 1])
-        made = []
-        for t in range(repeats if f >= 0 else 1):
-            z = x.copy()
-            if f >= 0:
-                z[:, f] = rng.permutation(z[:, f])
-            made.append(pd.DataFrame({"f": f, "t": t, "y": y, "x": list(z)}))
-        return pd.concat(made)
-
-    made = (grouped.groupBy("b", "f").applyInPandas(copies, "f int, t int, y string, x array<double>")
-            .select("f", "t", "y", array_to_vector("x").alias("features")))
-    scored = trained.score(made, ["f", "t", "y"])
+    prep, target = trained.prep, trained.target
+    used = [*prep.numeric, *prep.categorical]
+    rows = df.filter(col(target).isNotNull() & col(key).isNotNull()).select(
+        col(key).alias("__key"), col(target).cast("string").alias("__y"), *[col(c) for c in used])
+    rows = stored(rows, "permuted")
+    donors = rows.select(col("__key").alias("__donor"), *[col(c).alias(f"__d{j}") for j, c in enumerate(used)])
+    pairs = permutation_pairs(rows, "__key", repeats).select(F.col("key").alias("__key"), F.col("repeat").cast("bigint").alias("__t"), F.col("donor").alias("__donor"))
+    met = rows.join(pairs, "__key").join(donors, "__donor")
+    counted = _shuffled_scores(trained, met, used)
     if trained.task == "classification":
-        matrix = scored.groupBy("f", "t", F.col("y").alias("actual"), F.col("prediction").alias("predicted")).agg(
-            F.count(F.lit(1)).alias("cnt"))
+        matrix = counted.select("f", "t", F.col("y").alias("actual"), F.col("p").alias("predicted"), F.col("n").alias("cnt"))
         scores = metrics_from_confusion(matrix, ("f", "t")).filter("metric = 'accuracy'").select("f", "t", "value")
     else:
-        e = F.col("y").cast("double") - F.col("prediction")
-        scores = scored.groupBy("f", "t").agg(
-            (1 - F.try_divide(F.avg(e * e), F.var_pop(F.col("y").cast("double")))).alias("value"))
-    found = scores.collect()  # features x repeats numbers
-    base = next(r["value"] for r in found if r["f"] == -1)
+        whole = counted.groupBy("f", "t").agg(*[F.sum(n).alias(n) for n in ("n", "e2", "y1", "y2")])
+        spread = F.col("y2") - F.col("y1") * F.col("y1") / F.col("n")
+        scores = whole.select("f", "t", (1 - F.try_divide("e2", spread)).alias("value"))
+    found = scores.collect()  # input columns x repeats numbers
+    base = next((r["value"] for r in found if r["f"] == -1), None)
     drops: dict[int, list[float]] = {}
-    for r in found:
+    for r in sorted(found, key=lambda r: (r["f"], r["t"])):
         if r["f"] >= 0:
             drops.setdefault(r["f"], []).append(base - r["value"])
-    return local_frame(df.sparkSession, [(f, names[f], float(np.mean(v)), float(np.std(v)))
-                                         for f, v in sorted(drops.items())],
+    return local_frame(df.sparkSession, [(f, used[f], float(np.mean(v)), float(np.std(v))) for f, v in sorted(drops.items())],
                        "position int, feature string, importance double, importance_std double")
 
 

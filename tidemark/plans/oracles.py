@@ -479,30 +479,35 @@ ORACLES["one_hot_min_freq"] = sql(f"""SELECT o_orderkey, split, {_flags('segment
     {_flags('status', ['F', 'O', 'P'])}, (status IN ('rare_a', 'rare_b'))::INT AS status_infrequent_sklearn
     FROM one_hot_rows""", "one_hot_rows")
 
-_PREP_NUMERIC = ["heavy", "price", "price_info"]
-_PREP_TEXT = ["o_orderstatus", "segment"]
+ORACLES["one_hot_long"] = sql(union([f"""
+    SELECT o_orderkey AS key, '{c}_' || {c} AS feature, index FROM orders_split JOIN (SELECT {c}, row_number() OVER (ORDER BY {c}) - 1 AS index
+      FROM (SELECT DISTINCT {c} FROM orders_split WHERE {_TRAIN} AND {c} IS NOT NULL)) USING ({c})"""
+    for c in ("c_name", "segment", "o_orderstatus")]), "orders_split")
+
+_PREP_NUMERIC = sorted(set(NUMERIC) - {"y_rare"})
+_PREP_TEXT = ["c_name", "o_orderpriority", "o_orderstatus", "segment"]
+# Filled train values with their share: those of a hundredth of the rows are features of their own.
+_SHARES = {c: f"""SELECT v, count(*) >= 0.01 * (SELECT count(*) FROM orders_split WHERE {_TRAIN}) AS own
+    FROM (SELECT coalesce({c}, {_mode(c, 'orders_split', _TRAIN)}) AS v FROM orders_split WHERE {_TRAIN}) GROUP BY v""" for c in _PREP_TEXT}
 ORACLES["feature_names"] = sql("""
-    SELECT row_number() OVER (ORDER BY part, origin, feature) AS position, feature, origin FROM n""", "orders_split",
-    n=union([f"SELECT 1 AS part, '{c}' AS feature, '{c}' AS origin" for c in _PREP_NUMERIC]
-            + [f"SELECT 2, '{c}__missing_indicator', '{c}' FROM orders_split WHERE {_TRAIN} HAVING count({c}) < count(*)"
+    SELECT row_number() OVER (ORDER BY part, origin, late, feature) AS position, feature, origin FROM n""", "orders_split",
+    n=union([f"SELECT 1 AS part, 0 AS late, '{c}' AS feature, '{c}' AS origin" for c in _PREP_NUMERIC]
+            + [f"SELECT 2, 0, '{c}__missing_indicator', '{c}' FROM orders_split WHERE {_TRAIN} HAVING count({c}) < count(*)"
                for c in _PREP_NUMERIC]
-            + [f"""SELECT 3, '{c}_' || v, '{c}' FROM (SELECT coalesce({c}, {_mode(c, 'orders_split', _TRAIN)}) AS v
-                FROM orders_split WHERE {_TRAIN}) GROUP BY v
-                HAVING count(*) >= 0.01 * (SELECT count(*) FROM orders_split WHERE {_TRAIN})""" for c in _PREP_TEXT]))
-ORACLES["preprocess"] = sql(f"""
-    SELECT o_orderkey, split, y_rare,
-      {', '.join(r6(f'(coalesce({c}, {c}_m) - {c}_c) / CASE WHEN {c}_h = {c}_l THEN 1 ELSE {c}_h - {c}_l END') + f' AS {c}'
-                 for c in _PREP_NUMERIC)},
-      {', '.join(f'({c} IS NULL)::INT::DOUBLE AS {c}__missing_indicator' for c in ('price', 'price_info'))},
-      {', '.join(f"(o_orderstatus = '{v}')::INT::DOUBLE AS o_orderstatus_{v}" for v in 'FOP')},
-      {', '.join(f"(coalesce(segment, {_mode('segment', 'orders_split', _TRAIN)}) = '{v}')::INT::DOUBLE AS segment_{v}"
-                 for v in _SEGMENTS)}
-    FROM orders_split CROSS JOIN med CROSS JOIN q""", "orders_split",
+            + [f"SELECT 3, 0, '{c}_' || v, '{c}' FROM ({_SHARES[c]}) WHERE own" for c in _PREP_TEXT]
+            + [f"SELECT 3, 1, '{c}_infrequent_sklearn', '{c}' FROM ({_SHARES[c]}) WHERE NOT own HAVING count(*) > 0" for c in _PREP_TEXT]))
+ORACLES["preprocess"] = sql("SELECT o_orderkey, split, y_rare, feature, round(value, 6) AS value FROM p WHERE round(value, 6) <> 0", "orders_split",
     med="SELECT " + ", ".join(f"median({c}) AS {c}_m" for c in _PREP_NUMERIC) + f" FROM orders_split WHERE {_TRAIN}",
     q="SELECT " + ", ".join(
         f"quantile_cont(coalesce({c}, {c}_m), 0.25) AS {c}_l, quantile_cont(coalesce({c}, {c}_m), 0.5) AS {c}_c, "
         f"quantile_cont(coalesce({c}, {c}_m), 0.75) AS {c}_h" for c in _PREP_NUMERIC)
-    + f" FROM orders_split CROSS JOIN med WHERE {_TRAIN}")
+    + f" FROM orders_split CROSS JOIN med WHERE {_TRAIN}",
+    p=union([f"""SELECT o_orderkey, split, y_rare, '{c}' AS feature,
+                ((coalesce({c}, {c}_m) - {c}_c) / CASE WHEN {c}_h = {c}_l THEN 1 ELSE {c}_h - {c}_l END)::DOUBLE AS value
+                FROM orders_split CROSS JOIN med CROSS JOIN q""" for c in _PREP_NUMERIC]
+            + [f"SELECT o_orderkey, split, y_rare, '{c}__missing_indicator', 1.0::DOUBLE FROM orders_split WHERE {c} IS NULL" for c in ("price", "price_info")]
+            + [f"""SELECT o_orderkey, split, y_rare, CASE WHEN own THEN '{c}_' || v ELSE '{c}_infrequent_sklearn' END, 1.0::DOUBLE
+                FROM orders_split JOIN ({_SHARES[c]}) ON v = coalesce({c}, {_mode(c, 'orders_split', _TRAIN)})""" for c in _PREP_TEXT]))
 
 # --- metrics ---------------------------------------------------------------------------------------
 
@@ -545,6 +550,11 @@ ORACLES["regression_metrics"] = sql(f"""
     SELECT unnest(['rmse', 'mae', 'r2']) AS metric, unnest([{r6('sqrt(avg(e * e))')}, {r6('avg(abs(e))')},
         {r6('1 - avg(e * e) / var_pop(amount)')}]) AS value FROM (SELECT amount, amount - amount_pred AS e FROM preds)""",
     "preds")
+ORACLES["permutation_pairs"] = sql("""
+    SELECT a.o_orderkey AS key, b.r AS repeat, b.o_orderkey AS donor FROM
+      (SELECT o_orderkey, row_number() OVER (ORDER BY md5(o_orderkey::VARCHAR), o_orderkey) AS n FROM orders_dirty) a
+      JOIN (SELECT o_orderkey, r, row_number() OVER (PARTITION BY r ORDER BY md5(o_orderkey::VARCHAR || '|' || r), o_orderkey) AS n
+            FROM orders_dirty, (SELECT unnest([1, 2, 3]) AS r)) b USING (n)""", "orders_dirty")
 ORACLES["cv_folds"] = sql(f"""
     SELECT {HASH.format(k='o_orderkey', p=9)} % 5 AS fold, y_rare::VARCHAR AS class, count(*) AS n FROM orders_dirty
     GROUP BY 1, 2""", "orders_dirty")

@@ -15,14 +15,13 @@ from ..operators.outliers import multivariate_outliers
 from ..schema import col, local_frame
 from ..sources import csv
 from ..sources.report import report_rows
-from ..sources.scratch import scratch_path
+from ..sources.scratch import scratch_path, stored
 from ..sources.tables import table
 from . import views as v
 from .audit import audit, run_all_checks
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-MODEL_COLUMNS = [v.KEY, "o_orderstatus", "segment", "price", "price_info", "heavy", "split", "y_rare"]
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -361,9 +360,21 @@ def one_hot_min_freq(spark, d):
     return prep.one_hot(rows_, ["segment", "status"], _train(rows_), 0.01)
 
 
+@query("one_hot_long")
+def one_hot_long(spark, d):
+    """Every category of every text column, the customers' names included, as rows."""
+    rows_ = v.orders_split(spark, d)
+    return prep.one_hot_long(rows_, v.KEY, ["c_name", "segment", "o_orderstatus"], _train(rows_))
+
+
+@query("permutation_pairs")
+def permutation_pairs(spark, d):
+    return models.permutation_pairs(v.orders_dirty(spark, d), v.KEY, 3)
+
+
 @query("feature_names")
 def feature_names(spark, d):
-    rows_ = v.orders_split(spark, d).select(*MODEL_COLUMNS)
+    rows_ = v.orders_split(spark, d)
     fitted = prep.fit_prep(_train(rows_), [v.KEY, "split", "y_rare"])
     return local_frame(spark, [(i + 1, n, o) for i, (n, o) in enumerate(zip(fitted.feature_names, fitted.origin()))],
                        "position bigint, feature string, origin string")
@@ -371,15 +382,16 @@ def feature_names(spark, d):
 
 @query("preprocess")
 def preprocess(spark, d):
-    return prep.preprocess(v.orders_split(spark, d).select(*MODEL_COLUMNS), "y_rare", v.KEY)[0]
+    """The cells that are not zero, one row each: which categories are features depends on the data."""
+    wide, fitted = prep.preprocess(v.orders_split(spark, d), "y_rare", v.KEY)
+    long = wide.unpivot([v.KEY, "split", "y_rare"], [col(c) for c in fitted.feature_names], "feature", "value")
+    return long.filter(F.round("value", 6) != 0)
 
 
 # --- models and metrics ----------------------------------------------------------------------------
 
 def _model(spark, d, task="classification", target="y_rare"):
-    rows_ = v.orders_split(spark, d)
-    keep = [c for c in MODEL_COLUMNS if c not in ("y_rare", "price_info")] + [target]
-    rows_ = rows_.select(*keep)
+    rows_ = stored(v.orders_split(spark, d), "model-rows")
     return rows_, models.train(_train(rows_), target, task, [v.KEY, "split"])
 
 
@@ -439,7 +451,7 @@ def cv_folds_stratified(spark, d):
 
 @query("cross_validate")
 def cross_validate(spark, d):
-    rows_ = v.orders_dirty(spark, d).select(v.KEY, "segment", "price", "heavy", "y_rare")
+    rows_ = stored(v.orders_dirty(spark, d), "model-rows")
     return models.cross_validate(rows_, "y_rare", "classification", v.KEY)
 
 
