@@ -76,7 +76,7 @@ def test_forest_does_not_depend_on_layout_and_takes_any_number_of_categories(spa
     a = models.train(df, "y", "classification", ["id"], config=SMALL)
     b = models.train(df.repartition(7, "x"), "y", "classification", ["id"], config=SMALL)
     assert [g.__dict__ for g in a.model.trees] == [g.__dict__ for g in b.model.trees]
-    assert a.prep.features == 4001 and a.predict(df, ["id"]).count() == 4000
+    assert a.prep.sizes == [4000] and a.predict(df, ["id"]).count() == 4000
     names = models.feature_importance(a)
     assert names.count() == 4001 and names.agg(F.sum("importance")).first()[0] == pytest.approx(1.0)
 
@@ -90,7 +90,7 @@ def test_splits_are_those_of_brute_force(spark):
     edges = [np.arange(5) + 0.5] * 2
     rows = spark.createDataFrame([(i, float(b), [float(v) for v in x], [int(v) for v in c]) for i, (b, x, c) in enumerate(zip(y, bins, cats))],
                                  "h bigint, y double, x array<double>, c array<bigint>")
-    grown = forest.grow(rows, edges, 1, 1, 2, trees=1, max_depth=3, seed=1).trees[0]
+    grown = forest.grow(rows, edges, [4], 2, trees=1, max_depth=3, seed=1, share=1.0).trees[0]
     weight = forest.bootstrap(np.arange(n), 0, 1)
     gini = lambda m: 1 - sum((weight[m & (y == k)].sum() / weight[m].sum()) ** 2 for k in (True, False))
     members = {0: weight > 0}

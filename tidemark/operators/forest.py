@@ -3,9 +3,10 @@
 A row is its numeric bins and one category per text column; no vector of feature width exists anywhere.  A category's id is
 a hash of its column and value, so categories are neither collected nor numbered.  Each level of all trees is one pass: tasks
 count (tree, node, feature, bin, statistic) over the cells of their rows, Spark adds the counts up, and each node's best split
-follows from them; rows without a category are the node's total minus the rows with it.  Features are drawn per node by a
-seeded hash of (tree, node, feature), rows per tree by a seeded Poisson weight of the row's hash, so a forest depends on
-neither files nor cluster.  The driver holds the splits: trees x nodes, whatever the number of categories or rows.
+follows from them; rows without a category are the node's total minus the rows with it.  Input columns are drawn per node by
+a seeded hash of (tree, node, column), and of a text column with many categories a part of them, so that a wide column
+neither costs more than others nor crowds them out.  Rows are drawn per tree by a seeded Poisson weight of the row's hash.
+So a forest depends on neither files nor cluster.  The driver holds the splits: trees x nodes, whatever the number of categories or rows.
 """
 
 from __future__ import annotations
@@ -99,7 +100,10 @@ class Grown:
 def _bins(x: pa.Array, edges: Sequence[np.ndarray]) -> np.ndarray:
     """Bin numbers of the numeric values: how many edges lie below."""
     values = x.flatten().to_numpy(zero_copy_only=False).reshape(-1, len(edges)) if edges else np.empty((len(x), 0))
-    return np.column_stack([np.searchsorted(e, values[:, j], side="left") for j, e in enumerate(edges)]) if edges else np.empty((len(x), 0), int)
+    out = np.empty((len(x), len(edges)), np.uint8)
+    for j, e in enumerate(edges):
+        out[:, j] = np.searchsorted(e, values[:, j], side="left")
+    return out
 
 
 def _cats(c: pa.Array, width: int) -> np.ndarray:
@@ -133,12 +137,14 @@ def impurity(stats: np.ndarray, classes: int) -> np.ndarray:
 CELLS = "t int, node int, kind int, f bigint, bin int, s int, v double"
 
 
-def _histogram(trees: list[Grown], edges: list[np.ndarray], width: int, classes: int, seed: int, share: float):
+def _histogram(trees: list[Grown], edges: list[np.ndarray], sizes: Sequence[int], classes: int, seed: int, share: float):
     """Counts of a task's rows for all open nodes and the features drawn there."""
+    width = len(sizes)
+    part = [min(1.0, max(BINS, math.sqrt(n)) / max(n, 1)) for n in sizes]
     open_nodes = [np.array([i for i, (l, d) in enumerate(zip(g.left, g.draws)) if l < 0 and d >= 0], np.int64) for g in trees]
 
-    def drawn(t: int, node: np.ndarray, draw: np.ndarray, kind: int, f: np.ndarray | int) -> np.ndarray:
-        return uniform(mixed(seed, t, node, draw, kind, f)) < share
+    def drawn(t: int, node: np.ndarray, draw: np.ndarray, column: np.ndarray | int, f: np.ndarray | int = 0, share: float = share) -> np.ndarray:
+        return uniform(mixed(seed, t, node, draw, column, f)) < share
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -165,13 +171,14 @@ def _histogram(trees: list[Grown], edges: list[np.ndarray], width: int, classes:
                 if not len(open_nodes[t]):
                     continue
                 weight = bootstrap(rows, t, seed)
-                node = grown.nodes(bins, cats)
+                at = np.flatnonzero(weight)
                 place = np.full(len(grown.left), -1)
                 place[open_nodes[t]] = np.arange(len(open_nodes[t]))
-                at = np.flatnonzero((weight > 0) & (place[node] >= 0))
+                local = place[grown.nodes(bins[at], cats[at])]
+                at, local = at[local >= 0], local[local >= 0]
                 if not len(at):
                     continue
-                local, w, own = place[node[at]], weight[at], stats[..., at]
+                w, own = weight[at], stats[..., at]
                 number, draw = open_nodes[t], np.array(grown.draws)[open_nodes[t]]
 
                 def add(nodes: np.ndarray, code: np.ndarray, span: int, chosen: np.ndarray, kind: int, f, bin_of) -> None:
@@ -193,10 +200,13 @@ def _histogram(trees: list[Grown], edges: list[np.ndarray], width: int, classes:
                 add(local, everyone * 0, 1, everyone, TOTAL, none, none)
                 values = bins.shape[1]
                 if values:
-                    chosen, j = np.nonzero(drawn(t, number[:, None], draw[:, None], -1, np.arange(values)[None, :])[local])
+                    chosen, j = np.nonzero(drawn(t, number[:, None], draw[:, None], np.arange(values)[None, :])[local])
                     add(local[chosen], j * BINS + bins[at[chosen], j], values * BINS, chosen, -1, lambda k: k // BINS, lambda k: k % BINS)
                 for c, (ids, code) in enumerate(codes):
-                    chosen = np.flatnonzero(drawn(t, number[local], draw[local], c, cats[at, c]))
+                    chosen = np.flatnonzero(drawn(t, number, draw, values + c)[local])
+                    if part[c] < 1:
+                        own_nodes = local[chosen]
+                        chosen = chosen[drawn(t, number[own_nodes], draw[own_nodes], values + c, cats[at[chosen], c], part[c])]
                     if len(chosen):
                         add(local[chosen], code[at[chosen]], len(ids), chosen, c, lambda k, v=ids: v[k], none)
             batches_held += 1
@@ -362,22 +372,25 @@ class Forest:
         return rows.select(*[col(k) for k in keep], "x", "c").mapInArrow(add, fields.add("raw", T.ArrayType(T.DoubleType())))
 
 
-def grow(rows: DataFrame, edges: list[np.ndarray], width: int, features: int, classes: int, trees: int = 100, max_depth: int = 10,
-         seed: int = 42) -> Forest:
+def grow(rows: DataFrame, edges: list[np.ndarray], sizes: Sequence[int], classes: int, trees: int = 100, max_depth: int = 10,
+         seed: int = 42, share: float | None = None) -> Forest:
     """Grows a forest on rows (h bigint, y double, x array<double>, c array<bigint>).
 
-    ``edges`` are the bin edges of each numeric value, ``width`` is the number of text columns, ``features`` that of all
-    numeric values and categories: a node draws about their square root (a third for regression).  ``classes`` is 0 for
-    regression, else y is a class number.  A node ends at ``max_depth``, when it is pure, or when ``DRAWS`` draws in
-    turn hold no feature that helps.
+    ``edges`` are the bin edges of each numeric value, ``sizes`` the numbers of categories of the text columns.  A node
+    draws each input column with probability ``share``, by default about the square root of their number (a third for
+    regression), and of a drawn text column ``BINS`` categories or the square root of their number.  ``classes`` is 0 for
+    regression, else y is a class number.  A node ends at ``max_depth``, when it is pure, or when ``DRAWS`` draws in turn
+    hold no feature that helps.
     """
-    share = min(1.0, max(1.0, math.ceil(math.sqrt(features)) if classes else features / 3) / max(features, 1))
+    columns, width = len(edges) + len(sizes), len(sizes)
+    if share is None:
+        share = min(1.0, (math.ceil(math.sqrt(columns)) if classes else max(1.0, columns / 3)) / max(columns, 1))
     forest = Forest([Grown() for _ in range(trees)], edges, width, classes)
     for grown in forest.trees:
         grown.add([], 0)
     narrow = rows.select("h", "y", "x", "c")
     while any(l < 0 and d >= 0 for g in forest.trees for l, d in zip(g.left, g.draws)):
-        cells = (narrow.mapInArrow(_histogram(forest.trees, edges, width, classes, seed, share), CELLS)
+        cells = (narrow.mapInArrow(_histogram(forest.trees, edges, sizes, classes, seed, share), CELLS)
                  .groupBy("t", "node", "kind", "f", "bin", "s").agg(F.sum("v").alias("v")))
         found = (cells.withColumn("g", F.pmod(F.hash("t", "node"), F.lit(SPLIT_GROUPS))).groupBy("g")
                  .applyInArrow(lambda table: _best_splits(classes)(table), SPLITS).toArrow())  # one row an open node

@@ -162,7 +162,7 @@ def _train_forest(df: DataFrame, target: str, task: str, exclude: Sequence[str],
     dealt = (prep.cells(told, ["__h", "__label"]).select(F.col("__h").alias("h"), F.col("__label").alias("y"), "x", "c")
              .repartition(partitions, "h").sortWithinPartitions("h").persist())
     try:
-        forest = grow(dealt, prep.edges, len(prep.categorical), prep.features, len(labels) if labels is not None else 0,
+        forest = grow(dealt, prep.edges, prep.sizes, len(labels) if labels is not None else 0,
                       config.dev_num_trees if dev else config.num_trees, config.dev_max_depth if dev else config.max_depth, config.seed)
     finally:
         dealt.unpersist()

@@ -342,7 +342,7 @@ class SparsePrep:
     medians: dict[str, float | None]
     modes: dict[str, str | None]
     edges: list[np.ndarray]
-    features: int
+    sizes: list[int]  # categories of each text column
     table: DataFrame | None
 
     def cells(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
@@ -386,7 +386,7 @@ def fit_sparse(fit: DataFrame, exclude: Sequence[str], bins: int) -> SparsePrep:
         for r in (counts.filter("value is not null").groupBy("feature")
                   .agg(F.min_by("value", F.struct(-F.col("cnt"), F.col("value"))).alias("mode"), F.count(F.lit(1)).alias("n")).collect()):
             mode[r["feature"]], size[r["feature"]] = r["mode"], r["n"]
-    return SparsePrep(numeric, cats, med, mode, edges, len(numeric) + sum(max(n, 1) for n in size.values()), counts)
+    return SparsePrep(numeric, cats, med, mode, edges, [max(size[c], 1) for c in cats], counts)
 
 
 def preprocess(df: DataFrame, target: str, key: str, split: str = "split", min_share: float = DEFAULT.min_category_share
