@@ -27,7 +27,7 @@ SPLIT_GROUPS = 64
 # Distinct counts that a task holds before it folds them together.
 HELD_CELLS = 2_000_000
 # Levels at which a node without any useful drawn feature draws again.
-DRAWS = 3
+DRAWS = 2
 TOTAL = -(2 ** 31)
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
