@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from conftest import by
 from tidemark.config import AuditConfig
-from tidemark.operators import forest, metrics, models
+from tidemark.operators import forest, metrics, models, prep
 
 SMALL = AuditConfig(num_trees=8, max_depth=4)
 
@@ -158,6 +158,17 @@ def test_cross_validation(labelled):
     assert got["metric"] == "root_mean_squared_error" and got["cv_folds"] == 2
 
 
+def test_folds_are_fitted_together_as_alone(labelled):
+    tagged = labelled.withColumn("f", (F.col("id") % 3).cast("int")).withColumn("label", F.when(F.col("id") == 6, "only here").otherwise(F.col("label")))
+    together = prep.fit_sparse_folds(tagged, "f", 3, ["id", "y"], 32)
+    for k, got in enumerate(together):
+        alone = prep.fit_sparse(tagged.filter(F.col("f") != k), ["id", "y", "f"], 32)
+        assert (got.numeric, got.categorical, got.medians, got.modes, got.sizes) == (
+            alone.numeric, alone.categorical, alone.medians, alone.modes, alone.sizes)
+        assert all((a == b).all() for a, b in zip(got.edges, alone.edges))
+    assert [p.sizes for p in together] == [[2], [3], [3]]
+
+
 def test_input_checks(labelled):
     with pytest.raises(ValueError, match="unsupported task"):
         models.train(labelled, "y", "ranking")

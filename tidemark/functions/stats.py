@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from ..schema import col, comparable, local_frame, number
 
+# Columns whose statistics one aggregate holds.
+MOMENT_COLUMNS = 16
 MOMENT_FIELDS = ("n", "nulls", "mean", "var_pop", "var_samp", "skew", "min", "max")
 
 
@@ -40,19 +42,27 @@ def moments(df: DataFrame, cols: Sequence[str], by: str | None = None,
             fields: Sequence[str] = MOMENT_FIELDS) -> DataFrame:
     """Long table (feature, [by], n, nulls, mean, ...): no row is shuffled, only partial aggregates.
 
-    Columns become rows and one short aggregate is grouped by column name.  Without ``by`` every column has its row,
-    also on an empty table, where the counts are 0.  Statistics that are no numbers (of infinite values) are missing.
+    Columns are aggregated side by side in blocks of ``MOMENT_COLUMNS``, which bounds the generated code, and become rows
+    afterwards: no row per cell is made.  Without ``by`` every column has its row, also on an empty table, where the counts
+    are 0.  Statistics that are no numbers (of infinite values) are missing.
     """
-    x = F.col("x")
-    made = {"n": F.count(x), "nulls": F.count(F.lit(1)) - F.count(x), "mean": finite(F.avg(x)),
-            "var_pop": finite(F.var_pop(x)), "var_samp": finite(F.var_samp(x)), "skew": finite(F.skewness(x)),
-            "min": F.min(x), "max": F.max(x)}
-    found = (long_numbers(df, cols, [by] if by else []).groupBy(*([col(by)] if by else []), "feature")
-             .agg(*[made[f].alias(f) for f in fields]))
-    if by:
-        return found
-    every = local_frame(df.sparkSession, [(c,) for c in cols], "feature string")
-    return every.join(F.broadcast(found), "feature", "left").na.fill(0, [f for f in ("n", "nulls") if f in fields])
+    def made(x: Column) -> dict[str, Column]:
+        return {"n": F.count(x), "nulls": F.count(F.lit(1)) - F.count(x), "mean": finite(F.avg(x)), "var_pop": finite(F.var_pop(x)),
+                "var_samp": finite(F.var_samp(x)), "skew": finite(F.skewness(x)), "min": F.min(x), "max": F.max(x)}
+
+    group, out = [col(by)] if by else [], None
+    for start in range(0, len(cols), MOMENT_COLUMNS):
+        block = cols[start:start + MOMENT_COLUMNS]
+        narrow = df.select(*group, *[number(df, c).alias(f"__x{i}") for i, c in enumerate(block)])
+        wide = narrow.groupBy(*group).agg(*[
+            F.struct(F.lit(c).alias("feature"), *[made(F.col(f"__x{i}"))[f].alias(f) for f in fields]).alias(f"__m{i}") for i, c in enumerate(block)])
+        part = wide.select(*group, F.inline(F.array(*[F.col(f"__m{i}") for i in range(len(block))])))
+        out = part if out is None else out.unionByName(part)
+    if out is None:
+        kinds = ", ".join(f"{f} {'bigint' if f in ('n', 'nulls') else 'double'}" for f in fields)
+        none = local_frame(df.sparkSession, [], f"feature string, {kinds}")
+        return none if by is None else none.select(F.lit(None).cast(df.schema[by].dataType).alias(by), "*")
+    return out
 
 
 def _families(df: DataFrame, cols: Sequence[str]) -> list[tuple[str, list[str]]]:

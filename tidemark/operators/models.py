@@ -22,7 +22,7 @@ from ..schema import col, local_frame, materialise, require_columns
 from ..sources.scratch import stored
 from .forest import BINS, Forest, grow
 from .metrics import classification_metrics, metrics_from_confusion, regression_metrics, roc_auc
-from .prep import FittedPrep, SparsePrep, fit_prep, fit_sparse
+from .prep import FittedPrep, SparsePrep, fit_prep, fit_sparse, fit_sparse_folds
 from .split import fold_of, stratified_folds
 
 DEFAULT = AuditConfig()
@@ -152,9 +152,10 @@ def train(df: DataFrame, target: str, task: str, exclude: Sequence[str] = (), es
     return TrainedModel(task, target, prep, model, labels)
 
 
-def _train_forest(df: DataFrame, target: str, task: str, exclude: Sequence[str], config: AuditConfig, dev: bool) -> TrainedModel:
+def _train_forest(df: DataFrame, target: str, task: str, exclude: Sequence[str], config: AuditConfig, dev: bool,
+                  prep: SparsePrep | None = None) -> TrainedModel:
     """The default: a forest over sparse cells, whatever the number of categories."""
-    prep = fit_sparse(df, [*exclude, target], BINS)
+    prep = prep or fit_sparse(df, [*exclude, target], BINS)
     rows, labels = _labelled(df, task, target)
     # Whole rows, their key included, decide which trees draw them.
     partitions = -(-rows.count() // FOREST_ROWS) or 1
@@ -174,8 +175,8 @@ def cross_validate(df: DataFrame, target: str, task: str, key: str, exclude: Seq
                    config: AuditConfig = DEFAULT, dev: bool = False, parallelism: int = 5) -> DataFrame:
     """(metric, cv_mean, cv_std, cv_folds): weighted F1 over stratified folds or RMSE over hashed ones, population deviation.
 
-    Preparation is fitted again inside every fold, so no fold sees its own rows.  Folds are independent
-    and run side by side, as in Spark's own cross-validator.
+    No fold's preparation sees its own rows; for the default forest all are fitted together from counts and quantiles
+    that leave one fold out each.  Folds are independent and run side by side, as in Spark's own cross-validator.
     """
     task = check_task(task)
     metric = "f1" if task == "classification" else "rmse"
@@ -185,9 +186,14 @@ def cross_validate(df: DataFrame, target: str, task: str, key: str, exclude: Seq
     tagged = (stratified_folds(narrow, key, target, folds).withColumnRenamed("fold", "__fold") if task == "classification"
               else narrow.withColumn("__fold", fold_of(key, folds))).persist()
 
+    preps = fit_sparse_folds(tagged, "__fold", folds, [key, target], BINS) if estimator is None else None
+
     def score(k: int) -> float:
-        fitted = train(tagged.filter(F.col("__fold") != k), target, task, [key, "__fold"],
-                       None if estimator is None else estimator.copy(), config, dev)
+        rest = tagged.filter(F.col("__fold") != k)
+        if preps is not None:
+            fitted = _train_forest(rest, target, task, [key, "__fold"], config, dev, preps[k])
+        else:
+            fitted = train(rest, target, task, [key, "__fold"], estimator.copy(), config, dev)
         held = tagged.filter(F.col("__fold") == k).filter(col(target).isNotNull())
         return float(next(r["value"] for r in fitted.evaluate(held, auc=False).collect() if r["metric"] == metric))
 

@@ -389,6 +389,36 @@ def fit_sparse(fit: DataFrame, exclude: Sequence[str], bins: int) -> SparsePrep:
     return SparsePrep(numeric, cats, med, mode, edges, [max(size[c], 1) for c in cats], counts)
 
 
+def fit_sparse_folds(df: DataFrame, fold: str, folds: int, exclude: Sequence[str], bins: int) -> list[SparsePrep]:
+    """For each fold the preparation fitted on all others, in as many scans as one fit takes.
+
+    Numbers are read once as columns that leave one fold out each; values are counted per fold, and what a fit sees of
+    them is the total minus its own fold.
+    """
+    skip = [*exclude, fold]
+    numeric, cats = sorted(numeric_columns(df, skip)), sorted(model_categorical_columns(df, skip))
+    without = {(k, c): f"{k}|{c}" for k in range(folds) for c in numeric}
+    cut = exact_quantiles(df.select(*[F.when(col(fold) != k, number(df, c)).alias(name) for (k, c), name in without.items()]),
+                          list(without.values()), [i / bins for i in range(1, bins)])
+    found = {}
+    if cats:
+        per = value_counts(df, cats, [fold]).filter("value is not null")
+        kept = per.groupBy("feature", "value").agg(*[F.sum(F.when(col(fold) != k, F.col("cnt"))).alias(f"n{k}") for k in range(folds)])
+        # one row per column
+        found = {r["feature"]: r for r in kept.groupBy("feature").agg(*[x for k in range(folds) for x in (
+            F.min_by("value", F.when(F.col(f"n{k}").isNotNull(), F.struct(-F.col(f"n{k}"), F.col("value")))).alias(f"mode{k}"),
+            F.count(f"n{k}").alias(f"size{k}"))]).collect()}
+    out = []
+    for k in range(folds):
+        own = {c: cut[without[(k, c)]] for c in numeric}
+        out.append(SparsePrep(
+            numeric, cats, {c: (q[bins // 2 - 1] if q else None) for c, q in own.items()},
+            {c: (found[c][f"mode{k}"] if c in found and found[c][f"size{k}"] else None) for c in cats},
+            [np.unique(np.array(own[c], float)) if own[c] else np.empty(0) for c in numeric],
+            [max(found[c][f"size{k}"], 1) if c in found else 1 for c in cats], None))
+    return out
+
+
 def preprocess(df: DataFrame, target: str, key: str, split: str = "split", min_share: float = DEFAULT.min_category_share
                ) -> tuple[DataFrame, FittedPrep]:
     """Fits on the train rows of ``df`` and returns (key, split, target, features...) for all rows."""
