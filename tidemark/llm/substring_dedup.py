@@ -1,11 +1,11 @@
-"""Repeated passages by prefix-partitioned suffix trees.
-
-A window is 50 consecutive words.  Every window is filed under one run of ``PREFIX`` words within it, chosen by hash, so
-that equal windows are filed alike; prefixes that only one document holds are dropped at once.  Consecutive windows with
-one prefix travel as one segment, and equal segments are combined before the shuffle.  Segments of one prefix form a
-group whose suffixes are sorted: neighbours with a common prefix of 50 words lie below one deep internal node of the
-group's suffix tree, and the node knows the smallest document under it.  A prefix with more suffixes than fit in memory
-is lengthened to the whole window, whose nodes are found by combining equal windows.
+"""Repeated passages by windows grouped by a run of words inside them.
+
+This stands in for prefix-partitioned suffix trees: no tree is built, and neither deeper nodes nor maximal repeats are
+found.  A window is 50 consecutive words.  Every window is filed under one run of ``PREFIX`` words within it, chosen by
+hash, so that equal windows are filed alike; runs that only one document holds are dropped at once.  Consecutive windows
+with one run travel as one segment, and equal segments are combined before the shuffle.  Within a group equal windows are
+found by sorting, and each knows the smallest document that holds it.  A run with more windows than fit in memory is
+grouped by the hash of the whole window instead.
 """
 
 from __future__ import annotations
