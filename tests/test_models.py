@@ -70,10 +70,12 @@ def test_forest_is_as_good_as_that_of_dense_vectors(spark):
         assert score[0] > score[1] - slack
 
 
-def test_forest_does_not_depend_on_layout_and_takes_any_number_of_categories(spark):
+def test_forest_does_not_depend_on_layout_and_takes_any_number_of_categories(spark, monkeypatch):
     df = spark.range(4000).select("id", F.concat(F.lit("name"), F.col("id")).alias("s"), (F.col("id") % 7).alias("x"),
                                   F.when(F.col("id") % 7 < 3, "a").otherwise("b").alias("y"))
     a = models.train(df, "y", "classification", ["id"], config=SMALL)
+    # trees grown whole in a task are those of a pass per level
+    monkeypatch.setattr(forest, "WHOLE_ROWS", 0)
     b = models.train(df.repartition(7, "x"), "y", "classification", ["id"], config=SMALL)
     assert [g.__dict__ for g in a.model.trees] == [g.__dict__ for g in b.model.trees]
     assert a.prep.sizes == [4000] and a.predict(df, ["id"]).count() == 4000
@@ -90,7 +92,7 @@ def test_splits_are_those_of_brute_force(spark):
     edges = [np.arange(5) + 0.5] * 2
     rows = spark.createDataFrame([(i, float(b), [float(v) for v in x], [int(v) for v in c]) for i, (b, x, c) in enumerate(zip(y, bins, cats))],
                                  "h bigint, y double, x array<double>, c array<bigint>")
-    grown = forest.grow(rows, edges, [4], 2, trees=1, max_depth=3, seed=1, share=1.0).trees[0]
+    grown = forest.grow(rows, edges, [4], 2, trees=1, max_depth=3, seed=1, drawn=3).trees[0]
     weight = forest.bootstrap(np.arange(n), 0, 1)
     gini = lambda m: 1 - sum((weight[m & (y == k)].sum() / weight[m].sum()) ** 2 for k in (True, False))
     members = {0: weight > 0}

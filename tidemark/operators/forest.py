@@ -12,6 +12,7 @@ So a forest depends on neither files nor cluster.  The driver holds the splits:
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -28,6 +29,8 @@ SPLIT_GROUPS = 64
 HELD_CELLS = 2_000_000
 # Levels at which a node without any useful drawn feature draws again.
 DRAWS = 2
+# Up to so many rows go to each task that grows whole trees, and trees of such a task.
+WHOLE_ROWS, TREES = 16_384, 13
 TOTAL = -(2 ** 31)
 
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
@@ -137,14 +140,21 @@ def impurity(stats: np.ndarray, classes: int) -> np.ndarray:
 CELLS = "t int, node int, kind int, f bigint, bin int, s int, v double"
 
 
-def _histogram(trees: list[Grown], edges: list[np.ndarray], sizes: Sequence[int], classes: int, seed: int, share: float):
-    """Counts of a task's rows for all open nodes and the features drawn there."""
+def _histogram(trees: list[Grown], edges: list[np.ndarray], sizes: Sequence[int], classes: int, seed: int, drawn: int, first: int = 0):
+    """Counts of a task's rows for all open nodes of trees ``first`` and following, and the features drawn there."""
     width = len(sizes)
     part = [min(1.0, max(BINS, math.sqrt(n)) / max(n, 1)) for n in sizes]
     open_nodes = [np.array([i for i, (l, d) in enumerate(zip(g.left, g.draws)) if l < 0 and d >= 0], np.int64) for g in trees]
 
-    def drawn(t: int, node: np.ndarray, draw: np.ndarray, column: np.ndarray | int, f: np.ndarray | int = 0, share: float = share) -> np.ndarray:
-        return uniform(mixed(seed, t, node, draw, column, f)) < share
+    def drawn_columns(t: int, node: np.ndarray, draw: np.ndarray) -> np.ndarray:
+        """(node, column): the columns with the smallest hashes at each node."""
+        h = mixed(seed, first + t, node[:, None], draw[:, None], np.arange(len(edges) + width)[None, :])
+        out = np.zeros(h.shape, bool)
+        np.put_along_axis(out, np.argsort(h, axis=1, kind="stable")[:, :drawn], True, axis=1)
+        return out
+
+    def drawn_category(t: int, node: np.ndarray, draw: np.ndarray, column: int, f: np.ndarray) -> np.ndarray:
+        return uniform(mixed(seed, first + t, node, draw, column, f)) < part[column]
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
@@ -170,7 +180,7 @@ def _histogram(trees: list[Grown], edges: list[np.ndarray], sizes: Sequence[int]
             for t, grown in enumerate(trees):
                 if not len(open_nodes[t]):
                     continue
-                weight = bootstrap(rows, t, seed)
+                weight = bootstrap(rows, first + t, seed)
                 at = np.flatnonzero(weight)
                 place = np.full(len(grown.left), -1)
                 place[open_nodes[t]] = np.arange(len(open_nodes[t]))
@@ -199,14 +209,15 @@ def _histogram(trees: list[Grown], edges: list[np.ndarray], sizes: Sequence[int]
                 everyone = np.arange(len(at))
                 add(local, everyone * 0, 1, everyone, TOTAL, none, none)
                 values = bins.shape[1]
+                tried = drawn_columns(t, number, draw)
                 if values:
-                    chosen, j = np.nonzero(drawn(t, number[:, None], draw[:, None], np.arange(values)[None, :])[local])
+                    chosen, j = np.nonzero(tried[local, :values])
                     add(local[chosen], j * BINS + bins[at[chosen], j], values * BINS, chosen, -1, lambda k: k // BINS, lambda k: k % BINS)
                 for c, (ids, code) in enumerate(codes):
-                    chosen = np.flatnonzero(drawn(t, number, draw, values + c)[local])
+                    chosen = np.flatnonzero(tried[local, values + c])
                     if part[c] < 1:
                         own_nodes = local[chosen]
-                        chosen = chosen[drawn(t, number[own_nodes], draw[own_nodes], values + c, cats[at[chosen], c], part[c])]
+                        chosen = chosen[drawn_category(t, number[own_nodes], draw[own_nodes], c, cats[at[chosen], c])]
                     if len(chosen):
                         add(local[chosen], code[at[chosen]], len(ids), chosen, c, lambda k, v=ids: v[k], none)
             batches_held += 1
@@ -373,46 +384,70 @@ class Forest:
 
 
 def grow(rows: DataFrame, edges: list[np.ndarray], sizes: Sequence[int], classes: int, trees: int = 100, max_depth: int = 10,
-         seed: int = 42, share: float | None = None) -> Forest:
+         seed: int = 42, drawn: int | None = None, count: int | None = None) -> Forest:
     """Grows a forest on rows (h bigint, y double, x array<double>, c array<bigint>).
 
     ``edges`` are the bin edges of each numeric value, ``sizes`` the numbers of categories of the text columns.  A node
-    draws each input column with probability ``share``, by default about the square root of their number (a third for
-    regression), and of a drawn text column ``BINS`` categories or the square root of their number.  ``classes`` is 0 for
-    regression, else y is a class number.  A node ends at ``max_depth``, when it is pure, or when ``DRAWS`` draws in turn
+    draws ``drawn`` of the input columns, by default the square root of their number (all for regression), and of a drawn text column ``BINS`` categories or the square root of their number.  ``classes`` is 0 for
+    regression, else y is a class number.  ``count`` may tell the number of rows.  A node ends at ``max_depth``, when it is pure, or when ``DRAWS`` draws in turn
     hold no feature that helps.
     """
     columns, width = len(edges) + len(sizes), len(sizes)
-    if share is None:
-        share = min(1.0, (math.ceil(math.sqrt(columns)) if classes else max(1.0, columns / 3)) / max(columns, 1))
+    if drawn is None:
+        drawn = math.ceil(math.sqrt(columns)) if classes else columns
     forest = Forest([Grown() for _ in range(trees)], edges, width, classes)
     for grown in forest.trees:
         grown.add([], 0)
     narrow = rows.select("h", "y", "x", "c")
-    while any(l < 0 and d >= 0 for g in forest.trees for l, d in zip(g.left, g.draws)):
-        cells = (narrow.mapInArrow(_histogram(forest.trees, edges, sizes, classes, seed, share), CELLS)
+    if count is not None and count <= WHOLE_ROWS:
+        # So few rows are sent to a few tasks, which grow some of the trees each by the same steps.
+        def several(table: pa.Table) -> pa.Table:
+            block = table["block"][0].as_py()
+            batch = table.select(["h", "y", "x", "c"]).combine_chunks().to_batches()[0]
+            own = [Grown() for _ in range(block * TREES, min(trees, (block + 1) * TREES))]
+            for grown in own:
+                grown.add([], 0)
+            while _open(own):
+                cells = pa.Table.from_batches(_histogram(own, edges, sizes, classes, seed, drawn, block * TREES)(iter([batch])))
+                _advance(own, _best_splits(classes)(cells), classes, max_depth)
+            return pa.table({"block": pa.array([block], pa.int32()), "trees": pa.array([pickle.dumps([g.__dict__ for g in own])], pa.binary())})
+
+        copies = narrow.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((trees - 1) // TREES))))
+        for r in copies.groupBy("block").applyInArrow(several, "block int, trees binary").collect():
+            for i, fields in enumerate(pickle.loads(bytes(r["trees"]))):
+                forest.trees[r["block"] * TREES + i] = Grown(**fields)
+        return forest
+    while _open(forest.trees):
+        cells = (narrow.mapInArrow(_histogram(forest.trees, edges, sizes, classes, seed, drawn), CELLS)
                  .groupBy("t", "node", "kind", "f", "bin", "s").agg(F.sum("v").alias("v")))
         found = (cells.withColumn("g", F.pmod(F.hash("t", "node"), F.lit(SPLIT_GROUPS))).groupBy("g")
                  .applyInArrow(lambda table: _best_splits(classes)(table), SPLITS).toArrow())  # one row an open node
-        seen = set()
-        for r in sorted(found.to_pylist(), key=lambda r: (r["t"], r["node"])):
-            grown, i = forest.trees[r["t"]], r["node"]
-            seen.add((r["t"], i))
-            grown.stats[i] = tuple(r["total"])
-            if r["kind"] == TOTAL:
-                pure = impurity(np.array(r["total"]), classes) <= 1e-12
-                grown.draws[i] = -1 if pure or grown.draws[i] + 1 >= DRAWS else grown.draws[i] + 1
-                continue
-            left, right = np.array(r["left"]), np.array(r["total"]) - np.array(r["left"])
-            grown.kind[i], grown.feature[i], grown.cut[i], grown.gain[i] = r["kind"], r["f"], r["bin"], r["gain"]
-            grown.left[i] = len(grown.left)
-            for part in (left, right):
-                child = grown.add(part.tolist(), grown.depth[i] + 1)
-                if grown.depth[child] >= max_depth or impurity(part, classes) <= 1e-12 * max(1.0, abs(float(part[-1]))):
-                    grown.draws[child] = -1
-        for t, grown in enumerate(forest.trees):  # nothing was drawn for them
-            for i, (l, d) in enumerate(zip(grown.left, grown.draws)):
-                if l < 0 and d >= 0 and (t, i) not in seen and not grown.stats[i]:
-                    grown.draws[i] = -1
-                    grown.stats[i] = (0.0,) * (classes or 3)
+        _advance(forest.trees, found, classes, max_depth)
     return forest
+
+
+def _open(trees: list[Grown]) -> bool:
+    return any(l < 0 and d >= 0 for g in trees for l, d in zip(g.left, g.draws))
+
+
+def _advance(trees: list[Grown], found: pa.Table, classes: int, max_depth: int) -> None:
+    """Splits the open nodes as found; pure, deep and unhelped ones become leaves."""
+    for r in sorted(found.to_pylist(), key=lambda r: (r["t"], r["node"])):
+        grown, i = trees[r["t"]], r["node"]
+        grown.stats[i] = tuple(r["total"])
+        if r["kind"] == TOTAL:
+            pure = impurity(np.array(r["total"]), classes) <= 1e-12
+            grown.draws[i] = -1 if pure or grown.draws[i] + 1 >= DRAWS else grown.draws[i] + 1
+            continue
+        left, right = np.array(r["left"]), np.array(r["total"]) - np.array(r["left"])
+        grown.kind[i], grown.feature[i], grown.cut[i], grown.gain[i] = r["kind"], r["f"], r["bin"], r["gain"]
+        grown.left[i] = len(grown.left)
+        for part in (left, right):
+            child = grown.add(part.tolist(), grown.depth[i] + 1)
+            if grown.depth[child] >= max_depth or impurity(part, classes) <= 1e-12 * max(1.0, abs(float(part[-1]))):
+                grown.draws[child] = -1
+    for t, grown in enumerate(trees):  # no row was drawn for them
+        for i, (l, d) in enumerate(zip(grown.left, grown.draws)):
+            if l < 0 and d >= 0 and not grown.stats[i]:
+                grown.draws[i] = -1
+                grown.stats[i] = (0.0,) * (classes or 3)

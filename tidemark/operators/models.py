@@ -158,13 +158,14 @@ def _train_forest(df: DataFrame, target: str, task: str, exclude: Sequence[str],
     prep = prep or fit_sparse(df, [*exclude, target], BINS)
     rows, labels = _labelled(df, task, target)
     # Whole rows, their key included, decide which trees draw them.
-    partitions = -(-rows.count() // FOREST_ROWS) or 1
+    count = rows.count()
+    partitions = -(-count // FOREST_ROWS) or 1
     told = rows.withColumn("__h", F.xxhash64(*[col(c) for c in df.columns]))
     dealt = (prep.cells(told, ["__h", "__label"]).select(F.col("__h").alias("h"), F.col("__label").alias("y"), "x", "c")
              .repartition(partitions, "h").sortWithinPartitions("h").persist())
     try:
         forest = grow(dealt, prep.edges, prep.sizes, len(labels) if labels is not None else 0,
-                      config.dev_num_trees if dev else config.num_trees, config.dev_max_depth if dev else config.max_depth, config.seed)
+                      config.dev_num_trees if dev else config.num_trees, config.dev_max_depth if dev else config.max_depth, config.seed, count=count)
     finally:
         dealt.unpersist()
     return TrainedModel(task, target, prep, forest, labels)
