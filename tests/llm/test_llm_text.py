@@ -132,29 +132,29 @@ def test_no_documents_have_no_repeats(spark, corpus):
 
 # --- lines ------------------------------------------------------------------------------------------
 
+def line_chunks(rows):
+    """(first, last) of the chunks of a text's lines."""
+    h = [int(hashlib.md5(r.encode()).hexdigest()[:8], 16) for r in rows]
+    n = lambda a, e: sum(len(words(r)) for r in rows[a:e + 1])
+    full = [i for i in range(len(rows)) if words(rows[i])]
+    out = {(a, e) for a, e in zip(full, full[1:]) if n(a, e) >= 10 and (h[a] * 31 + h[e]) % 2147483647 % 4}
+    for k, a in enumerate(full):
+        last = next((e for e in full[k + 1:] if h[e] % 2 == h[a] % 2 and n(a, e) >= 10), None)
+        out |= {(a, last)} if last is not None else set()
+    return out
+
+
 def brute_lines(texts):
-    seen, out = set(), {}
+    """The smallest place of each chunk first, then every text without the chunks that have an earlier place."""
+    first, out = {}, {}
+    split = {i: t.split("\n") for i, t in enumerate(texts) if t is not None}
+    for i, rows in split.items():
+        for a, e in sorted(line_chunks(rows)):
+            first.setdefault(tuple(rows[a:e + 1]), (i, a))
     for i, text in enumerate(texts):
-        if text is None:
-            out[i] = (None, 0, 0)
-            continue
-        rows = text.split("\n")
-        h = [int(hashlib.md5(r.encode()).hexdigest()[:8], 16) for r in rows]
-        chunks, start = [], 0
-        for k in range(len(rows)):
-            back = lambda b: h[k - b] if k >= b else 0
-            if (back(2) * 961 + back(1) * 31 + h[k]) % 2147483647 % 4 == 0 or k == len(rows) - 1:
-                chunks.append(rows[start:k + 1])
-                start = k + 1
-        kept, gone = [], 0
-        for c in chunks:
-            if len(c) > 1 and tuple(c) in seen:
-                gone += len(c)
-            else:
-                kept.append("\n".join(c))
-                if len(c) > 1:
-                    seen.add(tuple(c))
-        out[i] = ("\n".join(kept), len(rows), gone)
+        rows = split.get(i, [])
+        gone = {k for a, e in line_chunks(rows) if first[tuple(rows[a:e + 1])] < (i, a - (e - a)) for k in range(a, e + 1)}
+        out[i] = (None if text is None else "\n".join(r for k, r in enumerate(rows) if k not in gone), len(rows), len(gone))
     return out
 
 

@@ -1,80 +1,124 @@
 """Line deduplication over content-defined chunks of lines, in DataFrame functions only.
 
-A rolling hash over the last three line hashes decides after which lines a chunk ends, so that a passage is cut in the
-same way wherever it stands.  Chunks of several lines that occur again anywhere in the corpus are removed but for their
-first occurrence.  Hashes only propose: removal needs equal bytes.
-
-A chunk that lies across the edge of a passage is never equal, so chunks miss most passages inside otherwise different
-documents.  ``dedup_passages`` compares every two lines in a row instead and misses none.
+Rolling hashes over the line hashes of a text choose where chunks begin and end, so that a passage is cut in the same way
+wherever it stands.  A boundary reads no line outside its chunk: under the hash of one line a chunk runs from a line to
+the next of the same parity, so of any three lines two bound a chunk, and chunks overlap; under the hash of two lines
+three of four neighbours are a chunk of their own.  Blank lines bound nothing, and a chunk has a least number of words.
+Chunks that occur again anywhere in the corpus are removed but for their first occurrence.  Hashes only propose: removal
+needs equal bytes.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import col
+from .common import col, unused
 
 DIVISOR = 4
 PRIME, STEP = 2_147_483_647, 31
+# A shorter chunk says too little to be a repetition: closing brackets, blank lines, single names.
+MIN_WORDS = 10
+# A chunk travels as one number: first line * SPAN + last line.
+SPAN = 1 << 31
+
+
+def _first(code: Column) -> Column:
+    return F.shiftright(code, 31).cast("int")
 
 
-def _cut(docs: DataFrame, text: Column, divisor: int) -> DataFrame:
-    """Adds ``_chunks``: (start, lines, body) in the order of the text; null for a null text."""
+def _last(code: Column) -> Column:
+    return F.pmod(code, F.lit(SPAN)).cast("int")
+
+
+def _with_chunks(docs: DataFrame, min_words: int, divisor: int) -> DataFrame:
+    """Adds ``_lines`` and ``_codes``, the chunks of ``_text``; null for a null text."""
     def line_hash(line: Column) -> Column:
         return F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("bigint")
 
-    def rolled(i: Column) -> Column:
-        at = lambda back: F.when(i >= back, F.get("_hashes", i - back)).otherwise(0)
-        return F.pmod(F.pmod(at(2) * (STEP * STEP) + at(1) * STEP + at(0), F.lit(PRIME)), F.lit(divisor))
+    def words(first: Column, last: Column) -> Column:
+        return F.aggregate(F.slice("_words", first + 1, last - first + 1), F.lit(0), lambda n, w: n + w)
 
-    last = F.size("_lines") - 1
-    start = lambda k: F.when(k > 0, F.get("_ends", k - 1) + 1).otherwise(0)
-    return (docs.withColumn("_lines", F.split(text, "\n"))
-            .withColumn("_hashes", F.transform("_lines", line_hash))
-            .withColumn("_ends", F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (rolled(i) == 0)))
-            .withColumn("_chunks", F.transform("_ends", lambda e, k: F.struct(
-                start(k).alias("start"), (e - start(k) + 1).alias("lines"),
-                F.array_join(F.slice("_lines", start(k) + 1, e - start(k) + 1), "\n").alias("body"))))
-            .drop("_lines", "_hashes", "_ends"))
+    def code(first: Column, last: Column) -> Column:
+        return first.cast("bigint") * F.lit(SPAN) + last
 
+    def of_one(places: str) -> Column:
+        """From each line to the next of its parity with which the chunk has words enough."""
+        def chunk(first: Column, m: Column) -> Column:
+            near = F.get(places, m + 1)
+            # Every place holds a word, so no chunk needs more than ``min_words`` of them.
+            later = F.filter(F.slice(places, m + 3, min_words), lambda e: words(first, e) >= min_words)
+            return code(first, F.when(words(first, near) >= min_words, near).otherwise(F.get(later, 0)))
+        return F.transform(places, chunk)
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR) -> DataFrame:
-    """The documents with repeated chunks cut from their text, and ``_lines`` and ``_removed``: line counts.
+    def of_two(first: Column, m: Column) -> Column:
+        last = F.get("_places", m + 1)
+        rolled = F.pmod(F.get("_hashes", first) * STEP + F.get("_hashes", last), F.lit(PRIME))
+        return F.when((rolled % divisor != 0) & (words(first, last) >= min_words), code(first, last))
 
-    Lines end at newlines; a chunk ends where the rolling hash of its last three lines is divisible by ``divisor``, or
-    with the text.  Of equal chunks of two or more lines the first stays: that with the smallest (id, hash of the text,
-    line number); null ids come first.  Equal rows (id and text) count as one document and stay alike.  Null texts stay
-    null with 0 lines; an empty text is one empty line.  A text that loses all of its chunks becomes empty.
+    odd = lambda i: F.get("_hashes", i) % 2 == 1
+    return (docs.withColumn("_lines", F.split("_text", "\n"))
+            .withColumns({"_words": F.transform("_lines", lambda x: F.regexp_count(x, F.lit(r"[^\x09-\x0D\x20]+"))),
+                          "_hashes": F.transform("_lines", line_hash)})
+            .withColumn("_places", F.filter(F.transform("_words", lambda n, i: F.when(n > 0, i)), lambda i: i.isNotNull()))
+            .withColumns({"_odd": F.filter("_places", odd), "_even": F.filter("_places", lambda i: ~odd(i))})
+            .withColumn("_codes", F.array_distinct(F.filter(
+                F.concat(of_one("_odd"), of_one("_even"), F.transform("_places", of_two)), lambda c: c.isNotNull())))
+            .drop("_words", "_hashes", "_places", "_odd", "_even"))
+
+
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS,
+                divisor: int = DIVISOR) -> DataFrame:
+    """The documents without repeated chunks, and ``_lines`` and ``_removed``: line counts.
+
+    The two counts stand last and get a number behind their name where the table has such a column.  Lines end at
+    newlines, words are what stands between blanks.  Of equal chunks the first place keeps its lines, that with the
+    smallest (id, hash of the text, line number), null ids first; elsewhere all lines of the chunk go, unless it overlaps
+    its first place.  So of each line one copy stays.  Passages of three or more lines and ``min_words`` always hold a
+    chunk, those of two lines in seven of eight cases.  Equal rows (id and text) count as one document and stay alike.
+    Null texts stay null with 0 lines; an empty text is one empty line.  A text that loses all lines becomes empty.
+
+    A chunk that a third of all documents hold is one hot key of the joins below: its rows are small (no text) and the
+    adaptive join splits them; the byte comparison is a grouping that each task combines first.
     """
+    n_lines, n_removed = unused(docs, "_lines", "_removed")
     # The row's identity for the decisions; its own columns may have any names.
     plain = docs.select(F.struct(*[col(c) for c in docs.columns if c != text_col]).alias("_row"), col(id_col).alias("_id"),
                         col(text_col).cast("string").alias("_text")).withColumn("_mark", F.xxhash64("_text"))
-    place = F.struct("_id", "_mark", "_start")
-    cut = _cut(plain.select("_id", "_mark", "_text"), F.col("_text"), divisor)
-    chunk = F.explode(F.filter("_chunks", lambda c: c["lines"] > 1))
-    seen = cut.select("_id", "_mark", chunk.alias("c")).select(
-        "_id", "_mark", F.col("c.start").alias("_start"), F.xxhash64("c.body").alias("_key"))
+    place = lambda back: F.struct("_id", "_mark", (_first(F.col("_code")) - back).alias("_start"))
+    lines_of = lambda c: F.slice("_lines", _first(c) + 1, _last(c) - _first(c) + 1)
+    cut = _with_chunks(plain.select("_id", "_mark", "_text"), min_words, divisor)
+    # The outer form: a plain explode would have its emptiness tested below, on chunks made twice.
+    seen = (cut.select("_id", "_mark", F.explode_outer(F.transform("_codes", lambda c: F.struct(
+        c.alias("code"), F.xxhash64(lines_of(c)).alias("key")))).alias("c")).filter("c is not null")
+        .select("_id", "_mark", F.col("c.code").alias("_code"), F.col("c.key").alias("_key")))
     again = seen.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1").select("_key")
-    found = seen.join(again, "_key").groupBy("_id", "_mark").agg(F.collect_set("_start").alias("_starts"))
-    # Only chunks whose hash occurs again are compared as bytes; equal ones meet already combined by their task.
+    found = seen.join(again, "_key").groupBy("_id", "_mark").agg(F.collect_set("_code").alias("_codes"))
     known = F.col("d._id").eqNullSafe(F.col("f._id")) & F.col("d._mark").eqNullSafe(F.col("f._mark"))
-    bodies = (_cut(plain.select("_id", "_mark", "_text").alias("d").join(found.alias("f"), known)
-                   .select("d._id", "d._mark", "_text", "_starts"), F.col("_text"), divisor)
-              .select("_id", "_mark", F.explode(F.filter("_chunks", lambda c: F.array_contains("_starts", c["start"]))).alias("c"))
-              .select("_id", "_mark", F.col("c.start").alias("_start"), F.col("c.body").alias("_body")))
-    firsts = bodies.groupBy("_body").agg(F.min(place).alias("_first"), F.max(place).alias("_last")).filter("_first < _last")
-    out = (bodies.join(firsts.select("_body", "_first"), "_body").filter(place != F.col("_first"))
-           .groupBy("_id", "_mark").agg(F.collect_set("_start").alias("_gone")))
+    # Only chunks whose hash occurs again are compared as bytes.
+    bodies = (plain.select("_id", "_mark", "_text").alias("d").join(found.alias("f"), known)
+              .select("d._id", "d._mark", F.split("_text", "\n").alias("_lines"), "_codes")
+              .select("_id", "_mark", F.explode_outer(F.transform("_codes", lambda c: F.struct(
+                  c.alias("code"), F.array_join(lines_of(c), "\n").alias("body")))).alias("c"))
+              .select("_id", "_mark", F.col("c.code").alias("_code"), F.col("c.body").alias("_body"),
+                      F.unhex(F.md5(F.col("c.body").cast("binary"))).alias("_digest")))
+    equal = bodies.groupBy("_digest", "_body").agg(F.min(place(0)).alias("_least"), F.max(place(0)).alias("_most"))
+    # The digest leads back to the rows and stands for one body only, else nothing is removed by it.
+    firsts = (equal.groupBy("_digest").agg(F.count("*").alias("n"), F.min("_least").alias("_least"), F.max("_most").alias("_most"))
+              .filter("n = 1 and _least < _most").select("_digest", "_least"))
+    length = _last(F.col("_code")) - _first(F.col("_code"))
+    out = (bodies.select("_id", "_mark", "_code", "_digest").join(firsts, "_digest").filter(F.col("_least") < place(length))
+           .groupBy("_id", "_mark").agg(F.collect_set("_code").alias("_gone")))
     joined = plain.alias("d").join(out.alias("f"), known, "left").select("_row", "_text", "_gone")
-    whole = _cut(joined, F.col("_text"), divisor)
-    kept = F.filter("_chunks", lambda c: ~F.array_contains("_gone", c["start"]))
-    lines = lambda chunks: F.aggregate(chunks, F.lit(0).cast("bigint"), lambda n, c: n + c["lines"])
-    text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(kept, lambda c: c["body"]), "\n"))
-    gone = F.filter("_chunks", lambda c: F.array_contains("_gone", c["start"]))
-    made = F.struct(*[(text if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns],
-                    F.coalesce(lines("_chunks"), F.lit(0)).alias("_lines"),
-                    F.when(F.col("_gone").isNull(), 0).otherwise(lines(gone)).cast("bigint").alias("_removed"))
-    # As a generated row: a filter on plain columns would be pushed below the chunks and cut them again for every line.
+    # Set functions, as a lookup for each line would grow with the square of a text's lines.
+    lost = F.flatten(F.transform("_gone", lambda c: F.sequence(_first(c), _last(c))))
+    whole = joined.withColumn("_lines", F.split("_text", "\n")).withColumn(
+        "_kept", F.when(F.col("_gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), lost)))
+    text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(
+        F.array_join(F.transform("_kept", lambda i: F.get("_lines", i)), "\n"))
+    n = F.when(F.col("_text").isNull(), 0).otherwise(F.size("_lines")).cast("bigint")
+    made = F.struct(*[(text if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns], n.alias(n_lines),
+                    F.when(F.col("_gone").isNull(), 0).otherwise(n - F.size("_kept")).cast("bigint").alias(n_removed))
+    # As a generated row: a filter on plain columns would be pushed below the lines and cut them again for every line.
     return whole.select(F.inline_outer(F.array(made)))
 
 
@@ -131,8 +175,9 @@ def keep_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ``n_chars``, where there is one, is counted anew for shortened texts.
     """
     out = dedup(docs, id_col, text_col)
-    out = out.filter((F.col("_removed") == 0) | (F.col("_removed") < F.col("_lines")))
+    lines, removed = map(col, out.columns[-2:])
+    out = out.filter((removed == 0) | (removed < lines))
     if "n_chars" in docs.columns:
-        counted = F.when(F.col("_removed") > 0, F.length(col(text_col)).cast(docs.schema["n_chars"].dataType))
+        counted = F.when(removed > 0, F.length(col(text_col)).cast(docs.schema["n_chars"].dataType))
         out = out.withColumn("n_chars", counted.otherwise(col("n_chars")))
     return out.select(*map(col, docs.columns))

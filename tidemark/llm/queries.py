@@ -122,19 +122,25 @@ def op1_line_dedup(spark, d):
                         F.length("text").cast("bigint").alias("n_chars"), F.sha2("text", 256).alias("kept_sha256"))
 
 
-ORACLES["op1_line_dedup"] = """
+ORACLES["op1_line_dedup"] = r"""
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) line,
                   generate_subscripts(string_split(text, chr(10)), 1) - 1 i FROM documents),
-h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT h FROM l),
-r AS (SELECT doc_id, line, i, (((coalesce(lag(h, 2) OVER w, 0) * 961 + coalesce(lag(h) OVER w, 0) * 31 + h) % 2147483647) % 4 = 0)::INT ends
-      FROM h WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-n AS (SELECT *, coalesce(sum(ends) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) c FROM r),
-k AS (SELECT doc_id, c, min(i) start, count(*) n, string_agg(line, chr(10) ORDER BY i) body FROM n GROUP BY doc_id, c),
-f AS (SELECT *, n >= 2 AND row_number() OVER (PARTITION BY body, n >= 2 ORDER BY doc_id, start) > 1 gone FROM k)
-SELECT doc_id, sum(n)::BIGINT n_lines, coalesce(sum(n) FILTER (gone), 0)::BIGINT n_removed,
-       length(coalesce(string_agg(body, chr(10) ORDER BY start) FILTER (NOT gone), '')) n_chars,
-       sha256(coalesce(string_agg(body, chr(10) ORDER BY start) FILTER (NOT gone), '')) kept_sha256
-FROM f GROUP BY doc_id
+h AS (SELECT *, ('0x' || substr(md5(line), 1, 8))::BIGINT h, len(regexp_extract_all(line, '[^\x09-\x0D\x20]+')) w FROM l),
+c AS (SELECT *, sum(w) OVER (PARTITION BY doc_id ORDER BY i) upto FROM h),
+p AS (SELECT doc_id, i, h, upto, upto - w before, row_number() OVER (PARTITION BY doc_id ORDER BY i) m,
+             row_number() OVER (PARTITION BY doc_id, h % 2 ORDER BY i) k FROM c WHERE w > 0),
+k AS (SELECT a.doc_id, a.i first, min(b.i) last FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.h % 2 = b.h % 2
+      AND b.k BETWEEN a.k + 1 AND a.k + 11 AND b.upto - a.before >= 10 GROUP BY ALL
+      UNION SELECT a.doc_id, a.i, b.i FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.m = a.m + 1
+      WHERE b.upto - a.before >= 10 AND (a.h * 31 + b.h) % 2147483647 % 4 <> 0),
+b AS (SELECT doc_id, first, last, array_to_string(string_split(text, chr(10))[first + 1:last + 1], chr(10)) body
+      FROM k JOIN documents USING (doc_id)),
+f AS (SELECT *, min((doc_id, first)) OVER (PARTITION BY body) < (doc_id, first - (last - first)) gone FROM b),
+g AS (SELECT DISTINCT doc_id, unnest(range(first, last + 1)) i, 1 gone FROM f WHERE gone)
+SELECT doc_id, count(*)::BIGINT n_lines, count(gone)::BIGINT n_removed,
+       length(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (gone IS NULL), '')) n_chars,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (gone IS NULL), '')) kept_sha256
+FROM l LEFT JOIN g USING (doc_id, i) GROUP BY doc_id
 """
 
 
