@@ -137,7 +137,7 @@ def line_chunks(rows):
     h = [int(hashlib.md5(r.encode()).hexdigest()[:8], 16) for r in rows]
     n = lambda a, e: sum(len(words(r)) for r in rows[a:e + 1])
     full = [i for i in range(len(rows)) if words(rows[i])]
-    out = {(a, e) for a, e in zip(full, full[1:]) if n(a, e) >= 10 and (h[a] * 31 + h[e]) % 2147483647 % 4}
+    out = {(a, e) for a, e in zip(full, full[1:]) if n(a, e) >= 10 and (h[a] * 31 + h[e]) % 2147483647 % 8}
     for k, a in enumerate(full):
         last = next((e for e in full[k + 1:] if h[e] % 2 == h[a] % 2 and n(a, e) >= 10), None)
         out |= {(a, last)} if last is not None else set()

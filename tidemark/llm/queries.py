@@ -132,7 +132,7 @@ p AS (SELECT doc_id, i, h, upto, upto - w before, row_number() OVER (PARTITION B
 k AS (SELECT a.doc_id, a.i first, min(b.i) last FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.h % 2 = b.h % 2
       AND b.k BETWEEN a.k + 1 AND a.k + 11 AND b.upto - a.before >= 10 GROUP BY ALL
       UNION SELECT a.doc_id, a.i, b.i FROM p a JOIN p b ON a.doc_id = b.doc_id AND b.m = a.m + 1
-      WHERE b.upto - a.before >= 10 AND (a.h * 31 + b.h) % 2147483647 % 4 <> 0),
+      WHERE b.upto - a.before >= 10 AND (a.h * 31 + b.h) % 2147483647 % 8 <> 0),
 b AS (SELECT doc_id, first, last, array_to_string(string_split(text, chr(10))[first + 1:last + 1], chr(10)) body
       FROM k JOIN documents USING (doc_id)),
 f AS (SELECT *, min((doc_id, first)) OVER (PARTITION BY body) < (doc_id, first - (last - first)) gone FROM b),
