@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import documents, scratch_path, table
 from tidemark.llm.decontaminate import decontaminate
-from tidemark.llm.line_dedup import dedup_passages, keep_deduplicated
+from tidemark.llm.line_dedup import keep_deduplicated
 from tidemark.llm.ngram_join import keep_one_per_group
 from tidemark.llm.packing import pack_documents
 from tidemark.llm.queries import held_out, tokenizer_path
@@ -34,8 +34,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without passages of two or more lines that stand earlier in the corpus; documents that lose every line go."""
-    return keep_deduplicated(docs, dedup=dedup_passages)
+    """Without chunks of lines that stand earlier in the corpus, as in op1; documents that lose every line go."""
+    return keep_deduplicated(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
