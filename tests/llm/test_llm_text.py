@@ -177,35 +177,31 @@ def test_equal_rows_stay_alike(spark):
     assert sorted(found, key=str) == sorted([(1, True), (1, True), (2, True), (None, False)], key=str)
 
 
-def brute_passages(texts):
-    first, out = {}, {}
-    split = {i: t.split("\n") for i, t in enumerate(texts) if t is not None}
-    for i, rows in split.items():
-        for k in range(len(rows) - 1):
-            first.setdefault((rows[k], rows[k + 1]), (i, k))
-    for i, text in enumerate(texts):
-        rows = split.get(i, [])
-        gone = {k + j for k in range(len(rows) - 1) if first[rows[k], rows[k + 1]] < (i, k - 1) for j in (0, 1)}
-        out[i] = (None if text is None else "\n".join(r for k, r in enumerate(rows) if k not in gone), len(rows), len(gone))
-    return out
-
-
 def test_passages_inside_different_documents(spark, corpus):
-    # One passage in the midst of ten different texts, at different places: chunks keep its edges or all of it.
-    passage = [f"passage line {i} of the shared kind" for i in range(8)]
+    # One passage in the midst of ten different texts, at different places, with short lines and a blank one among them.
+    passage = [f"passage line {i} of the shared kind" for i in range(4)] + ["", "in", "short", "lines"] + ["and its long last line at the end"]
     texts = ["\n".join([f"own {d} {i}" for i in range(3 + d)] + passage + [f"end {d} {i}" for i in range(5)]) for d in range(10)]
-    found = {r["doc_id"]: r for r in line_dedup.dedup_passages(frame(spark, texts)).collect()}
-    assert [found[d]["_removed"] for d in range(10)] == [0] + [8] * 9
+    found = {r["doc_id"]: r for r in line_dedup.dedup_lines(frame(spark, texts)).collect()}
+    assert [found[d]["_removed"] for d in range(10)] == [0] + [9] * 9
     assert all("passage" not in found[d]["text"] for d in range(1, 10)) and found[0]["text"] == texts[0]
-    kept = line_dedup.keep_deduplicated(frame(spark, texts), dedup=line_dedup.dedup_passages)
+    kept = line_dedup.keep_deduplicated(frame(spark, texts))
     assert kept.filter("n_chars <> length(text)").isEmpty() and kept.count() == 10
-    docs = frame(spark, corpus)
-    found = line_dedup.dedup_passages(docs)
-    assert found.columns == [*docs.columns, "_lines", "_removed"]
-    assert {r["doc_id"]: (r["text"], r["_lines"], r["_removed"]) for r in found.collect()} == brute_passages(corpus)
+    # No line is lost for good, and neither blank lines nor closing brackets are passages.
+    found = line_dedup.dedup_lines(frame(spark, corpus))
     left = {row for r in found.collect() for row in (r["text"] or "").split("\n")}
     assert left >= {row for t in corpus for row in (t or "").split("\n")}
-    assert line_dedup.dedup_passages(docs.filter("false")).count() == 0
+    layout = ["other text\n\n\nwith its own end", "a text\n\n\nwith another end", "if a:\n    }\n\n    }\n\n    }\n", "if b:\n    }\n\n    }\n\n    }\n"]
+    assert [r["_removed"] for r in line_dedup.dedup_lines(frame(spark, layout)).collect()] == [0] * 4
+
+
+def test_line_counts_beside_columns_of_the_same_names(spark):
+    text = "\n".join(f"a line with five words {i}" for i in range(6))
+    docs = spark.createDataFrame([(1, text, "x", 7, 8), (2, text, None, 7, 8), (3, None, "y", 7, 8)],
+                                 "doc_id bigint, text string, _text string, _lines int, _Removed int")
+    found = line_dedup.dedup_lines(docs)
+    assert found.columns == [*docs.columns, "_lines_1", "_removed_1"]
+    assert sorted(tuple(r)[3:] for r in found.collect()) == [(7, 8, 0, 0), (7, 8, 6, 0), (7, 8, 6, 6)]
+    assert sorted(r["doc_id"] for r in line_dedup.keep_deduplicated(docs).collect()) == [1, 3]
 
 
 # --- fingerprints -----------------------------------------------------------------------------------

@@ -122,59 +122,12 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return whole.select(F.inline_outer(F.array(made)))
 
 
-def _with_pairs(docs: DataFrame) -> DataFrame:
-    """Adds ``_lines`` and ``_pairs``: (start, key) of every two lines in a row; null where there are not two."""
-    key = lambda i: F.xxhash64(F.get("_lines", i), F.get("_lines", i + 1))
-    return (docs.withColumn("_lines", F.split("_text", "\n"))
-            .withColumn("_pairs", F.when(F.size("_lines") > 1, F.transform(
-                F.sequence(F.lit(0), F.size("_lines") - 2), lambda i: F.struct(i.alias("start"), key(i).alias("key"))))))
-
-
-def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without repeated passages of two or more lines, and ``_lines`` and ``_removed``: line counts.
-
-    Of two lines in a row that stand in several places the first place keeps them, that with the smallest (id, hash of
-    the text, line number), null ids first; both lines go elsewhere, unless the two overlap their first place.  So each
-    passage of two or more lines that stands earlier goes from its first line to its last, and of each line one copy
-    stays.  Rows, nulls and empty texts are as in ``dedup_lines``.
-    """
-    plain = docs.select(F.struct(*[col(c) for c in docs.columns if c != text_col]).alias("_row"), col(id_col).alias("_id"),
-                        col(text_col).cast("string").alias("_text")).withColumn("_mark", F.xxhash64("_text"))
-    place = lambda back=0: F.struct("_id", "_mark", (F.col("_start") - back).alias("_start"))
-    # The outer form: a plain explode would have its emptiness tested below, on pairs made twice.
-    pairs = _with_pairs(plain.select("_id", "_mark", "_text")).select("_id", "_mark", F.explode_outer("_pairs").alias("p")).filter("p is not null")
-    seen = pairs.select("_id", "_mark", F.col("p.start").alias("_start"), F.col("p.key").alias("_key"))
-    again = seen.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1").select("_key")
-    found = seen.join(again, "_key").groupBy("_id", "_mark").agg(F.collect_set("_start").alias("_starts"))
-    known = F.col("d._id").eqNullSafe(F.col("f._id")) & F.col("d._mark").eqNullSafe(F.col("f._mark"))
-    # Only pairs whose hash occurs again are compared as bytes; equal ones meet already combined by their task.
-    texts = plain.select("_id", "_mark", "_text").alias("d").join(found.alias("f"), known).select("d._id", "d._mark", "_text", "_starts")
-    body = lambda i: F.concat_ws("\n", F.get("_lines", i), F.get("_lines", i + 1))
-    bodies = (texts.withColumn("_lines", F.split("_text", "\n"))
-              .select("_id", "_mark", F.explode_outer(F.transform("_starts", lambda i: F.struct(i.alias("start"), body(i).alias("body")))).alias("p"))
-              .select("_id", "_mark", F.col("p.start").alias("_start"), F.col("p.body").alias("_body")))
-    firsts = bodies.groupBy("_body").agg(F.min(place()).alias("_first"), F.max(place()).alias("_last")).filter("_first < _last")
-    out = (bodies.join(firsts.select("_body", "_first"), "_body").filter(F.col("_first") < place(1))
-           .groupBy("_id", "_mark").agg(F.collect_set("_start").alias("_gone")))
-    joined = plain.alias("d").join(out.alias("f"), known, "left").select("_row", "_text", "_gone")
-    whole = joined.withColumn("_lines", F.split("_text", "\n"))
-    # Set functions, as a lookup for each line would grow with the square of a text's lines.
-    lost = F.array_union("_gone", F.transform("_gone", lambda i: i + 1))
-    whole = whole.withColumn("_kept", F.when(F.col("_gone").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), lost)))
-    text = F.when(F.col("_gone").isNull(), F.col("_text")).otherwise(
-        F.array_join(F.transform("_kept", lambda i: F.get("_lines", i)), "\n"))
-    n = F.when(F.col("_text").isNull(), 0).otherwise(F.size("_lines")).cast("bigint")
-    made = F.struct(*[(text if c == text_col else F.col("_row")[c]).alias(c) for c in docs.columns], n.alias("_lines"),
-                    F.when(F.col("_gone").isNull(), 0).otherwise(n - F.size("_kept")).cast("bigint").alias("_removed"))
-    return whole.select(F.inline_outer(F.array(made)))
-
-
-def keep_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dedup=dedup_lines) -> DataFrame:
-    """The documents without what ``dedup`` removes and with their own columns; those that lose every line go.
+def keep_deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents without what ``dedup_lines`` removes and with their own columns; those that lose every line go.
 
     ``n_chars``, where there is one, is counted anew for shortened texts.
     """
-    out = dedup(docs, id_col, text_col)
+    out = dedup_lines(docs, id_col, text_col)
     lines, removed = map(col, out.columns[-2:])
     out = out.filter((removed == 0) | (removed < lines))
     if "n_chars" in docs.columns:
