@@ -81,34 +81,35 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     adaptive join splits them; the byte comparison is a grouping that each task combines first.
     """
     n_lines, n_removed = unused(docs, "_lines", "_removed")
-    # The row's identity for the decisions; its own columns may have any names.
-    plain = docs.select(F.struct(*[col(c) for c in docs.columns if c != text_col]).alias("_row"), col(id_col).alias("_id"),
-                        col(text_col).cast("string").alias("_text")).withColumn("_mark", F.xxhash64("_text"))
-    place = lambda back: F.struct("_id", "_mark", (_first(F.col("_code")) - back).alias("_start"))
+    # The row's identity for the decisions, never null itself; its own columns may have any names.
+    text_of = col(text_col).cast("string")
+    at = F.struct(col(id_col).alias("id"), F.xxhash64(text_of).alias("mark")).alias("_at")
+    # Texts go through one exchange, which both joins with them share: it holds the same columns for both.
+    plain = docs.select(at, text_of.alias("_text"))
+    place = lambda back: F.struct("_at", (_first(F.col("_code")) - back).alias("_start"))
     lines_of = lambda c: F.slice("_lines", _first(c) + 1, _last(c) - _first(c) + 1)
-    cut = _with_chunks(plain.select("_id", "_mark", "_text"), min_words, divisor)
+    cut = _with_chunks(plain, min_words, divisor)
     # The outer form: a plain explode would have its emptiness tested below, on chunks made twice.
-    seen = (cut.select("_id", "_mark", F.explode_outer(F.transform("_codes", lambda c: F.struct(
+    seen = (cut.select("_at", F.explode_outer(F.transform("_codes", lambda c: F.struct(
         c.alias("code"), F.xxhash64(lines_of(c)).alias("key")))).alias("c")).filter("c is not null")
-        .select("_id", "_mark", F.col("c.code").alias("_code"), F.col("c.key").alias("_key")))
+        .select("_at", F.col("c.code").alias("_code"), F.col("c.key").alias("_key")))
     again = seen.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1").select("_key")
-    found = seen.join(again, "_key").groupBy("_id", "_mark").agg(F.collect_set("_code").alias("_codes"))
-    known = F.col("d._id").eqNullSafe(F.col("f._id")) & F.col("d._mark").eqNullSafe(F.col("f._mark"))
+    found = seen.join(again, "_key").groupBy("_at").agg(F.collect_set("_code").alias("_codes"))
     # Only chunks whose hash occurs again are compared as bytes.
-    bodies = (plain.select("_id", "_mark", "_text").alias("d").join(found.alias("f"), known)
-              .select("d._id", "d._mark", F.split("_text", "\n").alias("_lines"), "_codes")
-              .select("_id", "_mark", F.explode_outer(F.transform("_codes", lambda c: F.struct(
+    bodies = (plain.join(found, "_at").select("_at", F.split("_text", "\n").alias("_lines"), "_codes")
+              .select("_at", F.explode_outer(F.transform("_codes", lambda c: F.struct(
                   c.alias("code"), F.array_join(lines_of(c), "\n").alias("body")))).alias("c"))
-              .select("_id", "_mark", F.col("c.code").alias("_code"), F.col("c.body").alias("_body"),
+              .select("_at", F.col("c.code").alias("_code"), F.col("c.body").alias("_body"),
                       F.unhex(F.md5(F.col("c.body").cast("binary"))).alias("_digest")))
     equal = bodies.groupBy("_digest", "_body").agg(F.min(place(0)).alias("_least"), F.max(place(0)).alias("_most"))
     # The digest leads back to the rows and stands for one body only, else nothing is removed by it.
     firsts = (equal.groupBy("_digest").agg(F.count("*").alias("n"), F.min("_least").alias("_least"), F.max("_most").alias("_most"))
               .filter("n = 1 and _least < _most").select("_digest", "_least"))
     length = _last(F.col("_code")) - _first(F.col("_code"))
-    out = (bodies.select("_id", "_mark", "_code", "_digest").join(firsts, "_digest").filter(F.col("_least") < place(length))
-           .groupBy("_id", "_mark").agg(F.collect_set("_code").alias("_gone")))
-    joined = plain.alias("d").join(out.alias("f"), known, "left").select("_row", "_text", "_gone")
+    out = (bodies.select("_at", "_code", "_digest").join(firsts, "_digest").filter(F.col("_least") < place(length))
+           .groupBy("_at").agg(F.collect_set("_code").alias("_gone")))
+    rows = docs.select(at, F.struct(F.lit(0).alias("_"), *[col(c) for c in docs.columns if c != text_col]).alias("_row"))
+    joined = rows.join(plain.join(out, "_at", "left").dropDuplicates(["_at"]), "_at").select("_row", "_text", "_gone")
     # Set functions, as a lookup for each line would grow with the square of a text's lines.
     lost = F.flatten(F.transform("_gone", lambda c: F.sequence(_first(c), _last(c))))
     whole = joined.withColumn("_lines", F.split("_text", "\n")).withColumn(
