@@ -2,6 +2,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.ml.classification import LogisticRegression, NaiveBayes
 from pyspark.ml.regression import LinearRegression
@@ -209,3 +210,79 @@ def test_calibration_and_confidence(spark):
     assert ece["expected_calibration_error"] == pytest.approx(0.45 / 3, abs=1e-6) and not ece["is_well_calibrated"]
     got = metrics.confidence_spread(spark.createDataFrame([(0.8,), (0.81,), (0.5,), (0.2,)], "p double"), "p").first()
     assert (got["high_confidence_pct"], got["medium_confidence_pct"], got["low_confidence_pct"]) == (25.0, 50.0, 25.0)
+
+
+def test_bootstrap_weights_are_those_of_the_whole_hash():
+    rows = np.random.default_rng(1).integers(-2 ** 62, 2 ** 62, 300_000)
+    want = np.searchsorted(forest._POISSON, forest.uniform(forest.mixed(42, 3, rows)), side="right")
+    assert (forest.bootstrap(rows, 3, 42) == want).all() and want.max() > 5
+
+
+def _some_forest(rng):
+    """A random forest over two numbers (one of them with a few values) and a text column."""
+    trees = []
+    for _ in range(5):
+        g = forest.Grown()
+        g.add([1.0, 0.0], 0)
+        for i in range(40):
+            if g.left[i] < 0 and g.depth[i] < 7:
+                kind = int(rng.integers(-1, 1))
+                g.kind[i], g.feature[i], g.cut[i] = kind, int(rng.integers(0, 2) if kind < 0 else rng.integers(0, 9) * 1000), int(rng.integers(0, 6))
+                g.left[i] = len(g.left)
+                for _ in range(2):
+                    g.add(rng.integers(1, 50, 2).astype(float).tolist(), g.depth[i] + 1)
+        trees.append(g)
+    return forest.Forest(trees, [np.arange(6) + 0.5, np.arange(6) * 10 + 5.0], 1, 2)
+
+
+def _leaf(g, x, c, edges):
+    i = 0
+    while g.left[i] >= 0:
+        f = g.feature[i]
+        right = (edges[f] < x[f]).sum() > g.cut[i] if g.kind[i] < 0 else c[g.kind[i]] == f
+        i = g.left[i] + int(right)
+    return i
+
+
+@pytest.mark.parametrize("few", [4, 10 ** 6])
+def test_rows_come_to_their_leaf_and_closed_nodes_drop_them(monkeypatch, few):
+    monkeypatch.setattr(forest, "FEW", few)
+    rng = np.random.default_rng(5)
+    model = _some_forest(rng)
+    x, c = np.stack([rng.integers(0, 7, 400), rng.integers(0, 70, 400)], 1).astype(float), rng.integers(0, 12, (400, 1)) * 1000
+    batch = pa.RecordBatch.from_pydict({"h": pa.array(np.arange(400)), "y": pa.array(np.zeros(400)), "x": pa.array(list(x)), "c": pa.array(list(c))})
+    block = forest.Block.unpacked(forest.Block.of([batch.slice(0, 150), batch.slice(150)], model.edges, 1).packed(2), 0)
+    for g in model.trees:
+        want = np.array([_leaf(g, a, b, model.edges) for a, b in zip(x, c)])
+        walk = forest.Walk(g, 2, block.ids)
+        rows_, leaf = walk.down(block.cells)
+        assert sorted(rows_) == list(range(400)) and (want[rows_] == leaf).all()
+        open_node = np.arange(len(g.left)) == want[0]
+        rows_, leaf = walk.down(block.cells, np.arange(0, 400, 2), walk.leads_to(open_node))
+        assert set(rows_) == set(np.flatnonzero(want == want[0])) & set(range(0, 400, 2)) and set(leaf) <= {want[0]}
+
+
+def test_shuffled_scores_are_those_of_rows_with_the_donors_value():
+    rng = np.random.default_rng(8)
+    model = _some_forest(rng)
+    arrays = lambda n: (np.stack([rng.integers(0, 7, n), rng.integers(0, 70, n)], 1).astype(float), rng.integers(0, 12, (n, 1)) * 1000)
+    (x, c), (dx, dc) = arrays(300), arrays(300)
+    got = dict(model.shuffled(*(pa.array(list(v)) for v in (x, c, dx, dc))))
+    leaf_values = [model.leaf_values(t) for t in range(5)]
+    for source in (-1, 0, 1, 2):
+        sx, sc = x.copy(), c.copy()
+        if source >= 0:
+            (sx if source < 2 else sc)[:, source % 2] = (dx if source < 2 else dc)[:, source % 2]
+        want = np.mean([[v[_leaf(g, a, b, model.edges)] for a, b in zip(sx, sc)] for g, v in zip(model.trees, leaf_values)], axis=0)
+        assert np.allclose(got[source], want)
+
+
+def test_a_large_table_is_dealt_to_few_large_tasks(spark, monkeypatch):
+    """Each task sends counts of all open nodes, so their number must not grow with every few rows."""
+    dealt = []
+    whole = models.grow
+    monkeypatch.setattr(models, "grow", lambda rows, *a, **k: dealt.append(rows.rdd.getNumPartitions()) or whole(rows, *a, **k))
+    monkeypatch.setattr(models, "FOREST_ROWS", 100)
+    df = spark.range(6000).select("id", (F.col("id") % 7).alias("x"), F.when(F.col("id") % 7 < 3, "a").otherwise("b").alias("y"))
+    models.train(df, "y", "classification", ["id"], config=SMALL)
+    assert dealt == [48]  # 60 before

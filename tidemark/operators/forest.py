@@ -15,9 +15,11 @@ import math
 import pickle
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..schema import col
@@ -36,14 +38,22 @@ TOTAL = -(2 ** 31)
 _M1, _M2, _STEP = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
+def _stirred(out: np.ndarray, part: np.ndarray | int) -> np.ndarray:
+    """The hash ``out`` of the parts so far with one more part."""
+    x = np.array(part, np.int64, ndmin=1).view(np.uint64) + (out * _STEP + _STEP)
+    x ^= x >> np.uint64(30)
+    x *= _M1
+    x ^= x >> np.uint64(27)
+    x *= _M2
+    x ^= x >> np.uint64(31)
+    return x
+
+
 def mixed(*parts: np.ndarray | int) -> np.ndarray:
     """A well-spread 64-bit hash of whole numbers, element by element."""
     out = np.zeros(1, np.uint64)
     for p in parts:
-        x = np.array(p, np.int64, ndmin=1).view(np.uint64) + out * _STEP + _STEP
-        x = (x ^ (x >> np.uint64(30))) * _M1
-        x = (x ^ (x >> np.uint64(27))) * _M2
-        out = x ^ (x >> np.uint64(31))
+        out = _stirred(out, p)
     return out
 
 
@@ -52,11 +62,18 @@ def uniform(h: np.ndarray) -> np.ndarray:
 
 
 _POISSON = np.cumsum([math.exp(-1) / math.factorial(k) for k in range(12)])
+# The weight for each value of a hash's first 16 bits; 255 where the other bits decide.
+_FIRST = np.searchsorted(_POISSON, np.arange(2 ** 16) * 2.0 ** -16, side="right").astype(np.uint8)
+_FIRST[_FIRST != np.searchsorted(_POISSON, np.arange(1, 2 ** 16 + 1) * 2.0 ** -16, side="right")] = 255
 
 
 def bootstrap(rows: np.ndarray, tree: int, seed: int) -> np.ndarray:
     """How often each row is drawn for a tree."""
-    return np.searchsorted(_POISSON, uniform(mixed(seed, tree, rows)), side="right")
+    h = _stirred(mixed(seed, tree), rows)
+    out = _FIRST[h >> np.uint64(48)]
+    near = np.flatnonzero(out == 255)
+    out[near] = np.searchsorted(_POISSON, uniform(h[near]), side="right")
+    return out
 
 
 @dataclass
@@ -79,25 +96,99 @@ class Grown:
             own.append(value)
         return len(self.left) - 1
 
-    def nodes(self, bins: np.ndarray, cats: np.ndarray) -> np.ndarray:
-        """The leaf (so far) of each row."""
-        kind, feature = np.array(self.kind), np.array(self.feature, np.int64)
-        cut, left = np.array(self.cut), np.array(self.left)
-        at = np.zeros(len(bins), np.int64)
-        moving = np.flatnonzero(left[at] >= 0)
-        while len(moving):
-            node = at[moving]
-            right = np.zeros(len(moving), bool)
-            numeric = kind[node] < 0
-            if numeric.any():
-                n = node[numeric]
-                right[numeric] = bins[moving[numeric], feature[n]] > cut[n]
-            if not numeric.all():
-                n = node[~numeric]
-                right[~numeric] = cats[moving[~numeric], kind[n]] == feature[n]
-            at[moving] = left[node] + right
-            moving = moving[left[at[moving]] >= 0]
-        return at
+
+# Rows that are scored together.
+SCORED = 65_536
+# Rows of a node from which on the rows of all such nodes go down together.
+FEW = 2_048
+
+
+class Walk:
+    """A tree's splits as arrays over the cells of some rows: whole numbers, one row of ``cells`` per input column.
+
+    Text columns hold a category's place among ``ids``, one sorted array per text column.
+    """
+
+    def __init__(self, grown: Grown, numbers: int, ids: Sequence[np.ndarray]):
+        kind, feature = np.array(grown.kind), np.array(grown.feature, np.int64)
+        self.left, self.numbers = np.array(grown.left), numbers
+        self.column = np.where(kind < 0, feature, numbers + kind)
+        # A row goes right if its value is above ``low`` and not above ``high``.
+        self.low, self.high = np.array(grown.cut), np.full(len(kind), 255)
+        for k, own in enumerate(ids):
+            at = np.flatnonzero((kind == k) & (self.left >= 0))
+            place = _places(own, feature[at])
+            self.low[at], self.high[at] = np.where(place < 0, 0, place - 1), np.where(place < 0, 0, place)
+        self._met: dict[int, np.ndarray] = {}
+
+    def leads_to(self, wanted: np.ndarray) -> np.ndarray:
+        """Whether a wanted node lies at or below each node."""
+        out = wanted.copy()
+        for i in range(len(out) - 1, -1, -1):  # children come after their parent
+            if self.left[i] >= 0:
+                out[i] |= out[self.left[i]] | out[self.left[i] + 1]
+        return out
+
+    @cached_property
+    def used(self) -> set[int]:
+        """The input columns of the splits."""
+        return set(self.column[self.left >= 0].tolist())
+
+    def meets(self, column: int) -> np.ndarray:
+        """Whether the way to each node passes a split of the column."""
+        if column not in self._met:
+            out = np.zeros(len(self.left), bool)
+            for i in np.flatnonzero(self.left >= 0):  # parents come before their children
+                out[self.left[i]] = out[self.left[i] + 1] = out[i] or self.column[i] == column
+            self._met[column] = out
+        return self._met[column]
+
+    def down(self, cells: np.ndarray, rows: np.ndarray | None = None, live: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, leaves): the given rows, by default all, and the leaf each comes to; rows that leave the ``live`` nodes are dropped."""
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        few: list[tuple[np.ndarray, int]] = []
+        ways: list[tuple[np.ndarray | None, int]] = [(rows, 0)] if live is None or live[0] else []
+        while ways:
+            own, node = ways.pop()
+            n = cells.shape[1] if own is None else len(own)
+            if own is None and (self.left[node] < 0 or n <= FEW):
+                own = np.arange(n)
+            if self.left[node] < 0:
+                found.append((own, np.full(n, node)))
+                continue
+            if n <= FEW:
+                few.append((own, node))
+                continue
+            v = cells[self.column[node]]
+            v = v if own is None else v[own]
+            right = (v > self.low[node]) & (v <= self.high[node]) if self.column[node] >= self.numbers else v > self.low[node]
+            for child, side in ((self.left[node], ~right), (self.left[node] + 1, right)):
+                if live is None or live[child]:
+                    part = np.flatnonzero(side) if own is None else own[side]
+                    if len(part):
+                        ways.append((part, child))
+        if few:
+            own, node = np.concatenate([r for r, _ in few]), np.repeat([i for _, i in few], [len(r) for r, _ in few])
+            while len(own):
+                v = cells[self.column[node], own]
+                node = self.left[node] + ((v > self.low[node]) & (v <= self.high[node]))
+                if live is not None:
+                    kept = live[node]
+                    own, node = own[kept], node[kept]
+                ended = self.left[node] < 0
+                found.append((own[ended], node[ended]))
+                own, node = own[~ended], node[~ended]
+        if not found:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.concatenate([r for r, _ in found]), np.concatenate([i for _, i in found])
+
+
+def _places(ids: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The place of each value among the sorted ids, -1 for others."""
+    if not len(ids):
+        return np.full(len(values), -1)
+    at = np.minimum(np.searchsorted(ids, values), len(ids) - 1)
+    return np.where(ids[at] == values, at, -1)
 
 
 def _bins(x: pa.Array, edges: Sequence[np.ndarray]) -> np.ndarray:
@@ -113,19 +204,56 @@ def _cats(c: pa.Array, width: int) -> np.ndarray:
     return np.array(c.flatten().to_numpy(zero_copy_only=False)).reshape(-1, width) if width else np.empty((len(c), 0), np.int64)
 
 
-def _statistics(y: np.ndarray, classes: int) -> np.ndarray:
-    """The class number of each row; or its part in count, sum and sum of squares."""
-    return y.astype(np.int64) if classes else np.stack([np.ones(len(y)), y, y * y])
+@dataclass
+class Block:
+    """The rows of a task as arrays: hashes, labels, the cells that a ``Walk`` reads, and the ids of each text column's categories."""
+
+    h: np.ndarray
+    y: np.ndarray
+    cells: np.ndarray
+    ids: list[np.ndarray]
+
+    @classmethod
+    def of(cls, batches: Sequence[pa.RecordBatch], edges: Sequence[np.ndarray], width: int) -> Block:
+        h, y = (np.concatenate([b.column(i).to_numpy() for b in batches]) for i in (0, 1))
+        bins = np.concatenate([_bins(b.column(2), edges) for b in batches])
+        cats = np.concatenate([_cats(b.column(3), width) for b in batches])
+        found = [np.unique(cats[:, k], return_inverse=True) for k in range(width)]
+        return cls(h, y, np.array([*bins.T, *(code for _, code in found)], np.int32).reshape(-1, len(h)), [ids for ids, _ in found])
+
+    def packed(self, numbers: int) -> pa.RecordBatch:
+        parts = [self.h, self.y, self.cells[:numbers].astype(np.uint8), self.cells[numbers:], np.concatenate([*self.ids, np.empty(0, np.int64)])]
+        return pa.RecordBatch.from_arrays([*[pa.array([p.tobytes()], pa.binary()) for p in parts], pa.array([[len(i) for i in self.ids]], pa.list_(pa.int64()))],
+                                          names=["h", "y", "bins", "codes", "ids", "lengths"])
+
+    @classmethod
+    def unpacked(cls, batch: pa.RecordBatch, i: int) -> Block:
+        h, y, bins, codes, ids = (np.frombuffer(batch.column(k)[i].as_buffer(), kind) for k, kind in enumerate((np.int64, float, np.uint8, np.int32, np.int64)))
+        cells = np.concatenate([bins.astype(np.int32), codes]).reshape(-1, len(h))
+        return cls(h, y, cells, np.split(ids, np.cumsum(batch.column(5)[i].as_py())[:-1]) if batch.column(5)[i].as_py() else [])
+
+
+PACKED = "h binary, y binary, bins binary, codes binary, ids binary, lengths array<bigint>"
 
 
-def _summed(keys: np.ndarray, values: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray]:
-    """The keys that occur, in order, and the sum of the values of each."""
+def packed(rows: DataFrame, edges: Sequence[np.ndarray], width: int) -> DataFrame:
+    """Each task's rows (h, y, x, c) as one block of bytes, binned and coded once for all levels."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = [b for b in batches if b.num_rows]
+        if own:
+            yield Block.of(own, edges, width).packed(len(edges))
+
+    return rows.select("h", "y", "x", "c").mapInArrow(pack, PACKED)
+
+
+def _summed(keys: np.ndarray, values: Sequence[np.ndarray], span: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The keys that occur, in order, and the sums of each of the values; the first value is above zero in every row."""
     if span <= 8 * len(keys) + 1024:
-        total = np.bincount(keys, values, span)
-        found = np.flatnonzero(np.bincount(keys, minlength=span))
-        return found, total[found]
+        totals = [np.bincount(keys, v, span) for v in values]
+        found = np.flatnonzero(totals[0])
+        return found, [t[found] for t in totals]
     found, back = np.unique(keys, return_inverse=True)
-    return found, np.bincount(back, values, len(found))
+    return found, [np.bincount(back, v, len(found)) for v in values]
 
 
 def impurity(stats: np.ndarray, classes: int) -> np.ndarray:
@@ -137,111 +265,110 @@ def impurity(stats: np.ndarray, classes: int) -> np.ndarray:
     return np.maximum(stats[..., 2] / n - (stats[..., 1] / n) ** 2, 0)
 
 
-CELLS = "t int, node int, kind int, f bigint, bin int, s int, v double"
+def _cell_schema(classes: int) -> str:
+    """Counts: per class, or the three sums of a regression."""
+    return "t int, node int, kind int, f bigint, bin int, " + ("s int, v double" if classes else "n double, y double, yy double")
 
 
-def _histogram(trees: list[Grown], edges: list[np.ndarray], sizes: Sequence[int], classes: int, seed: int, drawn: int, first: int = 0):
-    """Counts of a task's rows for all open nodes of trees ``first`` and following, and the features drawn there."""
-    width = len(sizes)
-    part = [min(1.0, max(BINS, math.sqrt(n)) / max(n, 1)) for n in sizes]
-    open_nodes = [np.array([i for i, (l, d) in enumerate(zip(g.left, g.draws)) if l < 0 and d >= 0], np.int64) for g in trees]
+# What a task needs of a tree: its splits, and of each open node the place, the draws made and what share of the rows it holds.
+Growing = tuple[int, Grown, np.ndarray, np.ndarray, float]
 
-    def drawn_columns(t: int, node: np.ndarray, draw: np.ndarray) -> np.ndarray:
-        """(node, column): the columns with the smallest hashes at each node."""
-        h = mixed(seed, first + t, node[:, None], draw[:, None], np.arange(len(edges) + width)[None, :])
-        out = np.zeros(h.shape, bool)
-        np.put_along_axis(out, np.argsort(h, axis=1, kind="stable")[:, :drawn], True, axis=1)
-        return out
 
-    def drawn_category(t: int, node: np.ndarray, draw: np.ndarray, column: int, f: np.ndarray) -> np.ndarray:
-        return uniform(mixed(seed, first + t, node, draw, column, f)) < part[column]
+def _growing(trees: list[Grown], classes: int, first: int = 0) -> list[Growing]:
+    """The trees with open nodes, without what only the driver needs."""
+    out = []
+    for t, g in enumerate(trees):
+        number = np.array([i for i, (l, d) in enumerate(zip(g.left, g.draws)) if l < 0 and d >= 0], np.int64)
+        if len(number):
+            size = (lambda i: sum(g.stats[i])) if classes else (lambda i: g.stats[i][0])
+            share = sum(map(size, number)) / size(0) if g.stats[0] else 1.0
+            splits = Grown(*(np.array(x, np.int64) for x in (g.kind, g.feature, g.cut, g.left)))
+            out.append((first + t, splits, number, np.array([g.draws[i] for i in number]), share))
+    return out
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
-        size = batches_held = 0
-        statistics = classes or 3
-
-        def folded() -> list[tuple[np.ndarray, ...]]:
-            columns = [np.concatenate(c) for c in zip(*held)]
-            order = np.lexsort(columns[5::-1])
-            columns = [c[order] for c in columns]
-            new = np.ones(len(order), bool)
-            new[1:] = np.any([c[1:] != c[:-1] for c in columns[:6]], axis=0)
-            first = np.flatnonzero(new)
-            return [tuple([*(c[first] for c in columns[:6]), np.add.reduceat(columns[6], first)])]
-
-        for batch in batches:
-            if not batch.num_rows:
+
+def _histogram(trees: list[Growing], numbers: int, sizes: Sequence[int], classes: int, seed: int, drawn: int):
+    """Counts of a block's rows for all open nodes and the features drawn there."""
+    part = [min(1.0, max(BINS, math.sqrt(n)) / max(n, 1)) for n in sizes]
+    columns = numbers + len(sizes)
+
+    def counted(block: Block, t: int, splits: Grown, number: np.ndarray, draw: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Parts of the counts as columns of cells."""
+        walk = Walk(splits, numbers, block.ids)
+        place = np.full(len(walk.left), -1)
+        place[number] = np.arange(len(number))
+        live = walk.leads_to(place >= 0)
+        if share_of[t] > 0.5:
+            weight = bootstrap(block.h, t, seed)
+            at, leaf = walk.down(block.cells, np.flatnonzero(weight), live)
+            weight = weight[at]
+        else:  # few rows are still in open nodes
+            at, leaf = walk.down(block.cells, None, live)
+            weight = bootstrap(block.h[at], t, seed)
+            at, leaf, weight = at[weight > 0], leaf[weight > 0], weight[weight > 0]
+        if not len(at):
+            return
+        local, w = place[leaf], weight.astype(float)
+        y, per = block.y[at], classes or 1
+        label = y.astype(np.int64) if classes else 0
+        values = [w] if classes else [w, w * y, w * (y * y)]
+
+        def add(keys: np.ndarray, chosen: np.ndarray | slice, span: int, kind: int, f, bin_of) -> tuple[np.ndarray, ...]:
+            """Sums per (node, code below ``span``, class); the functions name a code's feature and bin."""
+            k, sums = _summed(keys, [v[chosen] for v in values], len(number) * span * per)
+            cell, n = k // per, len(k)
+            code = cell % span
+            return (np.full(n, t), number[cell // span], np.full(n, kind), f(code), bin_of(code), *([k % per] if classes else []), *sums)
+
+        def none(k: np.ndarray) -> np.ndarray:
+            return np.zeros(len(k), np.int64)
+
+        everyone = slice(None)
+        yield add(local * per + label, everyone, 1, TOTAL, none, none)
+        # The columns with the smallest hashes at each node.
+        h = mixed(seed, t, number[:, None], draw[:, None], np.arange(columns)[None, :])
+        tried = np.zeros(h.shape, bool)
+        np.put_along_axis(tried, np.argsort(h, axis=1, kind="stable")[:, :drawn], True, axis=1)
+        wide = local * (BINS * per) + label
+        for j in range(columns):
+            chosen = everyone if tried[:, j].all() else np.flatnonzero(tried[local, j])
+            own, code = local[chosen], block.cells[j][at[chosen]]
+            if not len(own):
                 continue
-            rows, y = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            bins, cats = _bins(batch.column(2), edges), _cats(batch.column(3), width)
-            stats = _statistics(y, classes)
-            codes = [np.unique(cats[:, k], return_inverse=True) for k in range(width)]
-            for t, grown in enumerate(trees):
-                if not len(open_nodes[t]):
-                    continue
-                weight = bootstrap(rows, first + t, seed)
-                at = np.flatnonzero(weight)
-                place = np.full(len(grown.left), -1)
-                place[open_nodes[t]] = np.arange(len(open_nodes[t]))
-                local = place[grown.nodes(bins[at], cats[at])]
-                at, local = at[local >= 0], local[local >= 0]
-                if not len(at):
+            if j < numbers:
+                yield add(wide[chosen] + code * per, chosen, BINS, -1, lambda k, j=j: np.full(len(k), j), lambda k: k)
+                continue
+            ids = block.ids[j - numbers]
+            if part[j - numbers] < 1:
+                # Of a column with many categories a part is drawn.
+                asked = mixed(seed, t, number, draw, j - numbers)
+                kept = np.flatnonzero(uniform(_stirred(asked[own], ids[code])) < part[j - numbers])
+                if not len(kept):
                     continue
-                w, own = weight[at], stats[..., at]
-                number, draw = open_nodes[t], np.array(grown.draws)[open_nodes[t]]
-
-                def add(nodes: np.ndarray, code: np.ndarray, span: int, chosen: np.ndarray, kind: int, f, bin_of) -> None:
-                    """Sums of each statistic per (node, code below ``span``); the functions name a code's feature and bin."""
-                    nonlocal size
-                    keys = nodes * span + code
-                    # A row adds its weight to its class, or to each of the three sums.
-                    for s, v in [(own[chosen], w[chosen])] if classes else enumerate(w[chosen] * own[:, chosen]):
-                        k, total = _summed(keys * statistics + s, v, len(number) * span * statistics)
-                        n, cell = len(k), k // statistics
-                        if n:
-                            held.append((np.full(n, t), number[cell // span], np.full(n, kind), f(cell % span), bin_of(cell % span), k % statistics, total))
-                            size += n
-
-                def none(k: np.ndarray) -> np.ndarray:
-                    return np.zeros(len(k), np.int64)
-
-                everyone = np.arange(len(at))
-                add(local, everyone * 0, 1, everyone, TOTAL, none, none)
-                values = bins.shape[1]
-                tried = drawn_columns(t, number, draw)
-                if values:
-                    chosen, j = np.nonzero(tried[local, :values])
-                    add(local[chosen], j * BINS + bins[at[chosen], j], values * BINS, chosen, -1, lambda k: k // BINS, lambda k: k % BINS)
-                for c, (ids, code) in enumerate(codes):
-                    chosen = np.flatnonzero(tried[local, values + c])
-                    if part[c] < 1:
-                        own_nodes = local[chosen]
-                        chosen = chosen[drawn_category(t, number[own_nodes], draw[own_nodes], c, cats[at[chosen], c])]
-                    if len(chosen):
-                        add(local[chosen], code[at[chosen]], len(ids), chosen, c, lambda k, v=ids: v[k], none)
-            batches_held += 1
-            if size > HELD_CELLS:
-                if batches_held > 1:
-                    held[:] = folded()
-                    size = len(held[0][0])
-                if size > HELD_CELLS // 2:
-                    yield _cells(held)
-                    held.clear()
-                    size = batches_held = 0
+                chosen = kept if isinstance(chosen, slice) else chosen[kept]
+                own, code = own[kept], code[kept]
+            keys = (own * len(ids) + code) * per + (label[chosen] if classes else 0)
+            yield add(keys, chosen, len(ids), j - numbers, lambda k, v=ids: v[k], none)
+
+    share_of = {t: share for t, _, _, _, share in trees}
+
+    def count(block: Block) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for t, splits, number, draw, _ in trees:
+            held += counted(block, t, splits, number, draw)
+            if sum(len(c[0]) for c in held) > HELD_CELLS:
+                yield _cells(held, classes)
+                held = []
         if held:
-            if batches_held > 1:
-                held[:] = folded()
-            yield _cells(held)
+            yield _cells(held, classes)
 
     return count
 
 
-def _cells(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
-    t, node, kind, f, bins, s, v = (np.concatenate(c) for c in zip(*held))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(t.astype(np.int32)), pa.array(node.astype(np.int32)), pa.array(kind.astype(np.int32)), pa.array(f.astype(np.int64)),
-         pa.array(bins.astype(np.int32)), pa.array(s.astype(np.int32)), pa.array(v.astype(float))], names=["t", "node", "kind", "f", "bin", "s", "v"])
+def _cells(held: list[tuple[np.ndarray, ...]], classes: int) -> pa.RecordBatch:
+    kinds = [np.int32, np.int32, np.int32, np.int64, np.int32, *([np.int32, float] if classes else [float] * 3)]
+    names = ["t", "node", "kind", "f", "bin", *(["s", "v"] if classes else ["n", "y", "yy"])]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(kind)) for c, kind in zip(zip(*held), kinds)], names=names)
 
 
 SPLITS = "t int, node int, kind int, f bigint, bin int, gain double, total array<double>, left array<double>"
@@ -252,14 +379,17 @@ def _best_splits(classes: int):
     width = classes or 3
 
     def best(cells: pa.Table) -> pa.Table:
-        t, node, kind, f, bins, s, v = (cells[n].to_numpy() for n in ("t", "node", "kind", "f", "bin", "s", "v"))
+        t, node, kind, f, bins = (cells[n].to_numpy() for n in ("t", "node", "kind", "f", "bin"))
+        # Each cell adds to one class, or to the three sums.
+        parts = [(cells["s"].to_numpy(), cells["v"].to_numpy())] if classes else [(i, cells[n].to_numpy()) for i, n in enumerate(("n", "y", "yy"))]
         nodes, of = np.unique(t.astype(np.int64) << 32 | node, return_inverse=True)
         totals = np.zeros((len(nodes), width))
         whole = kind == TOTAL
-        np.add.at(totals, (of[whole], s[whole]), v[whole])
+        for s, v in parts:
+            np.add.at(totals, (of[whole], s[whole] if classes else s), v[whole])
         rest = np.flatnonzero(~whole)
         order = rest[np.lexsort((bins[rest], f[rest], kind[rest], of[rest]))]
-        of, kind, f, bins, s, v = (x[order] for x in (of, kind, f, bins, s, v))
+        of, kind, f, bins = (x[order] for x in (of, kind, f, bins))
         out_kind, out_f, out_bin = np.full(len(nodes), TOTAL), np.zeros(len(nodes), np.int64), np.zeros(len(nodes), np.int64)
         out_gain, out_left = np.zeros(len(nodes)), np.zeros((len(nodes), width))
         if len(order):
@@ -269,7 +399,8 @@ def _best_splits(classes: int):
             cell[1:] |= bins[1:] != bins[:-1]
             number = np.cumsum(cell) - 1
             stats = np.zeros((number[-1] + 1, width))
-            np.add.at(stats, (number, s), v)
+            for s, v in parts:
+                np.add.at(stats, (number, s[order] if classes else s), v[order])
             first = np.flatnonzero(cell)
             of, kind, f, bins, starts = of[first], kind[first], f[first], bins[first], group[first]
             # Left of a numeric edge lie the bins up to it; left of a category lie the rows without it.
@@ -298,6 +429,19 @@ def _best_splits(classes: int):
     return best
 
 
+def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of ``SCORED`` and more, as a walk down a tree costs some calls for each of its nodes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) >= SCORED:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def category_id(column: int, value: Column) -> Column:
     """A category as one number: the hash of its column's place and its text."""
     return F.xxhash64(F.lit(column), value)
@@ -334,38 +478,54 @@ class Forest:
         total = sum(out.values())
         return {k: v / total for k, v in out.items()} if total else {}
 
-    def used_columns(self) -> list[set[tuple[int, int]]]:
-        """Per tree the source columns of its splits: (-1, numeric place) or (text column, 0)."""
-        return [{(k, f) if k < 0 else (k, 0) for k, f, l in zip(g.kind, g.feature, g.left) if l >= 0} for g in self.trees]
+    def walks(self) -> tuple[list[np.ndarray], list[Walk], list[np.ndarray]]:
+        """The categories that splits name, per text column, and each tree's walk over them and leaf values."""
+        ids = [np.unique(np.array([f for g in self.trees for kind, f, l in zip(g.kind, g.feature, g.left) if kind == k and l >= 0], np.int64))
+               for k in range(self.width)]
+        return ids, [Walk(g, len(self.edges), ids) for g in self.trees], [self.leaf_values(t) for t in range(len(self.trees))]
 
-    def predicted(self, x: pa.Array, c: pa.Array) -> np.ndarray:
-        """Mean leaf value of each row: class shares, or one number."""
+    def cells(self, x: pa.Array, c: pa.Array, ids: Sequence[np.ndarray]) -> np.ndarray:
+        """The rows' cells; categories that no split names are -1."""
         bins, cats = _bins(x, self.edges), _cats(c, self.width)
+        return np.array([*bins.T, *(_places(own, cats[:, k]) for k, own in enumerate(ids))], np.int32).reshape(-1, len(x))
+
+    def predicted(self, x: pa.Array, c: pa.Array, walks: tuple | None = None) -> np.ndarray:
+        """Mean leaf value of each row: class shares, or one number."""
+        ids, ways, values = walks or self.walks()
+        cells = self.cells(x, c, ids)
         out = np.zeros((len(x), max(self.classes, 1)))
-        for t, grown in enumerate(self.trees):
-            out += self.leaf_values(t)[grown.nodes(bins, cats)]
+        for walk, value in zip(ways, values):
+            rows, leaf = walk.down(cells)
+            at = np.empty(len(x), np.int64)
+            at[rows] = leaf
+            out += value[at]
         return out / max(len(self.trees), 1)
 
-    def shuffled(self, x: pa.Array, c: pa.Array, dx: pa.Array, dc: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
-        """(source, predictions): -1 for the rows as they are, then with one source column after the other taken from
-        the donor rows (numbers first, then text columns); only the trees that use a column are walked again."""
-        bins, cats, other_bins, other_cats = _bins(x, self.edges), _cats(c, self.width), _bins(dx, self.edges), _cats(dc, self.width)
-        values = [self.leaf_values(t) for t in range(len(self.trees))]
-        first = [v[g.nodes(bins, cats)] for v, g in zip(values, self.trees)]
-        whole = np.sum(first, axis=0)
+    def shuffled(self, x: pa.Array, c: pa.Array, dx: pa.Array, dc: pa.Array, walks: tuple | None = None) -> Iterator[tuple[int, np.ndarray]]:
+        """(source, predictions): -1 for the rows as they are, then with one source column after the other taken from the
+        donor rows (numbers first, then text columns); only rows that the donor's value turns off their way walk again."""
+        ids, ways, values = walks or self.walks()
+        cells, other = self.cells(x, c, ids), self.cells(dx, dc, ids)
+        first = []
+        for walk in ways:
+            rows, leaf = walk.down(cells)
+            at = np.empty(len(x), np.int64)
+            at[rows] = leaf
+            first.append(at)
+        whole = np.sum([v[at] for v, at in zip(values, first)], axis=0)
         yield -1, whole / len(self.trees)
-        used = self.used_columns()
         for source in range(len(self.edges) + self.width):
-            k = source - len(self.edges)
-            key = (-1, source) if k < 0 else (k, 0)
-            changed = bins if k < 0 else cats
-            kept = changed[:, source if k < 0 else k].copy()
-            changed[:, source if k < 0 else k] = other_bins[:, source] if k < 0 else other_cats[:, k]
+            kept, donor = cells[source].copy(), other[source]
+            cells[source] = donor
             total = whole.copy()
-            for t, grown in enumerate(self.trees):
-                if key in used[t]:
-                    total += values[t][grown.nodes(bins, cats)] - first[t]
-            changed[:, source if k < 0 else k] = kept
+            differ = np.flatnonzero(kept != donor)
+            for walk, value, at in zip(ways, values, first):
+                if source not in walk.used:
+                    continue
+                met = differ[walk.meets(source)[at[differ]]]
+                moved, leaf = walk.down(cells, met)
+                total[moved] += value[leaf] - value[at[moved]]
+            cells[source] = kept
             yield source, total / len(self.trees)
 
     def score(self, rows: DataFrame, keep: Sequence[str]) -> DataFrame:
@@ -374,8 +534,9 @@ class Forest:
         fields = rows.select(*[col(k) for k in keep]).schema
 
         def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = shared.value.predicted(batch.column(len(keep)), batch.column(len(keep) + 1))
+            walks = shared.value.walks()
+            for batch in merged(batches):
+                found = shared.value.predicted(batch.column(len(keep)), batch.column(len(keep) + 1), walks)
                 offsets = pa.array(np.arange(len(found) + 1) * found.shape[1], pa.int32())
                 yield pa.RecordBatch.from_arrays([*batch.columns[:len(keep)], pa.ListArray.from_arrays(offsets, pa.array(found.ravel()))],
                                                  names=[*batch.schema.names[:len(keep)], "raw"])
@@ -398,31 +559,44 @@ def grow(rows: DataFrame, edges: list[np.ndarray], sizes: Sequence[int], classes
     forest = Forest([Grown() for _ in range(trees)], edges, width, classes)
     for grown in forest.trees:
         grown.add([], 0)
-    narrow = rows.select("h", "y", "x", "c")
     if count is not None and count <= WHOLE_ROWS:
         # So few rows are sent to a few tasks, which grow some of the trees each by the same steps.
         def several(table: pa.Table) -> pa.Table:
-            block = table["block"][0].as_py()
-            batch = table.select(["h", "y", "x", "c"]).combine_chunks().to_batches()[0]
-            own = [Grown() for _ in range(block * TREES, min(trees, (block + 1) * TREES))]
+            number = table["block"][0].as_py()
+            block = Block.of(table.select(["h", "y", "x", "c"]).combine_chunks().to_batches(), edges, width)
+            own = [Grown() for _ in range(number * TREES, min(trees, (number + 1) * TREES))]
             for grown in own:
                 grown.add([], 0)
             while _open(own):
-                cells = pa.Table.from_batches(_histogram(own, edges, sizes, classes, seed, drawn, block * TREES)(iter([batch])))
-                _advance(own, _best_splits(classes)(cells), classes, max_depth)
-            return pa.table({"block": pa.array([block], pa.int32()), "trees": pa.array([pickle.dumps([g.__dict__ for g in own])], pa.binary())})
+                cells = pa.Table.from_batches(_histogram(_growing(own, classes, number * TREES), len(edges), sizes, classes, seed, drawn)(block))
+                found = _best_splits(classes)(cells)
+                _advance(own, found.set_column(0, "t", pc.subtract(found["t"], pa.scalar(number * TREES, pa.int32()))), classes, max_depth)
+            return pa.table({"block": pa.array([number], pa.int32()), "trees": pa.array([pickle.dumps([g.__dict__ for g in own])], pa.binary())})
 
-        copies = narrow.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((trees - 1) // TREES))))
+        copies = rows.select("h", "y", "x", "c").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((trees - 1) // TREES))))
         for r in copies.groupBy("block").applyInArrow(several, "block int, trees binary").collect():
             for i, fields in enumerate(pickle.loads(bytes(r["trees"]))):
                 forest.trees[r["block"] * TREES + i] = Grown(**fields)
         return forest
-    while _open(forest.trees):
-        cells = (narrow.mapInArrow(_histogram(forest.trees, edges, sizes, classes, seed, drawn), CELLS)
-                 .groupBy("t", "node", "kind", "f", "bin", "s").agg(F.sum("v").alias("v")))
-        found = (cells.withColumn("g", F.pmod(F.hash("t", "node"), F.lit(SPLIT_GROUPS))).groupBy("g")
-                 .applyInArrow(lambda table: _best_splits(classes)(table), SPLITS).toArrow())  # one row an open node
-        _advance(forest.trees, found, classes, max_depth)
+    blocks = packed(rows, edges, width).persist()
+    group = F.pmod(F.hash("t", "node"), F.lit(SPLIT_GROUPS))
+    sums = ["v"] if classes else ["n", "y", "yy"]
+    try:
+        while _open(forest.trees):
+            count_block = _histogram(_growing(forest.trees, classes), len(edges), sizes, classes, seed, drawn)
+
+            def level(batches: Iterator[pa.RecordBatch], count_block=count_block) -> Iterator[pa.RecordBatch]:
+                for batch in batches:
+                    for i in range(batch.num_rows):
+                        yield from count_block(Block.unpacked(batch, i))
+
+            # A task has each cell once, so they are added up only where a group's cells meet.
+            cells = (blocks.mapInArrow(level, _cell_schema(classes)).withColumn("g", group).repartition("g")
+                     .groupBy("g", "t", "node", "kind", "f", "bin", *(["s"] if classes else [])).agg(*[F.sum(n).alias(n) for n in sums]))
+            found = cells.groupBy("g").applyInArrow(lambda table: _best_splits(classes)(table), SPLITS).toArrow()  # one row an open node
+            _advance(forest.trees, found, classes, max_depth)
+    finally:
+        blocks.unpersist()
     return forest
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..config import AuditConfig
 from ..schema import col, local_frame, materialise, require_columns
 from ..sources.scratch import stored
-from .forest import BINS, Forest, grow
+from .forest import BINS, Forest, grow, merged
 from .metrics import classification_metrics, metrics_from_confusion, regression_metrics, roc_auc
 from .prep import FittedPrep, SparsePrep, fit_prep, fit_sparse, fit_sparse_folds
 from .split import fold_of, stratified_folds
@@ -28,9 +28,11 @@ from .split import fold_of, stratified_folds
 DEFAULT = AuditConfig()
 TASKS = ("classification", "regression")
 # Training rows are dealt to tasks by their content, so that a model does not depend on the files' layout: to so many tasks
-# for an estimator that reads vectors, and so many rows to each task that counts for a forest.
+# for an estimator that reads vectors.
 TRAIN_PARTITIONS = 32
-FOREST_ROWS = 16_384
+# For a forest: at least so many rows to a task, up to so many tasks, and beyond that so many bytes of cells to a task.  Every
+# task sends its counts of all open nodes, so fewer and larger tasks send less.
+FOREST_ROWS, FOREST_TASKS, FOREST_BYTES = 16_384, 48, 64_000_000
 IMPORTANCE = "feature string, importance double, rank int"
 
 
@@ -159,15 +161,13 @@ def _train_forest(df: DataFrame, target: str, task: str, exclude: Sequence[str],
     rows, labels = _labelled(df, task, target)
     # Whole rows, their key included, decide which trees draw them.
     count = rows.count()
-    partitions = -(-count // FOREST_ROWS) or 1
+    row = 16 + 4 * (len(prep.numeric) + len(prep.categorical))
+    partitions = max(min(-(-count // FOREST_ROWS), FOREST_TASKS), -(-count * row // FOREST_BYTES), 1)
     told = rows.withColumn("__h", F.xxhash64(*[col(c) for c in df.columns]))
     dealt = (prep.cells(told, ["__h", "__label"]).select(F.col("__h").alias("h"), F.col("__label").alias("y"), "x", "c")
-             .repartition(partitions, "h").sortWithinPartitions("h").persist())
-    try:
-        forest = grow(dealt, prep.edges, prep.sizes, len(labels) if labels is not None else 0,
-                      config.dev_num_trees if dev else config.num_trees, config.dev_max_depth if dev else config.max_depth, config.seed, count=count)
-    finally:
-        dealt.unpersist()
+             .repartition(partitions, "h").sortWithinPartitions("h"))
+    forest = grow(dealt, prep.edges, prep.sizes, len(labels) if labels is not None else 0,
+                  config.dev_num_trees if dev else config.num_trees, config.dev_max_depth if dev else config.max_depth, config.seed, count=count)
     return TrainedModel(task, target, prep, forest, labels)
 
 
@@ -312,7 +312,7 @@ def permutation_pairs(keys: DataFrame, key: str, repeats: int = DEFAULT.permutat
 
 def _shuffled_scores(trained: TrainedModel, met: DataFrame, used: list[str]) -> DataFrame:
     """(f, t, y, p, n, e2, y1, y2): rows as scored with column ``f`` taken from their donors (-1: none), counted by class
-    label and prediction, or summed up for regression.  A forest walks only the trees again that use the column."""
+    label and prediction, or summed up for regression.  A forest walks again only with rows whose way passes the column."""
     named = {c: f"__d{j}" for j, c in enumerate(used)}
     classify = trained.task == "classification"
     if not isinstance(trained.model, Forest):
@@ -330,19 +330,24 @@ def _shuffled_scores(trained: TrainedModel, met: DataFrame, used: list[str]) ->
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, labels = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            t, y = batch.column(0).to_numpy(), batch.column(1).to_pandas()
+        walks = forest.walks()
+        for batch in merged(batches):
+            (of, runs), y = np.unique(batch.column(0).to_numpy(), return_inverse=True)[::-1], batch.column(1).to_pandas()
+            codes, actual = pd.factorize(y) if labels is not None else (y.astype(float).to_numpy(), None)
             parts = []
-            for f, raw in forest.shuffled(*batch.columns[2:]):
-                pdf = pd.DataFrame({"f": f, "t": t, "y": y, "n": 1, "e2": 0.0, "y1": 0.0, "y2": 0.0})
+            for f, raw in forest.shuffled(*batch.columns[2:], walks):
                 if labels is not None:
-                    pdf["p"] = np.array(labels, object)[raw.argmax(axis=1)]
+                    keys = (of * len(actual) + codes) * len(labels) + raw.argmax(axis=1)
+                    n = np.bincount(keys, minlength=len(runs) * len(actual) * len(labels))
+                    at = np.flatnonzero(n)
+                    pair = at // len(labels)
+                    part = {"f": f, "t": runs[pair // len(actual)], "y": np.array(actual, object)[pair % len(actual)],
+                            "p": np.array(labels, object)[at % len(labels)], "n": n[at], "e2": 0.0, "y1": 0.0, "y2": 0.0}
                 else:
-                    value = y.astype(float)
-                    pdf["e2"], pdf["y1"], pdf["y2"], pdf["y"], pdf["p"] = (value - raw[:, 0]) ** 2, value, value ** 2, "", ""
-                parts.append((pdf if f >= 0 else pdf[t == 1]).groupby(["f", "t", "y", "p"], as_index=False).sum())
+                    sums = [np.bincount(of, v) for v in ((codes - raw[:, 0]) ** 2, codes, codes ** 2)]
+                    part = {"f": f, "t": runs, "y": "", "p": "", "n": np.bincount(of), **dict(zip(("e2", "y1", "y2"), sums))}
+                pdf = pd.DataFrame(part)
+                parts.append(pdf if f >= 0 else pdf[pdf["t"] == 1])
             yield pa.RecordBatch.from_pandas(pd.concat(parts)[["f", "t", "y", "p", "n", "e2", "y1", "y2"]], preserve_index=False)
 
     scored = met.select("__t", "__y", x.alias("x"), c.alias("c"), dx.alias("dx"), dc.alias("dc")).mapInArrow(
