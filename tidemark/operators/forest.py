@@ -119,7 +119,7 @@ class Walk:
             at = np.flatnonzero((kind == k) & (self.left >= 0))
             place = _places(own, feature[at])
             self.low[at], self.high[at] = np.where(place < 0, 0, place - 1), np.where(place < 0, 0, place)
-        self._met: dict[int, np.ndarray] = {}
+        self._bounds: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
     def leads_to(self, wanted: np.ndarray) -> np.ndarray:
         """Whether a wanted node lies at or below each node."""
@@ -134,14 +134,22 @@ class Walk:
         """The input columns of the splits."""
         return set(self.column[self.left >= 0].tolist())
 
-    def meets(self, column: int) -> np.ndarray:
-        """Whether the way to each node passes a split of the column."""
-        if column not in self._met:
-            out = np.zeros(len(self.left), bool)
+    def bounds(self, column: int) -> tuple[np.ndarray, np.ndarray]:
+        """Above which value of the column, and up to which, a row passes the way to each node; where a way splits by a category
+        of the column, no value does."""
+        if column not in self._bounds:
+            # A category without a split is -1.
+            above, upto = np.full(len(self.left), -2), np.full(len(self.left), 255 if column < self.numbers else np.iinfo(np.int32).max)
             for i in np.flatnonzero(self.left >= 0):  # parents come before their children
-                out[self.left[i]] = out[self.left[i] + 1] = out[i] or self.column[i] == column
-            self._met[column] = out
-        return self._met[column]
+                for child in (self.left[i], self.left[i] + 1):
+                    above[child], upto[child] = above[i], upto[i]
+                if self.column[i] == column and column < self.numbers:
+                    upto[self.left[i]] = min(upto[i], self.low[i])
+                    above[self.left[i] + 1] = max(above[i], self.low[i])
+                elif self.column[i] == column:
+                    above[[self.left[i], self.left[i] + 1]] = np.iinfo(np.int32).max
+            self._bounds[column] = above, upto
+        return self._bounds[column]
 
     def down(self, cells: np.ndarray, rows: np.ndarray | None = None, live: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(rows, leaves): the given rows, by default all, and the leaf each comes to; rows that leave the ``live`` nodes are dropped."""
@@ -512,7 +520,9 @@ class Forest:
             at = np.empty(len(x), np.int64)
             at[rows] = leaf
             first.append(at)
-        whole = np.sum([v[at] for v, at in zip(values, first)], axis=0)
+        whole = np.zeros((len(x), max(self.classes, 1)))
+        for value, at in zip(values, first):
+            whole += value[at]
         yield -1, whole / len(self.trees)
         for source in range(len(self.edges) + self.width):
             kept, donor = cells[source].copy(), other[source]
@@ -522,8 +532,9 @@ class Forest:
             for walk, value, at in zip(ways, values, first):
                 if source not in walk.used:
                     continue
-                met = differ[walk.meets(source)[at[differ]]]
-                moved, leaf = walk.down(cells, met)
+                above, upto = walk.bounds(source)
+                own, v = at[differ], donor[differ]
+                moved, leaf = walk.down(cells, differ[(v <= above[own]) | (v > upto[own])])
                 total[moved] += value[leaf] - value[at[moved]]
             cells[source] = kept
             yield source, total / len(self.trees)

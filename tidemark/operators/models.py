@@ -312,7 +312,7 @@ def permutation_pairs(keys: DataFrame, key: str, repeats: int = DEFAULT.permutat
 
 def _shuffled_scores(trained: TrainedModel, met: DataFrame, used: list[str]) -> DataFrame:
     """(f, t, y, p, n, e2, y1, y2): rows as scored with column ``f`` taken from their donors (-1: none), counted by class
-    label and prediction, or summed up for regression.  A forest walks again only with rows whose way passes the column."""
+    label and prediction, or summed up for regression.  A forest walks again only with rows that the donor's value turns off their way."""
     named = {c: f"__d{j}" for j, c in enumerate(used)}
     classify = trained.task == "classification"
     if not isinstance(trained.model, Forest):
@@ -332,7 +332,8 @@ def _shuffled_scores(trained: TrainedModel, met: DataFrame, used: list[str]) ->
         forest, labels = shared.value
         walks = forest.walks()
         for batch in merged(batches):
-            (of, runs), y = np.unique(batch.column(0).to_numpy(), return_inverse=True)[::-1], batch.column(1).to_pandas()
+            runs, of = np.unique(batch.column(0).to_numpy(), return_inverse=True)
+            y = batch.column(1).to_pandas()
             codes, actual = pd.factorize(y) if labels is not None else (y.astype(float).to_numpy(), None)
             parts = []
             for f, raw in forest.shuffled(*batch.columns[2:], walks):
