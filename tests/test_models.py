@@ -282,7 +282,8 @@ def test_a_large_table_is_dealt_to_few_large_tasks(spark, monkeypatch):
     dealt = []
     whole = models.grow
     monkeypatch.setattr(models, "grow", lambda rows, *a, **k: dealt.append(rows.rdd.getNumPartitions()) or whole(rows, *a, **k))
+    table = lambda n: spark.range(n).select("id", (F.col("id") % 7).alias("x"), F.when(F.col("id") % 7 < 3, "a").otherwise("b").alias("y"))
+    models.train(table(40_000), "y", "classification", ["id"], config=SMALL)
     monkeypatch.setattr(models, "FOREST_ROWS", 100)
-    df = spark.range(6000).select("id", (F.col("id") % 7).alias("x"), F.when(F.col("id") % 7 < 3, "a").otherwise("b").alias("y"))
-    models.train(df, "y", "classification", ["id"], config=SMALL)
-    assert dealt == [48]  # 60 before
+    models.train(table(6000), "y", "classification", ["id"], config=SMALL)
+    assert dealt == [1, 48]  # 3 and 60 before

@@ -32,7 +32,7 @@ TASKS = ("classification", "regression")
 TRAIN_PARTITIONS = 32
 # For a forest: at least so many rows to a task, up to so many tasks, and beyond that so many bytes of cells to a task.  Every
 # task sends its counts of all open nodes, so fewer and larger tasks send less.
-FOREST_ROWS, FOREST_TASKS, FOREST_BYTES = 16_384, 48, 64_000_000
+FOREST_ROWS, FOREST_TASKS, FOREST_BYTES = 65_536, 48, 64_000_000
 IMPORTANCE = "feature string, importance double, rank int"
 
 
