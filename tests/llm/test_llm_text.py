@@ -1,6 +1,7 @@
 """Deduplication, joins, fingerprints and decontamination against brute force on small hard cases."""
 
 import hashlib
+import pathlib
 import random
 import re
 
@@ -130,6 +131,45 @@ def test_no_documents_have_no_repeats(spark, corpus):
     assert substring_dedup.without_repeats(frame(spark, corpus).filter("false")).count() == 0
 
 
+@pytest.mark.parametrize("group", [substring_dedup.GROUP_SUFFIXES, 3])
+def test_repeated_windows_of_texts_that_go_in_circles(spark, group, monkeypatch):
+    """Also rows that come twice: they are one document and keep what they hold."""
+    whole = substring_dedup.repeated_words
+    monkeypatch.setattr(substring_dedup, "repeated_words", lambda *a: whole(*a, group_suffixes=group))
+    rng = random.Random(8)
+    circle = lambda period, n, skip=0: " ".join(f"p{period}w{(i + skip) % period}" for i in range(n))
+    ends = [" ".join(rng.choice("uvwxyz") * 3 for _ in range(60)) for _ in range(12)]
+    corpus = [circle(p, n, skip) + " " + rng.choice(ends) for p in (1, 2, 3, 19, 20, 31, 33) for n, skip in ((49, 0), (300, 1), (170, 5), (171, 5))]
+    corpus += [circle(2, 90) + " " + ends[0] + " " + circle(2, 400), ends[0] + " " + circle(3, 130) + " " + circle(2, 130)]
+    docs = frame(spark, corpus)
+    found = substring_dedup.without_repeats(docs.union(docs)).collect()
+    assert len(found) == 2 * len(corpus)
+    assert {r["id"]: (r["n_words"], r["n_removed"], r["text"]) for r in found} == brute_repeats(corpus)
+    assert substring_dedup._segments(substring_dedup._plain(frame(spark, [circle(2, 20_000)]), "doc_id", "text"), 50, 20).count() < 5
+
+
+def test_repeated_windows_keep_little_on_disk(spark):
+    """Texts are shuffled once, and of segments that are equal everywhere no words."""
+    rng = random.Random(9)
+    draw = lambda n: " ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(n))
+    passages = [draw(400) for _ in range(40)]
+    corpus = [f"{draw(200)} {passages[i % 40]} {draw(200)}" for i in range(400)]
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {x: x.stat().st_size for f in folders for x in pathlib.Path(f).rglob("shuffle_*.data")}
+    before, names = files(), ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    try:
+        for name in names:
+            spark.conf.set(name, -1)
+        found = substring_dedup.without_repeats(frame(spark, corpus)).agg(F.sum("n_removed")).first()[0]
+    finally:
+        for name in names:
+            spark.conf.unset(name)
+    assert found == 360 * 400
+    written = sum(size for x, size in files().items() if x not in before)
+    # frame() deals the texts out once itself.
+    assert written < 3.5 * sum(map(len, corpus))
+
+
 # --- lines ------------------------------------------------------------------------------------------
 
 def line_chunks(rows):

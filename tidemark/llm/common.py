@@ -14,7 +14,7 @@ from ..sources.scratch import checkpointed, scratch_path
 from ..sources.tables import table
 
 __all__ = ["appended", "ascii_lower", "byte_table", "checkpointed", "col", "documents", "hashed_words", "quoted",
-           "replaced", "row_chunks", "rolled", "scratch_path", "table", "texts", "unused"]
+           "replaced", "row_chunks", "rolled", "scratch_path", "spans", "table", "texts", "unused"]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Bytes of text handled at once inside a task: bounds the arrays a task holds, whatever the size of an Arrow batch.
@@ -139,3 +139,11 @@ def rolled(words: np.ndarray, n: int) -> np.ndarray:
         total = total * np.uint64(steps[part]) + runs[part][at:at + size]
         at += part
     return _mixed(total)
+
+
+def spans(words: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the runs ``words[start:end]``, of any lengths; they share nothing with those of ``rolled``."""
+    running = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(_mixed(words) * _powers(BASE, len(words)), out=running[1:])
+    back = _powers(UNBASE, len(words) + 1)
+    return _mixed((running[ends] - running[starts]) * back[starts] + (ends - starts).astype(np.uint64))

@@ -3,21 +3,21 @@
 This stands in for prefix-partitioned suffix trees: no tree is built, and neither deeper nodes nor maximal repeats are
 found.  A window is 50 consecutive words.  Every window is filed under one run of ``PREFIX`` words within it, chosen by
 hash, so that equal windows are filed alike; runs that only one document holds are dropped at once.  Consecutive windows
-with one run travel as one segment, and equal segments are combined before the shuffle.  Within a group equal windows are
+with one run travel as one segment: its place and a hash of its words.  Windows of equal segments are equal; only where
+the segments of a run differ are the words of each different one fetched, once, and within such a group equal windows are
 found by sorting, and each knows the smallest document that holds it.  A run with more windows than fit in memory is
-grouped by the hash of the whole window instead.
+grouped by the hash of the whole window instead.  The texts themselves are shuffled once, for the words and for the cut.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import checkpointed, col, hashed_words, rolled, row_chunks, texts
+from .common import CHUNK_BYTES, checkpointed, col, hashed_words, rolled, row_chunks, spans, texts
 
 WINDOW = 50
 PREFIX = 20
@@ -61,36 +61,65 @@ def _document_prefixes(plain: DataFrame, window: int, prefix: int) -> DataFrame:
     return plain.filter("id is not null").mapInArrow(emit, "gram bigint, id bigint")
 
 
-def _segments(shared: DataFrame, window: int, prefix: int) -> DataFrame:
-    """From (id, text, grams) rows: the runs of windows under one shared prefix.
+def _segments(plain: DataFrame, window: int, prefix: int) -> DataFrame:
+    """The runs of a document's windows under one prefix, at most ``window - prefix + 1`` windows each.
 
-    ``words`` (32-bit word hashes) stand only in the first of equal segments of a batch.
+    ``key`` is a hash of all words of the run: under one prefix, runs with equal keys have equal words.  Where a text goes
+    in circles, a run follows itself: it is one row with ``times``.
     """
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, wanted = batch.column(0).to_pylist(), batch.column(2)
-            rows, seen = [], set()
-            for i, words in enumerate(_words(texts(batch, "text"))):
+            empty = np.zeros(0, np.int64)
+            owner, rows = [], [(empty.view(np.uint64), empty.view(np.uint64), empty, empty, empty)]
+            for words in _words(texts(batch, "text")):
                 at, grams = _chosen(words, window, prefix)
-                if not len(at):
-                    continue
-                edge = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
-                own = grams[at[edge[:-1]]].view(np.int64)
+                start = np.flatnonzero(np.concatenate([[len(at) > 0], at[1:] != at[:-1]]))
+                n = np.diff(np.append(start, len(at)))
+                gram, key = grams[at[start]], spans(words, start, start + n + window - 1)
+                first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (key[1:] != key[:-1])])[:len(start)])
+                owner.append(len(first))
+                rows.append((gram[first], key[first], start[first], n[first], np.diff(np.append(first, len(start)))))
+            gram, key, start, n, times = (np.concatenate(x) for x in zip(*rows))
+            ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(owner)), owner), pa.int64()))
+            for i in range(0, len(gram), 50_000):
+                part = slice(i, i + 50_000)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(gram[part].view(np.int64)), pa.array(key[part].view(np.int64)), ids[part],
+                     pa.array(start[part], pa.int32()), pa.array(n[part], pa.int32()), pa.array(times[part], pa.int32())],
+                    names=["gram", "key", "id", "start", "n", "times"])
+
+    return plain.filter("id is not null").mapInArrow(emit, "gram bigint, key bigint, id bigint, start int, n int, times int")
+
+
+def _spelled(plain: DataFrame, keys: DataFrame, window: int) -> DataFrame:
+    """(gram, key, low, words): one run for each key, with 32-bit hashes of its words, read where the key stands first.
+
+    Rows of one id may hold different texts; the run comes from those that have it.
+    """
+    asked = keys.groupBy(F.col("least.id").alias("id")).agg(F.collect_list(F.struct("gram", "key", "least.start", "n")).alias("asked"))
+    schema = pa.schema([("gram", pa.int64()), ("key", pa.int64()), ("low", pa.int64()), ("words", pa.binary())])
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(batch.column(2).is_valid())
+            rows, size = [], 0
+            for low, wanted, words in zip(batch.column(0).to_pylist(), batch.column(2), _words(texts(batch, "text"))):
+                gram, key, start, n = (wanted.values.field(i).to_numpy() for i in range(4))
+                end = start + n + window - 1
+                here = np.flatnonzero(end <= len(words))
+                here = here[spans(words, start[here], end[here]).view(np.int64) == key[here]]
                 short = words.astype(np.uint32)
-                for r in np.flatnonzero(np.isin(own, wanted[i].values.to_numpy())).tolist():
-                    a, b = int(edge[r]), int(edge[r + 1]) + window - 1
-                    key = hashlib.blake2b(words[a:b].tobytes() + bytes([int(at[a]) - a]), digest_size=16).digest()
-                    rows.append((int(own[r]), ids[i], a, b - a - window + 1, key, None if key in seen else short[a:b].tobytes()))
-                    seen.add(key)
+                for r in here.tolist():
+                    rows.append((int(gram[r]), int(key[r]), low, short[start[r]:end[r]].tobytes()))
+                    size += len(rows[-1][-1])
+                if size > CHUNK_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+                    rows, size = [], 0
             if rows:
-                gram, doc, start, n, key, words = zip(*rows)
-                pair = np.frombuffer(b"".join(key), "<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(gram, pa.int64()), pa.array(doc, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32()),
-                     pa.array(pair[:, 0]), pa.array(pair[:, 1]), pa.array(words, pa.binary())],
-                    names=["gram", "id", "start", "n", "k1", "k2", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
-    return shared.mapInArrow(emit, "gram bigint, id bigint, start int, n int, k1 bigint, k2 bigint, words binary")
+    # The outer form keeps the texts' exchange equal to the one that the cut reads, so that Spark makes it once.
+    return plain.join(asked, "id", "left").select("id", "text", "asked").mapInArrow(emit, "gram bigint, key bigint, low bigint, words binary")
 
 
 def _suffixes(segments: list[tuple], window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -119,16 +148,18 @@ def _smallest(segments: list[tuple], window: int) -> list[np.ndarray]:
 
 
 def _subtrees(groups: DataFrame, window: int) -> DataFrame:
-    """From segments sorted by prefix: per segment, the smallest document that holds each of its windows."""
+    """From runs sorted by prefix and key: per run, the smallest document that holds each of its windows."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush(ready: list[tuple]) -> pa.RecordBatch:
             found = _smallest(ready, window)
-            return pa.RecordBatch.from_arrays([pa.array([s[1] for s in ready], pa.int64()), pa.array([s[2] for s in ready], pa.int64()),
-                                               pa.array(found, pa.list_(pa.int64()))], names=["k1", "k2", "lows"])
+            return pa.RecordBatch.from_arrays([pa.array([s[0] for s in ready], pa.int64()), pa.array([s[1] for s in ready], pa.int64()),
+                                               pa.array(found, pa.list_(pa.int64()))], names=["gram", "key", "lows"])
 
         held, size = [], 0
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and row[:2] == held[-1][:2]:
+                    continue
                 if size >= BATCH_SUFFIXES and row[0] != held[-1][0]:
                     yield flush(held)
                     held, size = [], 0
@@ -137,33 +168,33 @@ def _subtrees(groups: DataFrame, window: int) -> DataFrame:
         if held:
             yield flush(held)
 
-    return groups.mapInArrow(build, "k1 bigint, k2 bigint, lows array<bigint>")
+    return groups.mapInArrow(build, "gram bigint, key bigint, lows array<bigint>")
 
 
 def _whole_windows(large: DataFrame, window: int) -> DataFrame:
     """As ``_subtrees`` for groups of any size: equal windows meet by their 128-bit hash, combined by each task."""
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k1, k2, place, h1, h2, low = [], [], [], [], [], []
-            for _, a, b, doc, data in zip(*(c.to_pylist() for c in batch.columns)):
+            gram, key, place, h1, h2, low = [], [], [], [], [], []
+            for a, b, doc, data in zip(*(c.to_pylist() for c in batch.columns)):
                 words = np.frombuffer(data, np.uint32).astype(np.uint64)
                 h = rolled(words + np.uint64(1), window)
                 g = rolled(words * words + np.uint64(0x9E3779B9), window)
-                k1 += [a] * len(h)
-                k2 += [b] * len(h)
+                gram += [a] * len(h)
+                key += [b] * len(h)
                 place += range(len(h))
                 low += [doc] * len(h)
                 h1.append(h.view(np.int64))
                 h2.append(g.view(np.int64))
             empty = [np.zeros(0, np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(place, pa.int32()),
+            yield pa.RecordBatch.from_arrays([pa.array(gram, pa.int64()), pa.array(key, pa.int64()), pa.array(place, pa.int32()),
                                               pa.array(np.concatenate(h1 or empty)), pa.array(np.concatenate(h2 or empty)), pa.array(low, pa.int64())],
-                                             names=["k1", "k2", "place", "h1", "h2", "low"])
+                                             names=["gram", "key", "place", "h1", "h2", "low"])
 
-    rows = large.mapInArrow(emit, "k1 bigint, k2 bigint, place int, h1 bigint, h2 bigint, low bigint")
+    rows = large.mapInArrow(emit, "gram bigint, key bigint, place int, h1 bigint, h2 bigint, low bigint")
     nodes = rows.groupBy("h1", "h2").agg(F.min("low").alias("least"))
-    found = rows.join(nodes, ["h1", "h2"]).groupBy("k1", "k2").agg(F.sort_array(F.collect_list(F.struct("place", "least"))).alias("p"))
-    return found.select("k1", "k2", F.col("p.least").alias("lows"))
+    found = rows.join(nodes, ["h1", "h2"]).groupBy("gram", "key").agg(F.sort_array(F.collect_set(F.struct("place", "least"))).alias("p"))
+    return found.select("gram", "key", F.col("p.least").alias("lows"))
 
 
 def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, prefix: int = PREFIX,
@@ -177,18 +208,21 @@ def repeated_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     plain = _plain(docs, id_col, text_col)
     filed = _document_prefixes(plain, window, prefix)
     shared = filed.groupBy("gram").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("gram")
-    wanted = filed.join(shared, "gram").groupBy("id").agg(F.collect_set("gram").alias("grams"))
-    segments = checkpointed(_segments(plain.join(wanted, "id").select("id", "text", "grams"), window, prefix))
-    distinct = segments.groupBy("gram", "k1", "k2").agg(F.min("id").alias("low"), F.max("words").alias("words"))
-    sizes = segments.select("gram", "k1", "k2", "n").distinct().groupBy("gram").agg(F.sum("n").alias("suffixes"))
-    large = checkpointed(sizes.filter(F.col("suffixes") > group_suffixes).select("gram"))
-    columns = ["gram", "k1", "k2", "low", "words"]
-    fitting = distinct if large.isEmpty() else distinct.join(large, "gram", "left_anti")
-    lows = _subtrees(fitting.select(columns).repartition("gram").sortWithinPartitions("gram"), window)
+    segments = checkpointed(_segments(plain, window, prefix).join(shared, "gram"))
+    distinct = segments.groupBy("gram", "key").agg(F.min(F.struct("id", "start")).alias("least"), F.max("n").alias("n"))
+    sizes = distinct.groupBy("gram").agg(F.count("*").alias("kinds"), F.sum("n").alias("suffixes"))
+    keys = checkpointed(distinct.join(sizes, "gram"))
+    # Equal runs have equal windows: only where the runs of a prefix differ are words compared.
+    lows = keys.filter("kinds = 1").select("gram", "key", F.array_repeat("least.id", F.col("n")).alias("lows"))
+    several, fits = keys.filter("kinds > 1"), F.col("suffixes") <= group_suffixes
+    fitting = _spelled(plain, several.filter(fits), window)
+    lows = lows.union(_subtrees(fitting.repartition("gram").sortWithinPartitions("gram", "key"), window))
+    large = several.filter(~fits)
     if not large.isEmpty():
-        lows = lows.union(_whole_windows(distinct.join(large, "gram", "left_semi").select(columns), window))
-    older = F.filter(F.transform("lows", lambda low, i: F.when(low < F.col("id"), F.col("start") + i)), lambda s: s.isNotNull())
-    hits = segments.select("id", "start", "k1", "k2").join(lows, ["k1", "k2"]).select("id", older.alias("starts")).filter(F.size("starts") > 0)
+        lows = lows.union(_whole_windows(_spelled(plain, large, window), window))
+    places = lambda i: F.sequence(F.col("start") + i, F.col("start") + i + F.col("n") * (F.col("times") - 1), F.col("n"))
+    older = F.flatten(F.filter(F.transform("lows", lambda low, i: F.when(low < F.col("id"), places(i))), lambda s: s.isNotNull()))
+    hits = segments.join(lows, ["gram", "key"]).select("id", older.alias("starts")).filter(F.size("starts") > 0)
     return hits.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
 
 
