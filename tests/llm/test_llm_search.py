@@ -1,5 +1,6 @@
 """Top-k search, spelling variants and lexical search against brute force."""
 
+import heapq
 import math
 import random
 import re
@@ -7,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -63,6 +65,48 @@ def test_best_first_search_of_one_tree():
         assert list(zip(*again))[:5] == list(zip(scores, ids))[:5]
 
 
+def test_visitors_of_a_shard_walk_its_tree_together(monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = rng.integers(-40, 40, (1500, 64)).astype(float)  # no box rules out a leaf
+    queries = rows[::6]
+    vectors = pa.array([r.tobytes() for r in rows], pa.binary())
+    points = pa.table({"id": np.arange(1500), "v": vectors, "shard": np.zeros(1500, np.int64)})
+    visitors = pa.table({"id": np.arange(0, 1500, 6), "v": vectors.take(pa.array(np.arange(0, 1500, 6))), "least": pa.nulls(250, pa.int64())})
+    taken, pop = [], heapq.heappop
+    monkeypatch.setattr(heapq, "heappop", lambda heap: taken.append(1) or pop(heap))
+    hits = topk._meeting(21, 64)(points, visitors).slice(1)
+    assert len(taken) < 250  # a query that walked alone took a node or more
+    got = {q: list(zip(scores, ids)) for q, scores, ids in zip(*(hits[c].to_pylist() for c in ("query", "scores", "ids")))}
+    for q, own in zip(range(0, 1500, 6), queries):
+        assert got.pop(q) == sorted(zip((rows @ own).astype(int).tolist(), range(1500)), key=lambda x: (-x[0], x[1]))[:21]
+    assert not got
+
+
+@pytest.mark.parametrize("largest", [5, 3_000, 2 ** 22, 2 ** 40])  # single floats, doubles, beyond both
+def test_queries_of_one_tree_with_known_scores_and_without(largest):
+    rng = np.random.default_rng(3)
+    rows = (rng.integers(-5, 6, (300, 4)) * (largest // 5)).astype(float)
+    queries = (rng.integers(-5, 6, (30, 4)) * (largest // 5)).astype(float)
+    tree = topk.build_tree(rows, np.arange(300), 8)
+    want = [sorted(zip(topk.dots(rows, q).tolist(), range(300)), key=lambda x: (-x[0], x[1]))[:9] for q in queries]
+    least = np.array([(topk.NONE, w[8][0], w[2][0], topk.MOST)[i % 4] for i, w in enumerate(want)])
+    at, scores, ids = topk.search_trees(tree, queries, topk.bounds(tree.low, tree.high, queries), 9, least)
+    for i, w in enumerate(want):
+        own = at == i
+        sure = [x for x in w if x[0] >= least[i]]
+        assert list(zip(scores[own].tolist(), ids[own].tolist()))[:len(sure)] == sure
+    assert topk.squares(rows).tolist() == [topk.dots(r[None], r)[0] for r in rows]
+
+
+def test_larger_shards_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.normal(size=4).round(2).tolist()) for i in range(200)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    monkeypatch.setattr(topk, "MANY_SHARDS", 3)
+    found = topk.exact_top_k(frame, F.col("vec_id") % 10 == 0, k=6, shard_rows=10, leaf_rows=5)
+    assert sorted(map(tuple, found.collect())) == top_k_by_force(rows, lambda i: i % 10 == 0, 6)
+
+
 # --- spelling variants ------------------------------------------------------------------------------
 
 def variants_by_force(docs):

@@ -2,9 +2,13 @@
 
 The median splits of a bounded sample cut space into regions; a region's rows are one or more shards.  A task builds the
 KD-tree of its shard: median splits down to small leaves, each node with the tight box of its rows.  The product of a query
-with any row of a box is at most the sum of the larger products with the two ends of each side, and nodes are visited best
-bound first until no bound reaches the kth score.  Queries search the shard of their own region first; the kth score found
-there goes along to the other shards, and only those whose whole box can reach it are visited at all.
+with any row of a box is at most the sum of the larger products with the two ends of each side.  The visitors of a shard walk
+its tree together, best bound first: each node is left by the queries whose kth score its bound does not reach, and a leaf's
+rows are multiplied at once with all queries that are left.  Queries search the shard of their own region first; the kth score
+found there goes along to the other shards, and only those whose whole box can reach it are visited at all.
+
+In many dimensions without a low-dimensional structure boxes rule out next to nothing; the exact search then multiplies
+nearly every query with every row.
 
 Equal vectors have equal scores, so of each distinct vector only the k + 1 smallest ids can be results: the trees hold no
 more, and equal queries are searched once.
@@ -24,14 +28,20 @@ from .common import checkpointed, col, unused
 
 K = 20
 SHARD_ROWS = 8_192
+# From so many shards on they hold more rows, up to so many times as many: each shard that a query reaches is sent its vector.
+MANY_SHARDS, LARGER = 32, 8
 LEAF_ROWS = 64
 # Vectors whose medians cut the regions (by the hash of the vector), and regions at most.
 SAMPLE_ROWS, MAX_REGIONS = 16_384, 1_024
 # Boxes of shards that are broadcast at once, and queries that meet a shard in one task.
-BOXES, VISITORS = 4_096, 4_096
-# Whole numbers up to here are exact as doubles.
-EXACT = float(2 ** 53)
+BOXES, VISITORS = 4_096, 16_384
+# Queries that walk a tree together.
+TOGETHER = 1_024
+# Whole numbers up to here are exact as doubles, as single floats.
+EXACT, EXACT_SINGLE = float(2 ** 53), float(2 ** 24)
 MOST = 2 ** 63 - 1
+# Below every score.
+NONE = -MOST - 1
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
@@ -42,18 +52,16 @@ def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFr
     def floor(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             vectors = batch.column(1)
-            at, out, own_score = [], [], []
-            for i in np.flatnonzero(vectors.is_valid().to_numpy(zero_copy_only=False)).tolist():
-                own = vectors[i].values
-                if own.null_count:
-                    continue
-                x = np.floor(own.to_numpy(zero_copy_only=False).astype(float) * scale) + 0.0
-                if np.isfinite(x).all():
-                    at.append(i)
-                    out.append(x.tobytes())
-                    own_score.append(int(dots(x[None, :], x)[0]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(out, pa.binary()),
-                                              pa.array(own_score, pa.int64())], names=["id", "v", "own"])
+            start = vectors.offsets.to_numpy().astype(np.int64)
+            length = np.diff(start)
+            # Null components become NaN here.
+            x = np.floor(vectors.values.to_numpy(zero_copy_only=False).astype(float) * scale) + 0.0
+            gaps = np.concatenate([[0], np.cumsum(~np.isfinite(x))])
+            whole = vectors.is_valid().to_numpy(zero_copy_only=False) & (gaps[start[1:]] == gaps[start[:-1]])
+            for n in np.unique(length[whole]).tolist():
+                at = np.flatnonzero(whole & (length == n))
+                own = x[start[at][:, None] + np.arange(n)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), _binary(own), pa.array(squares(own))], names=["id", "v", "own"])
 
     return df.select(col(id_col).cast("bigint").alias("id"), col(vector_col).cast("array<double>").alias("v")).mapInArrow(
         floor, "id bigint, v binary, own bigint")
@@ -65,6 +73,11 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(rows), float).reshape(len(rows), len(rows[0]) // 8 if rows else 0)
 
 
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Each row as the bytes of its doubles."""
+    return pa.array([row.tobytes() for row in rows], pa.binary())
+
+
 def dots(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Inner products of whole numbers as 64-bit integers; larger ones end at the bounds of the type."""
     if x.size and np.abs(x).max(initial=0) * np.abs(q).max(initial=0) * x.shape[1] < EXACT:
@@ -73,6 +86,15 @@ def dots(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.array([max(-MOST, min(MOST, sum(int(a) * b for a, b in zip(row, whole)))) for row in x], np.int64)
 
 
+def squares(x: np.ndarray) -> np.ndarray:
+    """Inner products of each row with itself, like ``dots``."""
+    small = np.abs(x).max(axis=1, initial=0) < (EXACT / max(x.shape[1], 1)) ** 0.5 / 2
+    out = np.empty(len(x), np.int64)
+    out[small] = np.einsum("ij,ij->i", x[small], x[small]).astype(np.int64)
+    out[~small] = [dots(row[None, :], row)[0] for row in x[~small]]
+    return out
+
+
 # --- one tree -------------------------------------------------------------------------------------------------------------
 
 @dataclass
@@ -117,34 +139,84 @@ def bounds(low: np.ndarray, high: np.ndarray, queries: np.ndarray) -> np.ndarray
     return out if largest < EXACT else np.maximum(out + largest * 1e-12, -float(MOST))
 
 
-def search_tree(tree: Tree, query: np.ndarray, bound: list[float], k: int, least: int | None) -> tuple[np.ndarray, np.ndarray]:
-    """The (scores, ids) of the k best rows, ties to the smaller id; rows under ``least``, a score known to be reached, may miss."""
-    scores, ids = np.empty(0, np.int64), np.empty(0, np.int64)
-    kth = least
-    heap = [(-bound[0], 0)]
+def best_hits(asker: np.ndarray, score: np.ndarray, id_: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The k best hits of each query in order, ties to the smaller id, and each one's place from 0."""
+    order = np.lexsort((id_, -score, asker))
+    asker = asker[order]
+    place = np.arange(len(asker)) - np.searchsorted(asker, asker)
+    kept = place < k
+    order = order[kept]
+    return asker[kept], score[order], id_[order], place[kept]
+
+
+def search_trees(tree: Tree, queries: np.ndarray, bound: np.ndarray, k: int, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hits (query, score, id) of many queries, the k best rows of each in order, ties to the smaller id.
+
+    Rows under ``least``, a score known to be reached (NONE: not known), may miss.  ``bound`` is (query, node).  Each query
+    begins at its leaf of largest bound; from there the queries walk together, the node first that has the largest bound, and
+    a leaf's rows are multiplied at once with all queries whose bound there reaches their kth score.
+    """
+    limits = np.ascontiguousarray(bound.T)
+    largest = max(np.abs(tree.low[0]).max(initial=0), np.abs(tree.high[0]).max(initial=0)) * np.abs(queries).max(initial=0) * max(queries.shape[1], 1)
+    # Sums of whole numbers below these sizes are exact in either type; any kth score beyond them rounds to no less.
+    kind = np.float32 if largest < EXACT_SINGLE else np.float64
+    rows, askers = tree.rows.astype(kind, copy=False), queries.astype(kind, copy=False)
+    kth = least.copy()
+    # Hits in order first, then those that wait to be ranked.
+    hits = [(np.empty(0, np.int64),) * 3]
+    ranked = waiting = 0
+
+    def rank() -> None:
+        nonlocal hits, ranked, waiting
+        asker, score, id_, place = best_hits(*(np.concatenate(part) for part in zip(*hits)), k)
+        last = place == k - 1
+        kth[asker[last]] = np.maximum(kth[asker[last]], score[last])
+        hits, ranked, waiting = [(asker, score, id_)], len(asker), 0
+
+    def visit(leaf: int, asking: np.ndarray) -> None:
+        nonlocal waiting
+        a, b = tree.first[leaf], tree.last[leaf]
+        own = askers if len(asking) == len(askers) else askers[asking]
+        if largest < EXACT:
+            found = own @ rows[a:b].T
+            at, row = np.nonzero(found >= kth[asking].astype(kind)[:, None])
+        else:
+            found = np.array([dots(rows[a:b], q) for q in own])
+            at, row = np.nonzero(found >= kth[asking][:, None])
+        if len(at):
+            hits.append((asking[at], found[at, row].astype(np.int64), tree.ids[a:b][row]))
+            waiting += len(at)
+            if waiting > max(ranked, len(queries)):
+                rank()
+
+    leaves = np.flatnonzero(np.array(tree.below) < 0)
+    begin = leaves[np.argmax(limits[leaves], axis=0)]
+    for leaf in np.unique(begin).tolist():
+        asking = np.flatnonzero((begin == leaf) & (limits[leaf] >= kth))
+        if len(asking):
+            visit(leaf, asking)
+            limits[leaf, asking] = -np.inf
+    rank()
+    heap = [(-limits[0].max(initial=-np.inf), 0)]
     while heap:
-        best, node = heapq.heappop(heap)
-        if kth is not None and -best < kth:
-            break  # nothing that waits reaches the kth score; equal scores may still have smaller ids
-        child = tree.below[node]
-        if child >= 0:
-            for c in (child, child + 1):
-                if kth is None or bound[c] >= kth:
-                    heapq.heappush(heap, (-bound[c], c))
+        _, node = heapq.heappop(heap)
+        # Equal scores may still have smaller ids.
+        asking = np.flatnonzero(limits[node] >= kth)
+        if not len(asking):
             continue
-        a, b = tree.first[node], tree.last[node]
-        found = dots(tree.rows[a:b], query)
-        own = tree.ids[a:b]
-        if kth is not None:
-            kept = found >= kth
-            found, own = found[kept], own[kept]
-        if not len(found):
+        child = tree.below[node]
+        if child < 0:
+            visit(node, asking)
             continue
-        scores, ids = np.concatenate([scores, found]), np.concatenate([ids, own])
-        top = np.lexsort((ids, -scores))[:k]
-        scores, ids = scores[top], ids[top]
-        if len(scores) == k:
-            kth = int(scores[-1]) if kth is None else max(kth, int(scores[-1]))
+        for c in (child, child + 1):
+            heapq.heappush(heap, (-limits[c, asking].max(), c))
+    rank()
+    return hits[0]
+
+
+def search_tree(tree: Tree, query: np.ndarray, bound: list[float], k: int, least: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """The (scores, ids) of one query's k best rows; see ``search_trees``."""
+    _, scores, ids = search_trees(tree, query[None, :], np.array([bound]), k, np.array([NONE if least is None else least]))
     return scores, ids
 
 
@@ -213,23 +285,27 @@ HITS = "query bigint, shard bigint, low binary, high binary, scores array<bigint
 
 def _meeting(k: int, leaf_rows: int):
     """Searches the tree of one shard for its visitors; the first row tells the box of the shard."""
+    kinds = pa.schema([("query", pa.int64()), ("shard", pa.int64()), ("low", pa.binary()), ("high", pa.binary()),
+                       ("scores", pa.list_(pa.int64())), ("ids", pa.list_(pa.int64()))])
+
     def meet(rows: pa.Table, visitors: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"query": [], "shard": [], "low": [], "high": [], "scores": [], "ids": []}
-        if rows.num_rows:
-            tree = build_tree(_matrix(rows["v"]), rows["id"].to_numpy(), leaf_rows)
-            shard = rows["shard"][0].as_py()
-            out = {"query": [None], "shard": [shard], "low": [tree.low[0].tobytes()], "high": [tree.high[0].tobytes()], "scores": [None], "ids": [None]}
-            for start in range(0, visitors.num_rows, 512):
-                part = visitors.slice(start, 512)
-                queries = _matrix(part["v"])
-                bound = bounds(tree.low, tree.high, queries)
-                for q, own, limits, least in zip(part["id"].to_pylist(), queries, bound, part["least"].to_pylist()):
-                    scores, ids = search_tree(tree, own, limits.tolist(), k, least)
-                    if len(scores):
-                        for name, value in zip(out, (q, shard, None, None, scores, ids)):
-                            out[name].append(value)
-        kinds = {"query": pa.int64(), "shard": pa.int64(), "low": pa.binary(), "high": pa.binary(), "scores": pa.list_(pa.int64()), "ids": pa.list_(pa.int64())}
-        return pa.table({n: pa.array(v, kinds[n]) for n, v in out.items()})
+        if not rows.num_rows:
+            return kinds.empty_table()
+        tree = build_tree(_matrix(rows["v"]), rows["id"].to_numpy(), leaf_rows)
+        shard = rows["shard"][0].as_py()
+        out = [pa.Table.from_arrays([pa.array(x, kind.type) for x, kind in zip(
+            ([None], [shard], [tree.low[0].tobytes()], [tree.high[0].tobytes()], [None], [None]), kinds)], schema=kinds)]
+        for start in range(0, visitors.num_rows, TOGETHER):
+            part = visitors.slice(start, TOGETHER)
+            queries = _matrix(part["v"])
+            least = part["least"].combine_chunks().fill_null(NONE).to_numpy()
+            at, scores, ids = search_trees(tree, queries, bounds(tree.low, tree.high, queries), k, least)
+            asker, first = np.unique(at, return_index=True)
+            ends = pa.array(np.append(first, len(at)).astype(np.int32))
+            nothing = pa.nulls(len(asker), pa.binary())
+            out.append(pa.Table.from_arrays([part["id"].take(pa.array(asker)).combine_chunks(), pa.array(np.full(len(asker), shard)), nothing, nothing,
+                                             pa.ListArray.from_arrays(ends, pa.array(scores)), pa.ListArray.from_arrays(ends, pa.array(ids))], schema=kinds))
+        return pa.concat_tables(out)
 
     return meet
 
@@ -263,6 +339,7 @@ def _reaching(queries: DataFrame, shards: list, low: np.ndarray, high: np.ndarra
 def _nearest(points: DataFrame, queries: DataFrame, k: int, shard_rows: int, leaf_rows: int) -> DataFrame:
     """(query, score, id): the k best points of each query; points and queries (id, v) have one length."""
     n = points.count()
+    shard_rows = min(max(shard_rows, -(-n // MANY_SHARDS)), LARGER * shard_rows)
     wanted = max(1, min(MAX_REGIONS, -(-n // shard_rows)))
     # At most SAMPLE_ROWS vectors come to the driver.
     sample = _matrix(points.select("v").orderBy(F.xxhash64("v"), "v").limit(SAMPLE_ROWS).toArrow()["v"])
