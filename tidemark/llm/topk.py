@@ -179,13 +179,15 @@ def search_trees(tree: Tree, queries: np.ndarray, bound: np.ndarray, k: int, lea
         own = askers if len(asking) == len(askers) else askers[asking]
         if largest < EXACT:
             found = own @ rows[a:b].T
-            at, row = np.nonzero(found >= kth[asking].astype(kind)[:, None])
+            reached = found >= kth[asking].astype(kind)[:, None]
         else:
             found = np.array([dots(rows[a:b], q) for q in own])
-            at, row = np.nonzero(found >= kth[asking][:, None])
-        if len(at):
+            reached = found >= kth[asking][:, None]
+        flat = np.flatnonzero(reached)  # much faster than ``nonzero`` of a matrix
+        if len(flat):
+            at, row = np.divmod(flat, b - a)
             hits.append((asking[at], found[at, row].astype(np.int64), tree.ids[a:b][row]))
-            waiting += len(at)
+            waiting += len(flat)
             if waiting > max(ranked, len(queries)):
                 rank()
 
