@@ -95,6 +95,58 @@ def test_one_per_group_keeps_columns_and_clean_rows(spark, corpus):
     assert ngram_join.similar_groups(docs.filter("false")).count() == 0
 
 
+def test_sets_are_moved_only_for_pairs_that_sketches_leave(spark, monkeypatch):
+    """Documents that share half of their words are candidates, but neither their prefixes nor their sets are moved."""
+    rng = random.Random(8)
+    draw = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    base = draw(200)
+    corpus = [base, base[:90] + ["other"] + base[91:], base[:150] + ["other"] + base[151:]]
+    for _ in range(30):
+        half = draw(120)
+        corpus += [half + draw(80), half + draw(80)]
+    corpus = [" ".join(w) for w in corpus]
+    moved, where = {}, ngram_join._where
+
+    def noted(pairs, sets, data, keep):
+        moved.setdefault(data, set()).update(r["rep"] for r in sets.collect())
+        return where(pairs, sets, data, keep)
+
+    monkeypatch.setattr(ngram_join, "_where", noted)
+    found = {r["id"]: (r["n"], r["component"]) for r in ngram_join.similar_groups(frame(spark, corpus)).collect()}
+    assert found == brute_groups(corpus) and [found[i][1] for i in range(3)] == [0, 0, 0]
+    assert moved["tokens"] == moved["prefixes"] == {0, 1, 2}
+    assert len(moved["sketch"]) > 20
+
+
+def test_filters_of_pairs_lose_no_link():
+    rng = np.random.default_rng(8)
+    links = near = 0
+    for size in [1, 2, 7, 30, 33, 100, 250, 511, 513] * 40:
+        base = np.unique(rng.integers(0, 1 << 64, size, dtype=np.uint64))
+        kept = base[rng.random(size) < rng.choice([0.5, 0.8, 0.9, 0.95, 1.0])]
+        other = np.union1d(kept, rng.integers(0, 1 << 64, rng.integers(0, size // 5 + 1), dtype=np.uint64))
+        if not len(other):
+            continue
+        both = len(np.intersect1d(base, other))
+        link = 100 * both >= 75 * (len(base) + len(other) - both)
+        fits = ngram_join._near(ngram_join._sketch(base), ngram_join._sketch(other))
+        assert ngram_join._similar(ngram_join._packed(base), ngram_join._packed(other)) == link
+        if link:
+            assert fits and ngram_join._meet(ngram_join._further_prefixes(base), ngram_join._further_prefixes(other))
+        links, near = links + link, near + fits
+    assert 50 < links <= near < 1.3 * links
+
+
+def test_sketches_at_the_limit_of_a_link():
+    """Six of eight tokens in common are a link, five of eight are none; of equal slots, none may be lost by folding."""
+    tokens = np.arange(100, dtype=np.uint64)
+    assert ngram_join._near(ngram_join._sketch(tokens[:7]), ngram_join._sketch(tokens[1:8]))
+    assert not ngram_join._near(ngram_join._sketch(tokens[:6]), ngram_join._sketch(tokens[1:8]))
+    small, large = ngram_join._sketch(tokens[:30]), ngram_join._sketch(tokens[:40])
+    assert len(small) < len(large) and ngram_join._near(small, large) and ngram_join._near(large, small)
+    assert not ngram_join._near(small, ngram_join._sketch(tokens[:41]))
+
+
 def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "x bigint, y bigint")
     assert {tuple(r) for r in components(links).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}

@@ -2,8 +2,9 @@
 
 Two sets of sizes m and n with Jaccard similarity of at least 3/4 share 3/7 (m + n) tokens, so under any total order of
 all tokens they share one among the first n/4 + 1 tokens of each.  The first order puts frequent tokens last and finds
-candidates by a shuffle on prefix tokens; positions and sizes bound the possible overlap.  Candidates must then share a
-prefix token under two further orders, and the rest are compared in full.  Equal sets are one node from the start.
+candidates by a shuffle on prefix tokens; positions and sizes bound the possible overlap.  Small sketches then bound from
+below how many tokens two candidates do not share; those left must share a prefix token under two further orders, and
+only the sets of the rest are moved and compared in full.  Equal sets are one node from the start.
 
 A token shared by many nodes does not produce all their pairs: its nodes are compared with the few whose sets hold
 hardly anything rarer.  What these links leave in different components is then joined within the token.
@@ -32,6 +33,8 @@ COUNTED_BYTES = 32 << 20
 SMALL, LEADERS = 12, 4
 # Ids of candidates that are broadcast: 16 bytes each.
 BROADCAST_NODES = 1_000_000
+# A prefix row holds the upper bits of its token and, in as many lower bits, its place.
+PLACE_BITS = 24
 ORDERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
 
@@ -110,11 +113,15 @@ def frequency_classes(docs: DataFrame, text_col: str, n: int) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, text_col: str, n: int, classes) -> DataFrame:
-    """(token, node, n, place) rows of the first order's prefixes; a task gives equal sets once."""
+    """(key, node, n) rows of the first order's prefixes; a task gives equal sets once.
+
+    A key is the upper 40 bits of a token and the token's place in the prefix.  Tokens that meet by these bits alone are
+    candidates like others; places beyond the last one that fits count as it, which only loosens their bound.
+    """
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels, seen = classes.value, set()
         for batch in batches:
-            tokens, nodes, sizes, places = [], [], [], []
+            keys, nodes, sizes = [], [], []
             # Only spares repeated rows, so it may forget.
             if len(seen) > 500_000:
                 seen.clear()
@@ -128,16 +135,16 @@ def _prefixes(docs: DataFrame, text_col: str, n: int, classes) -> DataFrame:
                 level = levels[(s % np.uint64(SLOTS)).astype(np.int64)].astype(np.uint64) << np.uint64(56)
                 # Stable: tokens with equal keys keep the order of their hashes, the same in every set.
                 first = np.argsort(level | (under(0, s) >> np.uint64(8)), kind="stable")[:prefix_size(len(s))]
-                tokens.append(s[first])
+                places = np.minimum(np.arange(len(first), dtype=np.uint64), np.uint64((1 << PLACE_BITS) - 1))
+                keys.append(s[first] >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS) | places)
                 nodes.append(np.full(len(first), node))
                 sizes.append(np.full(len(first), len(s), np.int32))
-                places.append(np.arange(len(first), dtype=np.int32))
-            if tokens:
-                arrays = [np.concatenate(tokens).view(np.int64), *map(np.concatenate, (nodes, sizes, places))]
+            if keys:
+                arrays = [np.concatenate(keys).view(np.int64), *map(np.concatenate, (nodes, sizes))]
                 for at in range(0, len(arrays[0]), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(a[at:at + 100_000]) for a in arrays], names=["token", "node", "n", "place"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a[at:at + 100_000]) for a in arrays], names=["key", "node", "n"])
 
-    return docs.select(col(text_col).cast("string").alias(text_col)).mapInArrow(emit, "token bigint, node bigint, n int, place int")
+    return docs.select(col(text_col).cast("string").alias(text_col)).mapInArrow(emit, "key bigint, node bigint, n int")
 
 
 def _possible(n1, place1, n2, place2, smaller, larger):
@@ -148,7 +155,7 @@ def _possible(n1, place1, n2, place2, smaller, larger):
 
 
 class _Buckets:
-    """Reads prefix rows sorted by token; gives candidate pairs, and the rows of tokens with many nodes.
+    """Reads prefix rows sorted by key; gives candidate pairs, and the rows of tokens with many nodes.
 
     Whole runs of a token are handled at once; a run longer than ``HELD`` rows is handled in parts, each compared with
     the leaders of the first part.
@@ -164,7 +171,8 @@ class _Buckets:
     def read(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            rows = [c.to_numpy() for c in batch.columns]
+            key, node, n = (c.to_numpy() for c in batch.columns)
+            rows = [key >> PLACE_BITS, node, n, (key & ((1 << PLACE_BITS) - 1)).astype(np.int32)]
             rows = rows if held is None else [np.concatenate(x) for x in zip(held, rows)]
             cut = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0
             if not cut and len(rows[0]) >= self.HELD:
@@ -214,40 +222,51 @@ class _Buckets:
             yield pa.RecordBatch.from_arrays([pa.array(pair[0]), pa.array(pair[1]), long, long, short, short], names=self.NAMES)
 
 
-def _packed(tokens: np.ndarray) -> bytes:
-    """Tokens by their upper 40 bits, five bytes each: what the comparison of two sets moves and reads."""
-    return np.ascontiguousarray((tokens >> np.uint64(24)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
+def _packed(tokens: np.ndarray, width: int = 5) -> bytes:
+    """Tokens by their upper bits, ``width`` bytes each: what the comparison of two sets moves and reads."""
+    return np.ascontiguousarray((tokens >> np.uint64(64 - 8 * width)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
 
 
-def _unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+def _unpacked(data: bytes, width: int = 5) -> np.ndarray:
+    out = np.zeros((len(data) // width, 8), np.uint8)
+    out[:, :width] = np.frombuffer(data, np.uint8).reshape(-1, width)
     return out.view("<u8").ravel()
 
 
-def _prefix(order: int, tokens: np.ndarray) -> np.ndarray:
-    """The prefix of a set under one of the further orders."""
-    size = prefix_size(len(tokens))
-    return tokens[np.argpartition(under(order, tokens), size - 1)[:size]]
+def _sketch(tokens: np.ndarray) -> bytes:
+    """A set's size and the parities of its tokens per slot; there are two to four slots for each token."""
+    slots = 1 << max(6, (2 * len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
+    return len(tokens).to_bytes(8, "little") + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def _packed_prefix(data: bytes) -> bytes:
-    """The prefix of a packed set under the second order, packed."""
-    tokens = _unpacked(data)
-    return _packed(_prefix(1, tokens) << np.uint64(24)) if len(tokens) else b""
+def _near(x: bytes, y: bytes) -> bool:
+    """Whether two sketches leave room for a link: slots whose parities differ hold a token of one set only."""
+    part, whole = MATCH
+    n = sum(int.from_bytes(s[:8], "little") for s in (x, y))
+    a, b = (np.frombuffer(s, np.uint8, offset=8) for s in sorted((x, y), key=len))
+    while len(b) > len(a):
+        # Half as many slots: those that fall together add up.
+        b = b[:len(b) // 2] ^ b[len(b) // 2:]
+    return (part + whole) * int(np.bitwise_count(a ^ b).sum()) <= (whole - part) * n
+
+
+def _further_prefixes(tokens: np.ndarray) -> bytes:
+    """The prefixes of a set under the second and the third order, one after the other, three bytes a token."""
+    size = prefix_size(len(tokens))
+    return b"".join(_packed(tokens[np.argpartition(under(order, tokens), size - 1)[:size]], 3) for order in (1, 2))
 
 
 def _meet(x: bytes, y: bytes) -> bool:
-    """Whether two prefixes of the second order share a token."""
-    return len(np.intersect1d(_unpacked(x), _unpacked(y))) > 0
+    """Whether two sets share a prefix token under both further orders."""
+    halves = zip(_unpacked(x, 3).reshape(2, -1), _unpacked(y, 3).reshape(2, -1))
+    return all(len(np.intersect1d(a, b)) for a, b in halves)
 
 
 def _similar(x: bytes, y: bytes) -> bool:
-    """Whether two sets share a prefix token under the third order and enough tokens in all."""
+    """Whether two sets share enough tokens."""
     part, whole = MATCH
     a, b = _unpacked(x), _unpacked(y)
-    if not len(np.intersect1d(_prefix(2, a), _prefix(2, b))):
-        return False
     both = len(np.intersect1d(a, b, assume_unique=True))
     return whole * both >= part * (len(a) + len(b) - both)
 
@@ -265,28 +284,39 @@ def _where(pairs: DataFrame, sets: DataFrame, data: str, keep) -> DataFrame:
     return joined.mapInArrow(test, "x bigint, y bigint, rx bigint, ry bigint")
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """Links (x, y) between representatives, of candidate pairs of nodes; each set is built once from its text."""
+def _built(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, **parts) -> DataFrame:
+    """(rep, node, and a column for each of ``parts``, a function of a set) of the nodes of ``pairs``, from their texts."""
     nodes = pairs.select(F.col("x").alias("d1")).union(pairs.select("y")).distinct()
     wanted = checkpointed(classes.join(nodes, "d1").select(F.col("rep").alias("id"), F.col("d1").alias("node")))
     plain = docs.select(col(id_col).cast("bigint").alias("id"), col(text_col).cast("string").alias("text"))
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = list(token_sets(texts(batch, "text"), n))
             # Another text under the same id is no part of the node.
-            same = [_node(s.tobytes()) == k for s, k in zip(sets, batch.column(1).to_pylist())]
-            tokens = [_packed(s) for s in sets]
-            second = [_packed_prefix(t) for t in tokens]
-            whole = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(second, pa.binary()), pa.array(tokens, pa.binary())],
-                                               names=["rep", "node", "second", "tokens"])
-            yield whole.filter(pa.array(same, pa.bool_()))
+            same, made = [], [[] for _ in parts]
+            for s, node in zip(token_sets(texts(batch, "text"), n), batch.column(1).to_pylist()):
+                same.append(_node(s.tobytes()) == node)
+                if same[-1]:
+                    for out, part in zip(made, parts.values()):
+                        out.append(part(s))
+            kept = batch.select([0, 1]).filter(pa.array(same, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([*kept.columns, *(pa.array(x, pa.binary()) for x in made)], names=["rep", "node", *parts])
 
     # A checked number of ids goes to the texts; more are shuffled with them.
     few = wanted.limit(BROADCAST_NODES + 1).count() <= BROADCAST_NODES
     chosen = plain.join(F.broadcast(wanted) if few else wanted, "id").select("id", "node", "text")
-    sets = checkpointed(chosen.mapInArrow(build, "rep bigint, node bigint, second binary, tokens binary"))
-    close = _where(pairs, sets, "second", _meet).select("x", "y").distinct()
+    return checkpointed(chosen.mapInArrow(build, ", ".join(["rep bigint", "node bigint", *(f"{x} binary" for x in parts)])))
+
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
+    """Links (x, y) between representatives, of candidate pairs of nodes.
+
+    Sketches of all candidates are moved first; prefixes and whole sets are built for the nodes of pairs that they leave.
+    """
+    sketches = _built(pairs, classes, docs, id_col, text_col, n, sketch=_sketch)
+    near = checkpointed(_where(pairs, sketches, "sketch", _near).select("x", "y").distinct())
+    sets = _built(near, classes, docs, id_col, text_col, n, prefixes=_further_prefixes, tokens=_packed)
+    close = _where(near, sets, "prefixes", _meet).select("x", "y").distinct()
     return _where(close, sets, "tokens", _similar).select(F.col("rx").alias("x"), F.col("ry").alias("y"))
 
 
@@ -302,7 +332,7 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sizes = checkpointed(set_sizes(docs, id_col, text_col, n))
     classes = checkpointed(sizes.filter("n > 0 and id is not null").groupBy("d1", "d2").agg(F.min("id").alias("rep")))
     levels = docs.sparkSession.sparkContext.broadcast(frequency_classes(docs, text_col, n))
-    rows = _prefixes(docs, text_col, n, levels).repartition("token").sortWithinPartitions("token", "place", "node")
+    rows = _prefixes(docs, text_col, n, levels).repartition(F.shiftright("key", PLACE_BITS)).sortWithinPartitions("key", "node")
     found = checkpointed(rows.mapInArrow(lambda b: _Buckets().read(b), "x bigint, y bigint, token bigint, node bigint, n int, place int"))
     pairs = checkpointed(found.filter("x is not null").select("x", "y").distinct())
     links = checkpointed(_verified(pairs, classes, docs, id_col, text_col, n))
