@@ -287,3 +287,32 @@ def test_a_large_table_is_dealt_to_few_large_tasks(spark, monkeypatch):
     monkeypatch.setattr(models, "FOREST_ROWS", 100)
     models.train(table(6000), "y", "classification", ["id"], config=SMALL)
     assert dealt == [1, 48]  # 3 and 60 before
+
+
+@pytest.mark.parametrize("classes", [0, 3])
+def test_counts_are_the_same_however_rows_of_a_node_are_held(monkeypatch, classes):
+    """Rows that are marked, listed or walk in groups, and nodes that are counted alone or together."""
+    rng = np.random.default_rng(12)
+    x, c = np.stack([rng.integers(0, 7, 3000), rng.integers(0, 70, 3000)], 1).astype(float), rng.integers(0, 60, (3000, 1)) * 1000
+    y = (x[:, 0] > 3).astype(float) + (rng.random(3000) < 0.3)
+    batch = pa.RecordBatch.from_pydict({"h": pa.array(rng.integers(-2 ** 62, 2 ** 62, 3000)), "y": pa.array(y), "x": pa.array(list(x)), "c": pa.array(list(c))})
+    edges = [np.arange(6) + 0.5, np.arange(6) * 10 + 5.0]
+    block = forest.Block.of([batch], edges, 1)
+    found = []
+    for few, marked, hashed, held in ((10 ** 6, 32, 16_384, 2_000_000), (4, 2, 100, 1), (4, 10 ** 6, 16_384, 2_000_000)):
+        for name, value in (("FEW", few), ("MARKED", marked), ("HASHED", hashed), ("HELD_CELLS", held)):
+            monkeypatch.setattr(forest, name, value)
+        trees = [forest.Grown() for _ in range(4)]
+        for g in trees:
+            g.add([], 0)
+        sums = {}
+        for _ in range(4):
+            cells = pa.Table.from_batches(forest._histogram(forest._growing(trees, classes), 2, [60], classes, 7, 2)(block))
+            for r in cells.to_pylist():
+                sums[tuple(r[n] for n in ("t", "node", "kind", "f", "bin", *(["s"] if classes else [])))] = [r[n] for n in (["v"] if classes else ["n", "y", "yy"])]
+            forest._advance(trees, forest._best_splits(classes)(cells), classes, 10)
+        found.append((sums, [(g.kind, g.feature, g.cut, g.left) for g in trees]))
+    assert len(found[0][0]) > 200 and max(len(t[3]) for t in found[0][1]) > 6
+    for sums, trees in found[1:]:
+        assert trees == found[0][1] and set(sums) == set(found[0][0])
+        assert all(sums[k] == pytest.approx(v) for k, v in found[0][0].items())

@@ -107,3 +107,34 @@ def test_uniform_bin_matches_numpy_on_edges(spark):
     got = {r["bin"]: r["train"] for r in stats.histogram(df, {"x": (0.0, 30.0)}, 10, "split").collect()}
     want, _ = np.histogram(xs, bins=10, range=(0.0, 30.0))
     assert [got.get(i, 0) for i in range(10)] == list(want)
+
+
+@pytest.mark.parametrize("small", [10, 10 ** 9])
+def test_quantiles_without_a_fold_are_those_of_the_other_rows(spark, small):
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame({"f": rng.integers(0, 3, 900), "x": rng.lognormal(0, 4, 900), "hot": np.where(rng.random(900) < 0.7, 2.0, rng.random(900)),
+                        "one": rng.random(900), "far": rng.choice([-1.7e308, 1.7e308, 5e-324, 0.0], 900), "void": np.nan})
+    pdf.loc[pdf["f"] != 1, "one"] = np.nan
+    pdf.loc[::7, "x"] = np.nan
+    df = spark.createDataFrame(pdf).repartition(5).withColumn("f", F.when(F.col("x") < 200, F.col("f")))
+    pdf["f"] = pdf["f"].where(pdf["x"] < 200)
+    probs, cols = [0.0, 0.03, 0.5, 0.97, 1.0], ["x", "hot", "one", "far", "void"]
+    got = selection.fold_quantiles(df, cols, "f", 3, probs, small)
+    for k in range(3):
+        rest = pdf[pdf["f"].notna() & (pdf["f"] != k)]
+        for c in cols:
+            if rest[c].notna().any() and c != "far":
+                assert got[(k, c)] == pytest.approx(list(np.nanquantile(rest[c], probs)), rel=1e-12)
+            elif c == "far":
+                want = np.sort(rest[c].to_numpy())
+                assert (got[(k, c)][0], got[(k, c)][4]) == (want[0], want[-1])
+            else:
+                assert got[(k, c)] is None
+
+
+def test_narrowing_ends_between_neighbours(spark):
+    tiny = float(np.nextafter(1.0, 2.0))
+    xs = [1.0] * 40 + [tiny] * 40 + [-1.7e308, 1.7e308, 0.0, 5e-324]
+    df = spark.createDataFrame([(x,) for x in xs], "x double")
+    got = selection.select_ranks(df, [(selection.ALL, "x", i) for i in range(len(xs))], {"x": (-1.7e308, 1.7e308, len(xs))}, small=3)
+    assert [got[(selection.ALL, "x", i)] for i in range(len(xs))] == sorted(xs)

@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import math
 import pickle
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
@@ -67,12 +67,26 @@ _FIRST = np.searchsorted(_POISSON, np.arange(2 ** 16) * 2.0 ** -16, side="right"
 _FIRST[_FIRST != np.searchsorted(_POISSON, np.arange(1, 2 ** 16 + 1) * 2.0 ** -16, side="right")] = 255
 
 
+# Rows that are hashed or counted together, so that what is between stays in the processor's cache.
+HASHED = 16_384
+
+
 def bootstrap(rows: np.ndarray, tree: int, seed: int) -> np.ndarray:
     """How often each row is drawn for a tree."""
-    h = _stirred(mixed(seed, tree), rows)
-    out = _FIRST[h >> np.uint64(48)]
-    near = np.flatnonzero(out == 255)
-    out[near] = np.searchsorted(_POISSON, uniform(h[near]), side="right")
+    rows = np.ascontiguousarray(rows, np.int64).view(np.uint64)
+    out, first = np.empty(len(rows), np.uint8), mixed(seed, tree) * _STEP + _STEP
+    for i in range(0, len(rows), HASHED):
+        # As ``_stirred``, without arrays between.
+        x = rows[i:i + HASHED] + first
+        own, other = out[i:i + HASHED], x >> np.uint64(30)
+        x ^= other
+        x *= _M1
+        x ^= np.right_shift(x, np.uint64(27), out=other)
+        x *= _M2
+        x ^= np.right_shift(x, np.uint64(31), out=other)
+        np.take(_FIRST, np.right_shift(x, np.uint64(48), out=other).view(np.int64), out=own, mode="clip")
+        near = np.flatnonzero(own == 255)
+        own[near] = np.searchsorted(_POISSON, uniform(x[near]), side="right")
     return out
 
 
@@ -101,6 +115,8 @@ class Grown:
 SCORED = 65_536
 # Rows of a node from which on the rows of all such nodes go down together.
 FEW = 2_048
+# Of so many rows a node must hold one for its rows to be marked among all instead of listed.
+MARKED = 32
 
 
 class Walk:
@@ -151,44 +167,67 @@ class Walk:
             self._bounds[column] = above, upto
         return self._bounds[column]
 
-    def down(self, cells: np.ndarray, rows: np.ndarray | None = None, live: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, leaves): the given rows, by default all, and the leaf each comes to; rows that leave the ``live`` nodes are dropped."""
-        found: list[tuple[np.ndarray, np.ndarray]] = []
+    def right(self, v: np.ndarray, node: int) -> np.ndarray:
+        """Whether rows with these cells of the node's column go right."""
+        low, high = int(self.low[node]), int(self.high[node])  # plain numbers keep the type of the cells
+        if self.column[node] < self.numbers:
+            return v > low
+        return v == high if low < high else np.zeros(len(v), bool)
+
+    def parts(self, cells: np.ndarray, narrow: Sequence[np.ndarray], rows: np.ndarray | None = None, live: np.ndarray | None = None
+              ) -> tuple[list[tuple[np.ndarray, int]], np.ndarray, np.ndarray]:
+        """(parts, rows, leaves): the given rows, by default all, or those marked as true; the rows of each leaf on whose way all
+        nodes hold more than ``FEW``, and the other rows with their leaves.  Rows that leave the ``live`` nodes are dropped.
+        ``narrow`` holds the same cells, column by column."""
+        found: list[tuple[np.ndarray, int]] = []
         few: list[tuple[np.ndarray, int]] = []
-        ways: list[tuple[np.ndarray | None, int]] = [(rows, 0)] if live is None or live[0] else []
+        n = cells.shape[1]
+        marked = rows is None or rows.dtype == bool
+        held = n if rows is None else np.count_nonzero(rows) if marked else len(rows)
+        ways = [(rows, 0, held)] if held and (live is None or live[0]) else []
         while ways:
-            own, node = ways.pop()
-            n = cells.shape[1] if own is None else len(own)
-            if own is None and (self.left[node] < 0 or n <= FEW):
-                own = np.arange(n)
-            if self.left[node] < 0:
-                found.append((own, np.full(n, node)))
-                continue
-            if n <= FEW:
+            own, node, held = ways.pop()
+            marked = own is None or own.dtype == bool
+            if marked and (self.left[node] < 0 or held <= FEW or held * MARKED < n):
+                own, marked = np.arange(n) if own is None else np.flatnonzero(own), False
+            if held <= FEW:
                 few.append((own, node))
                 continue
-            v = cells[self.column[node]]
-            v = v if own is None else v[own]
-            right = (v > self.low[node]) & (v <= self.high[node]) if self.column[node] >= self.numbers else v > self.low[node]
-            for child, side in ((self.left[node], ~right), (self.left[node] + 1, right)):
+            if self.left[node] < 0:
+                found.append((own, node))
+                continue
+            left, right = self.left[node], self.left[node] + 1
+            v = narrow[self.column[node]]
+            side = self.right(v if marked else v[own], node)
+            for child in (left, right):
                 if live is None or live[child]:
-                    part = np.flatnonzero(side) if own is None else own[side]
-                    if len(part):
-                        ways.append((part, child))
+                    going = side if child == right else ~side
+                    part = (going if own is None else going & own) if marked else own[going]
+                    count = np.count_nonzero(part) if marked else len(part)
+                    if count:
+                        ways.append((part, child, count))
+        out: list[tuple[np.ndarray, np.ndarray]] = []
         if few:
             own, node = np.concatenate([r for r, _ in few]), np.repeat([i for _, i in few], [len(r) for r, _ in few])
             while len(own):
+                ended = self.left[node] < 0
+                if ended.any():
+                    out.append((own[ended], node[ended]))
+                    own, node = own[~ended], node[~ended]
                 v = cells[self.column[node], own]
                 node = self.left[node] + ((v > self.low[node]) & (v <= self.high[node]))
                 if live is not None:
                     kept = live[node]
                     own, node = own[kept], node[kept]
-                ended = self.left[node] < 0
-                found.append((own[ended], node[ended]))
-                own, node = own[~ended], node[~ended]
-        if not found:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        return np.concatenate([r for r, _ in found]), np.concatenate([i for _, i in found])
+        if not out:
+            return found, np.empty(0, np.int64), np.empty(0, np.int64)
+        return found, np.concatenate([r for r, _ in out]), np.concatenate([i for _, i in out])
+
+    def down(self, cells: np.ndarray, rows: np.ndarray | None = None, live: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, leaves): the given rows, by default all, and the leaf each comes to; rows that leave the ``live`` nodes are dropped."""
+        parts, own, node = self.parts(cells, cells, rows, live)
+        return (np.concatenate([*[r for r, _ in parts], own]),
+                np.concatenate([*[np.full(len(r), i) for r, i in parts], node]))
 
 
 def _places(ids: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -212,6 +251,11 @@ def _cats(c: pa.Array, width: int) -> np.ndarray:
     return np.array(c.flatten().to_numpy(zero_copy_only=False)).reshape(-1, width) if width else np.empty((len(c), 0), np.int64)
 
 
+def slim(columns: Iterable[np.ndarray]) -> list[np.ndarray]:
+    """The columns of numbers from 0 on, in one byte where they fit."""
+    return [c.astype(np.uint8) if len(c) and c.max() < 256 else c for c in columns]
+
+
 @dataclass
 class Block:
     """The rows of a task as arrays: hashes, labels, the cells that a ``Walk`` reads, and the ids of each text column's categories."""
@@ -221,6 +265,16 @@ class Block:
     cells: np.ndarray
     ids: list[np.ndarray]
 
+    @cached_property
+    def label(self) -> np.ndarray:
+        """The class numbers."""
+        return self.y.astype(np.int32)
+
+    @cached_property
+    def narrow(self) -> list[np.ndarray]:
+        """The cells of each column in one byte where they fit."""
+        return slim(self.cells)
+
     @classmethod
     def of(cls, batches: Sequence[pa.RecordBatch], edges: Sequence[np.ndarray], width: int) -> Block:
         h, y = (np.concatenate([b.column(i).to_numpy() for b in batches]) for i in (0, 1))
@@ -300,73 +354,128 @@ def _histogram(trees: list[Growing], numbers: int, sizes: Sequence[int], classes
     part = [min(1.0, max(BINS, math.sqrt(n)) / max(n, 1)) for n in sizes]
     columns = numbers + len(sizes)
 
-    def counted(block: Block, t: int, splits: Grown, number: np.ndarray, draw: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-        """Parts of the counts as columns of cells."""
+    per = classes or 1
+
+    def counted(block: Block, coded: Sequence[np.ndarray], t: int, splits: Grown, number: np.ndarray, draw: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """Parts of the counts as columns of cells; ``coded`` holds the block's cells times the classes plus the label."""
         walk = Walk(splits, numbers, block.ids)
         place = np.full(len(walk.left), -1)
         place[number] = np.arange(len(number))
         live = walk.leads_to(place >= 0)
         if share_of[t] > 0.5:
-            weight = bootstrap(block.h, t, seed)
-            at, leaf = walk.down(block.cells, np.flatnonzero(weight), live)
-            weight = weight[at]
+            every = bootstrap(block.h, t, seed)
+            large, at, leaf = walk.parts(block.cells, block.narrow, every > 0, live)
+            drawn_rows = [(own, every[own]) for own in (*[own for own, _ in large], at)]
         else:  # few rows are still in open nodes
-            at, leaf = walk.down(block.cells, None, live)
-            weight = bootstrap(block.h[at], t, seed)
-            at, leaf, weight = at[weight > 0], leaf[weight > 0], weight[weight > 0]
-        if not len(at):
+            large, at, leaf = walk.parts(block.cells, block.narrow, None, live)
+            drawn_rows = []
+            for own in (*[own for own, _ in large], at):
+                weight = bootstrap(block.h[own], t, seed)
+                drawn_rows.append((own[weight > 0], weight[weight > 0]))
+                if own is at:
+                    leaf = leaf[weight > 0]
+        # The columns with the smallest hashes at each node.
+        h = mixed(seed, t, number[:, None], draw[:, None], np.arange(columns)[None, :])
+        tried = np.zeros(h.shape, bool)
+        np.put_along_axis(tried, np.argsort(h, axis=1, kind="stable")[:, :drawn], True, axis=1)
+        # Of a column with many categories a part is drawn.
+        asked = [mixed(seed, t, number, draw, k) if part[k] < 1 else None for k in range(len(sizes))]
+
+        def none(k: np.ndarray) -> np.ndarray:
+            return np.zeros(len(k), np.int64)
+
+        def columns_of(node: np.ndarray, key: np.ndarray, sums: Sequence[np.ndarray], kind: int, f, bin_of) -> tuple[np.ndarray, ...]:
+            """Sums per (node, code and class); the functions name a code's feature and bin."""
+            code, n = key // per, len(key)
+            return (np.full(n, t), node, np.full(n, kind), f(code), bin_of(code), *([key % per] if classes else []), *sums)
+
+        def values_of(rows: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+            w = weight.astype(float)
+            if classes:
+                return [w]
+            y = block.y[rows]
+            return [w, w * y, w * (y * y)]
+
+        # Nodes with many rows are counted one by one.
+        step = max(1, HELD_CELLS // ((1 if classes else 3) * max(numbers, 1) * BINS * per))
+        for first in range(0, len(large), step):
+            several = list(zip(large, drawn_rows))[first:first + step]
+            whole = np.zeros((1 if classes else 3, len(several), per))
+            binned = np.zeros((len(whole), len(several), numbers, BINS * per))
+            for i, ((_, node), (rows, weight)) in enumerate(several):
+                local = place[node]
+                own = np.flatnonzero(tried[local])
+                told = classes and (own < numbers).any()  # the counts of any number add up to those of the node
+                for c in range(0, len(rows), HASHED):  # by pieces that stay in the processor's cache
+                    piece = rows[c:c + HASHED]
+                    values = values_of(piece, weight[c:c + HASHED])
+                    if not told:
+                        for k, v in enumerate(values):
+                            whole[k, i] += np.bincount(block.label[piece], v, per) if classes else v.sum()
+                    for j in own[own < numbers]:
+                        key = coded[j][piece]
+                        for k, v in enumerate(values):
+                            binned[k, i, j] += np.bincount(key, v, BINS * per)
+                if told:
+                    whole[0, i] = binned[0, i, own[0]].reshape(BINS, per).sum(axis=0)
+                for j in own[own >= numbers]:
+                    ids, kept = block.ids[j - numbers], slice(None)
+                    if part[j - numbers] < 1:
+                        code, seen = block.cells[j][rows], asked[j - numbers][local:local + 1]
+                        if len(ids) < len(code):
+                            kept = np.flatnonzero((uniform(_stirred(seen, ids)) < part[j - numbers])[code])
+                        else:
+                            kept = np.flatnonzero(uniform(_stirred(seen, ids[code])) < part[j - numbers])
+                    key, sums = _summed(coded[j][rows[kept]].astype(np.int64), values_of(rows[kept], weight[kept]), len(ids) * per)
+                    yield columns_of(np.full(len(key), node), key, sums, j - numbers, lambda k, v=ids: v[k], none)
+            nodes = np.array([node for (_, node), _ in several], np.int64)
+            i, key = np.nonzero(whole[0])
+            yield columns_of(nodes[i], key, [w[i, key] for w in whole], TOTAL, none, none)
+            i, j, key = np.nonzero(binned[0])
+            yield columns_of(nodes[i], key, [b[i, j, key] for b in binned], -1, lambda k, j=j: j, lambda k: k)
+
+        # The others together.
+        rows, weight = drawn_rows[-1]
+        if not len(rows):
             return
-        local, w = place[leaf], weight.astype(float)
-        y, per = block.y[at], classes or 1
-        label = y.astype(np.int64) if classes else 0
-        values = [w] if classes else [w, w * y, w * (y * y)]
+        local, values = place[leaf], values_of(rows, weight)
 
         def add(keys: np.ndarray, chosen: np.ndarray | slice, span: int, kind: int, f, bin_of) -> tuple[np.ndarray, ...]:
-            """Sums per (node, code below ``span``, class); the functions name a code's feature and bin."""
             k, sums = _summed(keys, [v[chosen] for v in values], len(number) * span * per)
-            cell, n = k // per, len(k)
-            code = cell % span
-            return (np.full(n, t), number[cell // span], np.full(n, kind), f(code), bin_of(code), *([k % per] if classes else []), *sums)
-
-        def none(k: np.ndarray) -> np.ndarray:
-            return np.zeros(len(k), np.int64)
+            return columns_of(number[k // (span * per)], k % (span * per), sums, kind, f, bin_of)
 
         everyone = slice(None)
-        yield add(local * per + label, everyone, 1, TOTAL, none, none)
-        # The columns with the smallest hashes at each node.
-        h = mixed(seed, t, number[:, None], draw[:, None], np.arange(columns)[None, :])
-        tried = np.zeros(h.shape, bool)
-        np.put_along_axis(tried, np.argsort(h, axis=1, kind="stable")[:, :drawn], True, axis=1)
-        wide = local * (BINS * per) + label
+        yield add(local * per + (block.label[rows] if classes else 0), everyone, 1, TOTAL, none, none)
         for j in range(columns):
             chosen = everyone if tried[:, j].all() else np.flatnonzero(tried[local, j])
-            own, code = local[chosen], block.cells[j][at[chosen]]
+            own, key = local[chosen], coded[j][rows[chosen]].astype(np.int64)
             if not len(own):
                 continue
             if j < numbers:
-                yield add(wide[chosen] + code * per, chosen, BINS, -1, lambda k, j=j: np.full(len(k), j), lambda k: k)
+                yield add(own * (BINS * per) + key, chosen, BINS, -1, lambda k, j=j: np.full(len(k), j), lambda k: k)
                 continue
             ids = block.ids[j - numbers]
             if part[j - numbers] < 1:
-                # Of a column with many categories a part is drawn.
-                asked = mixed(seed, t, number, draw, j - numbers)
-                kept = np.flatnonzero(uniform(_stirred(asked[own], ids[code])) < part[j - numbers])
+                kept = np.flatnonzero(uniform(_stirred(asked[j - numbers][own], ids[key // per])) < part[j - numbers])
                 if not len(kept):
                     continue
                 chosen = kept if isinstance(chosen, slice) else chosen[kept]
-                own, code = own[kept], code[kept]
-            keys = (own * len(ids) + code) * per + (label[chosen] if classes else 0)
-            yield add(keys, chosen, len(ids), j - numbers, lambda k, v=ids: v[k], none)
+                own, key = own[kept], key[kept]
+            yield add(own * (len(ids) * per) + key, chosen, len(ids), j - numbers, lambda k, v=ids: v[k], none)
 
     share_of = {t: share for t, _, _, _, share in trees}
 
     def count(block: Block) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []
+        coded = slim(c * per + block.label for c in block.cells) if classes else block.narrow
+        cells = 0
         for t, splits, number, draw, _ in trees:
-            held += counted(block, t, splits, number, draw)
-            if sum(len(c[0]) for c in held) > HELD_CELLS:
+            own = [c for c in counted(block, coded, t, splits, number, draw) if len(c[0])]
+            held += own
+            cells += sum(len(c[0]) for c in own)
+            if cells > HELD_CELLS:
                 yield _cells(held, classes)
-                held = []
+                held, cells = [], 0
         if held:
             yield _cells(held, classes)
 

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..config import AuditConfig
-from ..functions.selection import exact_quantiles, range_numbers
+from ..functions.selection import exact_quantiles, fold_quantiles, range_numbers
 from ..functions.stats import moments, value_counts
 from ..schema import categorical_columns, col, local_frame, model_categorical_columns, number, numeric_columns, value
 from ..sources.scratch import checkpointed
@@ -392,14 +392,11 @@ def fit_sparse(fit: DataFrame, exclude: Sequence[str], bins: int) -> SparsePrep:
 def fit_sparse_folds(df: DataFrame, fold: str, folds: int, exclude: Sequence[str], bins: int) -> list[SparsePrep]:
     """For each fold the preparation fitted on all others, in as many scans as one fit takes.
 
-    Numbers are read once as columns that leave one fold out each; values are counted per fold, and what a fit sees of
-    them is the total minus its own fold.
+    Numbers and values are counted per fold, and what a fit sees of them is the total minus its own fold.
     """
     skip = [*exclude, fold]
     numeric, cats = sorted(numeric_columns(df, skip)), sorted(model_categorical_columns(df, skip))
-    without = {(k, c): f"{k}|{c}" for k in range(folds) for c in numeric}
-    cut = exact_quantiles(df.select(*[F.when(col(fold) != k, number(df, c)).alias(name) for (k, c), name in without.items()]),
-                          list(without.values()), [i / bins for i in range(1, bins)])
+    cut = fold_quantiles(df, numeric, fold, folds, [i / bins for i in range(1, bins)])
     found = {}
     if cats:
         per = value_counts(df, cats, [fold]).filter("value is not null")
@@ -410,7 +407,7 @@ def fit_sparse_folds(df: DataFrame, fold: str, folds: int, exclude: Sequence[str
             F.count(f"n{k}").alias(f"size{k}"))]).collect()}
     out = []
     for k in range(folds):
-        own = {c: cut[without[(k, c)]] for c in numeric}
+        own = {c: cut[(k, c)] for c in numeric}
         out.append(SparsePrep(
             numeric, cats, {c: (q[bins // 2 - 1] if q else None) for c, q in own.items()},
             {c: (found[c][f"mode{k}"] if c in found and found[c][f"size{k}"] else None) for c in cats},
