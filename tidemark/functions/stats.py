@@ -172,32 +172,45 @@ def correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
                     F.when(finite(F.col("r")).isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), "r"))).alias("corr")))
 
 
-def uniform_bin(x: Column, lo: Column, hi: Column, bins: int) -> Column:
-    """Index of the equal-width bin of ``x``; the last bin is closed, -1 outside, null for null.
+def uniform_bin(x: np.ndarray, lo: float, hi: float, bins: int) -> np.ndarray:
+    """Index of the equal-width bin of each value; the last bin is closed, -1 outside.
 
     The quotient is corrected against the true edges ``lo + i * step``, as integer-valued columns
     often sit exactly on one.
     """
-    step = (hi - lo) / F.lit(float(bins))
-    raw = F.least(F.greatest(F.floor((x - lo) / step), F.lit(0)), F.lit(bins - 1)).cast("int")
-    down = (raw > 0) & (x < lo + raw * step)
-    up = (raw < bins - 1) & (x >= lo + (raw + 1) * step)
-    return F.when((x < lo) | (x > hi), F.lit(-1)).otherwise(
-        raw - F.when(down, 1).otherwise(0) + F.when(up, 1).otherwise(0)).cast("int")
+    with np.errstate(all="ignore"):
+        step = (hi - lo) / float(bins)
+        raw = np.clip(np.nan_to_num(np.floor((x - lo) / step), nan=0.0), 0, bins - 1).astype(np.int64)
+        down = (raw > 0) & (x < lo + raw * step)
+        up = (raw < bins - 1) & (x >= lo + (raw + 1) * step)
+    return np.where((x < lo) | (x > hi), -1, raw - down + up)
 
 
 def histogram(df: DataFrame, edges: dict[str, tuple[float, float]], bins: int, split: str) -> DataFrame:
     """(feature, bin, train, test): rows per equal-width bin and side, only for bins that hold rows.
 
-    ``edges`` maps a numeric column to its (low, high) bounds, one row per column in the broadcast table.
-    Present values outside the bounds are counted under bin -1.
+    ``edges`` maps a numeric column to its (low, high) bounds.  Each task counts its rows.  Present values outside the
+    bounds are counted under bin -1.
     """
-    table = F.broadcast(local_frame(df.sparkSession, [(c, lo, hi) for c, (lo, hi) in edges.items()],
-                                    "feature string, lo double, hi double"))
-    long = long_numbers(df, list(edges), [split]).filter("x is not null").join(table, "feature")
-    side = col(split)
-    return (long.groupBy("feature", uniform_bin(F.col("x"), F.col("lo"), F.col("hi"), bins).alias("bin"))
-            .agg(F.count_if(side == "train").alias("train"), F.count_if(side == "test").alias("test")))
+    names, bounds = list(edges), list(edges.values())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros((len(names), bins + 1, 3), np.int64)
+        for batch in batches:
+            side = batch.column(0).to_numpy()
+            for k, (lo, hi) in enumerate(bounds):
+                x = batch.column(k + 1).to_numpy(zero_copy_only=False)
+                present = np.flatnonzero(~np.isnan(x))
+                at = uniform_bin(x[present], lo, hi, bins)
+                counts[k] += np.bincount((at + 1) * 3 + side[present], minlength=counts[k].size).reshape(counts[k].shape)
+        k, at = np.nonzero(counts.sum(axis=2))
+        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in k], pa.string()), pa.array((at - 1).astype(np.int32)),
+                                          pa.array(counts[k, at, 1]), pa.array(counts[k, at, 2])], names=["feature", "bin", "train", "test"])
+
+    side = F.when(col(split) == "train", 1).when(col(split) == "test", 2).otherwise(0).cast("int")
+    rows = df.select(side.alias("side"), *[number(df, c).alias(f"x{k}") for k, c in enumerate(names)])
+    return (rows.mapInArrow(count, "feature string, bin int, train bigint, test bigint")
+            .groupBy("feature", "bin").agg(F.sum("train").alias("train"), F.sum("test").alias("test")))
 
 
 def widened(lo: float, hi: float) -> tuple[float, float]:

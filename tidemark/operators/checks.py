@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from functools import reduce
 from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..config import AuditConfig
 from ..functions.selection import exact_quantiles
-from ..functions.stats import cardinality, correlations, finite, long_numbers, moments, unbiased_skew
+from ..functions.stats import cardinality, correlations, finite, moments, unbiased_skew
 from ..schema import (banded, categorical_columns, col, comparable, flat_columns, local_frame, materialise, number,
                       numeric_columns, run_together, text_columns, value)
 
@@ -212,15 +214,23 @@ def iqr_outliers(df: DataFrame, target: str | None = None, cols: Sequence[str] |
         return local_frame(df.sparkSession, [], schema)
     keep = list(bounds)
     # at most two distinct values <=> nothing strictly between the smallest and the largest
-    limits = F.broadcast(local_frame(df.sparkSession, [
-        (c, *bounds[c], ends[c]["min"], ends[c]["max"]) for c in keep],
-        "feature string, q1 double, q3 double, lower double, upper double, lo double, hi double"))
-    x = F.col("x")
-    counted = (long_numbers(rows, keep).join(limits, "feature")
-               .groupBy("feature", "q1", "q3", "lower", "upper")
-               .agg(F.count_if((x < F.col("lower")) | (x > F.col("upper"))).alias("outliers"),
-                    F.count_if((x > F.col("lo")) & (x < F.col("hi"))).alias("inner")))
-    return counted.filter("outliers > 0 and inner > 0").drop("inner")
+    limits = F.broadcast(local_frame(df.sparkSession, [(c, *bounds[c]) for c in keep],
+                                     "feature string, q1 double, q3 double, lower double, upper double"))
+    sides = [(*bounds[c][2:], ends[c]["min"], ends[c]["max"]) for c in keep]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((2, len(keep)), np.int64)
+        for batch in batches:
+            for k, (lower, upper, lo, hi) in enumerate(sides):
+                x = batch.column(k).to_numpy()
+                found[:, k] += np.count_nonzero((x < lower) | (x > upper)), np.count_nonzero((x > lo) & (x < hi))
+        yield pa.RecordBatch.from_arrays([pa.array(keep), *map(pa.array, found)], names=["feature", "outliers", "inner"])
+
+    counted = (rows.select(*[col(c).alias(f"x{k}") for k, c in enumerate(keep)])
+               .mapInArrow(count, "feature string, outliers bigint, inner bigint").groupBy("feature")
+               .agg(F.sum("outliers").alias("outliers"), F.sum("inner").alias("inner")))
+    return (counted.join(limits, "feature").filter("outliers > 0 and inner > 0")
+            .select("feature", "q1", "q3", "lower", "upper", "outliers"))
 
 
 def outlier_contamination(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

@@ -117,19 +117,19 @@ def anomaly_scores(rows: DataFrame, key: str, cols: Sequence[str], nodes: pd.Dat
     @F.pandas_udf("double")
     def score(*series: pd.Series) -> pd.Series:
         feature, cut, path = shared.value
-        x = np.column_stack([s.to_numpy(dtype=float) for s in series])
-        at_row = np.arange(len(x))
-        total = np.zeros(len(x))
+        cells = np.concatenate([s.to_numpy(dtype=float) for s in series])  # column by column
+        n = len(series[0])
+        at_row, total = np.arange(n), np.zeros(n)
+        # A leaf follows itself: no value reaches its cut.
+        inner = feature >= 0
+        place, cut = np.where(inner, feature, 0).astype(np.int64) * n, np.where(inner, cut, np.nan)
+        left = np.where(inner, 2, 1) * np.arange(feature.shape[1])
         for t in range(len(feature)):
-            node = np.ones(len(x), dtype=np.int64)
-            while True:
-                f = feature[t, node]
-                inner = f >= 0
-                if not inner.any():
-                    break
-                right = x[at_row, np.where(inner, f, 0)] >= cut[t, node]
-                node = np.where(inner, 2 * node + right, node)
-            total += path[t, node]
+            node = np.ones(n, dtype=np.int64)
+            for _ in range(int(math.log2(np.flatnonzero(inner[t]).max(initial=0) or 0.5)) + 1):  # levels with a split
+                right = cells.take(place[t].take(node) + at_row) >= cut[t].take(node)
+                node = left[t].take(node) + right
+            total += path[t].take(node)
         return pd.Series(2.0 ** (-(total / len(feature)) / max(norm, 1e-12)))
 
     return rows.select(col(key), score(*[col(c) for c in cols]).alias("score"))
