@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from conftest import by
 from tidemark.config import AuditConfig
-from tidemark.operators import forest, metrics, models, prep
+from tidemark.functions import selection
+from tidemark.operators import forest, metrics, models, prep, split
 
 SMALL = AuditConfig(num_trees=8, max_depth=4)
 
@@ -316,3 +317,31 @@ def test_counts_are_the_same_however_rows_of_a_node_are_held(monkeypatch, classe
     for sums, trees in found[1:]:
         assert trees == found[0][1] and set(sums) == set(found[0][0])
         assert all(sums[k] == pytest.approx(v) for k, v in found[0][0].items())
+
+
+@pytest.mark.parametrize("task", ["classification", "regression"])
+def test_folds_that_are_dealt_once_score_as_folds_dealt_alone(labelled, monkeypatch, task):
+    monkeypatch.setattr(forest, "WHOLE_ROWS", 10)
+    monkeypatch.setattr(models, "FOREST_ROWS", 150)
+    target, metric = ("y", "f1") if task == "classification" else ("z", "rmse")
+    df = labelled.drop("z" if target == "y" else "y").withColumn(target, F.when(F.col("id") % 17 > 0, F.col(target)))
+    got = models.cross_validate(df, target, task, "id", folds=2, config=SMALL).first()
+    tagged = (split.stratified_folds(df, "id", target, 2).withColumnRenamed("fold", "__fold") if task == "classification"
+              else df.withColumn("__fold", split.fold_of("id", 2)))
+    alone = []
+    for k in range(2):
+        fitted = models._train_forest(tagged.filter(F.col("__fold") != k), target, task, ["id", "__fold"], SMALL, False)
+        held = tagged.filter((F.col("__fold") == k) & F.col(target).isNotNull())
+        alone.append(next(r["value"] for r in fitted.evaluate(held, auc=False).collect() if r["metric"] == metric))
+    assert got["cv_mean"] == pytest.approx(np.mean(alone), rel=1e-9) and got["cv_std"] == pytest.approx(np.std(alone), rel=1e-6)
+
+
+def test_folds_share_their_scans(labelled, monkeypatch):
+    """Rows are dealt once for all folds, and a cell is read once for the quantiles of all of them."""
+    dealt, read = [], []
+    deal, cells = models._dealt, selection._cells_of
+    monkeypatch.setattr(models, "_dealt", lambda *a: dealt.append(a) or deal(*a))
+    monkeypatch.setattr(selection, "_cells_of", lambda df, cols, fold: read.append((sorted(cols), fold)) or cells(df, cols, fold))
+    monkeypatch.setattr(selection.fold_quantiles, "__defaults__", (50,))
+    models.cross_validate(labelled.drop("z"), "y", "classification", "id", folds=3, config=SMALL)
+    assert len(dealt) == 1 and read and all(len(cols) <= 2 and fold == "__fold" for cols, fold in read)
